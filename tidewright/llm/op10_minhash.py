@@ -23,10 +23,10 @@ WITH RECURSIVE w AS (
     ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) END AS s
   FROM w
 ), x AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM sets),
-both AS (
+pairs AS (
   SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c
   FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL
-), links AS MATERIALIZED (SELECT a, b FROM both WHERE 100 * c >= 75 * (na + nb - c)),
+), links AS MATERIALIZED (SELECT a, b FROM pairs WHERE 100 * c >= 75 * (na + nb - c)),
 reach AS (
   SELECT doc_id AS a, doc_id AS b FROM sets
   UNION
