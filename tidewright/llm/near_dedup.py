@@ -13,9 +13,10 @@ No list of postings is expanded into pairs.  Each list names its smallest
 member, the hub; lists with one hub merge into one group.  First every member is
 compared with its hub (linear work) and the links give components.  Groups that
 are still split over components are compared in blocks of ``BLOCK`` members,
-without the pairs inside the hub's own component; a task counts the coordinates
-that collide, keeps the pairs with at least ``match``, confirms them on the full
-sets and emits links only, so no pair is lost and none is emitted unverified.
+without the pairs inside the hub's own component.  Both comparisons count the
+coordinates that collide, keep what reaches ``match`` and only then read the
+full sets to confirm; they emit links only, so no pair is lost and none is
+emitted unverified.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from .words import mix64, shingles, text_buffers, word_hashes
 
 COORDS, MATCH, SIMILARITY = 64, 34, 75
 CELLS = 1 << 20  # of the count table: 4 MB on the driver and in a broadcast, whatever the input
+BITS = 1 << 22  # of the filter of wanted documents, in the same way
 BLOCK = 64
 _CHUNK_ROWS = 256
 
@@ -156,7 +158,26 @@ def _links_table(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _hub_links(members: DataFrame, sets: DataFrame, coords: int, match: int, similarity: int) -> DataFrame:
+def _signatures(column, coords: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, coords)
+
+
+def _alike_hubs(members: DataFrame, reps: DataFrame, coords: int, match: int) -> DataFrame:
+    """The ``hub, rep`` whose signatures collide in at least ``match`` coordinates."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (_signatures(batch.column(c), coords) for c in ("signature", "hub_signature"))
+                near = pa.array((a == b).sum(axis=1) >= match)
+                yield batch.select(["hub", "rep"]).filter(near)
+
+    of_hub = reps.select(F.col("rep").alias("hub"), F.col("signature").alias("hub_signature"))
+    both = members.join(reps.select("rep", "signature"), "rep").join(of_hub, "hub")
+    return both.mapInArrow(run, "hub long, rep long")
+
+
+def _hub_links(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Verified links between each hub and its members; a large group is salted over blocks."""
     blocks = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("n"))
     salted = members.join(blocks, "hub").select(
@@ -169,20 +190,22 @@ def _hub_links(members: DataFrame, sets: DataFrame, coords: int, match: int, sim
         for group in _groups(batches, ["hub", "block"]):
             is_hub = group.column("is_hub").to_numpy()
             rep, bits = group.column("rep").to_numpy(), group.column("hashes").to_pylist()
-            sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(-1, coords)
             h = int(np.flatnonzero(is_hub)[0])
-            near = np.flatnonzero(((sig == sig[h]).sum(axis=1) >= match) & ~is_hub)
             hub = np.frombuffer(bits[h], np.uint64)
-            found = [(rep[h], rep[i]) for i in near if _similar(hub, np.frombuffer(bits[i], np.uint64), similarity)]
+            found = [
+                (rep[h], rep[i])
+                for i in np.flatnonzero(~is_hub)
+                if _similar(hub, np.frombuffer(bits[i], np.uint64), similarity)
+            ]
             if found:
                 yield _links_table(found)
 
     ready = rows.join(sets, "rep").repartition("hub", "block").sortWithinPartitions("hub", "block")
-    return ready.select("hub", "block", "rep", "is_hub", "hashes", "signature").mapInArrow(run, "a long, b long")
+    return ready.select("hub", "block", "rep", "is_hub", "hashes").mapInArrow(run, "a long, b long")
 
 
-def _block_links(members: DataFrame, labels: DataFrame, sets: DataFrame, coords: int, match: int, similarity: int) -> DataFrame:
-    """Verified links between members of one group that are in different components.
+def _block_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``hub, left, right, rep, component, own``: each group dealt over pairs of blocks.
 
     ``members`` has the hub itself as a member.  The hub's component is the main
     part of its group; pairs inside it are connected already and take no work.
@@ -215,22 +238,53 @@ def _block_links(members: DataFrame, labels: DataFrame, sets: DataFrame, coords:
     )
     meets = F.when(F.col("main"), of_main).otherwise(F.concat(with_others, with_main))
     rows = spread.select("hub", "rep", "component", "main", "own", F.explode(meets).alias("at"))
-    rows = rows.select("hub", "at.left", "at.right", "rep", "component", F.when(F.col("main"), -1 - F.col("own")).otherwise(F.col("own")).alias("own"))
+    side = F.when(F.col("main"), -1 - F.col("own")).otherwise(F.col("own"))
+    return rows.select("hub", "at.left", "at.right", "rep", "component", side.alias("own"))
+
+
+def _collisions(group: pa.Table, coords: int, match: int):
+    """Positions (i, j) across the two blocks of a group whose signatures reach ``match``."""
+    own = group.column("own").to_numpy()
+    left = np.flatnonzero(own == group.column("left")[0].as_py())
+    right = np.flatnonzero(own == group.column("right")[0].as_py())
+    sig = _signatures(group.column("signature"), coords)
+    same = np.zeros((len(left), len(right)), np.int16)
+    for k in range(coords):
+        same += sig[left, k][:, None] == sig[right, k][None, :]
+    x, y = np.nonzero(same >= match)
+    return left[x], right[y]
+
+
+_BLOCK_KEYS = ["hub", "left", "right"]
+
+
+def _alike_blocks(rows: DataFrame, reps: DataFrame, coords: int, match: int) -> DataFrame:
+    """The ``hub, rep`` that collide with a member of another component."""
 
     def run(batches):
-        for group in _groups(batches, ["hub", "left", "right"]):
-            own = group.column("own").to_numpy()
-            left = np.flatnonzero(own == group.column("left")[0].as_py())
-            right = np.flatnonzero(own == group.column("right")[0].as_py())
+        for group in _groups(batches, _BLOCK_KEYS):
+            label = group.column("component").to_numpy()
+            i, j = _collisions(group, coords, match)
+            apart = label[i] != label[j]
+            found = np.unique(np.r_[i[apart], j[apart]])
+            if len(found):
+                part = group.select(["hub", "rep"]).take(found)
+                yield from part.combine_chunks().to_batches()
+
+    ready = rows.join(reps.select("rep", "signature"), "rep").repartition(*_BLOCK_KEYS).sortWithinPartitions(*_BLOCK_KEYS)
+    found = ready.select(*_BLOCK_KEYS, "rep", "component", "own", "signature").mapInArrow(run, "hub long, rep long")
+    return found.distinct()
+
+
+def _block_links(rows: DataFrame, sets: DataFrame, coords: int, match: int, similarity: int) -> DataFrame:
+    """Verified links between members of one group that are in different components."""
+
+    def run(batches):
+        for group in _groups(batches, _BLOCK_KEYS):
             rep, label = group.column("rep").to_numpy(), group.column("component").to_numpy().copy()
             bits = group.column("hashes").to_pylist()
-            sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(-1, coords)
-            same = np.zeros((len(left), len(right)), np.int16)
-            for k in range(coords):
-                same += sig[left, k][:, None] == sig[right, k][None, :]
             found = []
-            for x, y in zip(*np.nonzero(same >= match)):
-                i, j = left[x], right[y]
+            for i, j in zip(*_collisions(group, coords, match)):
                 if label[i] == label[j]:
                     continue
                 if _similar(np.frombuffer(bits[i], np.uint64), np.frombuffer(bits[j], np.uint64), similarity):
@@ -239,8 +293,8 @@ def _block_links(members: DataFrame, labels: DataFrame, sets: DataFrame, coords:
             if found:
                 yield _links_table(found)
 
-    ready = rows.join(sets, "rep").repartition("hub", "left", "right").sortWithinPartitions("hub", "left", "right")
-    names = ["hub", "left", "right", "rep", "component", "own", "hashes", "signature"]
+    ready = rows.join(sets, "rep").repartition(*_BLOCK_KEYS).sortWithinPartitions(*_BLOCK_KEYS)
+    names = [*_BLOCK_KEYS, "rep", "component", "own", "hashes", "signature"]
     return ready.select(*names).mapInArrow(run, "a long, b long")
 
 
@@ -265,15 +319,16 @@ def near_duplicates(
     reps = keep(chosen.select("rep", "digest", "signature").dropDuplicates(["rep"]), "reps")
     posted = keep(postings(reps, coords, match), "postings")
     lists = posted.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
-    members = keep(
-        posted.join(lists.select("token", "hub"), "token").where("hub <> rep").select("hub", "rep").distinct(), "members"
-    )
-    wanted = members.select(F.explode(F.array("hub", "rep")).alias("rep")).distinct().join(reps.select("rep", "digest"), "rep")
-    sets = keep(_sets_of(docs, wanted, size, coords), "sets")
-    links = keep(_hub_links(members, sets, coords, match, similarity), "hub-links")
+    members = posted.join(lists.select("token", "hub"), "token").where("hub <> rep").select("hub", "rep").distinct()
+    members = keep(members, "members")
+    near = keep(_alike_hubs(members, reps, coords, match), "near-hubs")
+    links = keep(_hub_links(near, _sets_of(docs, near, reps, size, coords), similarity), "hub-links")
     labels = connected_components(links)
     with_hubs = members.union(members.select("hub", F.col("hub").alias("rep")).distinct())
-    more = keep(_block_links(with_hubs, labels, sets, coords, match, similarity), "block-links")
+    apart = keep(_alike_blocks(_block_rows(with_hubs, labels), reps, coords, match), "near-blocks")
+    apart = apart.union(apart.select("hub", F.col("hub").alias("rep"))).distinct()
+    sets = _sets_of(docs, apart, reps, size, coords)
+    more = keep(_block_links(_block_rows(apart, labels), sets, coords, match, similarity), "block-links")
     labels = connected_components(links.union(more))
     component = F.coalesce("component", "rep").alias("component_id")
     final = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", component)
@@ -283,24 +338,44 @@ def near_duplicates(
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, size: int, coords: int) -> DataFrame:
-    """``rep, hashes, signature`` of the representatives that share a posting."""
+def _positions(ids: np.ndarray) -> np.ndarray:
+    return (mix64(ids.astype(np.uint64)) % np.uint64(BITS)).astype(np.int64)
+
+
+def _sets_of(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, coords: int) -> DataFrame:
+    """``rep, hashes, signature`` of the representatives that ``pairs(hub, rep)`` names.
+
+    The scan makes sets only where a filter of BITS bits may know the document,
+    so that texts are not shuffled; the join with the digests is exact.
+    """
+    wanted = pairs.select(F.explode(F.array("hub", "rep")).alias("rep")).distinct().join(reps.select("rep", "digest"), "rep")
+
+    def positions(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_positions(batch.column("rep").to_numpy()))], ["at"])
+
+    at = wanted.select("rep").mapInArrow(positions, "at long").distinct().toArrow()
+    bits = np.zeros(BITS, bool)
+    bits[at.column("at").to_numpy()] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches):
-        by = multipliers(coords)
+        by, known = multipliers(coords), np.unpackbits(shared.value).view(bool)
         for batch in batches:
-            digests = batch.column("digest").to_pylist()
-            every = zip(batch.column("rep").to_pylist(), digests, document_sets(batch.column("text"), size))
-            found = [(r, s) for r, d, s in every if _digest(s) == d]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r for r, _ in found], pa.int64()),
-                    pa.array([s.tobytes() for _, s in found], pa.binary()),
-                    pa.array([signature(s, by).tobytes() for _, s in found], pa.binary()),
-                ],
-                ["rep", "hashes", "signature"],
-            )
+            batch = batch.filter(pa.array(known[_positions(batch.column("rep").to_numpy(zero_copy_only=False))]))
+            for k in range(0, batch.num_rows, _CHUNK_ROWS):
+                part = batch.slice(k, _CHUNK_ROWS)
+                found = [(r, s) for r, s in zip(part.column("rep").to_pylist(), document_sets(part.column("text"), size)) if len(s)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([r for r, _ in found], pa.int64()),
+                        pa.array([_digest(s) for _, s in found], pa.binary()),
+                        pa.array([s.tobytes() for _, s in found], pa.binary()),
+                        pa.array([signature(s, by).tobytes() for _, s in found], pa.binary()),
+                    ],
+                    ["rep", "digest", "hashes", "signature"],
+                )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    found = texts.join(wanted.hint("shuffle_hash"), "rep").mapInArrow(run, "rep long, hashes binary, signature binary")
-    return found.dropDuplicates(["rep"])
+    made = texts.where("rep IS NOT NULL").mapInArrow(run, "rep long, digest binary, hashes binary, signature binary")
+    return made.join(wanted, ["rep", "digest"]).select("rep", "hashes", "signature")
