@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["op10_minhash"]
+_MODULES = ["op1_token_counts", "op3_token_files", "op10_minhash"]
 
 
 def _loaded():
