@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import keep
+from .store import keep, small_batches
 from .words import mix64, shingles, text_buffers, word_hashes
 
 COORDS, MATCH, SIMILARITY = 64, 34, 75
@@ -311,6 +311,7 @@ def near_duplicates(
     null, kept true.  An empty table gives an empty one.  Other columns of
     ``docs`` are not read.
     """
+    small_batches(docs.sparkSession)
     rows = keep(sketch(docs, size, coords), "sketch")
     known = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     ids = known.groupBy("doc_id").agg(F.min("digest").alias("digest"))

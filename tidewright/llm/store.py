@@ -25,3 +25,8 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Send texts to Python in small Arrow batches: a worker's memory then follows a few texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

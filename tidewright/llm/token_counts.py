@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder, version_digest
+from .store import small_batches
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
 
@@ -53,6 +54,7 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer_path: str) -> DataF
     Other columns of ``docs`` are not read.
     """
     spark, version = docs.sparkSession, version_digest(tokenizer_path)
+    small_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), content_digest(text).alias("digest"))
     stored = open_cache(spark, cache_path).where(F.col("tokenizer") == version)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encoder
 from .frames import Reader, Writer
+from .store import small_batches
 
 FRAME_IDS = 1 << 16
 MANIFEST = "part long, path string, frame long, n_documents long, n_tokens long"
@@ -39,6 +40,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     manifest before use: computing it again writes the files again.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    small_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), "text"
