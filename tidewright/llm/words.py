@@ -17,7 +17,7 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_LOWER_PLUS_ONE = _LOWER.astype(np.uint64) + np.uint64(1)
+_CODES = {True: _LOWER.astype(np.uint64) + np.uint64(1), False: np.arange(1, 257, dtype=np.uint64)}
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -55,8 +55,12 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw, at - at[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word in order, and n + 1 offsets of the rows into them."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word in order, and n + 1 offsets of the rows into them.
+
+    ``fold``: upper-case A-Z count as lower-case.
+    """
+    codes = _CODES[fold]
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
@@ -78,7 +82,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         f, e = first[k:end] - base, last[k:end] - base
         up, down = _power_tables(int(e[-1]) + 2)
         sums = np.zeros(int(e[-1]) + 2, np.uint64)
-        np.cumsum(_LOWER_PLUS_ONE[data[base : base + e[-1] + 1]] * up[: e[-1] + 1], out=sums[1:])
+        np.cumsum(codes[data[base : base + e[-1] + 1]] * up[: e[-1] + 1], out=sums[1:])
         out[k:end] = (sums[e + 1] - sums[f]) * down[f]
         k = end
     return mix64(out), np.searchsorted(first, offsets).astype(np.int64)
