@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["op1_token_counts", "op2_quality_rules", "op3_token_files", "op4_bloom_lm", "op6_line_dedup", "op7_source_mix", "op9_url_filter", "op10_minhash"]
+_MODULES = ["op1_token_counts", "op2_quality_rules", "op3_token_files", "op4_bloom_lm", "op6_line_dedup", "op7_source_mix", "op8_language_id", "op9_url_filter", "op10_minhash"]
 
 
 def _loaded():
