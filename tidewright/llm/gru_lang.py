@@ -236,6 +236,39 @@ class Labeller:
         return out
 
 
+def _judge(labeller: Labeller | None, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    if labeller is None or not texts:
+        return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    p = labeller.pooled(texts)
+    scores = np.minimum(p.max(axis=1), 1.0)
+    return [labeller.net.languages[b] if s > 0 else UNDETERMINED for b, s in zip(p.argmax(axis=1), scores)], scores
+
+
+def keep_identified(docs: DataFrame, least_score: float) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language with ``least_score`` or more.
+
+    Null texts and texts without a letter go; where no labelled row can be
+    learned from, every other row stays.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(train_network(docs.select("doc_id", "text", "lang")))
+
+    def run(batches):
+        labeller = shared.value and Labeller(shared.value)
+        for batch in batches:
+            texts = batch.column("text").fill_null("").to_pylist()
+            if labeller is None:
+                good = [bool(RUNS(t)) for t in texts]
+            else:
+                names, scores = _judge(labeller, texts)
+                good = [n != UNDETERMINED and s >= least_score for n, s in zip(names, scores)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify_languages(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, lang)`` to ``doc_id, held_out, lang_pred, score``, one row per input row.
 
@@ -250,16 +283,9 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(net)
 
     def run(batches):
-        labeller = None
+        labeller = shared.value and Labeller(shared.value)
         for batch in batches:
-            texts = batch.column("text").fill_null("").to_pylist()
-            names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-            if shared.value is not None and texts:
-                labeller = labeller or Labeller(shared.value)
-                p = labeller.pooled(texts)
-                scores = np.minimum(p.max(axis=1), 1.0)
-                best = p.argmax(axis=1)
-                names = [labeller.net.languages[b] if s > 0 else UNDETERMINED for b, s in zip(best, scores)]
+            names, scores = _judge(labeller, batch.column("text").fill_null("").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"]
             )

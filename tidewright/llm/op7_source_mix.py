@@ -3,21 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .source_mix import mix_sources
+from .source_mix import taken_words
 
 NAME = "op7_source_mix"
 SQL = None  # the schedule is compared with a plain-Python one in the tests
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
-
-
-def taken(docs: DataFrame) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` per row of ``docs``."""
-    pieces, documents = mix_sources(docs)
-    words = pieces.groupBy(F.col("doc_id").alias("d"), F.col("tie").alias("t")).agg(F.sum("n_words").alias("taken"))
-    both = documents.join(words, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")), "left")
-    return both.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return taken_words(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .line_dedup import row_key
 from .store import keep
 
 WEIGHTS = (3, 1, 2)
@@ -57,7 +58,7 @@ def stream_positions(docs: DataFrame, seed: int) -> DataFrame:
     The order is that of a hash of the doc_id, so a chunk is a range of hashes;
     a source has a chunk for about CHUNK rows.
     """
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("tie")).alias("order")
+    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("row"), F.col("tie")).alias("order")
     rows = docs.select("*", order)
     many = docs.groupBy("source").agg(F.ceil(F.log2(F.greatest(F.count("*") / CHUNK, F.lit(1.0)))).cast("int").alias("bits"))
     rows = rows.withColumnRenamed("source", "s").join(F.broadcast(many), F.col("s").eqNullSafe(F.col("source"))).drop("s")
@@ -65,7 +66,7 @@ def stream_positions(docs: DataFrame, seed: int) -> DataFrame:
     sums = rows.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
     sums = sums.withColumn("chunk_start", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(*_BEFORE)), F.lit(0)))
     sums = sums.select(F.col("source").alias("s"), F.col("chunk").alias("c"), "chunk_start")
-    inside = Window.partitionBy("source", "chunk").orderBy("order", "doc_id", "tie").rowsBetween(*_BEFORE)
+    inside = Window.partitionBy("source", "chunk").orderBy("order", "doc_id", "row", "tie").rowsBetween(*_BEFORE)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
     return rows.withColumn("start", F.col("chunk_start") + F.col("inside")).drop("order", "bits", "chunk", "chunk_start", "inside", "s", "c")
@@ -113,18 +114,18 @@ def schedule(goals: DataFrame, block: int) -> DataFrame:
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """The mix of ``docs(doc_id, text, source)``: ``(pieces, documents)``.
 
-    ``pieces``: ``slot, source, doc_id, tie, first_word, n_words``, the words of a
-    document that a slot's block takes, ordered by slot and ``place``.
+    ``pieces``: ``slot, source, place, doc_id, row, tie, first_word, n_words``, the
+    words of a document that a slot's block takes, ordered by slot and ``place``.
     ``documents``: a row per input row with ``size, source_size, target, start``.
     Null texts have size 0 and are never taken; a null source is a source, the
-    last one.  Rows that repeat are documents of their own (``tie`` counts equal
-    doc_ids by text).  No words at all, or no rows, give an empty mix.  Other
+    last one.  Rows that repeat are documents of their own (``row`` is the hash of
+    the text, ``tie`` counts the rows with one doc_id and text).  No words at all, or no rows, give an empty mix.  Other
     columns are not read.
     """
     size = count_words(F.col("text"))
-    tie = F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("size"))
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("text_hash"))
-    rows = keep(rows.withColumn("tie", F.xxhash64("text_hash", tie)).drop("text_hash"), "sizes")
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), row_key().alias("row"))
+    tie = F.row_number().over(Window.partitionBy("doc_id", "row").orderBy("source"))
+    rows = keep(rows.withColumn("tie", tie), "sizes")
     goals = keep(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     total = goals.agg(F.sum("target")).first()[0] or 0.0
     block = int(min(LONGEST_BLOCK, max(1, total // SLOTS)))
@@ -137,11 +138,20 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: floa
     again = again.withColumn("from", F.col("start") + F.col("run") * F.col("source_size"))
     again = again.withColumn("to", F.least(F.col("from") + F.col("size"), F.round("target").cast("long"))).where("from < to")
     ranks = F.sequence(F.floor(F.col("from") / block).cast("long"), F.floor((F.col("to") - 1) / block).cast("long"))
-    cut = again.select("source", "doc_id", "tie", "from", "to", F.explode(ranks).alias("rank"))
+    cut = again.select("source", "doc_id", "row", "tie", "from", "to", F.explode(ranks).alias("rank"))
     begin, end = F.greatest(F.col("from"), F.col("rank") * block), F.least(F.col("to"), (F.col("rank") + 1) * block)
     cut = cut.select(
-        "source", "rank", "doc_id", "tie", begin.alias("place"), (begin - F.col("from")).alias("first_word"), (end - begin).alias("n_words")
+        "source", "rank", "doc_id", "row", "tie", begin.alias("place"), (begin - F.col("from")).alias("first_word"), (end - begin).alias("n_words")
     )
     slots = plan.select("slot", F.col("source").alias("of"), F.col("rank").alias("at"))
     pieces = cut.join(slots, F.col("source").eqNullSafe(F.col("of")) & (F.col("rank") == F.col("at"))).drop("of", "at")
-    return pieces.select("slot", "source", "place", "doc_id", "tie", "first_word", "n_words"), documents
+    return pieces.select("slot", "source", "place", "doc_id", "row", "tie", "first_word", "n_words"), documents
+
+
+def taken_words(docs: DataFrame) -> DataFrame:
+    """``doc_id, row, tie, size, source_size, target, taken`` per row of ``docs``, from the mix's pieces."""
+    pieces, documents = mix_sources(docs)
+    words = pieces.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("tie").alias("t")).agg(F.sum("n_words").alias("n"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")) & (F.col("tie") == F.col("t"))
+    taken = F.coalesce("n", F.lit(0)).cast("long").alias("taken")
+    return documents.join(words, same, "left").select("doc_id", "row", "tie", "size", "source_size", "target", taken)
