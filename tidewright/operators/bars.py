@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def value_column(bars: DataFrame, value: str, key: str = "code", ts: str = "ts") -> DataFrame:
@@ -63,7 +64,7 @@ def dollar_bars(
             frame["bar_id"] = _bar_ids((frame["price"] * frame["size"]).to_numpy(float), threshold)
             return frame
 
-        schema = rows.schema.add("bar_id", "long")
+        schema = StructType([*rows.schema.fields, StructField("bar_id", LongType())])
         dealt = rows.groupBy(*parts).applyInPandas(number, schema).where("bar_id >= 0")
     place = F.struct(ts, seq)
     bars = dealt.groupBy(key, "day", "bar_id").agg(

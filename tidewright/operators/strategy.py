@@ -113,7 +113,7 @@ def candidate_lines(bars: DataFrame, length_limited: int = 40, max_span: int | N
     near = (F.col(f"s.{key}") == F.col(f"e.{key}")) & (F.col("s.idx") < F.col("e.idx"))
     if max_span is not None:
         near = near & (F.col("e.idx") - F.col("s.idx") <= max_span)
-    rate = (F.col("e.price") - F.col("s.price")) / (F.col("e.idx") - F.col("s.idx"))
+    rate = F.try_divide(F.col("e.price") - F.col("s.price"), F.col("e.idx") - F.col("s.idx"))
     lines = s.join(e, near).select(
         F.col(f"s.{key}").alias(key),
         F.col("s.idx").alias("start_idx"),

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import learning_queries, selection_queries, source_queries
+
+MODULES = [source_queries, selection_queries, learning_queries]
+
 
 def queries():
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
