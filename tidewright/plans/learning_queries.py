@@ -260,6 +260,12 @@ SQL = {
           UNION ALL SELECT d, k + 1, -w / (k + 1) * (d - (k + 1) + 1) FROM w WHERE k < 5
         ) SELECT round(d, 6) + 0.0 AS d, k, round(w, 9) + 0.0 AS w FROM w""",
     "f3_ffd": f"WITH {BARS_SQL}, {_FFD} SELECT code, ts, round(fd_close, 6) + 0.0 AS fd_close FROM fd",
+    "f4_frac": f"""WITH RECURSIVE {BARS_SQL}, num AS MATERIALIZED (SELECT code, ts, close, row_number() OVER (PARTITION BY code ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY code) AS n FROM bars),
+        wt AS (SELECT CAST(0 AS BIGINT) AS k, CAST(1 AS DOUBLE) AS w UNION ALL SELECT k + 1, -w / (k + 1) * (0.5::DOUBLE - (k + 1) + 1) FROM wt WHERE k + 1 < (SELECT max(n) FROM num)),
+        cw AS MATERIALIZED (SELECT k, w, sum(abs(w)) OVER (ORDER BY k) AS upto FROM wt),
+        skip AS (SELECT s.code, count(*) FILTER (1 - (c.upto - abs(c.w)) / t.upto > 0.3) AS skip FROM (SELECT DISTINCT code, n FROM num) s JOIN cw t ON t.k = s.n - 1 JOIN cw c ON c.k < s.n GROUP BY s.code)
+        SELECT a.code, a.ts, round(sum(w * b.close), 6) + 0.0 AS fd_close FROM num a JOIN skip USING (code) JOIN num b ON a.code = b.code AND b.i <= a.i JOIN cw ON k = a.i - b.i
+        WHERE a.i >= skip GROUP BY a.code, a.ts""",
     "f5_sample": f"{_BINS}, {_FFD} SELECT b.code, b.t0, b.bin, round(fd_close, 6) + 0.0 AS fd_close FROM bins b JOIN fd ON fd.code = b.code AND fd.ts = b.t0",
     "c1_purge": f"{_OBS} SELECT code, t0, t1 FROM obs o WHERE NOT EXISTS (SELECT 1 FROM obs t WHERE t.code = 3 AND o.t0 <= t.t1 AND o.t1 >= t.t0)",
     "c2_embargo": f"""WITH {BARS_SQL}, t AS (SELECT ts, row_number() OVER (ORDER BY ts) AS n FROM (SELECT DISTINCT ts FROM bars)),
