@@ -39,7 +39,7 @@ def forest(trees: int = 100, depth: int = 5, weight: str | None = None, share: f
 
 def mdi(model, names: list[str], rows: DataFrame) -> DataFrame:
     """``feature, mean, std``: mean decrease of impurity over trees, zeros as missing, scaled to sum to 1."""
-    values = {n: [t.featureImportances[k] for t in model.trees] for k, n in enumerate(names)}
+    values = {n: [float(t.featureImportances[k]) for t in model.trees] for k, n in enumerate(names)}
     found = {n: [v for v in vs if v > 0] for n, vs in values.items()}
     means = {n: mean(vs) if vs else 0.0 for n, vs in found.items()}
     total = sum(means.values()) or 1.0

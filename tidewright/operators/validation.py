@@ -15,18 +15,19 @@ def purge(train: DataFrame, test: DataFrame) -> DataFrame:
     return train.join(ends, (F.col("t0") <= F.col("b")) & (F.col("t1") >= F.col("a")), "left_anti")
 
 
-def positions(rows: DataFrame, order: list[str], chunks: int = 64) -> DataFrame:
+def positions(rows: DataFrame, order: list[str]) -> DataFrame:
     """Adds the global position in ``order`` from 0, in two levels: no task sees all rows.
 
-    Rows are range-partitioned; a partition's rows are numbered in it, and the
-    sums of the partitions before (a row each) are added.
+    Rows are range-partitioned and persisted, so that both levels see the same
+    ranges; a partition's rows are numbered in it, and the sums of the
+    partitions before (a row each) are added.
     """
-    dealt = rows.repartitionByRange(chunks, *order).withColumn("_part", F.spark_partition_id())
+    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("_part", before.alias("_before"))
-    numbered = dealt.withColumn("_in", inside).join(F.broadcast(sizes), "_part")  # ``chunks`` rows
+    numbered = dealt.withColumn("_in", inside).join(F.broadcast(sizes), "_part")  # a row per partition
     return numbered.withColumn(POSITION, (F.col("_before") + F.col("_in")).cast("long")).drop("_part", "_in", "_before")
 
 
