@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}  # by application, where no shared folder is named
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster names in ``spark.checkpoint.dir``.
 
@@ -15,8 +18,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tidewright-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        key = spark.sparkContext.applicationId
+        base = _own.setdefault(key, _own.get(key) or tempfile.mkdtemp(prefix="tidewright-"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
