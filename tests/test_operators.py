@@ -7,9 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright.functions import numeric
 from tidewright.operators import bars as B
 from tidewright.operators import betting, fracdiff, labeling, reward, scoring, stats, strategy, validation, weights
 from tidewright.sources import clean
+from tidewright.streaming import refresh
 
 DAY = dt.date(2020, 1, 1)
 
@@ -49,8 +51,8 @@ def test_sequential_bootstrap_is_more_unique_on_average(spark):
     rng = np.random.default_rng(0)
     first = rng.integers(0, 90, 10)
     last = first + rng.integers(1, 6, 10)
-    mean = lambda draw: np.mean([weights._mean_uniqueness(first, last, draw()) for _ in range(300)])
-    assert mean(lambda: weights.draw_sequential(first, last, 10, rng)) > mean(lambda: rng.integers(0, 10, 10))
+    mean = lambda draw: np.mean([numeric.mean_uniqueness(first, last, draw()) for _ in range(300)])
+    assert mean(lambda: numeric.draw_sequential(first, last, 10, rng)) > mean(lambda: rng.integers(0, 10, 10))
 
 
 def test_fracdiff(spark):
@@ -67,7 +69,7 @@ def test_ewm_std():
     import pandas as pd
 
     x = np.random.default_rng(2).normal(size=300)
-    assert labeling.ewm_std(x, 100)[1:] == pytest.approx(pd.Series(x).ewm(span=100).std().to_numpy()[1:])
+    assert numeric.ewm_std(x, 100)[1:] == pytest.approx(pd.Series(x).ewm(span=100).std().to_numpy()[1:])
 
 
 def test_lagged_return_is_strictly_before(spark):
@@ -151,6 +153,18 @@ def test_files(spark, tmp_path):
     assert io.read_stage(spark, str(tmp_path), "labeled").count() == 2
 
 
+def test_streamed_bars(spark, tmp_path):
+    rows = [(1, dt.datetime(2020, 1, d, h), k, float(10 * d + h), 2) for k, (d, h) in enumerate([(1, 9), (1, 8), (2, 9), (1, 10), (5, 9), (9, 9)])]
+    schema = "code long, ts timestamp, seq long, price double, size long"
+    for k in (0, 3):
+        spark.createDataFrame(rows[k : k + 3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    refresh.write_bars(refresh.daily_bars(stream), str(tmp_path / "bars"), str(tmp_path / "progress")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "bars")).orderBy("ts").collect()
+    assert [(r.ts, r.open, r.high, r.low, r.close, r.volume) for r in got][0] == (dt.date(2020, 1, 1), 18.0, 20.0, 18.0, 20.0, 6)
+    assert [r.ts.day for r in got] == [1, 2, 5]  # the last day stays open until the watermark passes it
+
+
 def test_empty_tables(spark):
     empty = closes(spark, [])
     assert B.cusum_events(empty, 1.0).count() == 0

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..functions.numeric import bar_ids, cusum_hits
+
 
 def value_column(bars: DataFrame, value: str, key: str = "code", ts: str = "ts") -> DataFrame:
     return bars.select(key, ts, value)
@@ -29,18 +30,6 @@ def vwap(trades: DataFrame, price: str = "price", quantity: str = "size", key: s
     return trades.groupBy(key).agg(F.try_divide(F.sum(F.col(price) * F.col(quantity)), F.sum(quantity)).alias("vwap"))
 
 
-def _bar_ids(amounts: np.ndarray, threshold: float) -> np.ndarray:
-    """Number of the bar of each trade; -1 in the unfinished last bar. An amount restarts at 0 after a bar."""
-    ids, total, k = np.empty(len(amounts), np.int64), 0.0, 0
-    for i, a in enumerate(amounts):
-        ids[i] = k
-        total += a
-        if total >= threshold:
-            total, k = 0.0, k + 1
-    ids[ids == k] = -1
-    return ids
-
-
 def dollar_bars(
     trades: DataFrame, threshold: float, reset: str = "exact", key: str = "symbol", ts: str = "ts", seq: str = "seq"
 ) -> DataFrame:
@@ -61,7 +50,7 @@ def dollar_bars(
 
         def number(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values([ts, seq], kind="stable")
-            frame["bar_id"] = _bar_ids((frame["price"] * frame["size"]).to_numpy(float), threshold)
+            frame["bar_id"] = bar_ids((frame["price"] * frame["size"]).to_numpy(float), threshold)
             return frame
 
         schema = StructType([*rows.schema.fields, StructField("bar_id", LongType())])
@@ -95,19 +84,6 @@ def rolled_series(rows: DataFrame, columns: tuple[str, ...] = ("close",), **name
     return roll_gaps(rows, **names).withColumns({c: F.col(c) - F.col("gap") for c in columns})
 
 
-def _cusum(values: np.ndarray, h: float) -> np.ndarray:
-    up = down = 0.0
-    hit = np.zeros(len(values), bool)
-    for i in range(1, len(values)):
-        x = values[i] - values[i - 1]
-        up, down = max(0.0, up + x), min(0.0, down + x)
-        if down < -h:
-            down, hit[i] = 0.0, True
-        elif up > h:
-            up, hit[i] = 0.0, True
-    return hit
-
-
 def cusum_events(bars: DataFrame, h: float, engine: str = "fold", key: str = "code", ts: str = "ts", value: str = "close") -> DataFrame:
     """Times at which the symmetric CUSUM of the differences passes ``h``: ``code, t0``.
 
@@ -119,7 +95,7 @@ def cusum_events(bars: DataFrame, h: float, engine: str = "fold", key: str = "co
 
         def find(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values(ts)
-            hit = _cusum(frame["v"].to_numpy(float), h)
+            hit = cusum_hits(frame["v"].to_numpy(float), h)
             return frame.loc[hit, [key, ts]].rename(columns={ts: "t0"})
 
         kind = {f.name: f.dataType.simpleString() for f in rows.schema}

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import ewm_std
 from .bars import cusum_events
 
 
@@ -21,22 +21,6 @@ def lagged_return(bars: DataFrame, num_days: int = 1, key: str = "code", ts: str
     return rows.where("ret IS NOT NULL")
 
 
-def ewm_std(values: np.ndarray, span: int) -> np.ndarray:
-    """Bias-corrected deviation under exponentially falling weights; the first is missing."""
-    q = 1 - 2 / (span + 1)
-    w = w2 = mean = m2 = 0.0
-    out = np.full(len(values), np.nan)
-    for i, x in enumerate(values):
-        w, w2, m2 = q * w, q * q * w2, q * m2
-        d = x - mean
-        w, w2 = w + 1, w2 + 1
-        mean += d / w
-        m2 += d * (x - mean)
-        if i:
-            out[i] = np.sqrt(max(m2, 0.0) / w * w * w / (w * w - w2))
-    return out
-
-
 def daily_vol(bars: DataFrame, num_days: int = 1, span: int = 100, key: str = "code", ts: str = "ts") -> DataFrame:
     """``code, ts, trgt``: exponentially weighted deviation of the lagged returns."""
     returns = lagged_return(bars, num_days, key, ts)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import draw_sequential, mean_uniqueness
+
 
 def _numbered(bars: DataFrame, key: str, ts: str) -> DataFrame:
     order = Window.partitionBy(key).orderBy(ts)
@@ -91,26 +93,6 @@ def ind_uniqueness(indicator: DataFrame, bars: DataFrame, only_active: bool = Fa
     return rows.join(n, key).select(key, "t0", (F.col("s") / (F.col("own") if only_active else F.col("n_bars"))).alias("u"))
 
 
-def draw_sequential(first: np.ndarray, last: np.ndarray, draws: int, rng: np.random.Generator) -> np.ndarray:
-    """Events drawn with probabilities in proportion to their uniqueness among those drawn before."""
-    depth = np.zeros(int(last.max()) + 1)
-    drawn = np.empty(draws, np.int64)
-    for k in range(draws):
-        inverse = np.r_[0.0, np.cumsum(1 / (depth + 1))]
-        unique = (inverse[last + 1] - inverse[first]) / (last - first + 1)
-        drawn[k] = rng.choice(len(first), p=unique / unique.sum())
-        depth[first[drawn[k]] : last[drawn[k]] + 1] += 1
-    return drawn
-
-
-def _mean_uniqueness(first: np.ndarray, last: np.ndarray, drawn: np.ndarray) -> float:
-    depth = np.zeros(int(last.max()) + 2)
-    np.add.at(depth, first[drawn], 1)
-    np.add.at(depth, last[drawn] + 1, -1)
-    inverse = np.r_[0.0, np.cumsum(1 / np.maximum(np.cumsum(depth)[:-1], 1))]
-    return float(((inverse[last + 1] - inverse[first]) / (last - first + 1))[drawn].mean())
-
-
 def _spans(bars: DataFrame, events: DataFrame, key: str, ts: str) -> DataFrame:
     rows = indicator_long(bars, events, key, ts)
     return rows.groupBy(key, "t0").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
@@ -141,8 +123,8 @@ def bootstrap_mc(bars: DataFrame, events: DataFrame, iters: int = 10, seed: int
         code, k = frame[key].iloc[0], int(frame["iter"].iloc[0])
         rng = np.random.default_rng([seed, k, abs(hash(int(code)))])
         n = draws or len(frame)
-        plain = _mean_uniqueness(first, last, rng.integers(0, len(first), n))
-        return pd.DataFrame({key: [code], "iter": [k], "standard": [plain], "sequential": [_mean_uniqueness(first, last, draw_sequential(first, last, n, rng))]})
+        plain = mean_uniqueness(first, last, rng.integers(0, len(first), n))
+        return pd.DataFrame({key: [code], "iter": [k], "standard": [plain], "sequential": [mean_uniqueness(first, last, draw_sequential(first, last, n, rng))]})
 
     kind = spans.schema[key].dataType.simpleString()
     return spans.groupBy(key, "iter").applyInPandas(run, f"{key} {kind}, iter long, standard double, sequential double")
