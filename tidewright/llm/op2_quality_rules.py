@@ -49,7 +49,7 @@ b AS (
   SELECT lang, source, ratio, level, max(docs) AS docs, min(bucket) FILTER (4 * upto >= docs) AS q1, min(bucket) FILTER (4 * upto >= 3 * docs) AS q3
   FROM c GROUP BY ALL
 ), g AS (
-  SELECT *, 3 * (q3 - q1) + CASE ratio WHEN 'word_length' THEN 100 WHEN 'symbols' THEN 500 ELSE 1000 END AS reach FROM f
+  SELECT *, 3 * (q3 - q1) + CASE ratio WHEN 'word_length' THEN 100 WHEN 'symbols' THEN 500 WHEN 'dup_lines' THEN 5000 ELSE 2000 END AS reach FROM f
 ), own AS (
   SELECT a.lang, a.source, a.ratio,
     CASE WHEN a.docs >= 200 THEN a.q1 - a.reach WHEN l.docs >= 200 THEN l.q1 - l.reach ELSE e.q1 - e.reach END AS low,

@@ -23,8 +23,8 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 RATIOS = {
     "word_length": ("word_chars", "n_words", 100, 100, True),
     "symbols": ("n_symbols", "n_words", 10_000, 500, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 1000, False),
-    "repeats": ("n_repeat_words", "n_words", 10_000, 1000, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 5000, False),
+    "repeats": ("n_repeat_words", "n_words", 10_000, 2000, False),
 }
 REACH, ENOUGH = 3, 200  # times the inter-quartile range; documents of a sketch that stands alone
 
