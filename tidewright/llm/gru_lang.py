@@ -25,7 +25,7 @@ from .store import small_batches
 DOCS_A_LANGUAGE, WORDS_A_DOC = 300, 60
 HIDDEN, STEPS, BATCH, RATE, LONGEST = 16, 350, 384, 0.012, 32
 HELD_OUT = 2
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 UNDETERMINED = "und"
 RUNS = re.compile(r"[^\W\d_]+").findall
 

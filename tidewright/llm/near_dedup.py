@@ -36,7 +36,7 @@ COORDS, MATCH, SIMILARITY = 64, 34, 75
 CELLS = 1 << 20  # of the count table: 4 MB on the driver and in a broadcast, whatever the input
 BITS = 1 << 22  # of the filter of wanted documents, in the same way
 BLOCK = 256
-_CHUNK_ROWS = 256
+_CHUNK_ROWS = 128
 
 SKETCH = "doc_id long, n_shingles long, digest binary, signature binary"
 
