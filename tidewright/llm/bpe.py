@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 from hashlib import sha256
 
@@ -30,7 +31,17 @@ PATTERN = (
 )
 #: Texts of these characters only are split here: the alphabets above, common dashes and quotation marks.
 PLAIN = r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u017f\u2013\u2014\u2018-\u201d\u2022\u2026]*"
-REMEMBERED = 400_000  # pieces
+REMEMBERED = 800_000  # pieces
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write each byte as a letter: printable ones as themselves, the others from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 0x100 + k for k, b in enumerate(others)}
+
+
+BYTE_LETTERS = _byte_letters()
 
 
 class Encoder:
@@ -56,29 +67,29 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.length: dict[str, int] = {}
 
-    def _learn(self, texts_pieces: list[list[str]]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.length.clear()
-        new = list({p for pieces in texts_pieces for p in pieces if p not in self.known})
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[piece] = np.array(e.ids, np.uint32).tobytes()
-            self.length[piece] = len(e.ids)
+    def _learn(self, split: list[list[str]], table: dict, value) -> None:
+        """Give ``table`` the value of every new piece's ids, from the library's model."""
+        if len(table) > REMEMBERED:
+            table.clear()
+        merge = self.tokenizer.model.tokenize
+        for piece in {p for pieces in split for p in pieces if p not in table}:
+            letters = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+            table[piece] = value([t.id for t in merge(letters)])
 
-    def _split(self, texts: list[str]):
+    def _split(self, texts: list[str], table: dict, value):
         """Pieces of each plain text, else None; the library's encodings of the others."""
         split = [
             self.split(t) if self.pieces and self.plain(t) is not None and self.special(t) is None else None for t in texts
         ]
-        self._learn([s for s in split if s is not None])
+        self._learn([s for s in split if s is not None], table, value)
         others = [t for t, s in zip(texts, split) if s is None]
         return split, iter(self.tokenizer.encode_batch_fast(others, add_special_tokens=False))
 
     def ids(self, texts: list[str], size: int = 128):
         """Ids of each text, in order, as an unsigned 32-bit array."""
         for k in range(0, len(texts), size):
-            split, whole = self._split(texts[k : k + size])
             known = self.known
+            split, whole = self._split(texts[k : k + size], known, lambda ids: array("I", ids).tobytes())
             for s in split:
                 if s is None:
                     yield np.array(next(whole).ids, np.uint32)
@@ -88,8 +99,8 @@ class Encoder:
     def counts(self, texts: list[str], size: int = 128):
         """The number of ids of each text, in order."""
         for k in range(0, len(texts), size):
-            split, whole = self._split(texts[k : k + size])
             length = self.length
+            split, whole = self._split(texts[k : k + size], length, len)
             for s in split:
                 yield len(next(whole)) if s is None else sum(map(length.__getitem__, s))
 
