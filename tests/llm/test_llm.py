@@ -167,6 +167,37 @@ def test_filter_keeps_quantised_counts(spark):
     assert exact > 0.95 * len(counts) and (got[2000:] > 0).mean() < 0.1 and all(got[k] >= counts[k] / 1.5 for k in counts)
 
 
+def exact_scores(rows, held):
+    """Bigram scores from exact counts, smoothed like the model's."""
+    tokens = lambda t: (t or "").encode().lower().split() + [None]
+    mine = [tokens(t) for i, t in rows if not held(i)]
+    c = collections.Counter(w for t in mine for w in t)
+    pairs = collections.Counter(x for t in mine for x in zip([None, *t], t))
+    kinds = collections.Counter(h for h, _ in pairs)
+    n, v = sum(c.values()), len(c)
+    alone = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+    term = lambda h, w: math.log10((pairs[h, w] + (kinds[h] + 1) * alone(w)) / (c[h] + kinds[h] + 1))
+    return {i: sum(term(h, w) for h, w in zip([None, *tokens(t)], tokens(t))) for i, t in rows}
+
+
+def scored(spark, rows):
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return {r.doc_id: r.score for r in bloom_lm.score_documents(table).collect()}
+
+
+@pytest.mark.parametrize("heavy", [1 << 20, 150])
+def test_language_model_keeps_its_bits_at_every_size(spark, monkeypatch, heavy):
+    """Many shards, each with its own filter, and contexts spread over them, give the scores of exact counts."""
+    rows = [(k, prose(60, 100 + k // 2)) for k in range(300)]  # 300 words, every text twice
+    want = exact_scores(rows, lambda i: zlib.crc32(str(i).encode()) % 5 == 1)
+    for name, value in (("SHARD_BYTES", 3000), ("CHUNK", 2000), ("HEAVY", heavy)):
+        monkeypatch.setattr(bloom_lm, name, value)
+    got = scored(spark, rows)
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i], rel=0.07) for i in want)
+    sizes = [bloom_lm.filter_of(np.arange(n, dtype=np.uint64), np.ones(n, np.int64))[0].size * 64 / n for n in (100_000, 5_000_000)]
+    assert all(8 <= x <= 16 for x in sizes)
+
+
 def test_decontamination(spark, empty):
     items = [prose(n, 1000 + n) for n in (6, 15, 30, 55)]
     r = random.Random(9)

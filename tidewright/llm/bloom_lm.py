@@ -1,37 +1,47 @@
-"""Bigram language model in a log-frequency Bloom filter.
+"""Bigram language model in log-frequency Bloom filters, one to a shard of contexts.
 
 A count c is kept as its quantised logarithm q = 1 + floor(log_BASE(c)): the key
-is inserted with each of 1..q, and a reader probes 1, 2, ... until a miss.  The
-filter holds word counts, bigram counts of 2 and more, and for each context the
-sum and the number of those bigrams; p(w | h) spends what a context's single
-bigrams leave on the word's own probability.  Words are those of a table of at
-most VOCABULARY entries, the most frequent ones; all others are one unknown
-word.  The table and the filter are broadcast; both have a fixed largest size
-(4 MB and 2**MAX_BITS / 8 bytes).  Past that size, entries are not dropped: the
-filter's error rate grows instead.
+is inserted with each of 1..q, and a reader probes 1, 2, ... until a miss.  Keys
+are made of 64-bit word hashes, so every training word and every training
+bigram is in the model.  A filter holds the bigram counts of its contexts, and of
+each context the sum and the number of its bigrams; p(w | h) spends what a
+context's bigrams leave on the word's own probability, the one of ``base_score``.
+
+Every token goes to the shard of its context, which builds the filter and probes
+it in one task and sends back a sum per document; a shard stands for SHARD_BYTES
+of text, so that bits per key and memory per task stay the same at every size.
+Contexts of more than HEAVY tokens are spread over all shards by bigram; their
+sums and numbers are exact.  Frequent words have a broadcast table (at most
+VOCABULARY entries), which only saves work: tokens of all other words join the
+full counts.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import keep, small_batches
 from .words import mix64, text_buffers, word_hashes
 
-BASE, PROBES, BITS_A_KEY, MAX_BITS = 1.4, 5, 8, 28
-BLOCK_BITS = 15  # all bits of a key lie in one block of the filter, so that tasks build whole blocks
+BASE, PROBES, BITS_A_KEY = 1.4, 5, 8
+BLOCK_BITS = 15  # all bits of a key lie in one block of the filter
 VOCABULARY = 1 << 18
+SHARD_BYTES = 8 << 20  # of text
+CHUNK = 1 << 21  # tokens that a task sends to the shards at once
+HEAVY = 1 << 20  # tokens of a context that is spread over all shards
 END = np.uint64(0x656E64)  # the token that closes every text
 HELD_OUT = 1
 _TASK_KEYS = 1 << 21  # keys that a task gathers before it hands them on
-_WORD, _PAIR, _SUM, _TYPES = (np.uint64(t) << np.uint64(60) for t in (1, 2, 3, 4))
+_SUM, _TYPES = (np.uint64(t) << np.uint64(60) for t in (3, 4))
+_ROWS, _TOKENS = 0, 1  # what a chunk sends: its documents, a shard's tokens
+_DOC_BITS, _CHUNK_BITS = 22, 20  # of a row number: document in the chunk, chunk in the task
 
 
 def in_training(doc_id: Column) -> Column:
@@ -115,13 +125,16 @@ def frequent_words(counts: DataFrame, most: int = VOCABULARY) -> Words:
     return Words(hashes[order], got.column("n").to_numpy()[order])
 
 
-def _pairs(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Bigram key of every token with the one before it; the end id opens each text."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    starts = at[:-1][at[:-1] < at[1:]]
-    before[starts] = ids[at[1:][at[:-1] < at[1:]] - 1]
-    return (before.astype(np.uint64) << np.uint64(20)) | ids.astype(np.uint64)
+def _before(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The context of every token: the one before it; the end token opens each text."""
+    before = np.empty_like(hashes)
+    before[1:] = hashes[:-1]
+    before[at[:-1]] = END
+    return before
+
+
+def _pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix64(left * np.uint64(0x9E3779B97F4A7C15) + right)
 
 
 def _block(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -142,42 +155,28 @@ def _levels(n: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(n) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
-def build_filter(stats: DataFrame) -> tuple[np.ndarray, int]:
-    """The filter over ``stats(key, n)``, n >= 1: keys are dealt by block, and each task sets the bits of its blocks."""
-    level = (F.floor(F.log("n") / math.log(BASE) + 1e-9) + 1).alias("level")
-    inserted = stats.select(level).agg(F.sum("level")).first()[0] or 1
-    bits = int(min(MAX_BITS, max(BLOCK_BITS, math.ceil(math.log2(inserted * BITS_A_KEY)))))
+def filter_of(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, int]:
+    """The filter over keys and their counts, n >= 1: BITS_A_KEY bits or more for every insertion."""
+    levels = _levels(n)
+    bits = max(BLOCK_BITS, math.ceil(math.log2(max(int(levels.sum()), 1) * BITS_A_KEY)))
     words = 1 << (BLOCK_BITS - 6)
+    table = np.zeros((1 << (bits - BLOCK_BITS)) * words, np.uint64)
+    block = _block(keys, bits) * words
+    step = 1 << 18
+    for k in range(0, len(keys), step):
+        times = levels[k : k + step]
+        each = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + 1
+        where = np.repeat(block[k : k + step], times)
+        one, two = _pair_of_hashes(np.repeat(keys[k : k + step], times), each)
+        for spot in (_spot(one, two, j) for j in range(PROBES)):
+            np.bitwise_or.at(table, where + (spot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (spot & np.uint64(63)))
+    return table.reshape(-1, words), bits
 
-    def deal(batches):
-        for batch in batches:
-            block = _block(batch.column("key").to_numpy().astype(np.uint64), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(block), batch.column("key"), batch.column("n")], ["block", "key", "n"])
-
-    def run(batches):
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            keys, levels = batch.column("key").to_numpy().astype(np.uint64), _levels(batch.column("n").to_numpy())
-            own, place = np.unique(batch.column("block").to_numpy(), return_inverse=True)
-            each = np.arange(levels.sum()) - np.repeat(np.cumsum(levels) - levels, levels) + 1
-            table = np.zeros((len(own), words), np.uint64)
-            where = np.repeat(place, levels)
-            one, two = _pair_of_hashes(np.repeat(keys, levels), each)
-            for spot in (_spot(one, two, j) for j in range(PROBES)):
-                np.bitwise_or.at(table, (where, (spot >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (spot & np.uint64(63)))
-            for k, b in enumerate(own.tolist()):
-                held[b] = table[k] if b not in held else held[b] | table[k]
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([t.tobytes() for t in held.values()], pa.binary())], ["block", "bits"])
 
-    dealt = stats.mapInArrow(deal, "block long, key long, n long").repartition("block")
-    made = dealt.mapInArrow(run, "block long, bits binary").toArrow()
-    table = np.zeros((1 << (bits - BLOCK_BITS), words), np.uint64)
-    for b, data in zip(made.column("block").to_pylist(), made.column("bits").to_pylist()):
-        table[b] |= np.frombuffer(data, np.uint64)
-    return table, bits
+def build_filter(stats: DataFrame) -> tuple[np.ndarray, int]:
+    """The filter over a small table ``stats(key, n)``, n >= 1."""
+    got = stats.select("key", "n").toArrow()
+    return filter_of(got.column("key").to_numpy().astype(np.uint64), got.column("n").to_numpy())
 
 
 def probe(table: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
@@ -197,65 +196,130 @@ def probe(table: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
     return np.where(level > 0, BASE ** (level - 0.5), 0.0)
 
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed byte planes, after their lengths."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    raw = np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(planes)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, *types) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), np.uint8)
+    at, out = 8 * len(types), []
+    for n, t in zip(raw[:at].view(np.int64).tolist(), map(np.dtype, types)):
+        out.append(np.ascontiguousarray(raw[at : at + n * t.itemsize].reshape(t.itemsize, n).T).view(t).reshape(n))
+        at += n * t.itemsize
+    return out
+
+
 @dataclass
 class Model:
+    """What every task knows: the frequent words, the heavy contexts in order of hash, and the totals."""
+
     words: Words
-    table: np.ndarray
-    bits: int
+    heavy: np.ndarray
+    heavy_n: np.ndarray  # their tokens
+    heavy_types: np.ndarray  # their distinct bigrams
     n: int  # training tokens
     v: int  # distinct training tokens
-    rare: int  # of those, the ones outside ``words``
-    rare_n: int  # their tokens
-
-    @cached_property
-    def by_word(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of every word id, as the filter has it: count, sum of its bigrams, number of its bigrams."""
-        ids = np.arange(len(self.words.hashes) + 1, dtype=np.uint64)
-        return tuple(probe(self.table, self.bits, ids | tag) for tag in (_WORD, _SUM, _TYPES))
-
-    def scores(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 p of every token given the one before it."""
-        unique, where = np.unique(_pairs(ids, at), return_inverse=True)
-        left, right = (unique >> np.uint64(20)).astype(np.int64), (unique & np.uint64((1 << 20) - 1)).astype(np.int64)
-        counts, sums, kinds = self.by_word
-        c_left, c_right, seen, types = counts[left], counts[right], sums[left], kinds[left]
-        once_more = probe(self.table, self.bits, unique | _PAIR)  # pairs are kept as their count less 1
-        c_pair = np.minimum(np.where(once_more > 0, once_more + 1, 0), seen)
-        unknown_n = max(self.rare_n, 1)
-        alone = np.where(right == 0, unknown_n, np.maximum(c_right, 0.5)) / (self.n + unknown_n)
-        back = np.maximum(c_left - seen, 0) + types + 1.0
-        p = (c_pair + back * alone) / (seen + back)
-        p = np.where(right == 0, p / (self.rare + 1), p)
-        return np.log10(np.minimum(p, 1.0))[where]
+    shards: int
+
+    def heavy_at(self, hashes: np.ndarray) -> np.ndarray:
+        """1-based position among the heavy contexts; 0: none of these."""
+        return Words(self.heavy, self.heavy_n).ids(hashes)
+
+    def alone(self, n):
+        """Probability of a word of n training tokens, by itself."""
+        return (n + 0.5) / (self.n + 0.5 * (self.v + 1))
+
+    def requests(self, hashes: np.ndarray, at: np.ndarray, training: np.ndarray):
+        """``shard, body``: the tokens of a chunk, dealt by context."""
+        left = _before(hashes, at)
+        route = np.where(self.heavy_at(left) > 0, _pair_keys(left, hashes), mix64(left))
+        shard = ((route >> np.uint64(32)) * np.uint64(self.shards)) >> np.uint64(32)
+        order = np.argsort(shard.astype(np.uint16 if self.shards <= 1 << 16 else np.int64), kind="stable")
+        shard, left, right = shard[order], left[order], hashes[order]
+        doc = (np.repeat(2 * np.arange(len(at) - 1) + training, np.diff(at))[order]).astype(np.int32)
+        ids = [self.words.ids(x).astype(np.int32) for x in (left, right)]
+        edges = np.r_[0, np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(shard)]
+        for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            others = [x[i:j][k[i:j] == 0] for x, k in zip((left, right), ids)]
+            yield int(shard[i]), _pack(doc[i:j], ids[0][i:j], ids[1][i:j], *others)
+
+    def answers(self, chunks: np.ndarray, bodies: list[bytes]):
+        """Builds the filter of a shard and scores its tokens: ``(chunk, body)`` of sums, and the columns of other words' tokens."""
+        parts = [_unpack(b, np.int32, np.int32, np.int32, np.uint64, np.uint64) for b in bodies]
+        doc, left_id, right_id, left_other, right_other = (np.concatenate(x) for x in zip(*parts))
+        sizes = np.array([len(p[0]) for p in parts])
+        del parts
+        hashes = np.r_[np.uint64(0), self.words.hashes]
+        left, right = hashes[left_id], hashes[right_id]
+        left[left_id == 0], right[right_id == 0] = left_other, right_other
+        pairs, first, where = np.unique(_pair_keys(left, right), return_index=True, return_inverse=True)
+        n = np.bincount(where, weights=doc & 1, minlength=len(pairs)).astype(np.int64)
+        contexts, context = np.unique(left[first], return_inverse=True)
+        sums = np.bincount(context, weights=n, minlength=len(contexts)).astype(np.int64)
+        types = np.bincount(context[n > 0], minlength=len(contexts))
+        heavy = self.heavy_at(contexts)
+        own = (heavy == 0) & (sums > 0)
+        held = np.r_[pairs[n > 0], contexts[own] ^ _SUM, contexts[own] ^ _TYPES]
+        table, bits = filter_of(held, np.r_[n[n > 0], sums[own], types[own]])
+        got_sum = np.where(heavy > 0, np.r_[0, self.heavy_n][heavy], probe(table, bits, contexts ^ _SUM))
+        got_types = np.where(heavy > 0, np.r_[0, self.heavy_types][heavy], probe(table, bits, contexts ^ _TYPES))
+        seen, back = got_sum[context], got_types[context] + 1.0
+        c = np.minimum(probe(table, bits, pairs), seen)
+        known = right_id > 0
+        alone = self.alone(np.r_[0, self.words.counts])[right_id]
+        term = np.where(known, np.log10((c[where] + back[where] * alone) / (seen[where] + back[where])), 0.0)
+        doc >>= 1
+        starts = np.cumsum(sizes) - sizes
+        edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        edges = np.union1d(edges, starts)
+        total, rows, cut = np.add.reduceat(term, edges).astype(np.float32), doc[edges], np.searchsorted(edges, np.r_[starts, len(doc)])
+        sent = [(k, _pack(rows[i:j], total[i:j])) for k, i, j in zip(chunks.tolist(), cut[:-1], cut[1:])]
+        other = np.flatnonzero(~known)
+        row = (np.repeat(chunks, sizes)[other] << _DOC_BITS) | doc[other]
+        at = where[other]
+        return sent, (row, right[other].astype(np.int64), c[at].astype(np.float32), back[at].astype(np.float32), seen[at].astype(np.float32))
+
+
+def heavy_types(rows: DataFrame, heavy: np.ndarray) -> np.ndarray:
+    """Distinct bigrams of each heavy context."""
+    out = np.zeros(len(heavy), np.int64)
+    if len(heavy):
+        width = len(heavy).bit_length()
+        table = rows.sparkSession.sparkContext.broadcast(Words(heavy, heavy))
+
+        def keys_of(column):
+            hashes, at = tokens(column)
+            left = _before(hashes, at)
+            place = table.value.ids(left)
+            pair = _pair_keys(left, hashes)[place > 0] >> np.uint64(width)
+            return pair | (place[place > 0].astype(np.uint64) << np.uint64(64 - width))
+
+        place = F.shiftrightunsigned("key", 64 - width).alias("place")
+        for r in count_keys(rows, keys_of).groupBy(place).count().collect():
+            out[r["place"] - 1] = r["count"]
+    return out
 
 
 def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """A model of all training rows of ``docs(doc_id, text)``, and their exact word counts ``key, n``."""
-    spark = docs.sparkSession
+    """The totals of all training rows of ``docs(doc_id, text)``, and their exact word counts ``key, n``."""
     rows = docs.where(in_training(F.col("doc_id"))).select(F.col("text").cast("string").alias("text"))
     counts = keep(count_keys(rows, lambda column: tokens(column)[0]), "word-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    words = frequent_words(counts)
-    shared = spark.sparkContext.broadcast(words)
-
-    def pair_keys(column):
-        hashes, at = tokens(column)
-        return _pairs(shared.value.ids(hashes), at)
-
-    pairs = keep(count_keys(rows, pair_keys).where("n > 1"), "pair-counts")
-    context = F.shiftrightunsigned("key", 20)
-    sums = pairs.groupBy(context.alias("key")).agg(F.sum("n").alias("n"), F.count("*").alias("types"))
-    tag = lambda t: F.lit(int(t))
-    known = spark.createDataFrame(
-        pa.table({"key": np.arange(1, len(words.hashes) + 1, dtype=np.int64), "n": words.counts.astype(np.int64)})
-    )
-    unknown = spark.range(1).select(F.lit(0).cast("long").alias("key"), F.lit(int(total["n"] - words.counts.sum())).cast("long").alias("n"))
-    stats = known.union(unknown).where("n > 0").select(F.col("key").bitwiseOR(tag(_WORD)).alias("key"), "n")
-    stats = stats.union(pairs.select(F.col("key").bitwiseOR(tag(_PAIR)), F.col("n") - 1))
-    stats = stats.union(sums.select(F.col("key").bitwiseOR(tag(_SUM)), "n")).union(sums.select(F.col("key").bitwiseOR(tag(_TYPES)), "types"))
-    table, bits = build_filter(stats)
-    rare_n = int(total["n"] - words.counts.sum())
-    return Model(words, table, bits, int(total["n"]), int(total["v"]), int(total["v"]) - len(words.hashes), rare_n), counts
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")) + 1)).first()[0] or 1
+    got = counts.where(F.col("n") > HEAVY).toArrow()
+    heavy, heavy_n = got.column("key").to_numpy().astype(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(heavy)
+    heavy = heavy[order]
+    shards = math.ceil(size / SHARD_BYTES)
+    return Model(frequent_words(counts), heavy, heavy_n[order], heavy_types(rows, heavy), int(total["n"]), int(total["v"]), shards), counts
+
+
+_SENT = "shard int, chunk long, kind int, body binary"
+_SERVED = "chunk long, kind int, body binary, row long, key long, pair float, back float, seen float"
+_ROW_TYPES = (np.int64, np.uint8, np.int32, np.int32, np.float64)  # doc_id, is it null, tokens, known ones, base
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -272,50 +336,116 @@ def score_documents(docs: DataFrame) -> DataFrame:
     model, counts = train(docs)
     shared = spark.sparkContext.broadcast(model)
 
-    def run(batches):
-        m = shared.value
-        log_n = math.log10(m.n + 0.5 * (m.v + 1))
-        frequent = np.log10(np.r_[1, m.words.counts] + 0.5) - log_n
+    def send(batches):
+        m, task, number = shared.value, TaskContext.get().partitionId(), 0
+        base = np.log10(m.alone(np.r_[0, m.words.counts]))
+
+        def chunk(held):
+            hashes = np.concatenate([h for _, h, _ in held])
+            at = np.r_[0, np.cumsum(np.concatenate([np.diff(a) for _, _, a in held]))]
+            of = pa.Table.from_batches([b for b, _, _ in held])
+            ids = m.words.ids(hashes)
+            add = lambda x, t: np.add.reduceat(x, at[:-1], dtype=t)  # noqa: E731  every row has its end token
+            doc_id = of.column("doc_id")
+            body = _pack(
+                doc_id.fill_null(0).to_numpy(),
+                doc_id.is_null().to_numpy().astype(np.uint8),
+                np.diff(at).astype(np.int32),
+                add(ids > 0, np.int32),
+                add(np.where(ids > 0, base[ids], 0.0), np.float64),
+            )
+            name = (task << _CHUNK_BITS) | number
+            del ids
+            sent = [(name % m.shards, _ROWS, body)]
+            sent += [(s, _TOKENS, b) for s, b in m.requests(hashes, at, of.column("training").to_numpy().astype(np.int64))]
+            columns = [
+                pa.array([s for s, _, _ in sent], pa.int32()),
+                pa.array([name] * len(sent), pa.int64()),
+                pa.array([k for _, k, _ in sent], pa.int32()),
+                pa.array([b for _, _, b in sent], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["shard", "chunk", "kind", "body"])
+
+        held, size = [], 0
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             hashes, at = tokens(batch.column("text"))
-            ids = m.words.ids(hashes)
-            known = ids > 0
-            add = lambda x: np.add.reduceat(x, at[:-1])  # noqa: E731  every row has its end token
-            rare_keys, rare_n = [], []
-            for i, j in zip(at[:-1], at[1:]):
-                keys, n = np.unique(hashes[i:j][~known[i:j]], return_counts=True)
-                rare_keys.append(keys.astype(np.int64))
-                rare_n.append(n)
-            ends = pa.array(np.r_[0, np.cumsum([len(k) for k in rare_keys])], pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), pa.int64())) for x in (rare_keys, rare_n)]
+            held.append((batch.select(["doc_id", "training"]), hashes, at))
+            size += len(hashes)
+            if size >= CHUNK:
+                yield chunk(held)
+                held, size, number = [], 0, number + 1
+        if held:
+            yield chunk(held)
+
+    def serve(batches):
+        m, held = shared.value, {}
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.float32(), pa.float32(), pa.float32()]
+        names = ["chunk", "kind", "body", "row", "key", "pair", "back", "seen"]
+
+        def out(n, *columns):
+            arrays = [pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names)
+
+        for batch in batches:
+            for shard, chunk, kind, body in zip(*(batch.column(c).to_pylist() for c in ("shard", "chunk", "kind", "body"))):
+                if kind == _ROWS:
+                    yield out(1, [chunk], [kind], [body], *[None] * 5)
+                else:
+                    held.setdefault(shard, []).append((chunk, body))
+        for shard in list(held):
+            mine = held.pop(shard)
+            sent, other = m.answers(np.array([k for k, _ in mine], np.int64), [b for _, b in mine])
+            yield out(len(sent), [k for k, _ in sent], [_TOKENS] * len(sent), [b for _, b in sent], *[None] * 5)
+            yield out(len(other[0]), None, None, None, *other)
+
+    def gather(batches):
+        rows, scores = {}, {}
+        for batch in batches:
+            for chunk, kind, body in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "body"))):
+                if kind == _ROWS:
+                    rows[chunk] = body
+                    continue
+                doc, total = _unpack(body, np.int32, np.float32)
+                have = scores.get(chunk, np.zeros(0))
+                if len(have) <= doc[-1]:
+                    have = np.r_[have, np.zeros(max(int(doc[-1]) + 1 - len(have), len(have)))]
+                have[doc] += total
+                scores[chunk] = have
+        for chunk, body in rows.items():
+            doc_id, null, n, known, base = _unpack(body, *_ROW_TYPES)
             columns = [
-                batch.column("doc_id"),
-                pa.array(np.diff(at)),
-                pa.array(add(known.astype(np.int64))),
-                pa.array(add(np.where(known, frequent[ids], 0.0))),
-                pa.array(add(m.scores(ids, at))),
-                *lists,
+                pa.array((chunk << _DOC_BITS) | np.arange(len(n))),
+                pa.array(doc_id, mask=null.astype(bool)),
+                pa.array(n.astype(np.int64)),
+                pa.array(known.astype(np.int64)),
+                pa.array(base),
+                pa.array(scores[chunk][: len(n)]),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "known", "base", "score", "rare", "times"])
-
-    schema = "doc_id long, n_tokens long, known long, base double, score double, rare array<long>, times array<long>"
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    scored = keep(texts.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), "x.times")
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "known", "base", "first"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.withColumn("training", F.coalesce(in_training(F.col("doc_id")), F.lit(False)).cast("int"))
+    sent = texts.mapInArrow(send, _SENT).repartitionById(model.shards, F.col("shard"))
+    served = keep(sent.mapInArrow(serve, _SERVED), "served")
+    rows = served.where("body IS NOT NULL").select("chunk", "kind", "body").repartition("chunk")
+    rows = rows.mapInArrow(gather, "row long, doc_id long, n_tokens long, known long, base double, first double")
     n, v = float(model.n), float(model.v)
-    exact = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(n + 0.5 * (v + 1)))
-    found = rare.join(counts, "key", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * exact).alias("rare_base")
+    alone = (F.coalesce("n", F.lit(0)) + 0.5) / F.lit(n + 0.5 * (v + 1))
+    found = served.where("body IS NULL").select("row", "key", "pair", "back", "seen").join(counts, "key", "left")
+    found = found.withColumn("alone", alone).groupBy("row").agg(
+        F.count("n").alias("other_known"),
+        F.sum(F.log10("alone")).alias("other_base"),
+        F.sum(F.log10((F.col("pair") + F.col("back") * F.col("alone")) / (F.col("seen") + F.col("back")))).alias("other"),
     )
-    rows = scored.drop("rare", "times").join(found, "row", "left")
+    rows = rows.join(found, "row", "left")
     return rows.select(
         "doc_id",
         (~in_training(F.col("doc_id"))).alias("held_out"),
         "n_tokens",
-        (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
+        (F.col("known") + F.coalesce("other_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("base") + F.coalesce("other_base", F.lit(0.0))).alias("base_score"),
+        (F.col("first") + F.coalesce("other", F.lit(0.0))).alias("score"),
     )
