@@ -198,6 +198,17 @@ def test_language_model_keeps_its_bits_at_every_size(spark, monkeypatch, heavy):
     assert all(8 <= x <= 16 for x in sizes)
 
 
+def test_language_model_tells_all_words_apart(spark, monkeypatch):
+    """Words outside the frequent table, here nearly or all of them, keep their own bigrams."""
+    rows = [(k, prose(60, 100 + k // 2)) for k in range(300)]
+    want = exact_scores(rows, lambda i: zlib.crc32(str(i).encode()) % 5 == 1)
+    frequent = bloom_lm.frequent_words
+    for most in (20, 0):
+        monkeypatch.setattr(bloom_lm, "frequent_words", lambda counts: frequent(counts, most))  # noqa: B023
+        got = scored(spark, rows)
+        assert all(got[i] == pytest.approx(want[i], rel=0.07) for i in want)
+
+
 def test_decontamination(spark, empty):
     items = [prose(n, 1000 + n) for n in (6, 15, 30, 55)]
     r = random.Random(9)
