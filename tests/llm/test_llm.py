@@ -209,6 +209,18 @@ def test_language_model_tells_all_words_apart(spark, monkeypatch):
         assert all(got[i] == pytest.approx(want[i], rel=0.07) for i in want)
 
 
+def test_language_model_counts_single_bigrams(spark):
+    """A held-out copy of a single training document scores like that document, not like its words in another order."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    rows = [(k, prose(40, 5000 + k)) for k in range(200) if not held(k)]
+    copy, other = [k for k in range(200, 300) if held(k)][:2]
+    text = rows[7][1]
+    rows += [(copy, text), (other, " ".join(sorted(text.split())))]
+    got, want = scored(spark, rows), exact_scores(rows, held)
+    assert got[copy] == pytest.approx(got[rows[7][0]]) and got[copy] > 0.9 * want[copy] + 0.1 * want[other] > got[other]
+    assert all(got[i] == pytest.approx(want[i], rel=0.07) for i in want)
+
+
 def test_decontamination(spark, empty):
     items = [prose(n, 1000 + n) for n in (6, 15, 30, 55)]
     r = random.Random(9)
