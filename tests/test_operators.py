@@ -170,3 +170,27 @@ def test_empty_tables(spark):
     assert B.cusum_events(empty, 1.0).count() == 0
     assert labeling.daily_vol(empty, 1).count() == 0
     assert strategy.ma_ranking(empty.withColumns({"open": F.col("close"), "low": F.col("close"), "high": F.col("close")})).count() == 0
+
+
+def test_model_queries_read_whole_tables(spark, tmp_path):
+    """Every vector is fitted and predicted, all embedding columns are ranked, bars of all years are classified."""
+    from tidewright.plans import model_queries as Q
+
+    rows = [(k, k % 10, [((k * (j + 3)) % 17) / 17 for j in range(64)]) for k in range(120)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    d = str(tmp_path)
+    assert {r.row for r in Q.e1_forest(spark, d).collect()} == {r.row for r in Q.n4_gbt(spark, d).collect()} == set(range(120))
+    assert Q.e3_mdi(spark, d).count() == len(Q.NAMES) == 64
+    asked = {}
+    ask = lambda name: lambda estimator, folds, names, k: asked.update({name: list(names)})
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(Q.M, "mda", ask("mda"))
+        patch.setattr(Q.M, "sfi", ask("sfi"))
+        Q.e4_mda(spark, d), Q.e5_sfi(spark, d)
+        assert asked == {"mda": Q.NAMES, "sfi": Q.NAMES}
+        seen = []
+        patch.setattr(Q, "bars", lambda *_: spark.sql("SELECT DATE '1993-01-01' AS ts"))
+        patch.setattr(Q, "pct_change", lambda rows: seen.extend(rows.collect()) or (_ for _ in ()).throw(StopIteration))
+        with pytest.raises(StopIteration):
+            Q.d9_sequence_clf(spark, d)
+        assert len(seen) == 1

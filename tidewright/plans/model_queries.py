@@ -10,12 +10,15 @@ from ..operators.indicators import cut_classes, flatten, pct_change, sequence_cl
 from ..sources.adapters import bars, table
 from .common import rounded
 
-NAMES = [f"x{k}" for k in range(4)]
+NAMES = [f"x{k}" for k in range(64)]  # all columns of an embedding
 TREES, DEPTH, FOLDS = 5, 3, 2
 
 
-def _rows(spark, d):
-    """Vectors as observations in order of vec_id, each of three steps' length; the label: below the middle class or not."""
+def _observations(spark, d):
+    """Vectors as observations in order of vec_id, each of three steps' length; the label: below the middle class or not.
+
+    Cached, so that Spark doesn't derive filters through 64 expressions of one array.
+    """
     rows = table(spark, d, "embeddings").select(
         F.col("vec_id").alias("row"),
         F.col("vec_id").alias("t0"),
@@ -24,7 +27,11 @@ def _rows(spark, d):
         F.lit(1.0).alias("w"),
         *[F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate(NAMES)],
     )
-    return V.purged_kfold(rows, FOLDS, 0.01, ["t0"])
+    return rows.cache()
+
+
+def _rows(spark, d):
+    return V.purged_kfold(_observations(spark, d), FOLDS, 0.01, ["t0"]).cache()
 
 
 def _forest(**more):
@@ -32,7 +39,7 @@ def _forest(**more):
 
 
 def _whole(spark, d):
-    return M.balanced(M.assemble(_rows(spark, d).where("fold = 0"), NAMES))
+    return M.balanced(M.assemble(_observations(spark, d), NAMES))
 
 
 def c5_cv(spark, d):
@@ -51,11 +58,11 @@ def e3_mdi(spark, d):
 
 
 def e4_mda(spark, d):
-    return M.mda(_forest(), _rows(spark, d), NAMES[:2], FOLDS)
+    return M.mda(_forest(), _rows(spark, d), NAMES, FOLDS)
 
 
 def e5_sfi(spark, d):
-    return M.sfi(_forest(), _rows(spark, d), NAMES[:2], FOLDS)
+    return M.sfi(_forest(), _rows(spark, d), NAMES, FOLDS)
 
 
 def e7_search(spark, d):
@@ -64,15 +71,14 @@ def e7_search(spark, d):
 
 
 def n4_gbt(spark, d):
-    rows = _rows(spark, d).where("fold = 0")
+    rows = _observations(spark, d)
     model = M.boosted_regression(rows, NAMES, "label", rounds=5, depth=3, step=0.1, share="0.5")
     return rounded(model.transform(M.assemble(rows, NAMES)).select("row", "prediction"), "prediction")
 
 
 def d9_sequence_clf(spark, d):
-    """A pooled classifier of ten-day windows since 1997."""
-    rows = bars(spark, d).where("ts >= DATE '1997-01-01'")
-    windows = sequences(cut_classes(pct_change(rows)), ["rate"], 10)
+    """A pooled classifier of ten-day windows."""
+    windows = sequences(cut_classes(pct_change(bars(spark, d))), ["rate"], 10)
     model = sequence_classifier(windows, ["rate"], 10, iterations=5)
     return model.transform(flatten(windows, ["rate"])).groupBy("prediction").agg(F.count("*").alias("n"))
 
