@@ -4,7 +4,7 @@ Method.  A document's set holds its distinct five-word shingles.  Documents with
 one and the same set form a class, and only one representative goes on.  Each
 representative posts its id under (coordinate, value) pairs of its signature.
 Two sets above the similarity agree in at least ``match`` of ``coords``
-coordinates (but for a chance of about 1e-5 right at the threshold), so every
+coordinates (but for a chance of 4.4e-5 right at the threshold), so every
 such pair shares one of any ``coords - match + 1`` pairs of a common order:
 only that prefix, rarest pairs first, is posted, and the frequent pairs are
 skipped.  The order comes from a count table of fixed size.
