@@ -15,5 +15,6 @@ def test_flagship(spark, tmp_path):
     if not os.path.isdir(folder):
         pytest.skip("no test tables here")
     rows = entry.entry(spark)
-    assert rows.columns == ["code", "window", "rise", "place"]
-    rows.collect()
+    assert rows.columns == ["code", "t0", "t1", "ret", "bin"]
+    got = rows.collect()
+    assert got and {r.bin for r in got} <= {-1, 0, 1}
