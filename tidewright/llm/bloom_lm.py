@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep, small_batches
+from .store import keep, slices
 from .words import mix64, text_buffers, word_hashes
 
 BASE, PROBES, BITS_A_KEY = 1.4, 5, 8
@@ -78,7 +78,7 @@ def count_keys(docs: DataFrame, keys_of) -> DataFrame:
             keys, n = _summed(held)
             return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], ["key", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 held.append(np.unique(keys_of(batch.column("text")), return_counts=True))
                 size += len(held[-1][0])
@@ -332,7 +332,6 @@ def score_documents(docs: DataFrame) -> DataFrame:
     columns are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     model, counts = train(docs)
     shared = spark.sparkContext.broadcast(model)
 
@@ -367,9 +366,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, ["shard", "chunk", "kind", "body"])
 
         held, size = [], 0
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in slices(batches):
             hashes, at = tokens(batch.column("text"))
             held.append((batch.select(["doc_id", "training"]), hashes, at))
             size += len(hashes)

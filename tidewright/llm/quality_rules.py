@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import keep, small_batches
+from .store import keep, slices
 from .words import shingles, text_buffers, word_hashes
 
 SYMBOLS = "#*$%&|<>"
@@ -52,7 +52,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
         schema = schema.add(c, "long")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").fill_null("")
             hashes, at = word_hashes(*text_buffers(texts), fold=False)
             rows = []
@@ -129,7 +129,6 @@ def judge_quality(docs: DataFrame) -> DataFrame:
     is a value like any other; repeated rows are judged alike and all returned.
     An empty table gives an empty one.  Other columns are not read.
     """
-    small_batches(docs.sparkSession)
     counts = keep(base_counts(docs.select("doc_id", "text", "lang", "source")), "base-counts")
     limits = adaptive_fences(counts).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
     rows = counts.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
