@@ -1,9 +1,10 @@
 """URL rules matched through host-suffix and path-prefix expressions.
 
 Each distinct URL is expanded into the expressions ``host-suffix`` + ``path-prefix``
-that a rule could be written as.  Expressions meet the rules in an equi-join on a
-short prefix of their SHA-256; the full digest then confirms the match, and the
-longest rule that fits decides.
+of the shapes that rules have: a shape is a number of host labels and a length of
+the path, so a URL has at most one expression a shape, however long it is.
+Expressions meet the rules in an equi-join on a short prefix of their SHA-256; the
+full digest then confirms the match, and the longest rule that fits decides.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import keep, look_up
+
 PREFIX_HEX = 8  # hexadecimal digits of the digest that are joined on: 4 bytes
 SMALL_RULES = 100_000  # rules that may be broadcast: at most 20 MB
 SALTS = 32
@@ -28,24 +31,19 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and each of its parent domains."""
-    parts = F.split(host, r"\.", -1)
-    n = F.size(parts)
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, i, n), "."))
+def labels_of(host: Column) -> Column:
+    """Number of the labels between the dots of a host."""
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
 
 
-def path_prefixes(path: Column, lengths: Column) -> Column:
-    """Prefixes that end in a slash, the whole path, and those of ``lengths`` that rules without an end slash have."""
-    steps = F.split(path, "/", -1)
-    n = F.size(steps)
-    slashed = F.transform(
-        F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.concat(F.array_join(F.slice(steps, F.lit(1), i), "/"), F.lit("/")),
-    )
-    fitting = F.filter(lengths, lambda k: k <= F.length(path))
-    cut = F.transform(fitting, lambda k: F.substring(path, F.lit(1), k))
-    return F.array_distinct(F.concat(slashed, F.array(path), cut))
+def last_labels(host: Column, n: Column) -> Column:
+    """The last ``n`` labels of a host."""
+    return F.call_function("substring_index", host, F.lit("."), -n)
+
+
+def _joined(suffix: Column, prefix: Column) -> Column:
+    """An expression; the separator keeps "a" + "b/" apart from "ab" + "/"."""
+    return F.concat(suffix, F.lit("\0"), prefix)
 
 
 def _digest(column: Column) -> Column:
@@ -64,36 +62,37 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     columns of ``pages`` are not read.
     """
     rules = rules.dropna(subset=["host", "path", "action"]).select(
-        F.concat("host", "path").alias("rule"), F.col("action"), F.length("path").alias("path_length"), F.endswith("path", F.lit("/")).alias("slashed")
-    )
-    rules = rules.groupBy("rule").agg(
-        F.max("action").alias("action"), F.collect_set(F.when(~F.col("slashed"), F.col("path_length"))).alias("lengths")
+        "host", "path", "action", F.struct(labels_of(F.col("host")).alias("labels"), F.length("path").alias("length")).alias("shape")
     )
-    # The lengths of rule paths, at most as many as the longest path has characters.
-    counted = rules.agg(F.count("*").alias("n"), F.array_distinct(F.flatten(F.collect_set("lengths"))).alias("lengths")).first()
-    lengths = F.array(*[F.lit(k) for k in sorted(counted["lengths"] or [])]).cast("array<int>")
-    digest = _digest(F.col("rule"))
-    rules = rules.select("rule", "action", digest.alias("full"), F.substring(digest, 1, PREFIX_HEX).alias("short"))
-
-    urls = pages.select("url").where("url IS NOT NULL").distinct()
+    counted = rules.agg(F.count("*").alias("n"), F.collect_set("shape").alias("shapes"))
+    shapes = F.broadcast(counted.select("shapes"))  # one row: depths of hosts x lengths of paths, whatever the number of rules
+    many = counted.first()["n"]
+    digest = _digest(_joined(F.col("host"), F.col("path")))
+    rules = rules.groupBy("host", "path").agg(F.max("action").alias("action"))
+    rules = rules.select(F.concat("host", "path").alias("rule"), "action", digest.alias("full"), F.substring(digest, 1, PREFIX_HEX).alias("short"))
+
+    urls = keep(pages.where("url IS NOT NULL").groupBy("url").agg(F.count("*").alias("pages")), "urls")
     known = urls.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    expressions = known.select(
-        "url", F.explode(host_suffixes(F.col("host"))).alias("suffix"), path_prefixes(F.col("path"), lengths).alias("prefixes")
-    ).select("url", F.explode(F.transform("prefixes", lambda p: F.concat("suffix", p))).alias("expression"))
-    expressions = expressions.withColumn("of_url", _digest(F.col("expression")))
+    known = known.withColumns({"n_labels": labels_of(F.col("host")), "n_path": F.length("path")}).join(shapes)
+    fitting = F.filter("shapes", lambda s: (s["labels"] <= F.col("n_labels")) & (s["length"] <= F.col("n_path")))
+    expressions = known.select("url", "host", "path", F.explode(fitting).alias("shape"))
+    expression = _joined(last_labels(F.col("host"), F.col("shape.labels")), F.substring(F.col("path"), F.lit(1), F.col("shape.length")))
+    expressions = expressions.select("url", _digest(expression).alias("of_url"))
     expressions = expressions.select("url", "of_url", F.substring("of_url", 1, PREFIX_HEX).alias("short"))
-    if counted["n"] <= SMALL_RULES:
+    if many <= SMALL_RULES:
         met = expressions.join(F.broadcast(rules), "short")
     else:  # many rules: shuffle, with common expressions (a top-level domain) dealt over salts
         salted = rules.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         met = expressions.withColumn("salt", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int")).join(salted, ["short", "salt"])
     winner = F.max(F.struct(F.length("rule").alias("length"), "action", "rule")).alias("best")
-    fitting = met.where("of_url = full").groupBy("url").agg(winner)
-    judged = pages.select("page_id", "url").join(fitting, "url", "left")
+    found = met.where("of_url = full").groupBy("url").agg(winner)
+    found = keep(found.join(urls, "url").select("url", "pages", "best.rule", "best.action"), "found")
+    # A URL that very many pages share is looked up in a broadcast of bounded size.
+    judged = look_up(pages.select("page_id", "url"), found, "url", "pages", F.col("page_id"))
     return judged.select(
         "page_id",
         host_of(F.col("url")).alias("host"),
         path_of(F.col("url")).alias("path"),
-        F.col("best.rule").alias("rule"),
-        F.coalesce(F.col("best.action"), F.lit(default)).alias("verdict"),
+        "rule",
+        F.coalesce("action", F.lit(default)).alias("verdict"),
     )
