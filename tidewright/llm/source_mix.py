@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .line_dedup import row_key
-from .store import keep
+from .store import keep, look_up
 
 WEIGHTS = (3, 1, 2)
 CHUNK = 2048  # rows, or slots, of a chunk
-LONGEST_BLOCK, SLOTS = 2048, 65_536
+BLOCK = 2048  # words of a slot
+CELLS = 1 << 16
+SEED = 7
 #: Fixed value: 2**64 divided by the golden ratio, made odd.
 GOLDEN = 0x9E3779B97F4A7C15
 _BEFORE = (Window.unboundedPreceding, -1)
@@ -52,24 +54,38 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float
     return rows.select("source", "source_size", "target")
 
 
-def stream_positions(docs: DataFrame, seed: int) -> DataFrame:
-    """Adds ``start``: the words of the source before the document, in an order shuffled by ``seed``.
+def _name(source: str | Column = "source") -> Column:
+    """A source's name as a join key that is never null."""
+    source = F.col(source) if isinstance(source, str) else source
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
-    The order is that of a hash of the doc_id, so a chunk is a range of hashes;
-    a source has a chunk for about CHUNK rows.
+
+def stream_order(doc_id: Column, seed: int) -> Column:
+    """60 bits that shuffle a source's documents, from the MD5 of ``seed:doc_id``."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def stream_positions(docs: DataFrame, goals: DataFrame, seed: int) -> DataFrame:
+    """Adds ``source_size``, ``target`` and ``start``: the words of the source before the document, in shuffled order.
+
+    ``docs(doc_id, source, size, row, tie)``; documents of one place in the order
+    follow each other by doc_id, row and tie.  A chunk is a range of the order;
+    a source has one for about CHUNK rows.
     """
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("row"), F.col("tie")).alias("order")
-    rows = docs.select("*", order)
-    many = docs.groupBy("source").agg(F.ceil(F.log2(F.greatest(F.count("*") / CHUNK, F.lit(1.0)))).cast("int").alias("bits"))
-    rows = rows.withColumnRenamed("source", "s").join(F.broadcast(many), F.col("s").eqNullSafe(F.col("source"))).drop("s")
-    rows = rows.withColumn("chunk", F.when(F.col("bits") > 0, F.expr("shiftright(order, 64 - bits)")).otherwise(F.lit(0).cast("long")))
-    sums = rows.groupBy("source", "chunk").agg(F.sum("size").alias("words"))
-    sums = sums.withColumn("chunk_start", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(*_BEFORE)), F.lit(0)))
-    sums = sums.select(F.col("source").alias("s"), F.col("chunk").alias("c"), "chunk_start")
-    inside = Window.partitionBy("source", "chunk").orderBy("order", "doc_id", "row", "tie").rowsBetween(*_BEFORE)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c")))
-    return rows.withColumn("start", F.col("chunk_start") + F.col("inside")).drop("order", "bits", "chunk", "chunk_start", "inside", "s", "c")
+    many = docs.groupBy("source").agg(F.count("*").alias("n"))
+    bits = F.ceil(F.log2(F.greatest(F.col("n") / CHUNK, F.lit(1.0)))).cast("int").alias("bits")
+    many = many.select(_name().alias("name"), "n", bits)
+    about = many.join(goals.select(_name().alias("name"), "source_size", "target"), "name")
+    rows = docs.select("*", stream_order(F.col("doc_id"), seed).alias("order"), _name().alias("name"))
+    rows = look_up(rows, keep(about, "sources"), "name", "n", F.col("order"))
+    rows = rows.withColumn("chunk", F.expr("shiftright(order, 60 - bits)"))
+    sums = rows.groupBy("name", "chunk").agg(F.sum("size").alias("words"))
+    before = F.sum("words").over(Window.partitionBy("name").orderBy("chunk").rowsBetween(*_BEFORE))
+    sums = sums.select("name", "chunk", F.coalesce(before, F.lit(0)).alias("chunk_start"))
+    inside = Window.partitionBy("name", "chunk").orderBy("order", "doc_id", "row", "tie").rowsBetween(*_BEFORE)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(sums, ["name", "chunk"])
+    return rows.withColumn("start", F.col("chunk_start") + F.col("inside")).select(*docs.columns, "source_size", "target", "start")
 
 
 def schedule(goals: DataFrame, block: int) -> DataFrame:
@@ -77,49 +93,55 @@ def schedule(goals: DataFrame, block: int) -> DataFrame:
 
     The golden-ratio points come within a few slots of that; a source that they
     leave short gets its last slots at the end of the schedule, and slots over
-    its target are left out.
+    its target are left out.  Slots meet sources in an equi-join on CELLS cells
+    of the unit interval; a source lies in the cells that its share covers, so
+    that the table has at most CELLS rows more than there are sources.
     """
-    spark = goals.sparkSession
-    rows = goals.where("target > 0").orderBy(F.col("source").asc_nulls_last()).collect()  # a row per source
-    if not rows:
-        return spark.createDataFrame([], "slot long, source string, rank long")
-    total = sum(r["target"] for r in rows)
-    slots = max(1, round(total / block))
-    edges, upto = [], 0.0
-    for k, r in enumerate(rows):
-        upto += r["target"] / total
-        edges.append((k, r["source"], -(-int(round(r["target"])) // block), upto if k + 1 < len(rows) else 1.0))
-    bounds = F.array(*[F.lit(e[3]) for e in edges])
-    # frac((k + 1) / phi) as the top 53 bits of (k + 1) * GOLDEN modulo 2**64, in two exact halves
-    low = (F.col("slot") + 1) * F.lit(GOLDEN & 0xFFFFFFFF)
-    high = (F.col("slot") + 1) * F.lit(GOLDEN >> 32) + F.shiftrightunsigned(low, 32)
-    point = high.bitwiseAND(F.lit(0xFFFFFFFF)) / F.lit(float(1 << 32))
-    plan = spark.range(slots).withColumnRenamed("id", "slot").withColumn("point", point)
-    plan = plan.select("slot", F.floor(F.col("slot") / CHUNK).alias("chunk"), (F.size(F.filter(bounds, lambda b: b <= F.col("point")))).alias("index"))
-    plan = plan.withColumn("index", F.least("index", F.lit(len(edges) - 1)))
+    wanted = F.ceil(F.round("target") / block).cast("long")
+    goals = goals.where("target > 0").select("source", "target", wanted.alias("wanted"))
+    some = goals.agg(F.sum("target").alias("total"), F.count("*").alias("n")).first()
+    total, n = some["total"] or 0.0, some["n"]
+    slots = max(1, round(total / block)) if n else 0
+    order = Window.orderBy(F.col("source").asc_nulls_last())  # a row per source
+    upto = F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.lit(total or 1.0)
+    names = goals.select("source", "wanted", (F.row_number().over(order) - 1).cast("long").alias("index"), upto.alias("upto"))
+    low = F.coalesce(F.lag("upto").over(Window.orderBy("index")), F.lit(0.0))
+    names = names.select("source", "wanted", "index", low.alias("low"), F.when(F.col("index") == n - 1, F.lit(1.0)).otherwise(F.col("upto")).alias("high"))
+    names = keep(names, "shares")
+    cell = lambda x: F.least(F.floor(x * CELLS), F.lit(CELLS - 1)).cast("long")
+    cells = names.select("*", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
+    # frac((k + 1) / phi) as the top 32 bits of (k + 1) * GOLDEN modulo 2**64, in two exact halves
+    lower = (F.col("slot") + 1) * F.lit(GOLDEN & 0xFFFFFFFF)
+    upper = (F.col("slot") + 1) * F.lit(GOLDEN >> 32) + F.shiftrightunsigned(lower, 32)
+    point = upper.bitwiseAND(F.lit(0xFFFFFFFF)) / F.lit(float(1 << 32))
+    plan = goals.sparkSession.range(slots).withColumnRenamed("id", "slot").withColumn("point", point)
+    plan = plan.withColumn("cell", cell(F.col("point"))).join(cells, "cell").where("low <= point AND point < high")
+    plan = plan.select("slot", F.floor(F.col("slot") / CHUNK).alias("chunk"), "index", "source", "wanted")
     counts = plan.groupBy("index", "chunk").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("index").orderBy("chunk").rowsBetween(*_BEFORE))
     counts = counts.select("index", "chunk", F.coalesce(before, F.lit(0)).alias("before"))
     inside = F.row_number().over(Window.partitionBy("index", "chunk").orderBy("slot")) - 1
-    names = spark.createDataFrame(edges, "index int, source string, wanted long, upto double").select("index", "source", "wanted")
-    ranked = plan.withColumn("inside", inside).join(counts, ["index", "chunk"]).join(F.broadcast(names), "index")
+    ranked = plan.withColumn("inside", inside).join(counts, ["index", "chunk"])
     ranked = ranked.select("slot", "source", (F.col("before") + F.col("inside")).cast("long").alias("rank"), "wanted")
     have = plan.groupBy("index").agg(F.count("*").alias("have"))
-    short = F.broadcast(names).join(have, "index", "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    short = names.join(have, "index", "left").withColumn("have", F.coalesce("have", F.lit(0).cast("long")))
     short = short.where("have < wanted").select("index", "source", F.explode(F.sequence("have", F.col("wanted") - 1)).alias("rank"))
-    tail = short.select((F.lit(slots) + F.col("rank") * len(edges) + F.col("index")).cast("long").alias("slot"), "source", "rank")
+    tail = short.select((F.lit(slots) + F.col("rank") * n + F.col("index")).cast("long").alias("slot"), "source", "rank")
     return ranked.where("rank < wanted").drop("wanted").union(tail)
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix_sources(
+    docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = SEED, block: int = BLOCK
+) -> tuple[DataFrame, DataFrame]:
     """The mix of ``docs(doc_id, text, source)``: ``(pieces, documents)``.
 
     ``pieces``: ``slot, source, place, doc_id, row, tie, first_word, n_words``, the
-    words of a document that a slot's block takes, ordered by slot and ``place``.
-    ``documents``: a row per input row with ``size, source_size, target, start``.
-    Null texts have size 0 and are never taken; a null source is a source, the
-    last one.  Rows that repeat are documents of their own (``row`` is the hash of
-    the text, ``tie`` counts the rows with one doc_id and text).  No words at all, or no rows, give an empty mix.  Other
+    words of a document that a slot's block of ``block`` words takes, ordered by
+    slot and ``place``.  ``documents``: a row per input row with ``size,
+    source_size, target, start``.  Null texts have size 0 and are never taken; a
+    null source is a source, the last one.  Rows that repeat are documents of
+    their own (``row`` is the hash of the text, ``tie`` counts the rows with one
+    doc_id and text).  No words at all, or no rows, give an empty mix.  Other
     columns are not read.
     """
     size = count_words(F.col("text"))
@@ -127,12 +149,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: floa
     tie = F.row_number().over(Window.partitionBy("doc_id", "row").orderBy("source"))
     rows = keep(rows.withColumn("tie", tie), "sizes")
     goals = keep(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
-    total = goals.agg(F.sum("target")).first()[0] or 0.0
-    block = int(min(LONGEST_BLOCK, max(1, total // SLOTS)))
     plan = keep(schedule(goals, block), "schedule")
-    placed = stream_positions(rows, seed)
-    goal = goals.withColumnRenamed("source", "goal_source")
-    documents = keep(placed.join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("goal_source"))).drop("goal_source"), "placed")
+    documents = keep(stream_positions(rows, goals, seed), "placed")
     # The stream runs up to ``most`` times; a document lies in each run, and each place is cut into blocks.
     again = documents.where("size > 0").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(int(-(-most // 1)) - 1))))
     again = again.withColumn("from", F.col("start") + F.col("run") * F.col("source_size"))
@@ -143,8 +161,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: floa
     cut = cut.select(
         "source", "rank", "doc_id", "row", "tie", begin.alias("place"), (begin - F.col("from")).alias("first_word"), (end - begin).alias("n_words")
     )
-    slots = plan.select("slot", F.col("source").alias("of"), F.col("rank").alias("at"))
-    pieces = cut.join(slots, F.col("source").eqNullSafe(F.col("of")) & (F.col("rank") == F.col("at"))).drop("of", "at")
+    slots = plan.select("slot", _name().alias("of"), F.col("rank").alias("at"))
+    pieces = cut.join(slots, (_name() == F.col("of")) & (F.col("rank") == F.col("at"))).drop("of", "at")
     return pieces.select("slot", "source", "place", "doc_id", "row", "tie", "first_word", "n_words"), documents
 
 
