@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from .bpe import encoder
 from .frames import Reader, Writer
-from .store import small_batches
+from .store import slices
 
 FRAME_IDS = 1 << 16
-MANIFEST = "part long, path string, frame long, n_documents long, n_tokens long"
+MANIFEST = "part long, path string, frame long, n_documents long, n_tokens long, first_doc long, last_doc long"
 
 
 def _open(uri: str):
@@ -37,10 +37,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     Null texts are empty documents: the end id alone.  Null doc_ids come first;
     rows that repeat a doc_id are ordered by text and all written.  No rows give
     an empty manifest.  Other columns of ``docs`` are not read.  Keep the
-    manifest before use: computing it again writes the files again.
+    manifest before use: computing it again writes the files again.  A frame's
+    ``first_doc`` and ``last_doc`` bound its doc_ids (null: it holds null ones only).
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    small_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), "text"
@@ -54,11 +54,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         def flush():
             nonlocal names, held, size
             if names:
-                out.append((part, uri, writer.add(names, held), len(names), size))
+                known = [d for d in names if d is not None] or [None]
+                out.append((part, uri, writer.add(names, held), len(names), size, known[0], known[-1]))
             names, held, size = [], [], 0
 
-        for batch in batches:
-            if batch.num_rows and sink is None:
+        for batch in slices(batches):
+            if sink is None:
                 uri = f"{folder.rstrip('/')}/{part:06d}-{uuid.uuid4().hex}.ids.zst"
                 where, path = _open(uri)
                 where.create_dir(path.rpartition("/")[0], recursive=True)
@@ -74,11 +75,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
             flush()
             writer.finish()
             sink.close()
-        columns = zip(*out) if out else [[]] * 5
-        types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(c), t) for c, t in zip(columns, types)], ["part", "path", "frame", "n_documents", "n_tokens"]
-        )
+        fields = [("part", pa.int64()), ("path", pa.string()), *[(c, pa.int64()) for c in ("frame", "n_documents", "n_tokens", "first_doc", "last_doc")]]
+        yield pa.RecordBatch.from_pylist([dict(zip((n for n, _ in fields), row)) for row in out], pa.schema(fields))
 
     return ordered.mapInArrow(run, MANIFEST)
 
@@ -117,3 +115,41 @@ def read_token_files(manifest: DataFrame, frames_a_task: int = 64) -> DataFrame:
     # Neighbouring frames of one file share a task, and a large file goes to several.
     dealt = frames.repartition("path", F.floor(F.col("frame") / frames_a_task)).sortWithinPartitions("path", "frame")
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def read_documents(manifest: DataFrame, ids: DataFrame) -> DataFrame:
+    """The requested documents: ``doc_id, ids, path, frame, frame_bytes``, from the frames that hold them and no others.
+
+    ``ids(doc_id)`` may be of any size; repeats count once, and null or unknown
+    ones give no row.  A doc_id that several documents have gives them all.
+    Files are ranges of doc_ids, a row each: requests meet the files by range and
+    then only their own file's frames.  ``frame_bytes`` is what was decompressed.
+    """
+    wanted = ids.select(F.col("doc_id").cast("long").alias("want")).where("want IS NOT NULL").distinct()
+    files = manifest.groupBy("path").agg(F.min("first_doc").alias("low"), F.max("last_doc").alias("high"))
+    of_file = wanted.join(F.broadcast(files), (F.col("want") >= F.col("low")) & (F.col("want") <= F.col("high")))  # a row per file
+    frames = manifest.select(F.col("path").alias("p"), "frame", "first_doc", "last_doc")
+    hit = of_file.join(frames, (F.col("path") == F.col("p")) & (F.col("want") >= F.col("first_doc")) & (F.col("want") <= F.col("last_doc")))
+    asked = hit.select("path", "frame", "want").repartition("path", "frame").sortWithinPartitions("path", "frame")
+    fields = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("path", pa.string()), ("frame", pa.int64()), ("frame_bytes", pa.int64())]
+
+    def run(batches):
+        path = reader = at = docs = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["path"] != path:
+                    path, at = row["path"], None
+                    where, name = _open(path)
+                    file = where.open_input_file(name)
+                    reader = Reader(file.read_at, file.size())
+                if row["frame"] != at:
+                    at, docs = row["frame"], reader.frame(row["frame"])
+                held = [
+                    {"doc_id": d, "ids": x.astype(np.int64), "path": path, "frame": at, "frame_bytes": int(reader.table[at, 0])}
+                    for d, x in docs
+                    if d == row["want"]
+                ]
+                if held:
+                    yield pa.RecordBatch.from_pylist(held, pa.schema(fields))
+
+    return asked.mapInArrow(run, "doc_id long, ids array<long>, path string, frame long, frame_bytes long")
