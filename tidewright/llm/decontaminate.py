@@ -9,23 +9,29 @@ cyclically from its own start word, so step 0 is one of the item's words and the
 windows to look at are those with that word in that place.  Windows have the
 item's size.  A window that agrees with its item in all sampled steps of any
 repetition goes to the exact check: the smallest word edit distance between the
-item and any stretch near the window, at most EDITS of the item's words.
+item and any stretch near the window, at most EDITS of the item's words.  The
+number of repetitions follows from the recall that is asked for at that distance.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .line_dedup import row_key
-from .store import small_batches
+from .store import slices
 from .words import text_buffers, word_hashes
 
-REPEATS, SAMPLED, EDITS = 14, 2, 0.2
+SAMPLED, EDITS, RECALL = 2, 0.2, 0.98
+MOST_REPEATS = 40
 EARLY = 6  # the first sampled step lies before this one, so that few windows are walked on
-ITEMS_A_BLOCK = 20_000  # items that are broadcast at once: at most some 100 MB; more items take more passes
+#: Items and words of items that are broadcast at once, some 100 MB; more take more passes over the documents.
+ITEMS_A_BLOCK, WORDS_A_BLOCK = 20_000, 4_000_000
+_WINDOWS = 1 << 18  # windows that a task walks at once, however many items share a start word
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 0x20
 
@@ -35,21 +41,50 @@ def plain_words(column) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(_PLAIN[data], at)
 
 
-def edit_distance(item: list[int], words: list[int]) -> int:
-    """Smallest edit distance between ``item`` and any stretch of ``words``."""
-    row = [0] * (len(words) + 1)
-    for i, a in enumerate(item, 1):
-        diagonal, row[0] = row[0], i
-        for j, b in enumerate(words, 1):
-            best = min(diagonal + (a != b), row[j] + 1, row[j - 1] + 1)
-            diagonal, row[j] = row[j], best
-    return min(row)
+def edit_distance(item: np.ndarray, words: np.ndarray) -> int:
+    """Smallest edit distance between ``item`` and any stretch of ``words``, a row of the table at a time."""
+    place = np.arange(len(words) + 1)
+    row = np.zeros(len(words) + 1, np.int64)
+    for i, word in enumerate(item, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        np.minimum(row[:-1] + (words != word), row[1:] + 1, out=new[1:])
+        row = np.minimum.accumulate(new - place) + place  # insertions
+    return int(row.min())
+
+
+def edited(words: np.ndarray, share: float, rng: np.random.Generator) -> np.ndarray:
+    """``words`` with int(share * size) random substitutions, insertions and deletions by new words."""
+    out = list(words)
+    for _ in range(int(share * len(words))):
+        at, new = int(rng.integers(0, max(len(out), 1))), rng.integers(1, 1 << 63, dtype=np.uint64)
+        out[at : at + 1] = [[new], [], [*out[at : at + 1], new]][int(rng.integers(0, 3))]
+    return np.array(out, np.uint64)
+
+
+@lru_cache
+def repeats_for(recall: float, edits: float, sampled: int = SAMPLED, trials: int = 600, size: int = 40) -> int:
+    """Repetitions that find ``recall`` of simulated items at the largest distance, ``edits`` of their words."""
+    rng = np.random.default_rng(12)
+    items = [rng.integers(1, 1 << 63, size, dtype=np.uint64) for _ in range(trials)]
+    index = Index(list(range(trials)), items, MOST_REPEATS, sampled)
+    first = np.full(trials, MOST_REPEATS)
+    for k, item in enumerate(items):
+        words = edited(item, edits, rng)
+        low, high = np.searchsorted(index.word, words, "left"), np.searchsorted(index.word, words, "right")
+        entry = np.concatenate([np.arange(i, j) for i, j in zip(low, high)] or [np.zeros(0, np.int64)])
+        spot = np.repeat(np.arange(len(words)), high - low)
+        hit = entry[index.walk(entry, spot, words, np.array([0, len(words)]))]
+        first[k] = index.repeat[hit].min(initial=MOST_REPEATS)
+    found = np.cumsum(np.bincount(first, minlength=MOST_REPEATS + 1))[:MOST_REPEATS] / trials
+    enough = np.flatnonzero(found >= recall)
+    return int(enough[0]) + 1 if len(enough) else MOST_REPEATS
 
 
 class Index:
     """Start words and sampled steps of all repetitions of a block of items."""
 
-    def __init__(self, names: list[int], items: list[np.ndarray], repeats: int = REPEATS, sampled: int = SAMPLED, seed: int = 3):
+    def __init__(self, names: list[int], items: list[np.ndarray], repeats: int, sampled: int = SAMPLED, seed: int = 3):
         rng = np.random.default_rng(seed)
         self.names = names
         self.items = items
@@ -103,13 +138,8 @@ class Index:
                 break
         return alive
 
-    def candidates(self, words: np.ndarray, at: np.ndarray):
-        """``row, item, window start`` of windows that agree with an item in a repetition."""
-        spots = np.flatnonzero(self.mask[(words & np.uint64(0xFFFF)).astype(np.int64)])
-        low, high = np.searchsorted(self.word, words[spots], "left"), np.searchsorted(self.word, words[spots], "right")
-        many = high - low
-        entry = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        spot = np.repeat(spots, many)
+    def walk(self, entry: np.ndarray, spot: np.ndarray, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which (entry, position of its start word) agree in all sampled steps."""
         row = np.searchsorted(at, spot, "right") - 1
         begin = spot - self.start[entry]
 
@@ -118,9 +148,25 @@ class Index:
             inside = (p >= at[row[alive]]) & (p < at[row[alive] + 1])
             return np.where(inside, words[np.where(inside, p, 0)], np.uint64(0))
 
-        agree = self._walk(entry, words_at)
-        found = np.stack([row[agree], self.item[entry[agree]], begin[agree]], axis=1)
-        return np.unique(found, axis=0)
+        return self._walk(entry, words_at)
+
+    def candidates(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """``row, item, window start`` of windows that agree with an item in a repetition."""
+        spots = np.flatnonzero(self.mask[(words & np.uint64(0xFFFF)).astype(np.int64)])
+        low, high = np.searchsorted(self.word, words[spots], "left"), np.searchsorted(self.word, words[spots], "right")
+        upto = np.cumsum(high - low)
+        found = [np.zeros((0, 3), np.int64)]
+        # _WINDOWS at a time, also within the entries of one frequent start word
+        for first in range(0, int(upto[-1]) if len(upto) else 0, _WINDOWS):
+            number = np.arange(first, min(first + _WINDOWS, int(upto[-1])))
+            place = np.searchsorted(upto, number, "right")
+            entry = high[place] - (upto[place] - number)
+            spot = spots[place]
+            agree = self.walk(entry, spot, words, at)
+            entry, spot = entry[agree], spot[agree]
+            rows = np.searchsorted(at, spot, "right") - 1
+            found.append(np.unique(np.stack([rows, self.item[entry], spot - self.start[entry]], axis=1), axis=0))
+        return np.unique(np.concatenate(found), axis=0)
 
     def matches(self, words: np.ndarray, at: np.ndarray, edits: float = EDITS):
         """``row, name, edits, first word`` of every item that a row holds, the best window of each."""
@@ -134,47 +180,48 @@ class Index:
             elif (row, k) in best and best[row, k][0] == 0:
                 continue
             else:
-                distance = edit_distance(item.tolist(), words[low:high].tolist())
+                distance = edit_distance(item, words[low:high])
             if distance <= most:
                 best[row, k] = min(best.get((row, k), (distance, begin)), (distance, begin))
         for (row, k), (distance, begin) in sorted(best.items()):
             yield int(row), self.names[k], int(distance), max(0, int(begin - at[row]))
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS) -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, recall: float = RECALL) -> DataFrame:
     """``doc_id, row, item_id, edits, first_word``: a row for each item that a row of ``docs`` holds.
 
-    ``docs(doc_id, text)`` against ``benchmark(item_id, text)``.  ``row`` is the
-    hash of the row's text, for joins where doc_ids repeat or are null.  Null
-    and wordless texts hold nothing; null and wordless items are in nothing; of
-    items that share an item_id each counts.  Rows that repeat are all reported.
-    No items or no rows give no rows.  Other columns are not read.
+    ``docs(doc_id, text)`` against ``benchmark(item_id, text)``: passages within
+    ``edits`` of the item's words, at that distance ``recall`` of them, nearer ones
+    more often, whole ones always.  ``row`` is the hash of the row's text, for
+    joins where doc_ids repeat or are null.  Null and wordless texts hold nothing;
+    null and wordless items are in nothing; of items that share an item_id each
+    counts.  Rows that repeat are all reported.  No items or no rows give no rows.
+    Other columns are not read.  The benchmark passes through the driver in
+    blocks of bounded size, each of which is broadcast to one scan.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text"))
     texts = docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), F.col("text").cast("string"))
     schema = "doc_id long, row long, item_id long, edits long, first_word long"
     out = spark.createDataFrame([], schema)
-    block: list = []
+    block, size = [], 0
     for item in items.toLocalIterator():
-        block.append(item)
-        if len(block) == ITEMS_A_BLOCK:
-            out, block = out.union(_in_block(texts, block, edits, schema)), []
-    return out.union(_in_block(texts, block, edits, schema)) if block else out
-
-
-def _in_block(texts: DataFrame, block: list, edits: float, schema: str) -> DataFrame:
-    words, at = plain_words(pa.array([r.text for r in block], pa.string()))
-    known = [k for k in range(len(block)) if at[k] < at[k + 1]]
-    known.sort(key=lambda k: (block[k].item_id is None, block[k].item_id or 0, block[k].text))
-    index = Index([block[k].item_id for k in known], [words[at[k] : at[k + 1]] for k in known])
+        words, _ = plain_words(pa.array([item.text], pa.string()))
+        if len(words):
+            block.append((item.item_id, words))
+            size += len(words)
+        if len(block) == ITEMS_A_BLOCK or size >= WORDS_A_BLOCK:
+            out, block, size = out.union(_in_block(texts, block, edits, recall, schema)), [], 0
+    return out.union(_in_block(texts, block, edits, recall, schema)) if block else out
+
+
+def _in_block(texts: DataFrame, block: list, edits: float, recall: float, schema: str) -> DataFrame:
+    block.sort(key=lambda b: (b[0] is None, b[0] or 0, b[1].tolist()))
+    index = Index([name for name, _ in block], [words for _, words in block], repeats_for(recall, edits))
     shared = texts.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows == 0 or not shared.value.items:
-                continue
+        for batch in slices(batches):
             found = list(shared.value.matches(*plain_words(batch.column("text")), edits))
             if found:
                 rows = pa.array([f[0] for f in found], pa.int64())
