@@ -11,12 +11,15 @@ skipped.  The order comes from a count table of fixed size.
 
 No list of postings is expanded into pairs.  Each list names its smallest
 member, the hub; lists with one hub merge into one group.  First every member is
-compared with its hub (linear work) and the links give components.  Groups that
-are still split over components are compared in blocks of ``BLOCK`` members,
-without the pairs inside the hub's own component.  Both comparisons count the
-coordinates that collide, keep what reaches ``match`` and only then read the
-full sets to confirm; they emit links only, so no pair is lost and none is
-emitted unverified.
+compared with its hub (linear work) and the links give components.  What is still
+split over components merges its posting lists: a member takes the lists of its
+coordinate-value pairs among the others of its group from the shortest on,
+counts collisions in the first ``coords - match + 1`` of them, and skips the rest
+for every candidate that can no longer reach ``match``.  A task has the lists of
+``RUN`` x ``RUN`` members of a group, so that large groups are shared by many
+tasks; members of one component are not merged.  Only candidates above the
+threshold read their full sets to confirm; links alone leave a task, so no pair
+is lost and none is emitted unverified.
 """
 
 from __future__ import annotations
@@ -29,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import keep, small_batches
+from .store import keep, look_up, slices
 from .words import mix64, shingles, text_buffers, word_hashes
 
 COORDS, MATCH, SIMILARITY = 64, 34, 75
 CELLS = 1 << 20  # of the count table: 4 MB on the driver and in a broadcast, whatever the input
 BITS = 1 << 22  # of the filter of wanted documents, in the same way
-BLOCK = 256
+RUN = 256  # members of a group whose lists one task merges with those of RUN others
+_WIDE = 1 << 21  # postings that are merged at once
 _CHUNK_ROWS = 128
 
 SKETCH = "doc_id long, n_shingles long, digest binary, signature binary"
@@ -71,7 +75,7 @@ def sketch(docs: DataFrame, size: int = 5, coords: int = COORDS) -> DataFrame:
 
     def run(batches):
         by = multipliers(coords)
-        for batch in batches:
+        for batch in slices(batches):
             n, digest, sig = [], [], []
             for s in document_sets(batch.column("text"), size):
                 n.append(len(s))
@@ -178,8 +182,8 @@ def _alike_hubs(members: DataFrame, reps: DataFrame, coords: int, match: int) ->
 
 
 def _hub_links(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Verified links between each hub and its members; a large group is salted over blocks."""
-    blocks = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("n"))
+    """Verified links between each hub and its members; a large group is salted over runs."""
+    blocks = members.groupBy("hub").agg(F.ceil(F.count("*") / RUN).cast("long").alias("n"))
     salted = members.join(blocks, "hub").select(
         "hub", F.pmod(F.xxhash64("rep"), F.col("n")).alias("block"), "rep", F.lit(False).alias("is_hub")
     )
@@ -204,8 +208,8 @@ def _hub_links(members: DataFrame, sets: DataFrame, similarity: int) -> DataFram
     return ready.select("hub", "block", "rep", "is_hub", "hashes").mapInArrow(run, "a long, b long")
 
 
-def _block_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``hub, left, right, rep, component, own``: each group dealt over pairs of blocks.
+def _run_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``hub, left, right, rep, component, own``: each group dealt over pairs of runs of members.
 
     ``members`` has the hub itself as a member.  The hub's component is the main
     part of its group; pairs inside it are connected already and take no work.
@@ -218,14 +222,14 @@ def _block_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
         "hub", "rep", "component", (F.col("component") == F.coalesce("hub_component", "hub")).alias("main")
     )
     size = known.groupBy("hub").agg(
-        F.ceil(F.count_if("main") / BLOCK).cast("long").alias("mains"),
-        F.ceil(F.count_if(~F.col("main")) / BLOCK).cast("long").alias("others"),
+        F.ceil(F.count_if("main") / RUN).cast("long").alias("mains"),
+        F.ceil(F.count_if(~F.col("main")) / RUN).cast("long").alias("others"),
     )
     spread = known.join(size.where("others > 0"), "hub").select(
         "*", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).alias("own")
     )
     zero = F.lit(0).cast("long")
-    # Others meet others in blocks (lower, upper) and the main part in blocks (own, -1 - main block).
+    # Others meet others in runs (lower, upper) and the main part in runs (own, -1 - main run).
     with_others = F.transform(
         F.sequence(zero, F.col("others") - 1),
         lambda j: F.struct(F.least("own", j).alias("left"), F.greatest("own", j).alias("right")),
@@ -242,45 +246,81 @@ def _block_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("hub", "at.left", "at.right", "rep", "component", side.alias("own"))
 
 
+def merge_lists(left: np.ndarray, right: np.ndarray, match: int, apart=None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) of two signature tables that collide in at least ``match`` coordinates.
+
+    Posting lists of ``right``: per coordinate, its rows in order of value.  Row i
+    merges its ``coords - match + 1`` shortest lists, which hold every j that can
+    reach ``match``; the longer lists are only looked at for candidates with
+    enough collisions so far.  ``apart(i, j)``: which candidates matter.
+    """
+    coords = left.shape[1]
+    order = np.argsort(right, axis=0, kind="stable")
+    low, high = np.empty((2, *left.shape), np.int64)
+    for c in range(coords):
+        values = right[order[:, c], c]
+        low[:, c], high[:, c] = np.searchsorted(values, left[:, c], "left"), np.searchsorted(values, left[:, c], "right")
+    length = high - low
+    by_length = np.argsort(length, axis=1, kind="stable")
+    prefix = by_length[:, : coords - match + 1]
+    work = np.cumsum(np.take_along_axis(length, prefix, 1).sum(axis=1))
+    found, begin = [np.zeros((2, 0), np.int64)], 0
+    while begin < len(left):  # as many rows at once as _WIDE postings allow
+        before = work[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(work, before + _WIDE, "right")))
+        mine = prefix[begin:end].ravel()
+        row = np.repeat(np.arange(begin, end), prefix.shape[1])
+        many = length[row, mine]
+        at = np.repeat(high[row, mine] - np.cumsum(many), many) + np.arange(many.sum())
+        pair, n = np.unique(np.repeat(row, many) * len(right) + order[at, np.repeat(mine, many)], return_counts=True)
+        i, j = np.divmod(pair, len(right))
+        if apart is not None:
+            keep_ = apart(i, j)
+            i, j, n = i[keep_], j[keep_], n[keep_]
+        for step in range(coords - match + 1, coords):
+            alive = n + (coords - step) >= match
+            i, j, n = i[alive], j[alive], n[alive]
+            c = by_length[i, step]
+            n = n + (left[i, c] == right[j, c])
+        alive = n >= match
+        found.append(np.stack([i[alive], j[alive]]))
+        begin = end
+    return tuple(np.concatenate(found, axis=1))
+
+
 def _collisions(group: pa.Table, coords: int, match: int):
-    """Positions (i, j) across the two blocks of a group whose signatures reach ``match``."""
-    own = group.column("own").to_numpy()
+    """Positions (i, j) of members in two components whose signatures reach ``match``."""
+    own, label = group.column("own").to_numpy(), group.column("component").to_numpy()
     left = np.flatnonzero(own == group.column("left")[0].as_py())
     right = np.flatnonzero(own == group.column("right")[0].as_py())
     sig = _signatures(group.column("signature"), coords)
-    same = np.zeros((len(left), len(right)), np.int16)
-    for k in range(coords):
-        same += sig[left, k][:, None] == sig[right, k][None, :]
-    x, y = np.nonzero(same >= match)
-    return left[x], right[y]
+    i, j = merge_lists(sig[left], sig[right], match, lambda i, j: label[left[i]] != label[right[j]])
+    return left[i], right[j]
 
 
-_BLOCK_KEYS = ["hub", "left", "right"]
+_RUN_KEYS = ["hub", "left", "right"]
 
 
-def _alike_blocks(rows: DataFrame, reps: DataFrame, coords: int, match: int) -> DataFrame:
+def _alike_runs(rows: DataFrame, reps: DataFrame, coords: int, match: int) -> DataFrame:
     """The ``hub, rep`` that collide with a member of another component."""
 
     def run(batches):
-        for group in _groups(batches, _BLOCK_KEYS):
-            label = group.column("component").to_numpy()
-            i, j = _collisions(group, coords, match)
-            apart = label[i] != label[j]
-            found = np.unique(np.r_[i[apart], j[apart]])
+        for group in _groups(batches, _RUN_KEYS):
+            found = np.unique(np.concatenate(_collisions(group, coords, match)))
             if len(found):
                 part = group.select(["hub", "rep"]).take(found)
                 yield from part.combine_chunks().to_batches()
 
-    ready = rows.join(reps.select("rep", "signature"), "rep").repartition(*_BLOCK_KEYS).sortWithinPartitions(*_BLOCK_KEYS)
-    found = ready.select(*_BLOCK_KEYS, "rep", "component", "own", "signature").mapInArrow(run, "hub long, rep long")
+    ready = rows.join(reps.select("rep", "signature"), "rep").repartition(*_RUN_KEYS).sortWithinPartitions(*_RUN_KEYS)
+    found = ready.select(*_RUN_KEYS, "rep", "component", "own", "signature").mapInArrow(run, "hub long, rep long")
     return found.distinct()
 
 
-def _block_links(rows: DataFrame, sets: DataFrame, coords: int, match: int, similarity: int) -> DataFrame:
+def _run_links(rows: DataFrame, sets: DataFrame, coords: int, match: int, similarity: int) -> DataFrame:
     """Verified links between members of one group that are in different components."""
 
     def run(batches):
-        for group in _groups(batches, _BLOCK_KEYS):
+        for group in _groups(batches, _RUN_KEYS):
             rep, label = group.column("rep").to_numpy(), group.column("component").to_numpy().copy()
             bits = group.column("hashes").to_pylist()
             found = []
@@ -293,8 +333,8 @@ def _block_links(rows: DataFrame, sets: DataFrame, coords: int, match: int, simi
             if found:
                 yield _links_table(found)
 
-    ready = rows.join(sets, "rep").repartition(*_BLOCK_KEYS).sortWithinPartitions(*_BLOCK_KEYS)
-    names = [*_BLOCK_KEYS, "rep", "component", "own", "hashes", "signature"]
+    ready = rows.join(sets, "rep").repartition(*_RUN_KEYS).sortWithinPartitions(*_RUN_KEYS)
+    names = [*_RUN_KEYS, "rep", "component", "own", "hashes", "signature"]
     return ready.select(*names).mapInArrow(run, "a long, b long")
 
 
@@ -311,13 +351,14 @@ def near_duplicates(
     null, kept true.  An empty table gives an empty one.  Other columns of
     ``docs`` are not read.
     """
-    small_batches(docs.sparkSession)
     rows = keep(sketch(docs, size, coords), "sketch")
     known = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    ids = known.groupBy("doc_id").agg(F.min("digest").alias("digest"))
-    classes = ids.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    chosen = known.join(classes, "digest").where("doc_id = rep")
-    reps = keep(chosen.select("rep", "digest", "signature").dropDuplicates(["rep"]), "reps")
+    ids = keep(known.groupBy("doc_id").agg(F.min("digest").alias("digest")), "ids")
+    classes = ids.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    # One set, one signature: both sides have a row per class, so that no class is a hot key.
+    signatures = known.groupBy("digest").agg(F.first("signature").alias("signature"))
+    classes = keep(classes.join(signatures, "digest"), "classes")
+    reps = classes.select("rep", "digest", "signature")
     posted = keep(postings(reps, coords, match), "postings")
     lists = posted.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
     members = posted.join(lists.select("token", "hub"), "token").where("hub <> rep").select("hub", "rep").distinct()
@@ -326,14 +367,14 @@ def near_duplicates(
     links = keep(_hub_links(near, _sets_of(docs, near, reps, size, coords), similarity), "hub-links")
     labels = connected_components(links)
     with_hubs = members.union(members.select("hub", F.col("hub").alias("rep")).distinct())
-    apart = keep(_alike_blocks(_block_rows(with_hubs, labels), reps, coords, match), "near-blocks")
+    apart = keep(_alike_runs(_run_rows(with_hubs, labels), reps, coords, match), "near-runs")
     apart = apart.union(apart.select("hub", F.col("hub").alias("rep"))).distinct()
     sets = _sets_of(docs, apart, reps, size, coords)
-    more = keep(_block_links(_block_rows(apart, labels), sets, coords, match, similarity), "block-links")
+    more = keep(_run_links(_run_rows(apart, labels), sets, coords, match, similarity), "run-links")
     labels = connected_components(links.union(more))
     component = F.coalesce("component", "rep").alias("component_id")
-    final = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", component)
-    of_doc = ids.join(final, "digest").select("doc_id", "component_id")
+    final = classes.select("rep", "digest", "copies").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "copies", component)
+    of_doc = look_up(ids, keep(final, "final"), "digest", "copies", F.col("doc_id")).select("doc_id", "component_id")
     out = rows.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
@@ -362,7 +403,7 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, coor
 
     def run(batches):
         by, known = multipliers(coords), np.unpackbits(shared.value).view(bool)
-        for batch in batches:
+        for batch in slices(batches):
             batch = batch.filter(pa.array(known[_positions(batch.column("rep").to_numpy(zero_copy_only=False))]))
             for k in range(0, batch.num_rows, _CHUNK_ROWS):
                 part = batch.slice(k, _CHUNK_ROWS)
