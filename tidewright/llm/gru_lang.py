@@ -1,13 +1,16 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the UTF-8 bytes of each run of letters forward and backward,
-labels every byte, and is trained by backpropagation through time in numpy.
-State starts afresh at each run, so equal runs have equal labels: a worker labels
-each distinct run once, remembers the sums, and pools a document's probabilities
-over all its positions.  All positions of all texts count.
-
-Training uses a bounded sample of labelled rows: DOCS_A_LANGUAGE documents of
-each language and WORDS_A_DOC runs of each, chosen by hash over all rows.
+The network reads the UTF-8 bytes of the whole text forward and backward, labels
+every byte (of words, blanks, digits and signs alike), and a document's
+probabilities are the means over all its positions.  It is trained by
+backpropagation through time in numpy.  Texts are read in windows of CORE bytes,
+cut between characters, each with up to CONTEXT bytes before and after it, in
+which the states warm up and which are not counted: so a text of any length is
+many windows of one batch instead of one long chain of steps.
+
+Training draws spans from whole texts of a bounded sample of labelled rows:
+DOCS_A_LANGUAGE documents of each language, chosen by hash over all rows, up to
+the one with which BYTES_A_LANGUAGE are reached.
 """
 
 from __future__ import annotations
@@ -20,16 +23,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import small_batches
+from .store import slices
+from .words import text_buffers
 
-DOCS_A_LANGUAGE, WORDS_A_DOC = 300, 60
-HIDDEN, STEPS, BATCH, RATE, LONGEST = 16, 350, 384, 0.012, 32
+DOCS_A_LANGUAGE, BYTES_A_LANGUAGE = 300, 4 << 20
+HIDDEN, STEPS, BATCH, SPAN, RATE = 12, 200, 160, 48, 0.02
+CORE, CONTEXT = 1024, 64
+GROUP = 4 << 20  # bytes of texts that are read at once
 HELD_OUT = 2
-REMEMBERED = 200_000
 UNDETERMINED = "und"
-RUNS = re.compile(r"[^\W\d_]+").findall
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32  # A-Z count as a-z
+_LATIN = re.compile("[A-Za-z]").search
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (Unicode categories L*; digits, numerals and signs are none)."""
+    return _LATIN(text) is not None or any(map(str.isalpha, text))
+
 
 def in_training(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) != HELD_OUT
@@ -62,10 +73,43 @@ class Gru:
             states[k] = h = new
         return states, tape
 
+    def read(self, data: np.ndarray, begin: np.ndarray, step: int, active: list[int], out: np.ndarray) -> np.ndarray:
+        """The states times ``out``, step after step: inference without a tape.
+
+        Window k starts at byte ``begin[k]`` and moves by ``step`` (1 or -1);
+        ``active[t]`` windows, the first ones, are longer than t.
+        """
+        size, b = self.candidate.shape[0], len(begin)
+        half = np.float32(0.5)  # sigmoid(x) = (tanh(x / 2) + 1) / 2
+        tables = [np.ascontiguousarray(self.inputs[:, k * size : (k + 1) * size]) * (1 if k == 2 else half) for k in range(3)]
+        update, reset = (np.ascontiguousarray(self.gates[:, k * size : (k + 1) * size]) * half for k in range(2))
+        h, zs, rs, cs, xs = np.zeros((5, b, size), np.float32)
+        sums, done = np.empty((sum(active), out.shape[1]), np.float32), 0
+        for t, n in enumerate(active):
+            code = data[begin[:n] + step * t]
+            hn, z, r, c, x = h[:n], zs[:n], rs[:n], cs[:n], xs[:n]
+            for gate, weights, table in ((z, update, tables[0]), (r, reset, tables[1])):
+                np.matmul(hn, weights, out=gate)
+                gate += np.take(table, code, axis=0, out=x, mode="clip")
+                np.tanh(gate, out=gate)
+                gate += 1
+            r *= half
+            r *= hn
+            np.matmul(r, self.candidate, out=c)
+            c += np.take(tables[2], code, axis=0, out=x, mode="clip")
+            np.tanh(c, out=c)
+            c -= hn
+            c *= z
+            c *= half
+            hn += c
+            np.matmul(hn, out, out=sums[done : done + n])
+            done += n
+        return sums
+
     def backward(self, codes: np.ndarray, mask: np.ndarray, tape: list, grads: np.ndarray) -> list[np.ndarray]:
         """Gradients of the three arrays, from those of the states."""
         size = self.candidate.shape[0]
-        d_in, d_g, d_c = np.zeros_like(self.inputs), np.zeros_like(self.gates), np.zeros_like(self.candidate)
+        d_x, d_g, d_c = np.empty((*codes.shape, 3 * size), np.float32), np.zeros_like(self.gates), np.zeros_like(self.candidate)
         carry = np.zeros_like(grads[0])
         for k in range(len(codes) - 1, -1, -1):
             h, z, r, c = tape[k]
@@ -79,8 +123,13 @@ class Gru:
             dzr = np.concatenate([dz, dr], axis=1)
             d_c += (r * h).T @ dc
             d_g += h.T @ dzr
-            np.add.at(d_in, codes[k], np.concatenate([dzr, dc], axis=1))
+            d_x[k, :, : 2 * size], d_x[k, :, 2 * size :] = dzr, dc
             carry = d * (1 - z) + drh * r + dzr @ self.gates.T + keep_
+        # the rows of one byte are summed as a run of their sorted order
+        order = np.argsort(codes, axis=None, kind="stable")
+        known, first = np.unique(codes.ravel()[order], return_index=True)
+        d_in = np.zeros_like(self.inputs)
+        d_in[known] = np.add.reduceat(d_x.reshape(-1, 3 * size)[order], first, axis=0)
         return [d_in, d_g, d_c]
 
 
@@ -137,112 +186,118 @@ class Network:
         flat = states.reshape(-1, 2 * size).T @ p.reshape(-1, p.shape[2])
         return [*ga, *gb, flat, p.sum(axis=(0, 1))]
 
-    def train(self, words: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 5) -> None:
-        """Adam over random batches, every language drawn equally often."""
+    def train(self, texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 5) -> None:
+        """Adam over random spans of the texts, every byte of a language equally often, every language equally often."""
         rng = np.random.default_rng(seed)
+        data = _FOLD[np.frombuffer(b"".join(texts), np.uint8)].tobytes()
+        ends = np.cumsum([len(t) for t in texts])
+        starts = ends - [len(t) for t in texts]
         groups = [np.flatnonzero(labels == k) for k in range(len(self.languages))]
-        groups = [g for g in groups if len(g)]
+        groups = [(g, np.cumsum(ends[g] - starts[g])) for g in groups if len(g)]
         params = self.parameters()
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         for step in range(1, steps + 1):
-            pick = np.concatenate([rng.choice(g, BATCH // len(groups) + 1) for g in groups])
-            grads = self.gradients([words[i][:LONGEST] for i in pick], labels[pick])
+            spans, span_labels = [], []
+            for g, upto in groups:
+                for at in rng.integers(0, upto[-1], BATCH // len(groups) + 1).tolist():
+                    k = int(np.searchsorted(upto, at, "right"))
+                    centre = int(ends[g[k]]) - (int(upto[k]) - at)
+                    begin = max(int(starts[g[k]]), min(centre, int(ends[g[k]]) - SPAN))
+                    spans.append(data[begin : min(begin + SPAN, int(ends[g[k]]))])
+                    span_labels.append(labels[g[k]])
+            grads = self.gradients(spans, np.array(span_labels))
             rate = RATE * (1 - 0.9 * step / steps) / (1 - 0.9**step)
             for p, g, m, v in zip(params, grads, first, second):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 p -= rate * m / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
-    def sums(self, words: list[bytes]) -> np.ndarray:
-        """Summed probabilities of all positions of each word, and the number of positions."""
-        out = np.zeros((len(words), len(self.languages) + 1), np.float32)
-        order = np.argsort([len(w) for w in words], kind="stable")
-        for k in range(0, len(order), 2048):
-            part = order[k : k + 2048]
-            p, (_, _, mask, lengths, *_) = self.run([words[i] for i in part])
-            out[part, :-1] = (p * mask[:, :, None]).sum(axis=0)
-            out[part, -1] = lengths
-        return out
-
-
-def _pieces(run: str) -> list[bytes]:
-    """The UTF-8 bytes of a run of letters; runs of over LONGEST bytes are read in pieces."""
-    b = run.encode()
-    return [b[k : k + LONGEST] for k in range(0, len(b), LONGEST)]
+    def pooled(self, data: np.ndarray, at: np.ndarray, core: int = CORE, context: int = CONTEXT) -> np.ndarray:
+        """Mean probabilities over all positions of each text (empty: zeros); text k is bytes at[k] to at[k + 1]."""
+        data = _FOLD[data]
+        text, begin, end, low, high = windows(data, at, core, context)
+        out, size = np.zeros((len(at) - 1, len(self.languages))), HIDDEN
+        if not len(text):
+            return out
+        order = np.argsort(begin - end, kind="stable")  # long windows first
+        text, begin, end, low, high = (x[order] for x in (text, begin, end, low, high))
+        length = end - begin
+        active = np.searchsorted(-length, -np.arange(int(length[0])), "left")
+        before = np.cumsum(active) - active  # where each step's rows begin
+        ahead = self.ways[0].read(data, begin, 1, active.tolist(), self.out[:size])
+        behind = self.ways[1].read(data, end - 1, -1, active.tolist(), self.out[size:])
+        # position i of window k is step i forward and step length - 1 - i backward; cores only
+        count = high - low
+        window = np.repeat(np.arange(len(text)), count)
+        edges = np.cumsum(count) - count
+        i = np.arange(len(window)) - np.repeat(edges - (low - begin), count)
+        logits = ahead[before[i] + window]
+        logits += behind[before[length[window] - 1 - i] + window]
+        logits += self.bias
+        logits -= logits.max(axis=1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits /= logits.sum(axis=1, keepdims=True)
+        np.add.at(out, text, np.add.reduceat(logits, edges, axis=0, dtype=np.float64))
+        return out / np.maximum(np.diff(at), 1)[:, None]
+
+
+def windows(data: np.ndarray, at: np.ndarray, core: int, context: int):
+    """``text, begin, end, low, high`` of the windows of all texts: [low, high) is the core, cut between characters."""
+    size = np.diff(at)
+    n = -(-size // core)
+    text = np.repeat(np.arange(len(size)), n)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    low = at[:-1][text] + number * core
+    inner = number > 0
+    for _ in range(3):  # at most three bytes before it belong to the character
+        inside = inner & (data[np.minimum(low, len(data) - 1)] & 0xC0 == 0x80)
+        low = np.where(inside, low - 1, low)
+    last = np.r_[text[1:] != text[:-1], True] if len(text) else np.zeros(0, bool)
+    high = np.where(last, at[1:][text], np.r_[low[1:], 0][: len(low)])
+    return text, np.maximum(low - context, at[:-1][text]), np.minimum(high + context, at[1:][text]), low, high
 
 
 def training_sample(docs: DataFrame) -> DataFrame:
-    """``lang, runs``: the sample of ``docs(doc_id, text, lang)``; two columns are ranked, then its texts are read."""
-    labelled = docs.where(F.col("lang").isNotNull() & in_training(F.col("doc_id")) & F.col("text").isNotNull())
+    """``lang, text``: the sample of ``docs(doc_id, text, lang)``; lengths are ranked, then its whole texts are read."""
+    labelled = docs.where(F.col("lang").isNotNull() & in_training(F.col("doc_id")) & (F.octet_length("text") > 0))
     by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("lang", "doc_id").withColumn("place", F.row_number().over(by_hash))
-    chosen = chosen.where(F.col("place") <= DOCS_A_LANGUAGE).select(F.col("lang").alias("l"), F.col("doc_id").alias("d")).distinct()
-
-    def run(batches):
-        for batch in batches:
-            held = []
-            for text in batch.column("text").to_pylist():
-                runs = RUNS(text.lower())
-                held.append([runs[i] for i in np.unique(np.linspace(0, len(runs) - 1, min(len(runs), WORDS_A_DOC)).astype(int))] if runs else [])
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(held, pa.list_(pa.string()))], ["lang", "runs"])
-
+    chosen = labelled.select("lang", "doc_id", F.octet_length("text").alias("size")).withColumn("place", F.row_number().over(by_hash))
+    chosen = chosen.where(F.col("place") <= DOCS_A_LANGUAGE)
+    before = F.coalesce(F.sum("size").over(by_hash.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    chosen = chosen.withColumn("before", before).where(F.col("before") < BYTES_A_LANGUAGE)
+    chosen = chosen.select(F.col("lang").alias("l"), F.col("doc_id").alias("d")).distinct()
     # at most DOCS_A_LANGUAGE keys of each language: a bounded side
-    texts = labelled.join(F.broadcast(chosen), (F.col("lang") == F.col("l")) & (F.col("doc_id") == F.col("d")), "left_semi")
-    return texts.select("lang", "text").mapInArrow(run, "lang string, runs array<string>")
+    same = (F.col("lang") == F.col("l")) & (F.col("doc_id") == F.col("d"))
+    return labelled.join(F.broadcast(chosen), same, "left_semi").select("lang", "text")
 
 
 def train_network(docs: DataFrame) -> Network | None:
     """The network for the languages of the labelled rows; None where there are none."""
-    rows = [(r.lang, list(r.runs)) for r in training_sample(docs).collect()]
-    rows.sort()  # the same order whatever the tasks' order
-    languages = sorted({lang for lang, runs in rows if runs})
+    rows = sorted((r.lang, r.text) for r in training_sample(docs).collect() if has_letter(r.text))  # the same order whatever the tasks'
+    languages = sorted({lang for lang, _ in rows})
     if not languages:
         return None
     number = {lang: k for k, lang in enumerate(languages)}
-    pairs = [(piece, number[lang]) for lang, runs in rows for r in runs for piece in _pieces(r)]
     net = Network(languages)
-    net.train([w for w, _ in pairs], np.array([k for _, k in pairs]))
+    net.train([text.encode() for _, text in rows], np.array([number[lang] for lang, _ in rows]))
     return net
 
 
-class Labeller:
-    """Pools documents; remembers the sums of up to REMEMBERED distinct runs."""
-
-    def __init__(self, net: Network):
-        self.net, self.places, self.table = net, {}, np.zeros((0, len(net.languages) + 1), np.float32)
-
-    def learn(self, runs: set[str]) -> None:
-        new = [r for r in runs if r not in self.places]
-        if len(self.places) + len(new) > REMEMBERED:
-            self.places, self.table, new = {}, self.table[:0], list(runs)
-        if not new:
-            return
-        cut = [_pieces(r) for r in new]
-        sums = self.net.sums([p for c in cut for p in c])
-        first = np.cumsum([len(c) for c in cut]) - [len(c) for c in cut]
-        self.places.update({r: k + len(self.table) for k, r in enumerate(new)})
-        self.table = np.concatenate([self.table, np.add.reduceat(sums, first)])
-
-    def pooled(self, texts: list[str]) -> np.ndarray:
-        """Mean probabilities over all positions of each text (no letters: zeros)."""
-        split = [RUNS(t.lower()) for t in texts]
-        self.learn({r for s in split for r in s})
-        place = self.places.__getitem__
-        out = np.zeros((len(texts), len(self.net.languages)))
-        for k, s in enumerate(split):
-            if s:
-                total = self.table[np.fromiter(map(place, s), np.int64, len(s))].sum(axis=0, dtype=np.float64)
-                out[k] = total[:-1] / total[-1]
-        return out
-
-
-def _judge(labeller: Labeller | None, texts: list[str]) -> tuple[list[str], np.ndarray]:
+def _judge(net: Network | None, column: pa.Array) -> tuple[list[str], np.ndarray]:
     """Language and score of each text."""
-    if labeller is None or not texts:
-        return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-    p = labeller.pooled(texts)
-    scores = np.minimum(p.max(axis=1), 1.0)
-    return [labeller.net.languages[b] if s > 0 else UNDETERMINED for b, s in zip(p.argmax(axis=1), scores)], scores
+    lettered = np.array([t is not None and has_letter(t) for t in column.to_pylist()], bool)
+    names, scores = [UNDETERMINED] * len(column), np.zeros(len(column))
+    if net is None or not lettered.any():
+        return names, scores
+    data, at = text_buffers(column)
+    first = 0
+    while first < len(column):  # whole texts, up to GROUP bytes at once
+        last = max(first + 1, int(np.searchsorted(at, at[first] + GROUP, "right")) - 1)
+        p = net.pooled(data[at[first] : at[last]], at[first : last + 1] - at[first])
+        for k in np.flatnonzero(lettered[first:last]).tolist():
+            names[first + k], scores[first + k] = net.languages[int(p[k].argmax())], min(float(p[k].max()), 1.0)
+        first = last
+    return names, scores
 
 
 def keep_identified(docs: DataFrame, least_score: float) -> DataFrame:
@@ -252,17 +307,14 @@ def keep_identified(docs: DataFrame, least_score: float) -> DataFrame:
     learned from, every other row stays.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(train_network(docs.select("doc_id", "text", "lang")))
 
     def run(batches):
-        labeller = shared.value and Labeller(shared.value)
-        for batch in batches:
-            texts = batch.column("text").fill_null("").to_pylist()
-            if labeller is None:
-                good = [bool(RUNS(t)) for t in texts]
+        for batch in slices(batches):
+            if shared.value is None:
+                good = [t is not None and has_letter(t) for t in batch.column("text").to_pylist()]
             else:
-                names, scores = _judge(labeller, texts)
+                names, scores = _judge(shared.value, batch.column("text"))
                 good = [n != UNDETERMINED and s >= least_score for n, s in zip(names, scores)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
@@ -278,14 +330,11 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     Other columns are not read; ``lang`` serves as a label in training only.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    net = train_network(docs.select("doc_id", "text", "lang"))
-    shared = spark.sparkContext.broadcast(net)
+    shared = spark.sparkContext.broadcast(train_network(docs.select("doc_id", "text", "lang")))
 
     def run(batches):
-        labeller = shared.value and Labeller(shared.value)
-        for batch in batches:
-            names, scores = _judge(labeller, batch.column("text").fill_null("").to_pylist())
+        for batch in slices(batches):
+            names, scores = _judge(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"]
             )
