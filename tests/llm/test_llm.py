@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewright.llm import bloom_lm, bpe, decontaminate, frames, gru_lang, line_dedup, near_dedup, quality_rules, source_mix, token_counts, token_files, url_rules, words
+from tidewright.llm import bloom_lm, bpe, decontaminate, frames, gru_lang, line_dedup, near_dedup, quality_rules, source_mix, store, token_counts, token_files, url_rules, words
 from tidewright.llm.store import shared_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -64,10 +66,12 @@ def test_encoder_equals_the_library():
     assert [i.tolist() for i in encoder.ids(odd)] == want and list(encoder.counts(odd)) == [len(w) for w in want]
 
 
-def test_token_counts(spark, docs, empty):
+def test_token_counts(spark, docs, empty, monkeypatch):
     library = Tokenizer.from_file(VOCABULARY)
     cache = shared_path(spark, "cache")
-    for _ in range(2):  # the second run finds every count in the cache
+    for again in (False, True):
+        if again:  # the second run finds every count in the cache
+            monkeypatch.setattr(token_counts, "encode_counts", lambda *_: pytest.fail("encoded again"))
         got = token_counts.token_counts(docs, cache, VOCABULARY).collect()
         assert len(got) == docs.count()
         plain = {r.doc_id: r.text or "" for r in docs.collect()}
@@ -118,6 +122,40 @@ def test_token_files_round_trip(spark, docs, empty):
     assert token_files.read_token_files(none).count() == 0
 
 
+def test_cache_is_found_again_by_its_version(spark, tmp_path):
+    assert token_counts.cache_folder(spark, VOCABULARY) == token_counts.cache_folder(spark, VOCABULARY)
+    other = tmp_path / "v.json"
+    other.write_bytes(open(VOCABULARY, "rb").read() + b" ")
+    assert token_counts.cache_folder(spark, str(other)) != token_counts.cache_folder(spark, VOCABULARY)
+
+
+def test_hot_keys_are_looked_up(spark, monkeypatch):
+    """A key with most rows, cold keys, unknown and null keys give what a plain left join gives."""
+    rows = spark.createDataFrame([(k, "hot" if k % 3 else f"c{k % 40}" if k % 5 else None) for k in range(600)], "row long, key string")
+    table = rows.where("key IS NOT NULL AND key <> 'c3'").groupBy("key").agg(F.count("*").alias("n"), F.max("row").alias("v"))
+    want = {(r.row, r.key, r.v) for r in rows.join(table, "key", "left").collect()}
+    for share in (1, 5, 10**9):
+        monkeypatch.setattr(store, "HOT_KEYS", share)
+        got = store.look_up(rows, table, "key", "n", F.col("row")).collect()
+        assert len(got) == 600 and {(r.row, r.key, r.v) for r in got} == want
+
+
+def test_requested_documents_are_read_alone(spark, monkeypatch):
+    library = Tokenizer.from_file(VOCABULARY)
+    monkeypatch.setattr(token_files, "FRAME_IDS", 400)
+    rows = [(3 * k, prose(80, k)) for k in range(120)] + [(30, "another thirty"), (None, "no id")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = store.keep(token_files.write_token_files(table, shared_path(spark, "ids"), VOCABULARY, 2), "manifest")
+    asked = spark.createDataFrame([(30,), (30,), (357,), (31,), (None,)], "doc_id long")
+    got = token_files.read_documents(manifest, asked).collect()
+    encode = lambda t: library.encode(t, add_special_tokens=False).ids + [2]
+    assert sorted((r.doc_id, r.ids) for r in got) == sorted((i, encode(t)) for i, t in rows if i in (30, 357))
+    frames_read = {(r.path, r.frame): r.frame_bytes for r in got}
+    whole = sum(os.path.getsize(r.path.removeprefix("file:").replace("///", "/")) for r in manifest.select("path").distinct().collect())
+    assert len(frames_read) <= 3 and manifest.count() > 20 and sum(frames_read.values()) < whole / 5
+    assert token_files.read_documents(manifest.where("false"), asked).count() == 0
+
+
 def test_frames_read_only_what_is_asked():
     import io
 
@@ -221,6 +259,16 @@ def test_language_model_counts_single_bigrams(spark):
     assert all(got[i] == pytest.approx(want[i], rel=0.07) for i in want)
 
 
+def slow_distance(item, text):
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j - 1] + (a != b), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
 def test_decontamination(spark, empty):
     items = [prose(n, 1000 + n) for n in (6, 15, 30, 55)]
     r = random.Random(9)
@@ -243,7 +291,8 @@ def test_decontamination(spark, empty):
     want = {}
     for i, t in rows:
         for k, item in enumerate(items):
-            d = decontaminate.edit_distance([number[w] for w in plain(item)], [number[w] for w in plain(t)])
+            d = slow_distance([number[w] for w in plain(item)], [number[w] for w in plain(t)])
+            assert d == decontaminate.edit_distance(np.array([number[w] for w in plain(item)]), np.array([number[w] for w in plain(t)]))
             if d <= int(0.2 * len(plain(item))):
                 want[i, k] = d
     assert set(got) <= set(want) and len(set(want) & set(got)) >= 0.97 * len(want)
@@ -252,6 +301,28 @@ def test_decontamination(spark, empty):
     assert decontaminate.contaminations(empty, bench).count() == decontaminate.contaminations(docs, bench.where("false")).count() == 0
 
 
+def test_repetitions_follow_the_recall():
+    n = [decontaminate.repeats_for(x, 0.2) for x in (0.5, 0.9, 0.98)]
+    assert n == sorted(n) and 1 <= n[0] < n[2] <= decontaminate.MOST_REPEATS and decontaminate.repeats_for(0.98, 0.05) < n[2]
+
+
+def test_items_that_share_their_words(monkeypatch):
+    """Every word starts entries of every item: windows are walked in pieces and nothing is lost."""
+    r = random.Random(5)
+    few = [f"w{k}" for k in range(12)]
+    items = [" ".join(r.sample(few, 12)) for _ in range(200)]
+    hashed, at = decontaminate.plain_words(pa.array(items))
+    index = decontaminate.Index(list(range(200)), [hashed[i:j] for i, j in zip(at, at[1:])], 10)
+    data, rows = decontaminate.plain_words(pa.array([f"x {items[3]} y", None, items[150]]))
+    walked, walk = [], decontaminate.Index.walk
+    monkeypatch.setattr(decontaminate.Index, "walk", lambda self, entry, *more: walked.append(len(entry)) or walk(self, entry, *more))
+    whole = list(index.matches(data, rows, 0.1))
+    monkeypatch.setattr(decontaminate, "_WINDOWS", 500)
+    walked.clear()
+    assert list(index.matches(data, rows, 0.1)) == whole and max(walked) <= 500 < sum(walked)
+    assert {(0, 3, 0, 1), (2, 150, 0, 0)} <= set(whole)
+
+
 def test_line_dedup(spark, docs, empty):
     common, rare = "This line is found in many documents", "this one is in two documents only"
     rows = [(k, f"own {k}\n  {common.upper() if k % 2 else common} \n{rare if k < 2 else ''}\nshort") for k in range(6)]
@@ -283,9 +354,38 @@ def test_source_mix(spark, empty):
         target[source[x.doc_id]] = x.target
     assert sum(target.values()) == pytest.approx(1.5 * sum(size.values()))
     assert all(target[s] <= 2 * size[s] + 1e-6 and abs(taken[s] - target[s]) <= 1 for s in target)
+    # the same in plain Python: each source's shuffled stream, its first target words
+    place = lambda i: (int(hashlib.md5(f"7:{i}".encode()).hexdigest()[:15], 16), i)
+    once = {}
+    for s in target:
+        stream = [w for k in sorted((k for k, _, x in rows if x == s and k not in (5, 6)), key=place) for w in [k] * len((rows[k][1] or "").split())]
+        stream = stream if s not in (source[5], source[6]) else None
+        for w in (stream * 2)[: int(target[s] + 0.5)] if stream else []:
+            once[w] = once.get(w, 0) + 1
+    plain = [s for s in target if s not in (source[5], source[6])]
+    assert plain and [(x.doc_id, x.taken, once.get(x.doc_id, 0)) for x in got if source[x.doc_id] in plain and x.taken != once.get(x.doc_id, 0)] == []
     assert source_mix.taken_words(empty).count() == 0
 
 
+def test_blocks_of_the_schedule_cover_what_is_taken(spark):
+    """Any block size takes the same words; the pieces of a source follow its stream without gap or overlap."""
+    rows = [(k, prose(random.Random(k).randint(0, 50), k), f"s{k % 7}") for k in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sums = []
+    for block in (10, 2048):
+        pieces, documents = source_mix.mix_sources(table, block=block)
+        got = pieces.orderBy("source", "place").collect()
+        assert all(b.place == a.place + a.n_words for a, b in zip(got, got[1:]) if a.source == b.source)
+        sums.append(sorted((r.doc_id, r["sum(n_words)"]) for r in pieces.groupBy("doc_id").sum("n_words").collect()))
+    assert sums[0] == sums[1]
+
+
+def test_very_many_sources(spark):
+    goals = spark.range(20_000).select(F.concat(F.lit("s"), "id").alias("source"), F.lit(50).alias("source_size"), F.lit(60.0).alias("target"))
+    plan = source_mix.schedule(goals, 10)
+    assert plan.count() == plan.select("source", "rank").distinct().count() == 120_000
+
+
 def test_schedule_is_even(spark):
     goals = spark.createDataFrame([("a", 100, 6000.0), ("b", 100, 3000.0), (None, 100, 1000.0)], "source string, source_size long, target double")
     rows = source_mix.schedule(goals, 1).orderBy("slot").collect()
@@ -321,11 +421,39 @@ def test_gradients():
             assert g[at] == pytest.approx((up - down) / (2 * step), abs=3e-3)
 
 
+def test_windows_label_every_position_once():
+    texts = ["", "a", "é" * 100, prose(30, 1), "漢字" * 40]
+    data, at = words.text_buffers(pa.array(texts))
+    text, begin, end, low, high = gru_lang.windows(data, at, 16, 5)
+    for k in range(len(texts)):
+        mine = np.flatnonzero(text == k)
+        covered = [p for w in mine for p in range(low[w], high[w])]
+        assert covered == list(range(at[k], at[k + 1])) and all(at[k] <= begin[w] <= low[w] and high[w] <= end[w] <= at[k + 1] for w in mine)
+    assert all(bytes(data[i:j]).decode() for i, j in zip(low, high))  # cut between characters
+
+
+def test_reading_equals_the_trained_network():
+    """Windows with enough context give what one pass over the whole text gives, blanks and digits included."""
+    net = gru_lang.Network(["x", "y", "z"], seed=4)
+    texts = [prose(40, 1) + " 12 !?", "É " * 30, "a"]
+    data, at = words.text_buffers(pa.array(texts))
+    want = []
+    for t in texts:
+        p, _ = net.run([gru_lang._FOLD[np.frombuffer(t.encode(), np.uint8)].tobytes()])
+        want.append(p[:, 0].mean(axis=0))
+    assert net.pooled(data, at, core=1 << 20) == pytest.approx(np.array(want), abs=1e-5)
+    assert net.pooled(data, at, core=32, context=64) == pytest.approx(np.array(want), abs=1e-3)
+
+
+def test_what_is_no_letter():
+    assert not any(map(gru_lang.has_letter, ["", "12 ²½Ⅷ① _-!", "\u0301"])) and all(map(gru_lang.has_letter, ["漢", "1é", "x", "ª"]))
+
+
 def test_languages(spark, docs, empty, monkeypatch):
     r = random.Random(3)
     make = lambda letters, n: " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 8))) for _ in range(n))
     rows = [(k, make("abcdeimno" if k % 2 else "rstuvwxyz", r.randint(3, 60)), "p" if k % 2 else "q") for k in range(200)]
-    rows += [(900, None, "p"), (901, "12 !?", "q"), (902, "ABC dem", None)]
+    rows += [(900, None, "p"), (901, "12 ²½Ⅷ① !?", "q"), (902, "ABC dem", None)]
     got = {x.doc_id: x for x in gru_lang.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     held = [x for x in got.values() if x.held_out and x.doc_id < 900]
     assert held and all(x.lang_pred == ("p" if x.doc_id % 2 else "q") for x in held)
@@ -357,6 +485,17 @@ def test_url_rules(spark):
     assert url_rules.judge_urls(pages.where("false"), table).count() == 0 and url_rules.judge_urls(pages, table.where("false")).where("verdict = 'allow'").count() == 13
 
 
+def test_very_long_and_very_common_urls(spark):
+    rules = spark.createDataFrame([("net", "/", "block"), ("a.net", "/s/s", "allow"), ("ab", "c", "block")], "host string, path string, action string")
+    long = f"http://{'a.' * 10_000}net/{'s/' * 10_000}"
+    pages = spark.createDataFrame([(1, long), (2, "http://abc"), *[(k, "http://x.net/1") for k in range(3, 400)]], "page_id long, url string")
+    url_rules.judge_urls(pages.where("page_id > 1"), rules).collect()
+    began = time.perf_counter()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(pages, rules).collect()}
+    assert time.perf_counter() - began < 20  # no expression for each pair of a label and a segment
+    assert got[1] == ("a.net/s/s", "allow") and got[2] == (None, "allow") and all(got[k] == ("net/", "block") for k in range(3, 400))
+
+
 def shingle_set(text):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
@@ -381,9 +520,9 @@ def brute_components(rows):
     return sets, {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_near_duplicates(spark, docs, empty, monkeypatch, block):
-    monkeypatch.setattr(near_dedup, "BLOCK", block)
+@pytest.mark.parametrize("run", [256, 4])
+def test_near_duplicates(spark, docs, empty, monkeypatch, run):
+    monkeypatch.setattr(near_dedup, "RUN", run)
     r = random.Random(6)
     rows = list(enumerate(texts()))
     for k in range(40):  # one family in which few pairs are close and the rest are not quite
@@ -394,12 +533,50 @@ def test_near_duplicates(spark, docs, empty, monkeypatch, block):
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     sets, component = brute_components(rows)
     assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in got} == {i: (len(s), component[i], component[i] == i) for i, s in sets.items()}
-    if block == 256:
+    if run == 256:
         odd = near_dedup.near_duplicates(docs).collect()
         assert len(odd) == docs.count() and [x for x in odd if x.doc_id is None][0].kept
         assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_merged_lists_are_the_collisions():
+    r = np.random.default_rng(3)
+    left = r.integers(0, 3, (70, 16)).astype(np.uint32)
+    right = np.concatenate([left[:30], r.integers(0, 3, (40, 16)).astype(np.uint32)])
+    for match in (1, 6, 9, 16):
+        want = np.argwhere((left[:, None, :] == right[None]).sum(axis=2) >= match).tolist()
+        for wide in (1 << 21, 50):
+            with pytest.MonkeyPatch.context() as patch:
+                patch.setattr(near_dedup, "_WIDE", wide)
+                i, j = near_dedup.merge_lists(left, right, match)
+            assert sorted(zip(i.tolist(), j.tolist())) == sorted(map(tuple, want))
+
+
+def test_near_duplicates_in_a_group_of_thousands(spark):
+    """Edits of one text at all distances, so that hub, members and chains of links all matter."""
+    r, base, rows = random.Random(8), prose(60, 9).split(), []
+    for k in range(2000):
+        w = list(base)
+        for _ in range(r.choice((0, 1, 1, 2, 2, 3, 4, 6))):
+            w[r.randrange(60)] = f"n{r.random()}"
+        rows.append((k, " ".join(w)))
+    sets = [shingle_set(t) for _, t in rows]
+    number = {x: k for k, x in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((2000, len(number)), np.float32)
+    for k, x in enumerate(sets):
+        held[k, [number[y] for y in x]] = 1
+    both, size = np.rint(held @ held.T).astype(int), held.sum(axis=1).astype(int)
+    linked = 100 * both >= 75 * (size[:, None] + size[None, :] - both)
+    component = np.arange(2000)
+    while True:
+        new = np.where(linked, component[None, :], 2000).min(axis=1)
+        if (new == component).all():
+            break
+        component = new
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(component)) > 100 and got == dict(enumerate(component.tolist()))
+
+
 def test_digest_of_the_kept_text(spark):
     table = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
     row = line_dedup.dedup_lines(table).select(F.sha2(F.col("text").cast("binary"), 256).alias("h")).first()

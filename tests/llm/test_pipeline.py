@@ -46,7 +46,19 @@ def test_stages(spark, tmp_path):
 def test_empty_and_more_columns(spark, tmp_path):
     folder, _ = documents(spark, tmp_path)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    for table in (docs.where("false"), docs.withColumns({c: F.lit(1) for c in ("row", "kept", "bad_row", "kept_id", "mix_row", "rep", "score")})):
+    for table in (docs.where("false"), docs.withColumns({c: F.lit(1) for c in ("row", "kept", "bad_row", "kept_id", "mix_row", "mix_copy", "mix_copies", "col", "columns", "id", "rep", "score")})):
         for name, stage in pipeline.STAGES[:4]:
             out = keep(stage(spark, table, folder), name)
             assert out.columns == table.columns and out.count() <= 2 * table.count()
+
+
+def test_rows_that_repeat_a_doc_id(spark, tmp_path):
+    """Different texts of one doc_id are documents of their own; copies of one text are one, whatever the partitions."""
+    one, two, three = prose(40, 1), prose(40, 2), prose(40, 3)
+    rows = [(1, one, "en"), (1, two, "en"), (1, one, "fr"), (2, two + " x", "en"), (3, three, "en"), (3, three, "en"), (None, three, "en"), (None, three, "en")]
+    table = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stays = [sorted((r.doc_id or 0, r.text, r.lang) for r in pipeline.near_dedup(spark, table.repartition(n), "").collect()) for n in (1, 5)]
+    assert stays[0] == stays[1]
+    texts = [(i, t) for i, t, _ in stays[0]]
+    assert texts.count((0, three)) == 2 and texts.count((3, three)) == 1 and texts.count((1, one)) == 1
+    assert len([t for _, t in texts if t.startswith(two)]) == 1 and len(texts) == 5
