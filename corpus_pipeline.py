@@ -32,19 +32,36 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest doc_id.
+    """One document of each near-duplicate group stays: the one with the smallest id.
 
-    Rows without a doc_id are in no group and stay; rows that repeat a doc_id
-    are one document and become one row.
+    A document's id is its doc_id.  Rows that repeat a doc_id with different
+    texts are documents of their own: the text with the smallest hash goes by
+    the doc_id and each other one by a hash of doc_id and text.  Rows that
+    repeat doc_id and text are copies, of which the one with the smallest hash
+    over all columns stays.  Rows without a doc_id are in no group and stay.
     """
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi")
-    return known.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    hidden = F.struct(*[F.col(c) for c in docs.columns]).alias("columns")  # so that no caller's column can clash
+    rows = docs.select(F.col("doc_id").alias("id"), row_key().alias("text_key"), hidden)
+    groups = rows.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n"), F.min("text_key").alias("first_key"))
+    groups = keep(groups.where("n > 1").select(F.col("id").alias("group_id"), "first_key"), "repeated-ids")
+    repeated = rows.join(groups, rows["id"] == groups["group_id"])
+    copy_key = F.xxhash64(F.to_json("columns", {"ignoreNullFields": "false"}))
+    repeated = repeated.groupBy("id", "text_key").agg(F.first("first_key").alias("first_key"), F.min_by("columns", copy_key).alias("columns"))
+    own = F.when(F.col("text_key") == F.col("first_key"), F.col("id")).otherwise(F.xxhash64("id", "text_key"))
+    single = rows.where("id IS NOT NULL").join(groups, rows["id"] == groups["group_id"], "left_anti")
+    known = single.select("id", "columns").unionByName(repeated.select(own.alias("id"), "columns"))
+    if not groups.isEmpty():
+        known = keep(known, "own-ids")
+    texts = known.select(F.col("id").alias("doc_id"), F.col("columns.text").alias("text"))
+    kept = near_duplicates(texts).where("kept").select(F.col("doc_id").alias("kept_id"))
+    stay = known.join(kept, known["id"] == kept["kept_id"], "left_semi").select("columns")
+    return stay.unionByName(rows.where("id IS NULL").select("columns")).select("columns.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    bad = contaminations(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("row").alias("bad_row")).distinct()
+    found = keep(contaminations(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "contaminated")
+    bad = found.select(F.col("row").alias("bad_row")).distinct()
     return docs.join(bad, row_key().eqNullSafe(bad["bad_row"]), "left_anti")
 
 
@@ -57,10 +74,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     often = F.round(F.sum("taken") / F.sum("size")).cast("int").alias("mix_copies")
     taken = taken_words(docs).where("size > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("row").alias("mix_row")).agg(often)
-    taken = taken.where("mix_copies > 0")
+    taken = taken.where("mix_copies > 0").select("mix_id", "mix_row", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))  # a row a copy
     same = docs["doc_id"].eqNullSafe(taken["mix_id"]) & (row_key() == taken["mix_row"])
-    copies = F.explode(F.sequence(F.lit(1), taken["mix_copies"])).alias("mix_copy")
-    return docs.join(taken, same).select(*[docs[c] for c in docs.columns], copies).drop("mix_copy")
+    return docs.join(taken, same).select(*[docs[c] for c in docs.columns])
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
