@@ -7,45 +7,51 @@ import numpy as np
 
 def bar_ids(amounts: np.ndarray, threshold: float) -> np.ndarray:
     """Number of the bar of each trade; -1 in the unfinished last bar. An amount restarts at 0 after a bar."""
-    ids, total, k = np.empty(len(amounts), np.int64), 0.0, 0
-    for i, a in enumerate(amounts):
-        ids[i] = k
-        total += a
-        if total >= threshold:
-            total, k = 0.0, k + 1
-    ids[ids == k] = -1
+    ids, begin, k, look = np.full(len(amounts), -1, np.int64), 0, 0, 64
+    while begin < len(amounts):
+        full = np.cumsum(amounts[begin : begin + look]) >= threshold
+        if full.any():
+            end = begin + int(full.argmax()) + 1
+            ids[begin:end] = k
+            look = max(64, 2 * (end - begin))  # about the length of a bar
+            begin, k = end, k + 1
+        elif begin + look >= len(amounts):
+            break
+        else:
+            look *= 2
     return ids
 
 
 def cusum_hits(values: np.ndarray, h: float) -> np.ndarray:
-    up = down = 0.0
+    """Where the sum of rises since its lowest point passes ``h``, or that of falls; the one that does restarts at 0.
+
+    From hit to hit over stretches that grow while none is found, so that work
+    follows the values and the hits, without a step per value.
+    """
+    moves = np.diff(values)
     hit = np.zeros(len(values), bool)
-    for i in range(1, len(values)):
-        x = values[i] - values[i - 1]
-        up, down = max(0.0, up + x), min(0.0, down + x)
-        if down < -h:
-            down, hit[i] = 0.0, True
-        elif up > h:
-            up, hit[i] = 0.0, True
+    at, up, down, look = 0, 0.0, 0.0, 64
+    while at < len(moves):
+        part = np.cumsum(moves[at : at + look])
+        rise, fall = part + up, part + down
+        rise = rise - np.minimum.accumulate(np.minimum(rise, 0.0))
+        fall = fall - np.maximum.accumulate(np.maximum(fall, 0.0))
+        passed = (fall < -h) | (rise > h)
+        end = int(passed.argmax()) if passed.any() else len(part) - 1
+        up, down = float(rise[end]), float(fall[end])
+        if passed.any():
+            hit[at + end + 1] = True
+            if down < -h:
+                down = 0.0
+            else:
+                up = 0.0
+            look = max(64, 2 * (end + 1))
+        else:
+            look *= 2
+        at += end + 1
     return hit
 
 
-def ewm_std(values: np.ndarray, span: int) -> np.ndarray:
-    """Bias-corrected deviation under exponentially falling weights; the first is missing."""
-    q = 1 - 2 / (span + 1)
-    w = w2 = mean = m2 = 0.0
-    out = np.full(len(values), np.nan)
-    for i, x in enumerate(values):
-        w, w2, m2 = q * w, q * q * w2, q * m2
-        d = x - mean
-        w, w2 = w + 1, w2 + 1
-        mean += d / w
-        m2 += d * (x - mean)
-        if i:
-            out[i] = np.sqrt(max(m2, 0.0) / w * w * w / (w * w - w2))
-    return out
-
-
 def draw_sequential(first: np.ndarray, last: np.ndarray, draws: int, rng: np.random.Generator) -> np.ndarray:
     """Events drawn with probabilities in proportion to their uniqueness among those drawn before."""
     depth = np.zeros(int(last.max()) + 1)

@@ -30,6 +30,11 @@ def vwap(trades: DataFrame, price: str = "price", quantity: str = "size", key: s
     return trades.groupBy(key).agg(F.try_divide(F.sum(F.col(price) * F.col(quantity)), F.sum(quantity)).alias("vwap"))
 
 
+def with_vwap(trades: DataFrame, price: str = "price", quantity: str = "size", key: str = "symbol") -> DataFrame:
+    """Every trade with its symbol's ``vwap``; means are summed first, and Spark broadcasts them where they are few."""
+    return trades.join(vwap(trades, price, quantity, key), key, "left")
+
+
 def dollar_bars(
     trades: DataFrame, threshold: float, reset: str = "exact", key: str = "symbol", ts: str = "ts", seq: str = "seq"
 ) -> DataFrame:
@@ -46,7 +51,7 @@ def dollar_bars(
         dealt = trades.withColumn("bar_id", F.floor(before / threshold)).withColumn("day", F.lit(None).cast("date"))
     else:
         parts = [key, "day"]
-        rows = trades.withColumn("day", F.to_date(ts) if reset == "daily" else F.lit(None).cast("date"))
+        rows = trades.select(key, ts, seq, "price", "size").withColumn("day", F.to_date(ts) if reset == "daily" else F.lit(None).cast("date"))
 
         def number(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values([ts, seq], kind="stable")
@@ -84,37 +89,18 @@ def rolled_series(rows: DataFrame, columns: tuple[str, ...] = ("close",), **name
     return roll_gaps(rows, **names).withColumns({c: F.col(c) - F.col("gap") for c in columns})
 
 
-def cusum_events(bars: DataFrame, h: float, engine: str = "fold", key: str = "code", ts: str = "ts", value: str = "close") -> DataFrame:
+def cusum_events(bars: DataFrame, h: float, key: str = "code", ts: str = "ts", value: str = "close") -> DataFrame:
     """Times at which the symmetric CUSUM of the differences passes ``h``: ``code, t0``.
 
-    ``fold`` aggregates each code's sorted array inside Catalyst; ``pandas``
-    suits long series.
+    Sequential within a code by nature: a code's times and values, two columns,
+    go to one task.
     """
     rows = bars.select(key, ts, F.col(value).cast("double").alias("v"))
-    if engine == "pandas":
-
-        def find(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values(ts)
-            hit = cusum_hits(frame["v"].to_numpy(float), h)
-            return frame.loc[hit, [key, ts]].rename(columns={ts: "t0"})
-
-        kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-        return rows.groupBy(key).applyInPandas(find, f"{key} {kind[key]}, t0 {kind[ts]}")
-    series = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(ts, "v"))).alias("s"))
-    kind = rows.schema[ts].dataType.simpleString()
-    start = F.struct(
-        F.lit(None).cast("double").alias("p"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.array().cast(f"array<{kind}>").alias("t")
-    )
 
-    def step(a, x):
-        move = F.coalesce(x["v"] - a["p"], F.lit(0.0))
-        up, down = F.greatest(F.lit(0.0), a["up"] + move), F.least(F.lit(0.0), a["down"] + move)
-        low, high = down < -h, up > h
-        return F.struct(
-            x["v"].alias("p"),
-            F.when(~low & high, 0.0).otherwise(up).alias("up"),
-            F.when(low, 0.0).otherwise(down).alias("down"),
-            F.when(low | high, F.array_append(a["t"], x[ts])).otherwise(a["t"]).alias("t"),
-        )
-
-    return series.select(key, F.explode(F.aggregate("s", start, step, lambda a: a["t"])).alias("t0"))
+    def find(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(ts)
+        hit = cusum_hits(frame["v"].to_numpy(float), h)
+        return frame.loc[hit, [key, ts]].rename(columns={ts: "t0"})
+
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.groupBy(key).applyInPandas(find, f"{key} {kind[key]}, t0 {kind[ts]}")

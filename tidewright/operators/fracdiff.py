@@ -6,39 +6,39 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.clean import last_known
 
 
-def weights(d: float, size: int) -> list[float]:
-    w = [1.0]
-    for k in range(1, size):
-        w.append(-w[-1] / k * (d - k + 1))
-    return w
+def weights(d: float, size: int) -> np.ndarray:
+    """The first coefficients of (1 - x) ** d: running products of (k - 1 - d) / k."""
+    k = np.arange(1, size)
+    return np.cumprod(np.r_[1.0, (k - 1 - d) / k])
 
 
-def weights_ffd(d: float, thres: float = 1e-4) -> list[float]:
-    """Weights up to the first that is smaller than ``thres``."""
-    w, k = [1.0], 1
-    while abs(nxt := -w[-1] / k * (d - k + 1)) >= thres:
-        w.append(nxt)
-        k += 1
-    return w
+def weights_ffd(d: float, thres: float = 1e-4) -> np.ndarray:
+    """The coefficients before the first whose size is under ``thres``."""
+    size = 64
+    while True:
+        w = weights(d, size)
+        under = np.abs(w) < thres
+        if under.any():
+            return w[: int(under.argmax())]
+        size *= 4
 
 
-def weight_table(spark: SparkSession, degrees: list[float], size: int) -> DataFrame:
-    """``d, k, w`` of several degrees, by a fold over k."""
-    rows = spark.createDataFrame([(float(d),) for d in degrees], "d double")
-    step = lambda a, k: F.array_append(a, -F.element_at(a, -1) / k * (F.col("d") - k + 1))
-    folded = F.aggregate(F.sequence(F.lit(1), F.lit(size - 1)), F.array(F.lit(1.0)), step)
-    return rows.select("d", F.posexplode(folded).alias("k", "w"))
+def weight_table(degrees: DataFrame, size: int) -> DataFrame:
+    """``d, k, w`` for every row of ``degrees(d)``, by a fold over k inside Spark."""
+    ratio = lambda w, k: F.element_at(w, -1) * (k - 1 - F.col("d")) / k
+    folded = F.aggregate(F.sequence(F.lit(1), F.lit(size - 1)), F.array(F.lit(1.0)), lambda w, k: F.array_append(w, ratio(w, k)))
+    return degrees.select("d", F.posexplode(folded).alias("k", "w"))
 
 
 def frac_diff_ffd(bars: DataFrame, columns: list[str], d: float = 0.5, thres: float = 1e-4, key: str = "code", ts: str = "ts") -> DataFrame:
     """``code, ts, fd_<column>``: fixed-width weighted sums of the last known values; rows without one go."""
-    w = np.array(weights_ffd(d, thres))
+    w = weights_ffd(d, thres)
     rows = bars.select(key, ts, *columns).withColumns({f"_{c}": last_known(c, key, ts) for c in columns})
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -72,9 +72,10 @@ def frac_diff(bars: DataFrame, columns: list[str], d: float = 0.5, thres: float
             begin = known[0] if len(known) else len(x)
             n = len(x) - begin
             if n:
-                w = np.array(weights(d, n))
-                share = np.cumsum(np.abs(w[::-1]))
-                skip = int((share / share[-1] > thres).sum())
+                w = weights(d, n)
+                size = np.abs(w)
+                missing = 1 - (np.cumsum(size) - size) / size.sum()  # of all weight, what a row with k earlier values lacks
+                skip = int((missing > thres).sum())
                 value[begin + skip :] = np.convolve(x[begin:], w)[:n][skip:]
             value[~np.isfinite(frame[c].to_numpy(float))] = np.nan
             out[f"fd_{c}"] = value
@@ -94,5 +95,3 @@ def sample_features(events: DataFrame, bins: DataFrame, features: DataFrame, key
 def stack(tables: list[DataFrame]) -> DataFrame:
     """The tables of several codes in one."""
     return reduce(DataFrame.unionByName, tables)
-
-

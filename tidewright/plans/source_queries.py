@@ -143,7 +143,7 @@ def t5_cusum(spark, d):
 
 
 def t5_cusum_long(spark, d):
-    return B.cusum_events(bars(spark, d), 20.0, engine="pandas")
+    return B.cusum_events(bars(spark, d), 20.0)
 
 
 _NEXT = "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
