@@ -6,7 +6,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import ewm_std
 from .bars import cusum_events
 
 
@@ -27,18 +26,22 @@ def daily_vol(bars: DataFrame, num_days: int = 1, span: int = 100, key: str = "c
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(ts)
-        frame["trgt"] = ewm_std(frame["ret"].to_numpy(float), span)
+        frame["trgt"] = frame["ret"].ewm(span=span).std()
         return frame[[key, ts, "trgt"]].dropna()
 
     kind = {f.name: f.dataType.simpleString() for f in returns.schema}
     return returns.groupBy(key).applyInPandas(run, f"{key} {kind[key]}, {ts} {kind[ts]}, trgt double")
 
 
+def _barriers(bars: DataFrame, num_days: int, key: str, ts: str) -> DataFrame:
+    """``code, t0, t1, p0`` of every bar: its vertical barrier and its close, in one window pass."""
+    ahead = Window.partitionBy(key).orderBy(_day(ts)).rangeBetween(num_days, Window.unboundedFollowing)
+    return bars.select(key, F.col(ts).alias("t0"), F.min(ts).over(ahead).alias("t1"), F.col("close").alias("p0"))
+
+
 def vertical_barrier(events: DataFrame, bars: DataFrame, num_days: int, key: str = "code", ts: str = "ts") -> DataFrame:
     """Adds ``t1``: the first bar at or after t0 + num_days, null past the end."""
-    ahead = Window.partitionBy(key).orderBy(_day(ts)).rangeBetween(num_days, Window.unboundedFollowing)
-    ends = bars.select(key, F.col(ts).alias("t0"), F.min(ts).over(ahead).alias("t1"))
-    return events.join(ends, [key, "t0"])
+    return events.join(_barriers(bars, num_days, key, ts).drop("p0"), [key, "t0"])
 
 
 def event_targets(events: DataFrame, vol: DataFrame, min_ret: float, key: str = "code", ts: str = "ts") -> DataFrame:
@@ -46,25 +49,36 @@ def event_targets(events: DataFrame, vol: DataFrame, min_ret: float, key: str =
     return events.join(vol.withColumnRenamed(ts, "t0"), [key, "t0"]).where(F.col("trgt") > min_ret)
 
 
-def first_touch(events: DataFrame, bars: DataFrame, ptsl=(1.0, 1.0), max_days: int | None = None, key: str = "code", ts: str = "ts") -> DataFrame:
+def first_touch(
+    events: DataFrame, bars: DataFrame, ptsl=(1.0, 1.0), max_days: int | None = None, bucket_days: int = 16, key: str = "code", ts: str = "ts"
+) -> DataFrame:
     """Adds ``pt, sl``: the first times at which the signed return passes a barrier in [t0, t1].
 
-    An interval join on code and time.  Events carry their own price; ``max_days``
-    bounds the path of events without a vertical barrier.
+    Events and bars meet in an equi-join on the code and on stretches of
+    ``bucket_days``: an event is in the stretches that its path crosses, so that
+    it meets the bars of its path and not its code's whole history.  A path
+    without a vertical barrier ends after ``max_days``, else at the code's last
+    bar.  A column ``p0`` of the events is taken as their price.
     """
-    prices = bars.select(F.col(key).alias("k"), F.col(ts).alias("t"), F.col("close").alias("p"))
-    start = bars.select(key, F.col(ts).alias("t0"), F.col("close").alias("p0"))
-    rows = events.join(start, [key, "t0"])
-    inside = (F.col(key) == F.col("k")) & (F.col("t") >= F.col("t0")) & ((F.col("t") <= F.col("t1")) | F.col("t1").isNull())
+    columns = [c for c in events.columns if c != "p0"]
+    if "p0" not in events.columns:
+        events = events.join(bars.select(key, F.col(ts).alias("t0"), F.col("close").alias("p0")), [key, "t0"])
     if max_days is not None:
-        inside = inside & (F.col("t") <= F.date_add("t0", max_days))
-    r = (F.col("p") / F.col("p0") - 1) * F.col("side")
+        rows = events.withColumn("_end", F.least("t1", F.date_add("t0", max_days).cast(bars.schema[ts].dataType)))
+    else:
+        last = bars.groupBy(key).agg(F.max(ts).alias("_last"))  # a row a code
+        rows = events.join(last, key, "left").withColumn("_end", F.coalesce("t1", "_last")).drop("_last")
+    stretch = lambda t: F.floor(_day(t) / bucket_days).cast("long")
+    rows = rows.withColumn("_b", F.explode(F.sequence(stretch("t0"), F.greatest(stretch("t0"), stretch("_end")))))
+    prices = bars.select(F.col(key).alias("_k"), F.col(ts).alias("_t"), F.col("close").alias("_p"), stretch(ts).alias("_at"))
+    inside = (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_at")) & (F.col("_t") >= F.col("t0")) & (F.col("_t") <= F.col("_end"))
+    r = (F.col("_p") / F.col("p0") - 1) * F.col("side")
     none = F.lit(None).cast(bars.schema[ts].dataType)
     touch = {
-        "sl": F.min(F.when(r < -ptsl[1] * F.col("trgt"), F.col("t"))) if ptsl[1] else F.min(none),
-        "pt": F.min(F.when(r > ptsl[0] * F.col("trgt"), F.col("t"))) if ptsl[0] else F.min(none),
+        "sl": F.min(F.when(r < -ptsl[1] * F.col("trgt"), F.col("_t"))) if ptsl[1] else F.min(none),
+        "pt": F.min(F.when(r > ptsl[0] * F.col("trgt"), F.col("_t"))) if ptsl[0] else F.min(none),
     }
-    return rows.join(prices, inside, "left").groupBy(*events.columns).agg(*[c.alias(n) for n, c in touch.items()])
+    return rows.join(prices, inside, "left").groupBy(*columns).agg(*[c.alias(n) for n, c in touch.items()])
 
 
 def get_events(
@@ -75,10 +89,10 @@ def get_events(
     Without ``side`` (code, t0, side) the barriers are symmetric, both with the first factor.
     """
     rows = event_targets(events, vol, min_ret, key, ts)
+    facts = _barriers(bars, num_days or 0, key, ts)
     if num_days is None:
-        rows = rows.withColumn("t1", F.lit(None).cast(bars.schema[ts].dataType))
-    else:
-        rows = vertical_barrier(rows, bars, num_days, key, ts)
+        facts = facts.withColumn("t1", F.lit(None).cast(bars.schema[ts].dataType))
+    rows = rows.join(facts, [key, "t0"])
     if side is None:
         rows, factors = rows.withColumn("side", F.lit(1.0)), (ptsl[0], ptsl[0])
     else:
@@ -87,10 +101,34 @@ def get_events(
     return touched.select(key, "t0", F.least("t1", "sl", "pt").alias("t1"), "trgt", "side")
 
 
-def get_bins(events: DataFrame, bars: DataFrame, meta: bool = False, key: str = "code", ts: str = "ts") -> DataFrame:
-    """``code, t0, t1, ret, bin`` of the events that end; meta: signed return and a bin of 0 or 1."""
-    price = lambda t, p: bars.select(key, F.col(ts).alias(t), F.col("close").alias(p))
-    rows = events.where("t1 IS NOT NULL").join(price("t0", "p0"), [key, "t0"]).join(price("t1", "p1"), [key, "t1"])
+def prices_at(times: DataFrame, bars: DataFrame, name: str, price: str, key: str = "code", ts: str = "ts") -> DataFrame:
+    """Adds ``price``: the close of the first bar at or after each time ``name`` (null past the last bar).
+
+    Times and bars are put in one order per code; a time takes the next bar from
+    a frame that looks ahead, so no join compares times.
+    """
+    wanted = times.select(key, F.col(name).alias("_at")).distinct()
+    marks = wanted.select(key, "_at", F.lit(None).cast("double").alias("_close")).unionByName(
+        bars.select(key, F.col(ts).alias("_at"), F.col("close").cast("double").alias("_close"))
+    )
+    ahead = Window.partitionBy(key).orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    found = marks.withColumn("_next", F.first("_close", ignorenulls=True).over(ahead)).where("_close IS NULL")
+    found = found.select(F.col(key).alias("_key"), "_at", F.col("_next").alias(price)).distinct()
+    return times.join(found, (F.col(key) == F.col("_key")) & (F.col(name) == F.col("_at")), "left").drop("_key", "_at")
+
+
+def get_bins(events: DataFrame, bars: DataFrame, meta: bool = False, key: str = "code", ts: str = "ts", fill: bool = False) -> DataFrame:
+    """``code, t0, t1, ret, bin`` of the events that end; meta: signed return and a bin of 0 or 1.
+
+    Prices are those of the bars at t0 and t1.  ``fill``: a time between two bars
+    takes the next bar's price, and one past the last bar has none (ret null).
+    """
+    ended = events.where("t1 IS NOT NULL")
+    if fill:
+        rows = prices_at(prices_at(ended, bars, "t0", "p0", key, ts), bars, "t1", "p1", key, ts)
+    else:
+        price = lambda t, p: bars.select(key, F.col(ts).alias(t), F.col("close").alias(p))
+        rows = ended.join(price("t0", "p0"), [key, "t0"]).join(price("t1", "p1"), [key, "t1"])
     ret = F.col("p1") / F.col("p0") - 1
     if meta:
         ret = ret * F.col("side")

@@ -6,28 +6,50 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import keep
+
 POSITION = "_pos"
 
 
+def _dealt(rows: DataFrame, order: list) -> DataFrame:
+    """``rows`` in ranges of ``order``, numbered by ``_part`` and written, so that a rerun task sees the same ranges."""
+    return keep(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def _earlier():
+    """The ranges before: a window over a row per range."""
+    return Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def purge(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Training intervals that overlap no test interval (``test``: t0, t1, a few rows)."""
-    ends = test.select(F.col("t0").alias("a"), F.col("t1").alias("b"))
-    return train.join(ends, (F.col("t0") <= F.col("b")) & (F.col("t1") >= F.col("a")), "left_anti")
+    """Training intervals that overlap no test interval (both: t0, t1).
+
+    An interval overlaps one of the tests that begin by its end if the largest
+    end among those is at or after its own begin: a running maximum in order of
+    time, in two levels (ranges, then rows in a range), instead of a join on
+    inequalities.
+    """
+    columns = F.struct(*train.columns).alias("_row")
+    rows = train.select(F.col("t1").alias("_t"), F.lit(None).cast(test.schema["t1"].dataType).alias("_b"), columns)
+    begins = test.select(F.col("t0").alias("_t"), F.col("t1").alias("_b"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"))
+    both = _dealt(rows.unionByName(begins), ["_t"])
+    sizes = both.groupBy("_part").agg(F.max("_b").alias("_m"))
+    sizes = sizes.select("_part", F.max("_m").over(_earlier()).alias("_earlier"))
+    inside = F.max("_b").over(Window.partitionBy("_part").orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    held = both.withColumn("_b", inside).join(F.broadcast(sizes), "_part").where("_row IS NOT NULL")  # a row per range
+    return held.where(~F.coalesce(F.greatest("_b", "_earlier") >= F.col("_row.t0"), F.lit(False))).select("_row.*")
 
 
 def positions(rows: DataFrame, order: list[str]) -> DataFrame:
     """Adds the global position in ``order`` from 0, in two levels: no task sees all rows.
 
-    Rows are range-partitioned and persisted, so that both levels see the same
-    ranges; a partition's rows are numbered in it, and the sums of the
-    partitions before (a row each) are added.
+    A range's rows are numbered in it, and the sums of the ranges before are added.
     """
-    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    dealt = _dealt(rows, order)
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("_part", before.alias("_before"))
-    numbered = dealt.withColumn("_in", inside).join(F.broadcast(sizes), "_part")  # a row per partition
+    sizes = sizes.select("_part", F.coalesce(F.sum("_n").over(_earlier()), F.lit(0)).alias("_before"))
+    numbered = dealt.withColumn("_in", inside).join(F.broadcast(sizes), "_part")  # a row per range
     return numbered.withColumn(POSITION, (F.col("_before") + F.col("_in")).cast("long")).drop("_part", "_in", "_before")
 
 
@@ -59,15 +81,18 @@ def purged_kfold(rows: DataFrame, k: int, pct: float, order: list[str]) -> DataF
     Train: t1 before or at the test's start, or a position at least
     int(n * pct) after the first t0 at or after the test's last t1.
     """
-    folds = kfold(rows, k, order)
+    folds = keep(kfold(rows, k, order), "folds")
     tests = folds.groupBy("fold").agg(F.min("t0").alias("begin"), F.max("t1").alias("end"), F.min(POSITION).alias("low"), F.max(POSITION).alias("high"))
-    total = folds.agg((F.count("*") * F.lit(pct)).cast("long").alias("gap"))
-    after = folds.select("t0", F.col(POSITION).alias("p")).join(F.broadcast(tests.select(F.col("fold").alias("f"), "end")), F.col("t0") >= F.col("end"))
-    first = after.groupBy("f").agg(F.min("p").alias("after"))
-    plan = tests.join(first, F.col("fold") == F.col("f"), "left").join(total).select("fold", "begin", "low", "high", (F.col("after") + F.col("gap")).alias("resume"))
+    tests = tests.orderBy("fold").collect()  # k rows
+    # Positions are in order of t0: the first one at or after an end is the number of rows before it.
+    earlier = [F.count_if(F.col("t0") < F.lit(t["end"])).alias(f"f{t['fold']}") for t in tests]
+    counts = folds.agg(F.count("*").alias("n"), *earlier).first()
+    plan = [(t["fold"], t["begin"], t["low"], t["high"], counts[f"f{t['fold']}"] + int(counts["n"] * pct)) for t in tests]
+    kind = {f.name: f.dataType.simpleString() for f in folds.schema}
+    plan = folds.sparkSession.createDataFrame(plan, f"fold int, begin {kind['t0']}, low long, high long, resume long")
     pairs = folds.drop("fold").join(F.broadcast(plan))  # k rows
     inside = F.col(POSITION).between(F.col("low"), F.col("high"))
-    train = (F.col("t1") <= F.col("begin")) | F.coalesce(F.col(POSITION) >= F.col("resume"), F.lit(False))
+    train = (F.col("t1") <= F.col("begin")) | (F.col(POSITION) >= F.col("resume"))
     role = F.when(inside, "test").when(train, "train")
     return pairs.withColumn("role", role).where("role IS NOT NULL").drop("begin", "low", "high", "resume", POSITION)
 
@@ -90,3 +115,10 @@ def label_histogram(bins: DataFrame, column: str = "bin", buckets: int = 10) ->
     rows = bins.join(F.broadcast(ends))  # one row
     bucket = F.least(F.floor(F.try_divide(F.col(column) - F.col("a"), F.col("b") - F.col("a")) * buckets), F.lit(buckets - 1))
     return rows.groupBy(F.coalesce(bucket, F.lit(0)).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def describe(bins: DataFrame, column: str = "bin") -> DataFrame:
+    """``count, mean, std, min, q25, q50, q75, max`` of a column: one row, counted per value before the shuffle."""
+    p = lambda q: F.percentile(column, F.lit(q))
+    values = [F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min")]
+    return bins.agg(*values, p(0.25).alias("q25"), p(0.5).alias("q50"), p(0.75).alias("q75"), F.max(column).alias("max"))

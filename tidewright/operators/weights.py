@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -76,13 +78,18 @@ def time_decay(rows: DataFrame, c: float = 0.5, key: str = "code", ts: str = "t0
     return rows.withColumn("decay", F.greatest(F.lit(0.0), 1 - slope * total + slope * F.sum("tw").over(order)))
 
 
+def spans(bars: DataFrame, events: DataFrame, key: str = "code", ts: str = "ts") -> DataFrame:
+    """``code, t0, first, last``: numbers of the first and the last bar of each event."""
+    rows = _numbered(bars, key, ts)
+    end_of = rows.groupBy(key).agg(F.max("pos").alias("_end"))
+    begin, end = rows.select(key, F.col(ts).alias("t0"), F.col("pos").alias("first")), rows.select(key, F.col(ts).alias("t1"), F.col("pos").alias("_b"))
+    found = events.select(key, "t0", "t1").join(begin, [key, "t0"]).join(end, [key, "t1"], "left").join(end_of, key)
+    return found.select(key, "t0", "first", F.coalesce("_b", "_end").alias("last"))
+
+
 def indicator_long(bars: DataFrame, events: DataFrame, key: str = "code", ts: str = "ts") -> DataFrame:
     """``code, t0, pos``: the bars inside each event, sparse."""
-    rows = _numbered(bars, key, ts)
-    last = rows.groupBy(key).agg(F.max("pos").alias("last"))
-    begin, end = rows.select(key, F.col(ts).alias("t0"), F.col("pos").alias("a")), rows.select(key, F.col(ts).alias("t1"), F.col("pos").alias("b"))
-    spans = events.join(begin, [key, "t0"]).join(end, [key, "t1"], "left").join(last, key)
-    return spans.select(key, "t0", F.explode(F.sequence("a", F.coalesce("b", "last"))).alias("pos"))
+    return spans(bars, events, key, ts).select(key, "t0", F.explode(F.sequence("first", "last")).alias("pos"))
 
 
 def ind_uniqueness(indicator: DataFrame, bars: DataFrame, only_active: bool = False, key: str = "code") -> DataFrame:
@@ -93,41 +100,41 @@ def ind_uniqueness(indicator: DataFrame, bars: DataFrame, only_active: bool = Fa
     return rows.join(n, key).select(key, "t0", (F.col("s") / (F.col("own") if only_active else F.col("n_bars"))).alias("u"))
 
 
-def _spans(bars: DataFrame, events: DataFrame, key: str, ts: str) -> DataFrame:
-    rows = indicator_long(bars, events, key, ts)
-    return rows.groupBy(key, "t0").agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+def _seed(code) -> int:
+    """The same for one code on every machine, whatever its type."""
+    return zlib.crc32(str(code).encode())
 
 
 def seq_bootstrap(bars: DataFrame, events: DataFrame, seed: int = 0, draws: int | None = None, key: str = "code", ts: str = "ts") -> DataFrame:
     """``code, draw, t0``: a sequential bootstrap of each code's events (one task per code; bounded by ``draws``)."""
-    spans = _spans(bars, events, key, ts)
+    table = spans(bars, events, key, ts)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("t0").reset_index(drop=True)
-        rng = np.random.default_rng([seed, abs(hash(int(frame[key].iloc[0])))])
+        rng = np.random.default_rng([seed, _seed(frame[key].iloc[0])])
         drawn = draw_sequential(frame["first"].to_numpy(), frame["last"].to_numpy(), draws or len(frame), rng)
         return pd.DataFrame({key: frame[key].iloc[0], "draw": np.arange(len(drawn)), "t0": frame["t0"].to_numpy()[drawn]})
 
-    kind = {f.name: f.dataType.simpleString() for f in spans.schema}
-    return spans.groupBy(key).applyInPandas(run, f"{key} {kind[key]}, draw long, t0 {kind['t0']}")
+    kind = {f.name: f.dataType.simpleString() for f in table.schema}
+    return table.groupBy(key).applyInPandas(run, f"{key} {kind[key]}, draw long, t0 {kind['t0']}")
 
 
 def bootstrap_mc(bars: DataFrame, events: DataFrame, iters: int = 10, seed: int = 0, draws: int | None = None, key: str = "code", ts: str = "ts") -> DataFrame:
     """``code, iter, standard, sequential``: mean uniqueness of a uniform and of a sequential bootstrap."""
     rounds = bars.sparkSession.range(iters).withColumnRenamed("id", "iter")
-    spans = _spans(bars, events, key, ts).join(F.broadcast(rounds))  # ``iters`` rows
+    table = spans(bars, events, key, ts).join(F.broadcast(rounds))  # ``iters`` rows
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("t0")
         first, last = frame["first"].to_numpy(), frame["last"].to_numpy()
         code, k = frame[key].iloc[0], int(frame["iter"].iloc[0])
-        rng = np.random.default_rng([seed, k, abs(hash(int(code)))])
+        rng = np.random.default_rng([seed, k, _seed(code)])
         n = draws or len(frame)
         plain = mean_uniqueness(first, last, rng.integers(0, len(first), n))
         return pd.DataFrame({key: [code], "iter": [k], "standard": [plain], "sequential": [mean_uniqueness(first, last, draw_sequential(first, last, n, rng))]})
 
-    kind = spans.schema[key].dataType.simpleString()
-    return spans.groupBy(key, "iter").applyInPandas(run, f"{key} {kind}, iter long, standard double, sequential double")
+    kind = table.schema[key].dataType.simpleString()
+    return table.groupBy(key, "iter").applyInPandas(run, f"{key} {kind}, iter long, standard double, sequential double")
 
 
 def bootstrap_rows(bins: DataFrame, drawn: DataFrame, key: str = "code") -> DataFrame:

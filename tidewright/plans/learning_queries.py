@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.shared import keep
 from ..operators import fracdiff as D
 from ..operators import labeling as L
 from ..operators import validation as V
@@ -30,14 +31,15 @@ def l3_vertical(spark, d):
 
 
 def l6_first_touch(spark, d):
-    rows = bars(spark, d)
+    rows = keep(bars(spark, d), "bars")
     events = L.vertical_barrier(cusum_events(rows, H), rows, 30).withColumns({"trgt": F.lit(0.01), "side": F.lit(1.0)})
     return L.first_touch(events, rows).select("code", "t0", "t1", "pt", "sl")
 
 
 def _events(spark, d):
-    rows = bars(spark, d)
-    return rows, L.get_events(cusum_events(rows, H), rows, L.daily_vol(rows, DAYS), (1.0, 1.0), MIN_RET, DAYS)
+    """Bars and events, each derived once for all that a query makes of them."""
+    rows = keep(bars(spark, d), "bars")
+    return rows, keep(L.get_events(cusum_events(rows, H), rows, L.daily_vol(rows, DAYS), (1.0, 1.0), MIN_RET, DAYS), "events")
 
 
 def l7_events(spark, d):
@@ -49,9 +51,16 @@ def l8_bins(spark, d):
     return rounded(L.get_bins(events, rows), "ret")
 
 
+def l8_filled(spark, d):
+    """Bins of events that end three days after they begin, on a bar or not: prices are those of the next bar, if any."""
+    rows, events = _events(spark, d)
+    ends = events.select("code", "t0", F.date_add("t0", 3).alias("t1"), "trgt", "side")
+    return rounded(L.get_bins(ends, rows, fill=True).where("ret IS NOT NULL"), "ret")
+
+
 def l8_meta_bins(spark, d):
     """Meta-labels: each event's side is the direction of its own bar."""
-    rows = bars(spark, d)
+    rows = keep(bars(spark, d), "bars")
     cusum = cusum_events(rows, H)
     side = F.when(F.col("close") >= F.col("open"), 1.0).otherwise(-1.0).alias("side")
     events = L.get_events(cusum, rows, L.daily_vol(rows, DAYS), (1.0, 2.0), MIN_RET, DAYS, rows.select("code", F.col("ts").alias("t0"), side))
@@ -64,7 +73,7 @@ def l9_drop(spark, d):
 
 
 def l10_label(spark, d):
-    return rounded(L.label(bars(spark, d), H, DAYS, (1.0, 1.0), MIN_RET, 0.3), "ret")
+    return rounded(L.label(keep(bars(spark, d), "bars"), H, DAYS, (1.0, 1.0), MIN_RET, 0.3), "ret")
 
 
 def w1_concurrency(spark, d):
@@ -116,8 +125,7 @@ def w10_rows(spark, d):
 
 def f1_weights(spark, d):
     """Weights of one degree per nation: k / 25 for its number."""
-    degrees = spark.read.parquet(f"{d}/nation.parquet").select((F.col("n_nationkey") / 25).alias("d")).orderBy("d")
-    table = D.weight_table(spark, [r.d for r in degrees.limit(1000).collect()], 6)
+    table = D.weight_table(spark.read.parquet(f"{d}/nation.parquet").select((F.col("n_nationkey") / 25).alias("d")), 6)
     return table.select(r6("d").alias("d"), F.col("k").cast("long").alias("k"), r6("w", 9).alias("w"))
 
 
@@ -156,6 +164,12 @@ def c4_purged_kfold(spark, d):
     return V.purged_kfold(_observations(spark, d), 5, 0.01, ["t0", "code"]).select("code", "t0", "fold", "role")
 
 
+def c6_describe(spark, d):
+    rows, events = _events(spark, d)
+    names = ["mean", "std", "min", "q25", "q50", "q75", "max"]
+    return rounded(V.describe(L.get_bins(events, rows), "ret"), *names)
+
+
 def c6_hist(spark, d):
     rows, events = _events(spark, d)
     return V.label_histogram(L.get_bins(events, rows), "bin")
@@ -164,9 +178,9 @@ def c6_hist(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        l1_asof, l2_ewm, l3_vertical, l6_first_touch, l7_events, l8_bins, l8_meta_bins, l9_drop, l10_label, w1_concurrency, w2_uniqueness,
+        l1_asof, l2_ewm, l3_vertical, l6_first_touch, l7_events, l8_bins, l8_filled, l8_meta_bins, l9_drop, l10_label, w1_concurrency, w2_uniqueness,
         w3_return_w, w4_norm, w5_decay, w6_ind, w7_avg_u, w8_bootstrap, w9_mc, w10_rows, f1_weights, f3_ffd, f4_frac, f5_sample, c1_purge,
-        c2_embargo, c3_kfold, c4_purged_kfold, c6_hist,
+        c2_embargo, c3_kfold, c4_purged_kfold, c6_describe, c6_hist,
     )
 }
 
@@ -222,7 +236,7 @@ ind AS (SELECT g.code, g.t0, p.pos, p.n FROM got g JOIN pos p ON g.code = p.code
 
 
 def _w_sql(thres: float) -> str:
-    return str([round(w, 17) for w in reversed(D.weights_ffd(0.5, thres))])
+    return str([round(w, 17) for w in reversed(D.weights_ffd(0.5, thres).tolist())])
 
 
 _N = len(D.weights_ffd(0.5, 1e-3))
@@ -238,6 +252,9 @@ SQL = {
         {_touch(1, 1)} SELECT code, t0, t1, pt, sl FROM touch""",
     "l7_events": f"{_EV} SELECT code, t0, t1 FROM got",
     "l8_bins": f"{_BINS} SELECT * REPLACE (round(ret, 6) + 0.0 AS ret) FROM bins",
+    "l8_filled": f"""{_EV}, e AS (SELECT code, t0, CAST(t0 + INTERVAL 3 DAY AS DATE) AS t1 FROM got), nx AS (SELECT code, ts, close FROM bars),
+        r AS (SELECT e.code, e.t0, e.t1, b.close / a.close - 1 AS ret FROM e ASOF LEFT JOIN nx a ON a.code = e.code AND e.t0 <= a.ts ASOF LEFT JOIN nx b ON b.code = e.code AND e.t1 <= b.ts)
+        SELECT code, t0, t1, round(ret, 6) + 0.0 AS ret, CAST(sign(ret) AS INTEGER) AS bin FROM r WHERE ret IS NOT NULL""",
     "l8_meta_bins": f"""{_BASE}, {_VOL}, ev AS (
           SELECT c.code, c.t0, v1.t1, v.trgt, CASE WHEN b.close >= b.open THEN 1 ELSE -1 END AS side FROM cusum c JOIN vol v ON v.code = c.code AND v.ts = c.t0
           JOIN {_vertical(DAYS)} v1 ON v1.code = c.code AND v1.t0 = c.t0 JOIN bars b ON b.code = c.code AND b.ts = c.t0 WHERE v.trgt > {MIN_RET}
@@ -276,6 +293,8 @@ SQL = {
         g AS (SELECT f.*, (SELECT min(pos) FROM obs o WHERE o.t0 >= f.e) + (SELECT CAST(floor(count(*) * 0.01) AS BIGINT) FROM obs) AS resume FROM f),
         r AS (SELECT code, t0, g.fold, CASE WHEN pos BETWEEN lo AND hi THEN 'test' WHEN t1 <= b OR coalesce(pos >= resume, false) THEN 'train' END AS role FROM obs, g)
         SELECT code, t0, CAST(fold AS INTEGER) AS fold, role FROM r WHERE role IS NOT NULL""",
+    "c6_describe": f"""{_BINS} SELECT count(ret) AS count, {", ".join(f"round({x}, 6) + 0.0 AS {n}" for n, x in
+        (("mean", "avg(ret)"), ("std", "stddev_samp(ret)"), ("min", "min(ret)"), ("q25", "quantile_cont(ret, 0.25)"), ("q50", "quantile_cont(ret, 0.5)"), ("q75", "quantile_cont(ret, 0.75)"), ("max", "max(ret)")))} FROM bins""",
     "c6_hist": f"""{_BINS}, e AS (SELECT min(bin) AS a, max(bin) AS b FROM bins)
         SELECT CAST(least(floor((bin - a) / (b - a) * 10), 9) AS BIGINT) AS bucket, count(*) AS n FROM bins, e GROUP BY 1""",
 }
