@@ -24,9 +24,8 @@ def closes(spark, values, code=1):
     return spark.createDataFrame([(code, day(k), float(v)) for k, v in enumerate(values)], "code long, ts date, close double")
 
 
-@pytest.mark.parametrize("engine", ["fold", "pandas"])
-def test_cusum(spark, engine):
-    rows = B.cusum_events(closes(spark, [100, 120, 140, 100, 60, 95]), 30.0, engine).orderBy("t0").collect()
+def test_cusum(spark):
+    rows = B.cusum_events(closes(spark, [100, 120, 140, 100, 60, 95]), 30.0).orderBy("t0").collect()
     assert [r.t0 for r in rows] == [day(2), day(3), day(4), day(5)]
 
 
@@ -37,6 +36,11 @@ def test_dollar_bars(spark):
     assert [r.volume for r in B.dollar_bars(ticks, 25.0, "cumulative").orderBy("bar_id").collect()] == [3, 2, 2]
 
 
+def test_vwap_on_every_trade(spark):
+    ticks = spark.createDataFrame([(1, 10.0, 1), (1, 20.0, 3), (2, 5.0, 0)], "symbol long, price double, size long")
+    assert [(r.symbol, r.vwap) for r in B.with_vwap(ticks).orderBy("symbol", "price").collect()] == [(1, 17.5), (1, 17.5), (2, None)]
+
+
 def test_concurrency_and_uniqueness(spark):
     bars = closes(spark, range(100, 106))
     events = spark.createDataFrame([(1, day(0), day(2)), (1, day(2), day(3)), (1, day(4), day(5))], "code long, t0 date, t1 date")
@@ -56,8 +60,9 @@ def test_sequential_bootstrap_is_more_unique_on_average(spark):
 
 
 def test_fracdiff(spark):
-    assert fracdiff.weights(0.5, 5) == [1, -0.5, -0.125, -0.0625, -0.0390625]
-    assert len(fracdiff.weights_ffd(0.5, 1e-4)) == 199 + 1 or len(fracdiff.weights_ffd(0.5, 1e-4)) == 199
+    assert fracdiff.weights(0.5, 5).tolist() == [1, -0.5, -0.125, -0.0625, -0.0390625]
+    cut = fracdiff.weights_ffd(0.5, 1e-4)
+    assert abs(cut[-1]) >= 1e-4 > abs(fracdiff.weights(0.5, len(cut) + 1)[-1]) and len(fracdiff.weights(0.3, 1)) == 1
     values = [float(random.Random(1).random() + k) for k in range(60)]
     w = fracdiff.weights_ffd(0.5, 1e-2)
     got = [r.fd_close for r in fracdiff.frac_diff_ffd(closes(spark, values), ["close"], 0.5, 1e-2).orderBy("ts").collect()]
@@ -65,11 +70,43 @@ def test_fracdiff(spark):
     assert got == pytest.approx(want)
 
 
-def test_ewm_std():
-    import pandas as pd
-
-    x = np.random.default_rng(2).normal(size=300)
-    assert numeric.ewm_std(x, 100)[1:] == pytest.approx(pd.Series(x).ewm(span=100).std().to_numpy()[1:])
+def test_ewm_deviation(spark):
+    """Against the definition, term by term."""
+    values = np.cumsum(np.random.default_rng(2).integers(-3, 4, 120)) + 100.0
+    got = {r.ts: r.trgt for r in labeling.daily_vol(closes(spark, values), 1, span=20).collect()}
+    ret, q = values[2:] / values[:-2] - 1, 1 - 2 / 21
+    for n in (1, 5, 60, 117):
+        w = q ** np.arange(n, -1, -1)
+        mean = (w * ret[: n + 1]).sum() / w.sum()
+        var = (w * (ret[: n + 1] - mean) ** 2).sum() / w.sum() * w.sum() ** 2 / (w.sum() ** 2 - (w**2).sum())
+        assert got[day(n + 2)] == pytest.approx(var**0.5)
+    assert day(2) not in got
+
+
+def plain_cusum(values, h):
+    up = down = 0.0
+    for i in range(1, len(values)):
+        up, down = max(0.0, up + values[i] - values[i - 1]), min(0.0, down + values[i] - values[i - 1])
+        if down < -h:
+            down = 0.0
+            yield i
+        elif up > h:
+            up = 0.0
+            yield i
+
+
+def test_sequential_helpers_against_one_step_at_a_time():
+    rng = np.random.default_rng(4)
+    for n, h in ((0, 3), (1, 3), (700, 1), (5000, 25), (3000, 10**6)):
+        values = np.cumsum(rng.integers(-4, 5, n)).astype(float)
+        assert np.flatnonzero(numeric.cusum_hits(values, h)).tolist() == list(plain_cusum(values, h))
+        amounts, ids, total, k = rng.random(n) * 9, [], 0.0, 0
+        for a in amounts:
+            ids.append(k)
+            total += a
+            if total >= h:
+                total, k = 0.0, k + 1
+        assert numeric.bar_ids(amounts, h).tolist() == [-1 if i == k else i for i in ids]
 
 
 def test_lagged_return_is_strictly_before(spark):
@@ -116,6 +153,69 @@ def test_validation(spark):
         assert all(r.t1 <= min(test) or r.t0 > max(test) + 1 for r in train)
 
 
+def test_purge_against_every_pair(spark):
+    r = random.Random(1)
+    draw = lambda n: [(t, t + r.randint(0, 9)) for t in (r.randint(0, 300) for _ in range(n))]
+    train, test = draw(200), draw(12)
+    tables = [spark.createDataFrame(x, "t0 long, t1 long") for x in (train, test)]
+    got = sorted((x.t0, x.t1) for x in validation.purge(*tables).collect())
+    assert got == sorted((a, b) for a, b in train if all(b < c or a > d for c, d in test))
+    assert validation.purge(tables[0], tables[1].where("false")).count() == 200 and validation.purge(tables[0].where("false"), tables[1]).count() == 0
+
+
+def test_paths_end_at_their_barrier(spark):
+    """Open, bounded and gapped paths against a scan of all bars."""
+    r = random.Random(3)
+    days = sorted(r.sample(range(400), 150))
+    price = {d: 100 + r.randint(-8, 8) for d in days}
+    bars = spark.createDataFrame([(1, day(d), float(p)) for d, p in price.items()], "code long, ts date, close double")
+    ends = {d: r.choice([None, d, d + 3, d + 90]) for d in r.sample(days, 40)}
+    events = spark.createDataFrame([(1, day(d), day(e) if e is not None else None, 0.05, 1.0) for d, e in ends.items()], "code long, t0 date, t1 date, trgt double, side double")
+    for most in (None, 20):
+        got = {x.t0: (x.pt, x.sl) for x in labeling.first_touch(events, bars, max_days=most).collect()}
+        for d, e in ends.items():
+            path = [t for t in days if d <= t and (e is None or t <= e) and (most is None or t <= d + most)]
+            hit = lambda f: next((day(t) for t in path if f(price[t] / price[d] - 1)), None)
+            assert got[day(d)] == (hit(lambda x: x > 0.05), hit(lambda x: x < -0.05))
+
+
+def test_prices_of_the_next_bar(spark):
+    bars = spark.createDataFrame([(1, day(k), float(k)) for k in (1, 4, 9)], "code long, ts date, close double")
+    events = spark.createDataFrame([(1, day(1), day(3)), (1, day(2), day(9)), (1, day(4), day(10)), (2, day(1), day(1))], "code long, t0 date, t1 date").withColumns({"trgt": F.lit(0.1), "side": F.lit(1.0)})
+    assert [(x.code, x.t0.day, x.ret, x.bin) for x in labeling.get_bins(events, bars, fill=True).orderBy("code", "t0").collect()] == [(1, 2, 3.0, 1), (1, 3, 1.25, 1), (1, 5, None, None), (2, 2, None, None)]
+    assert labeling.get_bins(events, bars).count() == 0
+
+
+def test_bootstraps_of_text_codes(spark):
+    bars = closes(spark, range(100, 110)).withColumn("code", F.lit("T0"))
+    events = spark.createDataFrame([("T0", day(k), day(k + 2)) for k in (0, 1, 4, 6)], "code string, t0 date, t1 date")
+    drawn = weights.seq_bootstrap(bars, events, seed=3)
+    assert drawn.count() == 4 and sorted(map(str, drawn.collect())) == sorted(map(str, weights.seq_bootstrap(bars, events, seed=3).collect()))
+    found = weights.bootstrap_mc(bars, events, iters=3).collect()
+    assert len(found) == 3 and all(0 < x.standard <= 1 and 0 < x.sequential <= 1 for x in found)
+    assert weights.indicator_long(bars, events).count() == 12
+
+
+def test_trend_lines_against_every_bar(spark):
+    r = random.Random(11)
+    highs = [200 - k // 2 + r.randint(-6, 6) for k in range(160)]
+    rows = spark.createDataFrame([(1, day(k), float(h), float(h - 5)) for k, h in enumerate(highs)], "code long, ts date, high double, low double")
+    settings = [(40, 3.0), (25, 20.0)]
+    got = {(x.start_idx, x.end_idx, x.length_limited): x.touches for x in strategy.trend_line_sweep(rows, settings).collect()}
+    peaks = [x.idx for x in strategy.large_peaks(strategy.small_peaks(rows)).collect()]
+    want = {}
+    for limit, rate in settings:
+        tol = int(max(highs) - min(highs) + 5) * rate / 100
+        for s in peaks:
+            for e in peaks:
+                if s < e and len(highs) - e <= limit and highs[e] <= highs[s]:
+                    above = {i: highs[i] - (highs[s] + (highs[e] - highs[s]) / (e - s) * (i - s)) for i in range(s + 1, e)}
+                    touches = sum(abs(above[i]) < tol for i in peaks if s < i < e)
+                    if all(x < tol for x in above.values()) and touches:
+                        want[s, e, limit] = touches
+    assert want and got == want
+
+
 def test_rank_and_reward(spark):
     rows = spark.createDataFrame([(0, 0.2), (1, 0.5), (2, 0.2)], "row long, pred double")
     assert [r.rank for r in scoring.pct_rank_first(rows).orderBy("row").collect()] == pytest.approx([1 / 3, 1, 2 / 3])

@@ -302,8 +302,9 @@ SQL = {
     "d4_logdiff": f"""WITH {BARS_SQL}, l AS (SELECT code, ts, row_number() OVER w AS rn, log10(close) - lag(log10(close)) OVER w AS c, log10(volume) - lag(log10(volume)) OVER w AS v
         FROM bars WINDOW w AS (PARTITION BY code ORDER BY ts)) SELECT code, ts, round(c, 6) + 0.0 AS close, round(v, 6) + 0.0 AS volume FROM l WHERE rn > 1""",
     "d5_counts": f"{_Y} SELECT code, y, count(*) AS n FROM y GROUP BY ALL",
-    "d6_sequences": f"""{_Y}, n AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY ts) AS rn FROM y)
-        SELECT a.code, a.ts, a.y, b.rn - a.rn + 5 AS step, round(b.rate, 6) + 0.0 AS rate FROM n a JOIN n b ON a.code = b.code AND b.rn BETWEEN a.rn - 5 AND a.rn - 1 WHERE a.rn > 5""",
+    "d6_sequences": f"""{_Y}, n AS (SELECT code, ts, y, row_number() OVER w AS rn, [{", ".join(f"lag(rate, {5 - k}) OVER w" for k in range(5))}] AS steps
+          FROM y WINDOW w AS (PARTITION BY code ORDER BY ts)), u AS (SELECT code, ts, y, unnest(range(5)) AS step, steps FROM n WHERE rn > 5)
+        SELECT code, ts, y, step, round(steps[step + 1], 6) + 0.0 AS rate FROM u""",
     "d7_confusion": f"{_P} SELECT y, {', '.join(f'count(*) FILTER (p = {k}) AS p_{k}' for k in range(4))} FROM p GROUP BY y",
     "d7_scores": f"""{_prf("(2, 3)")} SELECT code, tp, fp, fn, round("precision", 6) + 0.0 AS "precision", round(recall, 6) + 0.0 AS recall, round(f, 6) + 0.0 AS f FROM f""",
     "d8_gate": f"""{_prf("(1, 2, 3)")}, g AS (SELECT *, [tp * ((code + 0) % 4), tp * ((code + 1) % 4), tp * ((code + 2) % 4), tp * ((code + 3) % 4)] AS p FROM f)
