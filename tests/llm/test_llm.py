@@ -581,3 +581,10 @@ def test_digest_of_the_kept_text(spark):
     table = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
     row = line_dedup.dedup_lines(table).select(F.sha2(F.col("text").cast("binary"), 256).alias("h")).first()
     assert row.h == hashlib.sha256(b"a\nb").hexdigest()
+
+
+def test_the_sessions_batch_size_stays(spark, docs):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    bloom_lm.score_documents(docs).count()
+    assert spark.conf.get(name) == before

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep, slices
+from .store import arrow_rows, keep, slices
 from .words import mix64, text_buffers, word_hashes
 
 BASE, PROBES, BITS_A_KEY = 1.4, 5, 8
@@ -332,7 +332,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     columns are not read.
     """
     spark = docs.sparkSession
-    model, counts = train(docs)
+    with arrow_rows(spark):
+        model, counts = train(docs)
     shared = spark.sparkContext.broadcast(model)
 
     def send(batches):
@@ -425,7 +426,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.withColumn("training", F.coalesce(in_training(F.col("doc_id")), F.lit(False)).cast("int"))
     sent = texts.mapInArrow(send, _SENT).repartitionById(model.shards, F.col("shard"))
-    served = keep(sent.mapInArrow(serve, _SERVED), "served")
+    with arrow_rows(spark):
+        served = keep(sent.mapInArrow(serve, _SERVED), "served")
     rows = served.where("body IS NOT NULL").select("chunk", "kind", "body").repartition("chunk")
     rows = rows.mapInArrow(gather, "row long, doc_id long, n_tokens long, known long, base double, first double")
     n, v = float(model.n), float(model.v)

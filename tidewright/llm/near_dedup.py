@@ -183,8 +183,8 @@ def _alike_hubs(members: DataFrame, reps: DataFrame, coords: int, match: int) ->
 
 def _hub_links(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Verified links between each hub and its members; a large group is salted over runs."""
-    blocks = members.groupBy("hub").agg(F.ceil(F.count("*") / RUN).cast("long").alias("n"))
-    salted = members.join(blocks, "hub").select(
+    blocks = members.groupBy("hub").agg(F.count("*").alias("members"), F.ceil(F.count("*") / RUN).cast("long").alias("n"))
+    salted = look_up(members, blocks, "hub", "members", F.col("rep")).select(
         "hub", F.pmod(F.xxhash64("rep"), F.col("n")).alias("block"), "rep", F.lit(False).alias("is_hub")
     )
     hubs = blocks.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("block"))
@@ -222,10 +222,11 @@ def _run_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
         "hub", "rep", "component", (F.col("component") == F.coalesce("hub_component", "hub")).alias("main")
     )
     size = known.groupBy("hub").agg(
+        F.count("*").alias("members"),
         F.ceil(F.count_if("main") / RUN).cast("long").alias("mains"),
         F.ceil(F.count_if(~F.col("main")) / RUN).cast("long").alias("others"),
     )
-    spread = known.join(size.where("others > 0"), "hub").select(
+    spread = look_up(known, size, "hub", "members", F.col("rep")).where("others > 0").select(
         "*", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).alias("own")
     )
     zero = F.lit(0).cast("long")

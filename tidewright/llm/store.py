@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shared import keep, shared_folder, shared_path
 
-__all__ = ["HOT_KEYS", "keep", "look_up", "shared_folder", "shared_path", "slices"]
+__all__ = ["HOT_KEYS", "arrow_rows", "keep", "look_up", "shared_folder", "shared_path", "slices"]
 
 HOT_KEYS = 1000  # a key with over 1 / HOT_KEYS of all rows is broadcast: fewer than HOT_KEYS keys
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = 512):
+    """Small Arrow batches for the jobs that run inside; the session's setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def slices(batches, rows: int = 512):
     """Arrow batches in pieces: a worker's memory follows a few texts (a batch has 64 MB at most)."""
     for batch in batches:
