@@ -5,16 +5,18 @@ from __future__ import annotations
 import math
 import random
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from statistics import mean, pstdev, stdev
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .validation import cv_score
+from .validation import POSITION, cv_score, positions
 
 
 def assemble(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -47,48 +49,65 @@ def mdi(model, names: list[str], rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame([(n, means[n] / total, errors[n] / total) for n in names], "feature string, mean double, std double")
 
 
-def permuted(rows: DataFrame, column: str, seed: int) -> DataFrame:
-    """The rows with one column shuffled among them, by joining two row orders."""
-    numbered = rows.withColumn("_a", F.row_number().over(Window.partitionBy("fold").orderBy("row")))
-    other = rows.select("fold", F.col(column).alias("_v"), F.row_number().over(Window.partitionBy("fold").orderBy(F.xxhash64(F.lit(seed), "row"), "row")).alias("_b"))
-    mixed = numbered.join(other.withColumnRenamed("fold", "_f"), (F.col("fold") == F.col("_f")) & (F.col("_a") == F.col("_b")))
-    return mixed.withColumn(column, F.col("_v")).drop("_a", "_b", "_v", "_f")
+def _score(scoring: str) -> Column:
+    """Of a transformed row: right or not, or the logarithm of its label's probability."""
+    if scoring == "logLoss":
+        return F.log(F.greatest(F.get(vector_to_array("probability"), F.col("label").cast("int")), F.lit(1e-15)))
+    return (F.col("prediction") == F.col("label")).cast("double")
+
+
+def permuted(rows: DataFrame, names: list[str], seed: int, row: str = "row") -> DataFrame:
+    """``feature, label, features``: every row once for each feature, with that feature's value from another row.
+
+    A row's partner is the one at its place in an order shuffled by ``seed``;
+    both orders are numbered by ranges, so no task sees all rows.
+    """
+    values = rows.select(F.col(row).alias("_row"), "label", F.array(*[F.col(n).cast("double") for n in names]).alias("_own"))
+    numbered = positions(values, ["_row"])
+    other = values.select(F.xxhash64(F.lit(seed), "_row").alias("_shuffled"), "_row", F.col("_own").alias("_other"))
+    other = positions(other, ["_shuffled", "_row"]).select("_other", F.col(POSITION).alias("_at"))
+    both = numbered.join(other, F.col(POSITION) == F.col("_at")).select("label", "_own", "_other")
+    each = both.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("feature"))
+    mixed = F.transform("_own", lambda x, k: F.when(k == F.col("feature"), F.get("_other", k)).otherwise(x))
+    return each.select("feature", "label", array_to_vector(mixed).alias("features"))
 
 
 def mda(estimator, folds: DataFrame, names: list[str], k: int, seed: int = 1, scoring: str = "accuracy") -> DataFrame:
-    """``feature, mean, std``: relative loss of the score when a test column is shuffled."""
-    score = MulticlassClassificationEvaluator(labelCol="label", metricName=scoring).evaluate
-    sign = -1 if scoring == "logLoss" else 1
+    """``feature, mean, std``: relative loss of the score when a test column is shuffled.
+
+    A fold's model scores all shuffled columns in one pass.
+    """
     drops: dict[str, list[float]] = {n: [] for n in names}
     for f in range(k):
-        part = folds.where(F.col("fold") == f).cache()
+        part = folds.where(F.col("fold") == f)
         model = estimator.fit(assemble(part.where("role = 'train'"), names))
         test = part.where("role = 'test'")
-        s0 = sign * score(model.transform(assemble(test, names)))
-        for j, n in enumerate(names):
-            s1 = sign * score(model.transform(assemble(permuted(test, n, seed + j), names)))
-            base = -s1 if scoring == "logLoss" else 1 - s1
-            drops[n].append((s0 - s1) / base if base else 0.0)
-        part.unpersist()
-    rows = [(n, mean(v), stdev(v) / math.sqrt(k) if k > 1 else 0.0) for n, v in drops.items()]
+        s0 = model.transform(assemble(test, names)).agg(F.avg(_score(scoring))).first()[0]
+        found = model.transform(permuted(test, names, seed + f)).groupBy("feature").agg(F.avg(_score(scoring)).alias("score"))
+        for r in found.collect():  # a row a feature
+            base = -r["score"] if scoring == "logLoss" else 1 - r["score"]
+            drops[names[r["feature"]]].append((s0 - r["score"]) / base if base else 0.0)
+    rows = [(n, mean(v) if v else 0.0, stdev(v) / math.sqrt(len(v)) if len(v) > 1 else 0.0) for n, v in drops.items()]
     return folds.sparkSession.createDataFrame(rows, "feature string, mean double, std double")
 
 
-def sfi(estimator, folds: DataFrame, names: list[str], k: int, scoring: str = "accuracy") -> DataFrame:
-    """``feature, mean, std``: the purged score of each feature alone."""
-    rows = []
-    for n in names:
-        s = cv_score(estimator, assemble(folds, [n]), k, scoring)
-        rows.append((n, mean(s), pstdev(s) / math.sqrt(k)))
+def sfi(estimator, folds: DataFrame, names: list[str], k: int, scoring: str = "accuracy", threads: int = 8) -> DataFrame:
+    """``feature, mean, std``: the purged score of each feature alone; features are fitted side by side."""
+
+    def one(name: str) -> tuple[str, float, float]:
+        s = cv_score(estimator.copy(), assemble(folds, [name]), k, scoring)
+        return name, mean(s), pstdev(s) / math.sqrt(k)
+
+    with ThreadPoolExecutor(threads) as pool:
+        rows = list(pool.map(one, names))
     return folds.sparkSession.createDataFrame(rows, "feature string, mean double, std double")
 
 
-def feature_importance(method: str, estimator, folds: DataFrame, names: list[str], k: int, seed: int = 1) -> DataFrame:
-    """MDI, MDA or SFI, with the out-of-sample score ``oos`` of all features."""
+def feature_importance(method: str, estimator, rows: DataFrame, folds: DataFrame, names: list[str], k: int, seed: int = 1) -> DataFrame:
+    """MDI, MDA or SFI, with the out-of-sample score ``oos`` of all features; ``rows`` are the observations, ``folds`` their purged folds."""
     oos = mean(cv_score(estimator, assemble(folds, names), k, "accuracy"))
     if method == "MDI":
-        whole = assemble(folds.where("fold = 0 AND role IN ('train', 'test')"), names)
-        found = mdi(estimator.fit(whole), names, folds)
+        found = mdi(estimator.fit(assemble(rows, names)), names, folds)
     elif method == "MDA":
         found = mda(estimator, folds, names, k, seed)
     else:
@@ -102,6 +121,13 @@ def log_uniform(a: float, b: float, n: int, seed: int = 1) -> list[float]:
     return [a * (b / a) ** rng.random() for _ in range(n)]
 
 
+def random_grid(space: dict[str, tuple[float, float]], n: int, seed: int = 1) -> list[dict]:
+    """``n`` settings whose parameters are log-uniform in their intervals; intervals of whole numbers give whole numbers."""
+    drawn = {name: log_uniform(a, b, n, seed + k) for k, (name, (a, b)) in enumerate(space.items())}
+    whole = {name for name, bounds in space.items() if all(isinstance(x, int) for x in bounds)}
+    return [{name: round(drawn[name][i]) if name in whole else drawn[name][i] for name in space} for i in range(n)]
+
+
 def purged_grid_search(build, grid: list[dict], folds: DataFrame, k: int, scoring: str | None = None, threads: int = 2) -> tuple[dict, DataFrame]:
     """Best parameters by the mean purged score, and all scores; fits run side by side.
 
@@ -131,6 +157,22 @@ def purged_grid_search(build, grid: list[dict], folds: DataFrame, k: int, scorin
     return grid[best], table
 
 
+def bagged_fit(build, params: dict, rows: DataFrame, bags: int = 0, share: float = 1.0, seed: int = 1) -> list:
+    """The chosen setting fitted to all rows: one model, or ``bags`` of them on draws with replacement of ``share`` of the rows."""
+    if not bags:
+        return [build(**params).fit(rows)]
+    return [build(**params).fit(rows.sample(True, share, seed + b)) for b in range(bags)]
+
+
+def bagged_predict(models: list, rows: DataFrame, row: str = "row") -> DataFrame:
+    """``row, prediction, probability``: the class with the largest mean probability over the models."""
+    parts = [m.transform(rows).select(row, vector_to_array("probability").alias("p")) for m in models]
+    each = reduce(DataFrame.unionByName, parts).select(row, F.posexplode("p").alias("class", "p"))
+    means = each.groupBy(row, "class").agg(F.avg("p").alias("p"))
+    best = F.max_by(F.struct("class", "p"), F.struct("p", -F.col("class"))).alias("best")
+    return means.groupBy(row).agg(best).select(row, F.col("best.class").cast("double").alias("prediction"), F.col("best.p").alias("probability"))
+
+
 def boosted_regression(rows: DataFrame, names: list[str], target: str, rounds: int = 2000, depth: int = 5, step: float = 0.01, share: str = "0.1", seed: int = 1):
     """Gradient-boosted trees on the named features."""
     model = GBTRegressor(maxDepth=depth, stepSize=step, maxIter=rounds, featureSubsetStrategy=share, labelCol=target, seed=seed)

@@ -27,6 +27,11 @@ def column_means(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(*[F.avg(c).alias(c) for c in columns]).unpivot([], columns, "column", "mean")
 
 
+def shape(rows: DataFrame) -> DataFrame:
+    """``n_rows, n_columns`` of a table."""
+    return rows.agg(F.count("*").alias("n_rows")).withColumn("n_columns", F.lit(len(rows.columns)).cast("long"))
+
+
 def feature_columns(rows: DataFrame, word: str = "feature") -> list[str]:
     return [c for c in rows.columns if word in c]
 

@@ -65,6 +65,33 @@ def e5_sfi(spark, d):
     return M.sfi(_forest(), _rows(spark, d), NAMES, FOLDS)
 
 
+def e2_bagged_features(spark, d):
+    """Bagged trees that see one feature at a split."""
+    rows = _whole(spark, d)
+    return _forest(weight="bw", features="1").fit(rows).transform(rows).select("row", "prediction")
+
+
+def e2_bagged_trees(spark, d):
+    """Bagged trees that see every feature, each on half of the rows."""
+    rows = _whole(spark, d)
+    return _forest(weight="bw", features="all", share=0.5).fit(rows).transform(rows).select("row", "prediction")
+
+
+def e6_driver(spark, d):
+    """The three importances side by side, through the one entry point."""
+    rows, folds = _observations(spark, d), _rows(spark, d)
+    parts = [M.feature_importance(m, _forest(), rows, folds, NAMES, FOLDS).withColumn("method", F.lit(m)) for m in ("MDI", "MDA")]
+    return parts[0].unionByName(parts[1]).select("method", "feature", "mean", "std", "oos")
+
+
+def e8_random_search(spark, d):
+    """Log-uniform settings, scored on purged folds; the best one, bagged on all rows, predicts every row."""
+    grid = M.random_grid({"trees": (2, 6), "depth": (2, 4)}, 2)
+    best, _ = M.purged_grid_search(M.forest, grid, M.assemble(_rows(spark, d), NAMES), FOLDS)
+    whole = M.assemble(_observations(spark, d), NAMES)
+    return rounded(M.bagged_predict(M.bagged_fit(M.forest, best, whole, bags=2), whole), "probability")
+
+
 def e7_search(spark, d):
     grid = [{"trees": t, "depth": 3} for t in (3, 6)]
     return M.purged_grid_search(M.forest, grid, M.assemble(_rows(spark, d), NAMES), FOLDS)[1]
@@ -83,5 +110,5 @@ def d9_sequence_clf(spark, d):
     return model.transform(flatten(windows, ["rate"])).groupBy("prediction").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (c5_cv, e1_forest, e3_mdi, e4_mda, e5_sfi, e7_search, n4_gbt, d9_sequence_clf)}
+QUERIES = {f.__name__: f for f in (c5_cv, e1_forest, e2_bagged_features, e2_bagged_trees, e3_mdi, e4_mda, e5_sfi, e6_driver, e7_search, e8_random_search, n4_gbt, d9_sequence_clf)}
 SQL: dict[str, str] = {}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import learning_queries, model_queries, report_queries, selection_queries, source_queries
+from . import file_queries, learning_queries, model_queries, report_queries, selection_queries, source_queries
 
-MODULES = [source_queries, selection_queries, learning_queries, report_queries, model_queries]
+MODULES = [source_queries, file_queries, selection_queries, learning_queries, report_queries, model_queries]
 
 
 def queries():

@@ -140,7 +140,7 @@ def n2_corr(spark, d):
 
 
 def n3_means(spark, d):
-    names = [f"feature_{N.GROUPS[k % 6]}{k}" for k in range(12)]
+    names = [f"feature_{N.GROUPS[k % 6]}{k}" for k in range(64)]
     wide = table(spark, d, "embeddings").select(*[F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate(names)])
     return rounded(N.column_means(wide, N.feature_columns(wide)), "mean")
 
@@ -173,7 +173,7 @@ _RW = f"""WITH {BARS_SQL}, s AS (SELECT 'm' || (code % 3) AS method, code, ts, c
   FROM bars WHERE ts >= DATE '1997-06-01' WINDOW w AS (PARTITION BY code ORDER BY ts)),
 x AS (SELECT *, (close - buy) / buy AS rate FROM s)"""
 _RANK = "WITH r AS (SELECT vec_id AS row, label AS target, row_number() OVER (ORDER BY CAST(embedding[1] AS DOUBLE), vec_id) / count(*) OVER () AS rank FROM embeddings)"
-_NAMES = [f"feature_{N.GROUPS[k % 6]}{k}" for k in range(12)]
+_NAMES = [f"feature_{N.GROUPS[k % 6]}{k}" for k in range(64)]
 SQL = {
     "b1_signal": f"{_SIGNAL} SELECT code, t0, round(s, 6) + 0.0 AS signal FROM sig",
     "b2_active": f"""{_SIGNAL}, d AS (SELECT code, t0 AS t, s, 1 AS n FROM sig UNION ALL SELECT code, t1, -s, -1 FROM sig WHERE t1 IS NOT NULL),

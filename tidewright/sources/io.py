@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The column names and types of the external files.
 DAILY = "Date date, Open double, High double, Low double, Close double, Adj_Close double, Volume long"
 TRADES = (
     "timestamp string, symbol string, side string, size long, price double, tickDirection string, trdMatchID string, "
@@ -16,11 +17,19 @@ SELECTION = (
 )
 
 
+def write_bars_csv(bars: DataFrame, path: str) -> None:
+    """A folder ``code=<code>`` of CSV files for each code; a code's rows lie in one file."""
+    names = [c.split()[0] for c in DAILY.split(", ")]
+    rows = bars.select("code", *[F.col("ts" if n == "Date" else n.lower()).alias(n) for n in names])
+    rows.repartition("code").sortWithinPartitions("code", "Date").write.partitionBy("code").csv(path, header=True)
+
+
 def read_bars_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Per-code CSV files (``1332.csv``) as one bars table; the code is the file's name."""
-    rows = spark.read.schema(DAILY).csv(path, header=True)
+    """Per-code CSV files as one bars table; the code is that of the folder ``code=1332``, else the file's name (``1332.csv``)."""
+    rows = spark.read.option("recursiveFileLookup", True).schema(DAILY).csv(path, header=True)
+    folder = F.regexp_extract(F.input_file_name(), r"/code=([^/]+)/[^/]*$", 1)
     return rows.select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv(?:\.gz)?$", 1).alias("code"),
+        F.when(folder != "", folder).otherwise(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv(?:\.gz)?$", 1)).alias("code"),
         F.col("Date").alias("ts"),
         *[F.col(c).alias(c.lower()) for c in ("Open", "High", "Low", "Close", "Adj_Close", "Volume")],
     )
