@@ -29,7 +29,7 @@ from .words import text_buffers
 DOCS_A_LANGUAGE, BYTES_A_LANGUAGE = 300, 4 << 20
 HIDDEN, STEPS, BATCH, SPAN, RATE = 12, 200, 160, 48, 0.02
 CORE, CONTEXT = 1024, 64
-GROUP = 4 << 20  # bytes of texts that are read at once
+WINDOWS = 1536  # that are read at once
 HELD_OUT = 2
 UNDETERMINED = "und"
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -215,20 +215,24 @@ class Network:
     def pooled(self, data: np.ndarray, at: np.ndarray, core: int = CORE, context: int = CONTEXT) -> np.ndarray:
         """Mean probabilities over all positions of each text (empty: zeros); text k is bytes at[k] to at[k + 1]."""
         data = _FOLD[data]
-        text, begin, end, low, high = windows(data, at, core, context)
-        out, size = np.zeros((len(at) - 1, len(self.languages))), HIDDEN
-        if not len(text):
-            return out
-        order = np.argsort(begin - end, kind="stable")  # long windows first
-        text, begin, end, low, high = (x[order] for x in (text, begin, end, low, high))
-        length = end - begin
+        table = np.stack(windows(data, at, core, context))
+        table = table[:, np.argsort(table[1] - table[2], kind="stable")]  # long windows first
+        out = np.zeros((len(at) - 1, len(self.languages)))
+        for k in range(0, table.shape[1], WINDOWS):  # memory follows WINDOWS, however long a text is
+            text, *edges = table[:, k : k + WINDOWS]
+            np.add.at(out, text, self._core_sums(data, *edges))
+        return out / np.maximum(np.diff(at), 1)[:, None]
+
+    def _core_sums(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Summed probabilities over the core of each window; long windows come first."""
+        length, size = end - begin, HIDDEN
         active = np.searchsorted(-length, -np.arange(int(length[0])), "left")
         before = np.cumsum(active) - active  # where each step's rows begin
         ahead = self.ways[0].read(data, begin, 1, active.tolist(), self.out[:size])
         behind = self.ways[1].read(data, end - 1, -1, active.tolist(), self.out[size:])
         # position i of window k is step i forward and step length - 1 - i backward; cores only
         count = high - low
-        window = np.repeat(np.arange(len(text)), count)
+        window = np.repeat(np.arange(len(begin)), count)
         edges = np.cumsum(count) - count
         i = np.arange(len(window)) - np.repeat(edges - (low - begin), count)
         logits = ahead[before[i] + window]
@@ -237,8 +241,7 @@ class Network:
         logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
         logits /= logits.sum(axis=1, keepdims=True)
-        np.add.at(out, text, np.add.reduceat(logits, edges, axis=0, dtype=np.float64))
-        return out / np.maximum(np.diff(at), 1)[:, None]
+        return np.add.reduceat(logits, edges, axis=0, dtype=np.float64)
 
 
 def windows(data: np.ndarray, at: np.ndarray, core: int, context: int):
@@ -289,14 +292,9 @@ def _judge(net: Network | None, column: pa.Array) -> tuple[list[str], np.ndarray
     names, scores = [UNDETERMINED] * len(column), np.zeros(len(column))
     if net is None or not lettered.any():
         return names, scores
-    data, at = text_buffers(column)
-    first = 0
-    while first < len(column):  # whole texts, up to GROUP bytes at once
-        last = max(first + 1, int(np.searchsorted(at, at[first] + GROUP, "right")) - 1)
-        p = net.pooled(data[at[first] : at[last]], at[first : last + 1] - at[first])
-        for k in np.flatnonzero(lettered[first:last]).tolist():
-            names[first + k], scores[first + k] = net.languages[int(p[k].argmax())], min(float(p[k].max()), 1.0)
-        first = last
+    p = net.pooled(*text_buffers(column))
+    for k in np.flatnonzero(lettered).tolist():
+        names[k], scores[k] = net.languages[int(p[k].argmax())], min(float(p[k].max()), 1.0)
     return names, scores
 
 
