@@ -2,10 +2,14 @@
 
 import collections
 import math
+import random
+import zlib
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidewright.operators import indicators as I
 from tidewright.operators import models as M
 from tidewright.operators import validation as V
 
@@ -89,3 +93,34 @@ def test_boosting_and_scores(rows, folds):
     assert error < 0.1
     accuracy = V.cv_score(M.forest(5, 3), M.assemble(folds, NAMES), 2, "accuracy")
     assert len(accuracy) == 2 and min(accuracy) > 0.9 and all(x < 0 for x in V.cv_score(M.forest(5, 3), M.assemble(folds, NAMES), 2))
+
+
+def test_sequence_classifier_on_held_out_sequences(spark):
+    """The class follows the sum of the last steps; a code of its own is held out."""
+    draw = random.Random(7)
+    rows = [(c, t, draw.uniform(-1, 1)) for c in range(4) for t in range(200)]
+    table = spark.createDataFrame(rows, "code int, ts long, rate double")
+    last = Window.partitionBy("code").orderBy("ts").rowsBetween(-4, -1)
+    table = table.withColumn("y", F.when(F.sum("rate").over(last) > 0, 1).otherwise(0))
+    steps = I.sequences(table, ["rate"], 4)
+    model = I.sequence_classifier(steps.where("code < 3"), ["rate"], 4, classes=2, iterations=60)
+    got = model.transform(I.flatten(steps.where("code = 3"), ["rate"])).agg(F.avg((F.col("prediction") == F.col("label")).cast("int")), F.count("*")).first()
+    assert got[0] > 0.9 and got[1] > 190
+
+
+def test_neighbours_by_hand(spark):
+    draw = random.Random(3)
+    rows = [(i, draw.choice([1, 2, 3]), float(draw.randint(0, 5)), float(draw.randint(0, 5))) for i in range(90)]
+    rows += [(90, 1, 9.0, 9.0)]
+    table = spark.createDataFrame(rows, "id long, y int, a double, b double")
+    got = {r.row: r.predicted for r in I.knn_classify(table, table.where("id % 10 = 0"), ["a", "b"], "y", "id", 5, leave_own=True).collect()}
+    for q in rows[::10]:
+        near = sorted((x for x in rows if x[0] != q[0]), key=lambda x: ((x[2] - q[2]) ** 2 + (x[3] - q[3]) ** 2, x[0]))[:5]
+        votes = collections.Counter(x[1] for x in near)
+        assert got[q[0]] == min(votes, key=lambda y: (-votes[y], y))
+    assert len(got) == 10
+
+
+def test_hash_split_is_fixed(spark):
+    got = {r.id: r.is_train for r in I.split_by_hash(spark.range(1000), F.col("id"), 0.3).collect()}
+    assert got == {i: zlib.crc32(str(i).encode()) % 1000 < 300 for i in range(1000)} and 250 < sum(got.values()) < 350

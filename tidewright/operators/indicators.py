@@ -64,21 +64,24 @@ def clean_xy(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.dropna(subset=columns).where(~bad)
 
 
-def knn_classify(train: DataFrame, test: DataFrame, features: list[str], label: str, row: str, k: int = 7) -> DataFrame:
+def knn_classify(train: DataFrame, test: DataFrame, features: list[str], label: str, row: str, k: int = 7, leave_own: bool = False) -> DataFrame:
     """Class of each test row by its k nearest training rows: ``row, predicted``.
 
-    The training table is meant to be small (some hundred rows) and its size is
-    stated by the caller; the test table streams past it, and the k nearest are
-    kept by a bounded aggregation per row.
+    ``test`` is the stated query set: each of its rows meets all training rows
+    (with ``leave_own``, all but the one of its own id).  Spark broadcasts a side
+    that it measures to be small and deals blocks of both otherwise.  The rank
+    limits each task to k rows per query before the shuffle.  Equal distances go
+    by the id, equal votes by the smaller class.
     """
-    points = train.select(F.array(*features).cast("array<double>").alias("x"), F.col(label).alias("y"), F.col(row).alias("r"))
-    whole = points.agg(F.collect_list(F.struct("r", "x", "y")).alias("points"))  # one row: the training table
-    rows = test.select(F.col(row).alias("row"), F.array(*features).cast("array<double>").alias("q")).join(F.broadcast(whole))
-    square = lambda p: F.aggregate(
-        F.zip_with("q", p["x"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d
-    )
-    near = F.slice(F.sort_array(F.transform("points", lambda p: F.struct(square(p).alias("d"), p["r"].alias("r"), p["y"].alias("y")))), 1, k)
-    votes = rows.select("row", F.explode(near).alias("n")).groupBy("row", F.col("n.y").alias("y")).agg(F.count("*").alias("votes"))
+    vector = F.array(*features).cast("array<double>")
+    points = train.select(F.col(row).alias("r"), F.col(label).alias("y"), vector.alias("x"))
+    pairs = test.select(F.col(row).alias("row"), vector.alias("q")).crossJoin(points)
+    if leave_own:
+        pairs = pairs.where("row != r")
+    square = F.aggregate(F.zip_with("q", "x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    place = F.row_number().over(Window.partitionBy("row").orderBy("d", "r"))
+    near = pairs.select("row", "r", "y", square.alias("d")).withColumn("place", place).where(F.col("place") <= k)
+    votes = near.groupBy("row", "y").agg(F.count("*").alias("votes"))
     return votes.groupBy("row").agg(F.max_by("y", F.struct("votes", -F.col("y"))).alias("predicted"))
 
 

@@ -117,6 +117,13 @@ def i7_knn(spark, d):
     return I.knn_classify(rows.where("vec_id < 400"), rows.where("vec_id >= 400"), [f"x{k}" for k in range(4)], "label", "vec_id")
 
 
+def i7_knn_search(spark, d):
+    """Every 50th vector as a query against all other vectors, with all 64 columns."""
+    names = [f"x{k}" for k in range(64)]
+    rows = table(spark, d, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate(names)])
+    return I.knn_classify(rows, rows.where("vec_id % 50 = 0"), names, "label", "vec_id", leave_own=True)
+
+
 def i8_split(spark, d):
     return I.split_by_time(bars(spark, d)).groupBy("code", "is_train").agg(F.count("*").alias("n"))
 
@@ -178,7 +185,7 @@ QUERIES = {
     for f in (
         m1_top_return, m2_ma, m3_ma_rising, m4_sweep, m5_low_cross, m6_rank, m7_small_peaks, m8_large_peaks, m9_lines, m14_lines,
         m15_trend_line, m16_result, m17_line_sweep, m18_user_strategy, i1_bbands, i2_sma, i3_mom, i4_label, i5_calendar, i6_clean, i7_knn,
-        i8_split, d1_align, d2_pct, d3_cut, d4_logdiff, d5_counts, d6_sequences, d7_confusion, d7_scores, d8_gate,
+        i7_knn_search, i8_split, d1_align, d2_pct, d3_cut, d4_logdiff, d5_counts, d6_sequences, d7_confusion, d7_scores, d8_gate,
     )
 }
 
@@ -293,6 +300,12 @@ SQL = {
           {" + ".join(f"(a.x{k} - b.x{k}) * (a.x{k} - b.x{k})" for k in range(4))}, b.vec_id) AS rn FROM p a JOIN p b ON a.vec_id >= 400 AND b.vec_id < 400),
         v AS (SELECT row, y, count(*) AS n FROM q WHERE rn <= 7 GROUP BY row, y)
         SELECT row, y AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY row ORDER BY n DESC, y) = 1""",
+    "i7_knn_search": f"""WITH p AS (SELECT vec_id, label, [{", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE)" for k in range(64))}] AS x FROM embeddings),
+        q AS (SELECT a.vec_id AS row, b.label AS y, row_number() OVER (PARTITION BY a.vec_id ORDER BY
+          {" + ".join(f"(a.x[{k}] - b.x[{k}]) * (a.x[{k}] - b.x[{k}])" for k in range(1, 65))}, b.vec_id) AS rn
+          FROM p a JOIN p b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id),
+        v AS (SELECT row, y, count(*) AS n FROM q WHERE rn <= 7 GROUP BY row, y)
+        SELECT row, y AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY row ORDER BY n DESC, y) = 1""",
     "i8_split": f"""WITH {BARS_SQL}, n AS (SELECT code, row_number() OVER (PARTITION BY code ORDER BY ts) <= CAST(floor(count(*) OVER (PARTITION BY code) * 0.8) AS BIGINT) AS is_train FROM bars)
         SELECT code, is_train, count(*) AS n FROM n GROUP BY ALL""",
     "d1_align": f"""WITH {BARS_SQL} SELECT b.code, ts, b.open, b.close, c1, c2, c3 FROM bars b
