@@ -4,7 +4,8 @@ Every document lists its distinct long keys once.  Their hashes are counted per
 salt before the shuffle, range-partitioned by hash and sorted by (hash, document
 descending): a key has at most SALTS rows there however common it is.  Streaming
 over a key's rows, the first occurrence is the document that keeps the line, and
-the sum is the number of documents.  What a document loses comes back as
+the sum is the number of documents.  Lines meet their keys in an equi-join, very
+common keys in a bounded broadcast.  What a document loses comes back as
 positions and leaves as runs: kept, dropped, kept, ... lines.
 """
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import keep
+from .store import keep, look_up
 from .url_rules import LOWER, UPPER
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -83,8 +84,9 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     stream = Window.partitionBy("h1", "h2").orderBy(F.desc("last"))
     total = F.sum("n").over(Window.partitionBy("h1", "h2").orderBy(F.desc("last")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     keys = ranged.withColumn("first", F.row_number().over(stream)).withColumn("n_docs", total)
-    keys = keys.where((F.col("first") == 1) & (F.col("n_docs") >= min_docs)).select("h1", "h2", "last")
-    gone = held.join(keys, ["h1", "h2"]).where("doc_id < last")
+    keys = keys.where((F.col("first") == 1) & (F.col("n_docs") >= min_docs)).select(F.struct("h1", "h2").alias("key"), "n_docs", "last")
+    at_lines = held.withColumn("key", F.struct("h1", "h2")).drop("h1", "h2")
+    gone = look_up(at_lines, keep(keys, "common-lines"), "key", "n_docs", F.col("doc_id")).where("doc_id < last")
     gone = gone.groupBy("doc_id", "row").agg(F.first("n_lines").alias("n_lines"), F.array_sort(F.collect_set("at")).alias("dropped"))
     return gone.select(
         "doc_id", "row", F.size("dropped").cast("long").alias("n_dropped"), keep_runs(F.col("n_lines"), F.col("dropped")).alias("keep_runs")
