@@ -102,6 +102,37 @@ def test_quality(docs, empty):
     assert quality_rules.judge_quality(empty).count() == 0
 
 
+def _texts_of(n, source, word, start):
+    """n clean texts of 40 different words of one length."""
+    return [(start + i, " ".join(f"{word}{i:04d}{k:02d}" for k in range(40)), "en", source) for i in range(n)]
+
+
+@pytest.mark.parametrize("enough, own", [(30, True), (31, False), (10_000, False)])
+def test_small_groups_take_merged_fences(spark, enough, own):
+    """30 texts of long words beside 300 of short ones: with fences of its own the small source stays."""
+    rows = _texts_of(300, "short", "ab", 0) + _texts_of(30, "long", "abcdefghijkl", 1000)
+    got = quality_rules.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), enough=enough).collect()
+    assert all(r.kept == (own or r.doc_id < 1000) for r in got) and len(got) == 330
+
+
+def test_outliers_of_each_ratio(spark):
+    """With slacks below the base rule a text outside its group's quartiles goes, whichever ratio it is."""
+    rows = _texts_of(60, "a", "ab", 0)
+    words = rows[0][1].split(" ")
+    planted = {
+        100: ("word_length", " ".join(w * 4 for w in words)),
+        101: ("symbols", " ".join([w + "#" for w in words[:8]] + words[8:])),
+        102: ("dup_lines", "\n".join([*words, words[0], words[1], words[2], words[3], words[4]]).replace("\n" + words[1], " x\n" + words[1], 1)),
+        103: ("repeats", " ".join([*words, *words[:6], *(f"z{k}" for k in range(30))])),
+    }
+    table = spark.createDataFrame(rows + [(k, t, "en", "a") for k, (_, t) in planted.items()], "doc_id long, text string, lang string, source string")
+    tight = {"word_length": 50, "symbols": 100, "dup_lines": 100, "repeats": 100}
+    for doc, (ratio, _) in planted.items():
+        slacks = {k: 10**6 for k in tight} | {ratio: tight[ratio]}
+        got = {r.doc_id: r for r in quality_rules.judge_quality(table, enough=10, slacks=slacks).collect()}
+        assert not got[doc].base_failed and not got[doc].kept and all(got[k].kept for k in range(60)), ratio
+
+
 def test_quantile_sketch_merges(spark):
     values = [rng.randint(0, 10**6) for _ in range(3000)]
     rows = spark.createDataFrame([(v,) for v in values], "v long").select(quality_rules.bucket(F.col("v")).alias("b"), "v").collect()
@@ -323,6 +354,20 @@ def test_items_that_share_their_words(monkeypatch):
     assert {(0, 3, 0, 1), (2, 150, 0, 0)} <= set(whole)
 
 
+@pytest.mark.parametrize("share", [1, 1000])
+def test_very_common_lines(spark, monkeypatch, share):
+    """Every third line of all is one key, with keys above and below the look-up's share; more often than once in a text."""
+    monkeypatch.setattr(store, "HOT_KEYS", share)
+    common, rare = "the one line that all of them hold", "a line held by three or four only"
+    rows = [(i, f"{common}\nown line number {i} of this text\n{' ' + common.upper() if i % 2 else rare if i % 50 == 0 else 'z'}") for i in range(200)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        gone = {common} if i < 199 else set()
+        gone |= {rare} if i < 150 else set()
+        kept = [x for x in text.split("\n") if x.strip().lower() not in gone]
+        assert got[i].text == "\n".join(kept) and got[i].n_dropped == 3 - len(kept)
+
+
 def test_line_dedup(spark, docs, empty):
     common, rare = "This line is found in many documents", "this one is in two documents only"
     rows = [(k, f"own {k}\n  {common.upper() if k % 2 else common} \n{rare if k < 2 else ''}\nshort") for k in range(6)]

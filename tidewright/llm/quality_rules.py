@@ -94,43 +94,48 @@ def sketches(counts: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, "ratio", bucket(F.col("value")).alias("bucket")).groupBy(*by, "ratio", "bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
+def fences(sketch: DataFrame, by: list[str], reach: int = REACH, slacks: dict[str, int] | None = None) -> DataFrame:
     """``by..., ratio, documents, low, high`` from the quartiles of each sketch."""
     group = Window.partitionBy(*by, "ratio")
     upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     rows = sketch.withColumn("upto", upto).withColumn("documents", F.sum("n").over(group))
     quartile = [F.min(F.when(4 * F.col("upto") >= k * F.col("documents"), F.col("bucket"))).alias(f"q{k}") for k in (1, 3)]
     rows = rows.groupBy(*by, "ratio").agg(F.max("documents").alias("documents"), *quartile)
-    slack = F.element_at(F.create_map(*[F.lit(x) for k, r in RATIOS.items() for x in (k, r[3])]), F.col("ratio"))
-    reach = REACH * (F.col("q3") - F.col("q1")) + slack
-    return rows.select(*by, "ratio", "documents", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+    slack = {k: r[3] for k, r in RATIOS.items()} | (slacks or {})
+    slack = F.element_at(F.create_map(*[F.lit(x) for pair in slack.items() for x in pair]), F.col("ratio"))
+    far = reach * (F.col("q3") - F.col("q1")) + slack
+    return rows.select(*by, "ratio", "documents", (F.col("q1") - far).alias("low"), (F.col("q3") + far).alias("high"))
 
 
-def adaptive_fences(counts: DataFrame) -> DataFrame:
+def adaptive_fences(counts: DataFrame, reach: int = REACH, enough: int = ENOUGH, slacks: dict[str, int] | None = None) -> DataFrame:
     """A row per (lang, source) with ``<ratio>_low, <ratio>_high``."""
     own = keep(sketches(counts, ["lang", "source"]), "sketches")
     merged = own.groupBy("lang", "ratio", "bucket").agg(F.sum("n").alias("n"))
     every = merged.groupBy("ratio", "bucket").agg(F.sum("n").alias("n"))
-    a = fences(own, ["lang", "source"])
-    b = fences(merged, ["lang"]).select(F.col("lang").alias("l"), F.col("ratio").alias("r"), *[F.col(c).alias(f"b_{c}") for c in ("documents", "low", "high")])
-    c = fences(every, []).select(F.col("ratio").alias("r2"), *[F.col(x).alias(f"c_{x}") for x in ("low", "high")])
+    a = fences(own, ["lang", "source"], reach, slacks)
+    b = fences(merged, ["lang"], reach, slacks).select(F.col("lang").alias("l"), F.col("ratio").alias("r"), *[F.col(c).alias(f"b_{c}") for c in ("documents", "low", "high")])
+    c = fences(every, [], reach, slacks).select(F.col("ratio").alias("r2"), *[F.col(x).alias(f"c_{x}") for x in ("low", "high")])
     rows = a.join(b, F.col("lang").eqNullSafe(F.col("l")) & (F.col("ratio") == F.col("r"))).join(c, F.col("ratio") == F.col("r2"))
-    pick = lambda x: F.when(F.col("documents") >= ENOUGH, F.col(x)).when(F.col("b_documents") >= ENOUGH, F.col(f"b_{x}")).otherwise(F.col(f"c_{x}"))
+    pick = lambda x: F.when(F.col("documents") >= enough, F.col(x)).when(F.col("b_documents") >= enough, F.col(f"b_{x}")).otherwise(F.col(f"c_{x}"))
     rows = rows.select("lang", "source", "ratio", pick("low").alias("low"), pick("high").alias("high"))
     return rows.groupBy("lang", "source").agg(
         *[F.max(F.when(F.col("ratio") == r, F.col(x))).alias(f"{r}_{x}") for r in RATIOS for x in ("low", "high")]
     )
 
 
-def judge_quality(docs: DataFrame) -> DataFrame:
+def judge_quality(docs: DataFrame, reach: int = REACH, enough: int = ENOUGH, slacks: dict[str, int] | None = None) -> DataFrame:
     """``docs(doc_id, text, lang, source)`` to ``doc_id, n_words, ..., base_failed, kept``, one row per input row.
 
+    A fence lies ``reach`` inter-quartile ranges and the ratio's slack (RATIOS,
+    or ``slacks`` for the ratios that it names) outside the quartiles.  A
+    (language, source) of fewer than ``enough`` documents takes the fences of its
+    language, and those of everything where the language has fewer too.
     Null texts have no words and fail the base rules.  A null language or source
     is a value like any other; repeated rows are judged alike and all returned.
     An empty table gives an empty one.  Other columns are not read.
     """
     counts = keep(base_counts(docs.select("doc_id", "text", "lang", "source")), "base-counts")
-    limits = adaptive_fences(counts).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+    limits = adaptive_fences(counts, reach, enough, slacks).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
     rows = counts.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     inside = F.lit(True)
