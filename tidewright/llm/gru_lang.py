@@ -29,7 +29,7 @@ from .words import text_buffers
 DOCS_A_LANGUAGE, BYTES_A_LANGUAGE = 300, 4 << 20
 HIDDEN, STEPS, BATCH, SPAN, RATE = 12, 200, 160, 48, 0.02
 CORE, CONTEXT = 1024, 64
-WINDOWS = 1536  # that are read at once
+WINDOWS = 512  # that are read at once
 HELD_OUT = 2
 UNDETERMINED = "und"
 _FOLD = np.arange(256, dtype=np.uint8)

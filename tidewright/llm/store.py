@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ def slices(batches, rows: int = 512):
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+        del batch
+        pa.default_memory_pool().release_unused()  # a worker that is used again starts the next batch small
 
 
 def look_up(rows: DataFrame, table: DataFrame, key: str, n: str, spread: Column) -> DataFrame:
