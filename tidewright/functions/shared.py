@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}  # by application, in local mode only
+_open: list[Scratch] = []  # the innermost last
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,13 +27,48 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+class Scratch:
+    """Remembers the tables that are kept inside it and removes them at its end.
+
+    ``with Scratch(spark): some_query(spark, folder).write.parquet(path)`` leaves
+    nothing but the result.  A result that is read later still needs its tables,
+    so it must be written before the end.  ``clear`` removes those kept so far.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        _open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _open.remove(self)
+        self.clear()
+
+    def clear(self) -> None:
+        while self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """As ``keep``, for this scope and no other."""
+        spark, path = df.sparkSession, shared_path(df.sparkSession, name, self)
+        df.write.options(**options).parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession, name: str, scope: Scratch | None = None) -> str:
+    """A new path in the shared folder; the innermost open ``Scratch``, or ``scope``, removes it."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    scope = scope or (_open[-1] if _open else None)
+    if scope is not None:
+        scope.paths.append(path)
+    return path
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
