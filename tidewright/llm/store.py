@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.shared import keep, shared_folder, shared_path
+from ..functions.shared import Scratch, keep, shared_folder, shared_path
 
-__all__ = ["HOT_KEYS", "arrow_rows", "keep", "look_up", "shared_folder", "shared_path", "slices"]
+__all__ = ["HOT_KEYS", "Scratch", "arrow_rows", "keep", "look_up", "shared_folder", "shared_path", "slices"]
 
 HOT_KEYS = 1000  # a key with over 1 / HOT_KEYS of all rows is broadcast: fewer than HOT_KEYS keys
 
