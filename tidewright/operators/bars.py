@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.numeric import bar_ids, cusum_hits
+from ..functions.numeric import SCALE, bar_function, bar_numbers, cusum_walk
+from ..functions.series import PART, Chunks, chunk_of
 
 
 def value_column(bars: DataFrame, value: str, key: str = "code", ts: str = "ts") -> DataFrame:
@@ -35,33 +37,79 @@ def with_vwap(trades: DataFrame, price: str = "price", quantity: str = "size", k
     return trades.join(vwap(trades, price, quantity, key), key, "left")
 
 
+def _bar_entries(chunks: Chunks, amount: str, threshold: int) -> dict[tuple, tuple[int, int, int]]:
+    """Of each chunk of a key that has several: the amount that enters it, the bars before it and the key's bars in all.
+
+    A chunk is a function of the amount that enters; the functions of a key are
+    evaluated in order, on summaries that are as long as a bar at most.
+    """
+    linked = chunks.linked()
+    if not linked:
+        return {}
+    rows = chunks.meet(chunks.rows, chunks.table([(*k, c[PART]) for k, cs in linked.items() for c in cs], f"{PART} int"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    named = ", ".join(f"{k} {kinds[k]}" for k in chunks.keys)
+
+    names, order = chunks.id, chunks.order
+
+    def describe(frame: pd.DataFrame) -> pd.DataFrame:
+        need, bars, left, total = bar_function(frame.sort_values(order, kind="stable")[amount].to_numpy(), threshold)
+        return pd.DataFrame({c: [frame[c].iloc[0]] for c in names} | {"need": [need], "bars": [bars], "left": [left], "total": [total]})
+
+    def chain(frame: pd.DataFrame) -> pd.DataFrame:
+        entering, before, out = 0, 0, []
+        for row in frame.sort_values(PART).itertuples():
+            out.append((entering, before))
+            k = int(np.searchsorted(-row.need, -entering))  # need falls
+            if k < len(row.need):
+                entering, before = int(row.left[k]), before + int(row.bars[k])
+            else:
+                entering += row.total
+        frame = frame.sort_values(PART)[names].assign(entering=[e for e, _ in out], before=[n for _, n in out])
+        return frame.assign(bars=before)
+
+    functions = rows.groupBy(*chunks.id).applyInPandas(describe, f"{named}, {PART} int, need array<long>, bars array<long>, left array<long>, total long")
+    found = functions.groupBy(*chunks.keys).applyInPandas(chain, f"{named}, {PART} int, entering long, before long, bars long")
+    return {tuple(r[c] for c in chunks.id): (r["entering"], r["before"], r["bars"]) for r in found.collect()}  # two rows a range at most
+
+
 def dollar_bars(
-    trades: DataFrame, threshold: float, reset: str = "exact", key: str = "symbol", ts: str = "ts", seq: str = "seq"
+    trades: DataFrame, threshold: float, reset: str = "exact", key: str = "symbol", ts: str = "ts", seq: str = "seq", ranges: int | None = None
 ) -> DataFrame:
     """Bars that close when price * size has summed to ``threshold``: ``symbol, bar_id, open, high, low, close, volume, dollars``.
 
-    ``exact`` restarts the sum at 0 after each bar, which is sequential within a
-    symbol; ``daily`` restarts it each day as well, so that a busy symbol is a
-    task per day; ``cumulative`` cuts the running sum instead and stays built-in.
+    ``exact`` restarts the sum at 0 after each bar, ``daily`` each day as well,
+    and ``cumulative`` cuts the running sum instead.  With a restart, a symbol's
+    trades lie in chunks over many tasks: each chunk gives the bars and the rest
+    that it makes of any amount that enters, the chunks of a symbol are composed
+    in order, and then every chunk numbers its trades.  Amounts count in whole
+    millionths and are not negative; an unfinished last bar is left out.
     """
     amount = F.col("price") * F.col("size")
     if reset == "cumulative":
         order = Window.partitionBy(key).orderBy(ts, seq)
         before = F.coalesce(F.sum(amount).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-        dealt = trades.withColumn("bar_id", F.floor(before / threshold)).withColumn("day", F.lit(None).cast("date"))
+        dealt, keys = trades.withColumn("bar_id", F.floor(before / threshold)), [key]
     else:
-        parts = [key, "day"]
-        rows = trades.select(key, ts, seq, "price", "size").withColumn("day", F.to_date(ts) if reset == "daily" else F.lit(None).cast("date"))
+        rows = trades.select(key, ts, seq, "price", "size", F.round(amount.cast("double") * SCALE).cast("long").alias("_amount"))
+        keys = [key, "day"] if reset == "daily" else [key]
+        chunks = Chunks(rows.withColumn("day", F.to_date(ts)) if reset == "daily" else rows, keys, [ts, seq], ranges)
+        due = round(threshold * SCALE)
+        entries, names = _bar_entries(chunks, "_amount", due), chunks.id
 
         def number(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values([ts, seq], kind="stable")
-            frame["bar_id"] = bar_ids((frame["price"] * frame["size"]).to_numpy(float), threshold)
-            return frame
-
-        schema = StructType([*rows.schema.fields, StructField("bar_id", LongType())])
-        dealt = rows.groupBy(*parts).applyInPandas(number, schema).where("bar_id >= 0")
+            entering, before, total = entries.get(chunk_of(frame, names), (0, 0, None))
+            ids = before + bar_numbers(frame["_amount"].to_numpy(), due, entering)
+            if total is None:  # the key's only chunk: its last bar may be full
+                sums = frame["_amount"].to_numpy()[ids == ids[-1]].sum()
+                total = ids[-1] + (sums >= due)
+            return frame.assign(bar_id=ids)[ids < total].drop(columns=["_amount", PART])
+
+        schema = StructType([f for f in chunks.rows.schema if f.name not in ("_amount", PART)] + [StructField("bar_id", LongType())])
+        dealt = chunks.rows.groupBy(*chunks.id).applyInPandas(number, schema)
     place = F.struct(ts, seq)
-    bars = dealt.groupBy(key, "day", "bar_id").agg(
+    return dealt.groupBy(*keys, "bar_id").agg(
         F.min_by("price", place).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
@@ -69,7 +117,6 @@ def dollar_bars(
         F.sum("size").alias("volume"),
         F.sum(amount).alias("dollars"),
     )
-    return bars if reset == "daily" else bars.drop("day")
 
 
 def roll_gaps(rows: DataFrame, match_end: bool = True, key: str = "code", ts: str = "ts", instrument: str = "instrument") -> DataFrame:
@@ -89,18 +136,48 @@ def rolled_series(rows: DataFrame, columns: tuple[str, ...] = ("close",), **name
     return roll_gaps(rows, **names).withColumns({c: F.col(c) - F.col("gap") for c in columns})
 
 
-def cusum_events(bars: DataFrame, h: float, key: str = "code", ts: str = "ts", value: str = "close") -> DataFrame:
+def cusum_events(bars: DataFrame, h: float, key: str = "code", ts: str = "ts", value: str = "close", ranges: int | None = None) -> DataFrame:
     """Times at which the symmetric CUSUM of the differences passes ``h``: ``code, t0``.
 
-    Sequential within a code by nature: a code's times and values, two columns,
-    go to one task.
+    A code's bars lie in chunks over many tasks.  All chunks run at once as if
+    nothing entered them; then each whose predecessor leaves something else than
+    it assumed runs again, until no chunk has to.  Sums forget what entered at
+    their next restart, so that is mostly the second turn, and right at the last
+    one in any case.  Values count in whole millionths; null ones are no bars.
     """
-    rows = bars.select(key, ts, F.col(value).cast("double").alias("v"))
+    scaled = F.round(F.col(value).cast("double") * SCALE).cast("long")
+    chunks = Chunks(bars.select(key, ts, scaled.alias("v")).where("v IS NOT NULL"), [key], [ts], ranges)
+    linked = chunks.linked(F.max_by("v", ts).alias("last"))
+    entries = {(*k, b[PART]): (a["last"], 0, 0) for k, cs in linked.items() for a, b in zip(cs, cs[1:])}
+    follows = {(*k, a[PART]): (*k, b[PART]) for k, cs in linked.items() for a, b in zip(cs, cs[1:])}
+    kinds, names = {f.name: f.dataType.simpleString() for f in chunks.rows.schema}, chunks.id
+
+    def walk(frame: pd.DataFrame, entries: dict):
+        last, up, down = entries.get(chunk_of(frame, names), (None, 0, 0))
+        values = frame["v"].to_numpy()
+        hit, up, down = cusum_walk(values if last is None else np.r_[last, values], h * SCALE, up, down)
+        return hit[-len(values) :], up, down
+
+    turn = list(follows)
+    while turn:
+        assumed = dict(entries)
+
+        def leave(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values(ts)
+            _, up, down = walk(frame, assumed)
+            return frame[names].head(1).assign(up=up, down=down)
+
+        rows = chunks.meet(chunks.rows, chunks.table(turn, f"{PART} int"))
+        left = rows.groupBy(*chunks.id).applyInPandas(leave, f"{key} {kinds[key]}, {PART} int, up long, down long").collect()  # two rows a range at most
+        turn = []
+        for row in left:
+            after = follows[row[key], row[PART]]
+            if entries[after][1:] != (row["up"], row["down"]):
+                entries[after] = (entries[after][0], row["up"], row["down"])
+                turn += [after] if after in follows else []
 
     def find(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(ts)
-        hit = cusum_hits(frame["v"].to_numpy(float), h)
-        return frame.loc[hit, [key, ts]].rename(columns={ts: "t0"})
+        return frame.loc[walk(frame, entries)[0], [key, ts]].rename(columns={ts: "t0"})
 
-    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy(key).applyInPandas(find, f"{key} {kind[key]}, t0 {kind[ts]}")
+    return chunks.rows.groupBy(*chunks.id).applyInPandas(find, f"{key} {kinds[key]}, t0 {kinds[ts]}")

@@ -5,11 +5,16 @@ from __future__ import annotations
 import operator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions.shared import keep
 from .strategy import mean_over
 
 
@@ -64,23 +69,136 @@ def clean_xy(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.dropna(subset=columns).where(~bad)
 
 
+PIVOTS, BLOCK = 32, 2048  # cells of the index; points, and queries, that a task holds at once
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows of ``a`` to all of ``b``, summed component by component."""
+    total = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        total += (a[:, j, None] - b[None, :, j]) ** 2
+    return total
+
+
+def _by_cell(rows: DataFrame, vector: str, pivots: np.ndarray) -> DataFrame:
+    """``rows`` with ``far``, the distances of their vector to the pivots, and ``cell``, the nearest pivot."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(k, BLOCK)
+                x = part.column(vector).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                far = np.sqrt(_squares(x, pivots))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(pivots), pa.int32()), pa.array(far.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(far.argmin(1), pa.int32())], [*part.schema.names, "far", "cell"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, *StructType.fromDDL("far array<double>, cell int").fields]))
+
+
+def _reachable(queries: DataFrame, cells: list, pivots: np.ndarray, k: int) -> DataFrame:
+    """Pairs ``row, q, cell, dist, reach`` of a query and a cell that can hold one of its k nearest points.
+
+    ``reach`` bounds the k-th distance: from cells that are sure to hold k
+    points, or the ``found`` one.  A cell is out of reach if its ball is, or the
+    plane half-way between its pivot and the query's own one.
+    """
+    number = np.array([c["cell"] for c in cells])
+    radius, inner, size = (np.array([c[n] for c in cells], float) for n in ("radius", "inner", "n"))
+    between = np.sqrt(_squares(pivots, pivots))
+
+    def run(frames):
+        for frame in frames:
+            out = []
+            for row, q, far, own, found in frame[["row", "q", "far", "cell", "found"]].itertuples(index=False):
+                far = np.asarray(far)
+                d = far[number]
+                order = np.argsort(d + radius)
+                enough = int(np.searchsorted(size[order].cumsum(), k))
+                reach = (d + radius)[order[enough]] if enough < len(order) else np.inf
+                reach = min(reach, found) * (1 + 1e-9) + 1e-12  # rounding
+                apart = between[number, own]
+                plane = np.where(apart > 0, (d * d - far[own] ** 2) / (2 * np.maximum(apart, 1e-300)), 0.0)
+                for i in np.flatnonzero((d - radius <= reach) & (inner - d <= reach) & (plane <= reach)):
+                    out.append((row, q, int(number[i]), float(d[i]), float(reach)))
+            yield pd.DataFrame(out, columns=["row", "q", "cell", "dist", "reach"])
+
+    kind = queries.schema["row"].dataType.simpleString()
+    return queries.select("row", "q", "far", "cell", "found").mapInPandas(run, f"row {kind}, q array<double>, cell int, dist double, reach double")
+
+
+def _nearest(pairs: DataFrame, points: DataFrame, cells: list, k: int, leave_own: bool) -> DataFrame:
+    """``row, r, y, d, tested``: of each pair's block the k nearest points; a row without ``r`` says how many distances were taken.
+
+    A cell's points and the queries that reach it are dealt in blocks of bounded
+    size, and a block of each meet in a task.
+    """
+    several = {r["cell"]: -(-r["n"] // BLOCK) for r in pairs.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a cell
+    table = [(c["cell"], -(-c["n"] // BLOCK), several[c["cell"]]) for c in cells if c["cell"] in several]
+    blocks = pairs.sparkSession.createDataFrame(table, "cell int, nb long, nq long")
+    spread = lambda c, n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(c)
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    asked = pairs.join(F.broadcast(blocks), "cell").withColumn("qb", deal("row", "nq")).select("row", "q", "cell", "dist", "reach", "qb", spread("pb", "nb"))
+    held = points.join(F.broadcast(blocks), "cell").withColumn("pb", deal("r", "nb")).select("r", "y", "x", "cell", F.get("far", F.col("cell")).alias("dist"), "pb", spread("qb", "nq"))
+
+    def run(queries: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        out, tested = [], 0
+        if len(queries) and len(near):
+            near = near.sort_values("dist")
+            x, dist, ids, labels = np.stack(near["x"]), near["dist"].to_numpy(), near["r"].to_numpy(), near["y"].to_numpy()
+            for row, q, at, reach in queries[["row", "q", "dist", "reach"]].itertuples(index=False):
+                ring = slice(np.searchsorted(dist, at - reach), np.searchsorted(dist, at + reach, "right"))  # by the triangle inequality
+                d = _squares(np.asarray(q)[None], x[ring])[0]
+                tested += len(d)
+                if leave_own:
+                    d = np.where(ids[ring] == row, np.inf, d)
+                best = np.lexsort((ids[ring], d))[:k]
+                out += [(row, ids[ring][i], labels[ring][i], d[i], 0) for i in best if np.isfinite(d[i])]
+        out.append((None, None, None, None, tested))
+        return pd.DataFrame(out, columns=["row", "r", "y", "d", "tested"]).astype({"row": "object", "r": "object", "y": "object"})
+
+    kinds = [*(f"{n} {of.schema[n].dataType.simpleString()}" for n, of in (("row", pairs), ("r", points), ("y", points))), "d double, tested long"]
+    return asked.groupBy("cell", "pb", "qb").cogroup(held.groupBy("cell", "pb", "qb")).applyInPandas(run, ", ".join(kinds))
+
+
+def neighbours(points: DataFrame, queries: DataFrame, k: int, leave_own: bool = False, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
+    """The k nearest ``points(r, y, x)`` of each of ``queries(row, q)``, exactly: ``row, r, y, d`` (squared), and the rows that count distances.
+
+    Points belong to the nearest of ``pivots`` points drawn by hash.  A query
+    first meets the cell of its own pivot, which bounds its k-th distance, and
+    then the other cells that the triangle inequality leaves; in a cell, only
+    points whose distance to the pivot differs by no more than the bound.  Equal
+    distances go by ``r``.
+    """
+    more = k + int(leave_own)
+    drawn = points.select("x", F.xxhash64("r").alias("h"), "r").orderBy("h", "r").limit(pivots).collect()
+    if not drawn:
+        none = queries.join(points, F.lit(False)).select("row", "r", "y", F.lit(0.0).alias("d"))
+        return none, none.withColumn("tested", F.lit(0))
+    base = np.array([d["x"] for d in drawn], float)
+    indexed = keep(_by_cell(points, "x", base), "points")
+    to_own = F.get("far", F.col("cell"))
+    cells = indexed.groupBy("cell").agg(F.count("*").alias("n"), F.max(to_own).alias("radius"), F.min(to_own).alias("inner")).collect()  # a row a pivot
+    asked = keep(_by_cell(queries, "q", base), "queries")
+    own = keep(_reachable(asked.withColumn("found", F.lit(float("inf"))), cells, base, more).join(asked.select("row", F.col("cell").alias("own")), "row"), "pairs")
+    first = keep(_nearest(own.where("cell = own"), indexed, cells, k, leave_own), "first")
+    bound = first.where("row IS NOT NULL").groupBy("row").agg(F.when(F.count("*") >= k, F.sqrt(F.max("d"))).alias("found"))
+    asked = asked.join(bound, "row", "left").withColumn("found", F.coalesce("found", F.lit(float("inf"))))
+    others = _reachable(asked, cells, base, more).join(asked.select("row", F.col("cell").alias("own")), "row").where("cell != own")
+    tried = first.unionByName(keep(_nearest(keep(others, "pairs"), indexed, cells, k, leave_own), "others"))
+    place = F.row_number().over(Window.partitionBy("row").orderBy("d", "r"))
+    return tried.where("row IS NOT NULL").select("row", "r", "y", "d", place.alias("place")).where(F.col("place") <= k).drop("place"), tried.where("row IS NULL")
+
+
 def knn_classify(train: DataFrame, test: DataFrame, features: list[str], label: str, row: str, k: int = 7, leave_own: bool = False) -> DataFrame:
     """Class of each test row by its k nearest training rows: ``row, predicted``.
 
-    ``test`` is the stated query set: each of its rows meets all training rows
-    (with ``leave_own``, all but the one of its own id).  Spark broadcasts a side
-    that it measures to be small and deals blocks of both otherwise.  The rank
-    limits each task to k rows per query before the shuffle.  Equal distances go
-    by the id, equal votes by the smaller class.
+    Neighbours are exact (``neighbours``); with ``leave_own`` a row is none of its
+    own.  Ids are unique.  Equal distances go by the id, equal votes by the
+    smaller class.
     """
     vector = F.array(*features).cast("array<double>")
     points = train.select(F.col(row).alias("r"), F.col(label).alias("y"), vector.alias("x"))
-    pairs = test.select(F.col(row).alias("row"), vector.alias("q")).crossJoin(points)
-    if leave_own:
-        pairs = pairs.where("row != r")
-    square = F.aggregate(F.zip_with("q", "x", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
-    place = F.row_number().over(Window.partitionBy("row").orderBy("d", "r"))
-    near = pairs.select("row", "r", "y", square.alias("d")).withColumn("place", place).where(F.col("place") <= k)
+    near, _ = neighbours(points, test.select(F.col(row).alias("row"), vector.alias("q")), k, leave_own)
     votes = near.groupBy("row", "y").agg(F.count("*").alias("votes"))
     return votes.groupBy("row").agg(F.max_by("y", F.struct("votes", -F.col("y"))).alias("predicted"))
 

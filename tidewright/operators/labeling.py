@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.series import PART, Chunks
+from ..functions.shared import keep
 from .bars import cusum_events
 
 
@@ -13,24 +14,66 @@ def _day(ts: str) -> Column:
     return F.unix_date(F.col(ts).cast("date"))
 
 
-def lagged_return(bars: DataFrame, num_days: int = 1, key: str = "code", ts: str = "ts") -> DataFrame:
-    """``code, ts, ret`` against the last bar strictly before ts - num_days: a range frame, not a join."""
-    back = Window.partitionBy(key).orderBy(_day(ts)).rangeBetween(Window.unboundedPreceding, -(num_days + 1))
-    rows = bars.select(key, ts, (F.col("close") / F.last("close").over(back) - 1).alias("ret"))
-    return rows.where("ret IS NOT NULL")
+def _lagged(chunks: Chunks, num_days: int, ts: str) -> DataFrame:
+    """The chunks' rows with ``ret``, still by chunk.
 
-
-def daily_vol(bars: DataFrame, num_days: int = 1, span: int = 100, key: str = "code", ts: str = "ts") -> DataFrame:
-    """``code, ts, trgt``: exponentially weighted deviation of the lagged returns."""
-    returns = lagged_return(bars, num_days, key, ts)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(ts)
-        frame["trgt"] = frame["ret"].ewm(span=span).std()
-        return frame[[key, ts, "trgt"]].dropna()
-
-    kind = {f.name: f.dataType.simpleString() for f in returns.schema}
-    return returns.groupBy(key).applyInPandas(run, f"{key} {kind[key]}, {ts} {kind[ts]}, trgt double")
+    A chunk borrows the bars before it that its own bars can refer to: those of
+    the ``num_days + 1`` days before its first one, and the last bar before these.
+    """
+    back, rows = num_days + 1, chunks.rows.withColumn("_own", F.lit(True))
+    pairs = []
+    for key, parts in chunks.linked(F.min("_day").alias("first")).items():
+        for k in range(1, len(parts)):
+            since = parts[k]["first"] - back
+            for other in reversed(parts[:k]):
+                pairs.append((*key, other[PART], parts[k][PART], since))
+                if other["first"] <= since:
+                    break
+    if pairs:
+        near = chunks.meet(chunks.rows, chunks.table(pairs, "p int, q int, since int"), "p")
+        lent = near.where("_day > since").select(*chunks.keys, ts, "close", "_day", F.col("q").alias(PART))
+        oldest = near.where("_day <= since").groupBy(*chunks.keys, "q").agg(F.max_by(F.struct(ts, "close", "_day"), ts).alias("x"))
+        oldest = oldest.select(*chunks.keys, f"x.{ts}", "x.close", "x._day", F.col("q").alias(PART))
+        rows = rows.unionByName(lent.unionByName(oldest).withColumn("_own", F.lit(False)))
+    before = Window.partitionBy(*chunks.id).orderBy("_day").rangeBetween(Window.unboundedPreceding, -back)
+    return rows.withColumn("ret", F.col("close") / F.max_by("close", ts).over(before) - 1).where("_own AND ret IS NOT NULL")
+
+
+def lagged_return(bars: DataFrame, num_days: int = 1, key: str = "code", ts: str = "ts", ranges: int | None = None) -> DataFrame:
+    """``code, ts, ret`` against the last bar strictly before ts - num_days: a range frame inside chunks, not a join."""
+    chunks = Chunks(bars.select(key, ts, "close", _day(ts).alias("_day")), [key], [ts], ranges)
+    return _lagged(chunks, num_days, ts).select(key, ts, "ret")
+
+
+def daily_vol(bars: DataFrame, num_days: int = 1, span: int = 100, key: str = "code", ts: str = "ts", ranges: int | None = None) -> DataFrame:
+    """``code, ts, trgt``: exponentially weighted deviation of the lagged returns, from a code's second return on.
+
+    Sums that decay by q a bar are associative: each block of ``16 * span`` bars
+    has its own, scaled by powers of q that stay in range, and a block takes over
+    those of the blocks in reach before it (after ``32 * span`` bars less than
+    1e-27 is left).  Only Spark's functions; a code's bars lie in many tasks.
+    """
+    q, block, reach = 1 - 2 / (span + 1), 16 * span, 32 * span
+    chunks = Chunks(bars.select(key, ts, "close", _day(ts).alias("_day")), [key], [ts], ranges)
+    power = lambda n: F.pow(F.lit(q), n)
+    place = F.row_number().over(chunks.window()) - 1
+    rows = _lagged(chunks, num_days, ts).select(key, ts, PART, "ret", place.alias("_i"))
+    rows = rows.withColumns({"_block": F.floor(F.col("_i") / block), "_k": F.col("_i") % block})
+    upto = Window.partitionBy(key, PART, "_block").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    local = lambda x: power(F.col("_k")) * F.sum(power(-F.col("_k")) * x).over(upto)
+    rows = keep(rows.withColumns({"s": local(F.col("ret")), "ss": local(F.col("ret") * F.col("ret"))}).drop("ret", "_i"), "decayed")
+    blocks = rows.groupBy(key, PART, "_block").agg(F.count("*").alias("n"), F.max_by("s", "_k").alias("s"), F.max_by("ss", "_k").alias("ss"))
+    blocks = blocks.withColumn("end", F.sum("n").over(Window.partitionBy(key).orderBy(PART, "_block")))
+    near = Window.partitionBy(key).orderBy("end").rangeBetween(-(block + reach), -1)
+    blocks = blocks.withColumn("near", F.collect_list(F.struct("end", "s", "ss")).over(near)).withColumn("before", F.col("end") - F.col("n"))
+    taken = lambda c: F.aggregate("near", F.lit(0.0), lambda a, x: a + power(F.col("before") - x["end"]) * x[c])
+    blocks = blocks.select(F.col(key).alias("_key"), F.col(PART).alias("_p"), F.col("_block").alias("_b"), "before", taken("s").alias("_s"), taken("ss").alias("_ss"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col(PART) == F.col("_p")) & (F.col("_block") == F.col("_b"))
+    n, old = F.col("before") + F.col("_k") + 1, power(F.col("_k") + 1)
+    sums = rows.join(blocks, same).where(n > 1).select(key, ts, n.alias("n"), (F.col("s") + old * F.col("_s")).alias("s"), (F.col("ss") + old * F.col("_ss")).alias("ss"))
+    w, w2 = (1 - power(F.col("n"))) / (1 - q), (1 - power(2 * F.col("n"))) / (1 - q * q)
+    variance = F.greatest(F.col("ss") / w - F.pow(F.col("s") / w, F.lit(2)), F.lit(0.0)) * w * w / (w * w - w2)
+    return sums.select(key, ts, F.sqrt(variance).alias("trgt"))
 
 
 def _barriers(bars: DataFrame, num_days: int, key: str, ts: str) -> DataFrame:

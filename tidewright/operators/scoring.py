@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .validation import POSITION, positions
@@ -36,8 +36,18 @@ def feature_columns(rows: DataFrame, word: str = "feature") -> list[str]:
     return [c for c in rows.columns if word in c]
 
 
+def _group(name: str) -> Column:
+    return F.coalesce(*[F.when(F.contains(name, F.lit(g)), F.lit(g)) for g in GROUPS])
+
+
+def feature_group_cells(rows: DataFrame) -> DataFrame:
+    """``group, n, cells``: the feature columns of each group that hold a value in some row, and their values."""
+    names = feature_columns(rows)
+    cells = rows.agg(*[F.count(c).alias(c) for c in names]).unpivot([], names, "name", "cells").where("cells > 0")
+    return cells.groupBy(_group("name").alias("group")).agg(F.count("*").alias("n"), F.sum("cells").alias("cells")).where("group IS NOT NULL")
+
+
 def feature_group_counts(rows: DataFrame) -> DataFrame:
     """``group, n``: feature columns by the first group name that they hold."""
     names = rows.sparkSession.createDataFrame([(c,) for c in feature_columns(rows)], "name string")
-    group = F.coalesce(*[F.when(F.contains("name", F.lit(g)), F.lit(g)) for g in GROUPS])
-    return names.groupBy(group.alias("group")).agg(F.count("*").alias("n")).where("group IS NOT NULL")
+    return names.groupBy(_group("name").alias("group")).agg(F.count("*").alias("n")).where("group IS NOT NULL")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import grid_sums
+from ..functions.series import PART, Chunks
+
 
 def _order(key: str, ts: str):
     return Window.partitionBy(key).orderBy(ts)
@@ -18,31 +23,57 @@ def bet_times(positions: DataFrame, key: str = "code", ts: str = "ts") -> DataFr
     return rows.where(ends).select(key, ts)
 
 
-def holding_period(positions: DataFrame, key: str = "code", ts: str = "ts") -> DataFrame:
-    """``code, days``: weighted mean holding time with a running average entry time, folded over each code's bars."""
-    series = positions.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.unix_date(F.col(ts).cast("date")).cast("double").alias("d"), F.col("pos").cast("double").alias("pos")))).alias("s")
-    )
-    first = F.element_at("s", 1)["d"]
-    zero = F.lit(0.0)
-    start = F.struct(zero.alias("p"), zero.alias("entry"), zero.alias("num"), zero.alias("den"))
+MAP = ("a", "b", "c", "k", "den")  # of an entry time e: a * e + b after some bars, whose holding times sum to c + k * e, over den
+
+
+def _map(**parts: Column) -> Column:
+    return F.struct(*[parts[n].cast("double").alias(n) for n in MAP])
+
+
+def _then(m: Column, n: Column) -> Column:
+    """Map ``m`` and then ``n``."""
+    return _map(a=n["a"] * m["a"], b=n["a"] * m["b"] + n["b"], c=m["c"] + n["c"] + n["k"] * m["b"], k=m["k"] + n["k"] * m["a"], den=m["den"] + n["den"])
+
 
-    def step(a, x):
-        day, pos, prev = x["d"] - first, x["pos"], a["p"]
+def _folded(rows: DataFrame, by: list[str], order: str, step, columns: list[str]) -> DataFrame:
+    """``by, m``: the maps of a group's rows one after another."""
+    nothing = _map(a=F.lit(1), b=F.lit(0), c=F.lit(0), k=F.lit(0), den=F.lit(0))
+    group = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("s"))
+    return group.select(*by, F.aggregate("s", nothing, step).alias("m"))
+
+
+def holding_period(positions: DataFrame, key: str = "code", ts: str = "ts", ranges: int | None = None, block: int = 1024) -> DataFrame:
+    """``code, days``: weighted mean holding time with a running average entry time.
+
+    Growing a position takes the entry time to a weighted mean, a flip sets it
+    anew, anything else leaves it: each bar is an affine map of the entry time,
+    and so are bars in a row.  ``block`` bars are folded into one map, a chunk's
+    blocks into one, and a code's chunks into one, so no group holds a code's bars.
+    """
+    chunks = Chunks(positions.select(key, ts, F.col("pos").cast("double").alias("pos")), [key], [ts], ranges)
+    before = [(*k, b[PART], a["last"]) for k, parts in chunks.linked(F.max_by("pos", ts).alias("last")).items() for a, b in zip(parts, parts[1:])]
+    rows, entering = chunks.rows, F.lit(0.0)
+    if before:
+        rows, entering = chunks.meet(rows, chunks.table(before, f"{PART} int, _in double"), how="left"), F.coalesce("_in", F.lit(0.0))
+    rows = rows.select(
+        key, PART, ts, "pos", F.unix_date(F.col(ts).cast("date")).cast("double").alias("day"), F.coalesce(F.lag("pos").over(chunks.window()), entering).alias("prev"),
+        F.floor((F.row_number().over(chunks.window()) - 1) / block).alias("block"),
+    )
+
+    def bar(m: Column, x: Column) -> Column:
+        day, pos, prev = x["day"], x["pos"], x["prev"]
         delta = pos - prev
-        grows = delta * prev >= 0
-        entry = F.when(grows, F.when(pos != 0, (a["entry"] * prev + day * delta) / F.nullif(pos, zero)).otherwise(a["entry"]))
-        flip = pos * prev < 0
-        amount = F.when(grows, zero).when(flip, F.abs(prev)).otherwise(F.abs(delta))
-        return F.struct(
-            pos.alias("p"),
-            F.coalesce(F.when(grows, entry).when(flip, day).otherwise(a["entry"]), zero).alias("entry"),
-            (a["num"] + (day - a["entry"]) * amount).alias("num"),
-            (a["den"] + amount).alias("den"),
-        )
+        grows, flip = delta * prev >= 0, pos * prev < 0
+        old = F.when(grows & (pos != 0), prev / F.nullif(pos, F.lit(0.0))).when(flip & ~grows, 0.0).otherwise(1.0)
+        new = F.when(grows & (pos != 0), day * delta / F.nullif(pos, F.lit(0.0))).when(flip & ~grows, day).otherwise(0.0)
+        amount = F.when(grows, 0.0).when(flip, F.abs(prev)).otherwise(F.abs(delta))
+        return _map(a=m["a"] * old, b=m["b"] * old + new, c=m["c"] + (day - m["b"]) * amount, k=m["k"] - m["a"] * amount, den=m["den"] + amount)
 
-    end = F.aggregate("s", start, step)
-    return series.select(key, F.try_divide(end["num"], end["den"]).alias("days"))
+    join = lambda m, x: _then(m, x["m"])
+    blocks = _folded(rows, [key, PART, "block"], ts, bar, ["day", "pos", "prev"])
+    parts = _folded(blocks, [key, PART], "block", join, ["m"])
+    whole = _folded(parts, [key], PART, join, ["m"])
+    return whole.select(key, F.try_divide(F.col("m.c"), F.col("m.den")).alias("days"))
 
 
 def hhi(returns: DataFrame, key: str = "code", column: str = "ret") -> DataFrame:
@@ -104,17 +135,29 @@ def rule_grid(events: DataFrame, bars: DataFrame, grid: list[tuple[float, float]
     """``pt, sl, mean, std, sharpe, paths``: each rule's exits over the price paths after the events.
 
     A path leaves at the first move above pt or below -sl, or after ``max_hold``
-    bars.  Paths are read once; the rules (a small table) meet each path's array.
+    bars.  A path's running extremes say when it first passes each barrier, so it
+    is looked at once per sorted barrier and not once per rule: a barrier that it
+    passes first decides a whole run of rules.  Tasks send sums of rules only.
     """
-    order = _order(key, ts)
-    ahead = order.rowsBetween(1, max_hold)
+    ahead = _order(key, ts).rowsBetween(1, max_hold)
     paths = bars.select(key, F.col(ts).alias("t0"), F.col("close").alias("p0"), F.collect_list("close").over(ahead).alias("path"))
     paths = events.select(key, "t0").join(paths, [key, "t0"]).where(F.size("path") > 0)
-    paths = paths.withColumn("moves", F.transform("path", lambda p: p - F.col("p0")))
-    rules = bars.sparkSession.createDataFrame(grid, "pt double, sl double")
-    rows = paths.join(F.broadcast(rules))  # the grid's nodes
-    hit = F.filter("moves", lambda m: (m > F.col("pt")) | (m < -F.col("sl")))
-    gain = F.coalesce(F.get(hit, F.lit(0)), F.element_at("moves", -1))
-    out = rows.select("pt", "sl", gain.alias("gain")).groupBy("pt", "sl")
-    out = out.agg(F.avg("gain").alias("mean"), F.stddev_pop("gain").alias("std"), F.count("*").alias("paths"))
+    moves = paths.select(F.transform("path", lambda p: p - F.col("p0")).cast("array<double>").alias("moves"))
+    takes, stops = sorted({pt for pt, _ in grid}), sorted({sl for _, sl in grid})
+
+    def run(frames):
+        total = np.zeros((3, len(takes), len(stops)))
+        for frame in frames:
+            if len(frame):
+                total += grid_sums(frame["moves"].tolist(), np.array(takes, float), np.array(stops, float))
+        nodes = [(pt, sl, *total[:, i, j]) for i, pt in enumerate(takes) for j, sl in enumerate(stops)]
+        yield pd.DataFrame(nodes, columns=["pt", "sl", "n", "s", "ss"])
+
+    sums = moves.mapInPandas(run, "pt double, sl double, n double, s double, ss double").groupBy("pt", "sl")
+    sums = sums.agg(*[F.sum(c).alias(c) for c in ("n", "s", "ss")]).where("n > 0")
+    wanted = bars.sparkSession.createDataFrame([(float(a), float(b)) for a, b in grid], "pt double, sl double")
+    mean = F.col("s") / F.col("n")
+    out = wanted.join(sums, ["pt", "sl"]).select(
+        "pt", "sl", mean.alias("mean"), F.sqrt(F.greatest(F.col("ss") / F.col("n") - mean * mean, F.lit(0.0))).alias("std"), F.col("n").cast("long").alias("paths")
+    )
     return out.withColumn("sharpe", F.try_divide("mean", "std"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.numeric import respected_lines
 from ..functions.shared import keep
 
 WINDOWS = (75, 50, 25, 10)
@@ -100,19 +102,9 @@ def large_peaks(peaks: DataFrame, key: str = "code") -> DataFrame:
     return rows.withColumn("peak", (F.row_number().over(order) - 1).cast("long"))
 
 
-def _marked(bars: DataFrame, key: str, ts: str) -> tuple[DataFrame, DataFrame]:
-    """``code, idx, high, n_bars, span`` of every bar and the large peaks, both written once for all their uses."""
-    group = Window.partitionBy(key)
-    number = (F.row_number().over(_order(key, ts)) - 1).cast("long")
-    span = (F.max("high").over(group) - F.min("low").over(group)).cast("long")
-    rows = bars.select(key, number.alias("idx"), "high", F.count("*").over(group).alias("n_bars"), span.alias("span"))
-    return keep(rows, "numbered-bars"), keep(large_peaks(small_peaks(bars, key, ts), key), "peaks")
-
-
-def _lines(marked: DataFrame, peaks: DataFrame, length_limited: int, max_span: int | None, key: str) -> DataFrame:
-    """Candidate lines with ``age``: the bars from their end to the code's last bar."""
-    size = marked.groupBy(key).agg(F.first("n_bars").alias("n_bars"))
-    end = peaks.join(size, key).withColumn("age", F.col("n_bars") - F.col("idx")).where(F.col("age") <= length_limited)
+def _lines(sizes: DataFrame, peaks: DataFrame, length_limited: int, max_span: int | None, key: str) -> DataFrame:
+    """Falling or flat lines between two peaks whose end is at most ``length_limited`` bars before the code's last one."""
+    end = peaks.join(sizes, key).where(F.col("n_bars") - F.col("idx") <= length_limited)
     s, e = peaks.alias("s"), end.alias("e")
     near = (F.col(f"s.{key}") == F.col(f"e.{key}")) & (F.col("s.idx") < F.col("e.idx"))
     if max_span is not None:
@@ -127,7 +119,6 @@ def _lines(marked: DataFrame, peaks: DataFrame, length_limited: int, max_span: i
         (F.col("e.idx") - F.col("s.idx")).alias("length"),
         (F.col("e.peak") - F.col("s.peak")).alias("length_in_peaks"),
         rate.alias("line_rate"),
-        "age",
     )
     return lines.where("line_rate <= 0")
 
@@ -138,41 +129,36 @@ def candidate_lines(bars: DataFrame, length_limited: int = 40, max_span: int | N
     The pairs are pruned by their recent end and their slope before any bar is
     joined; ``max_span`` can bound the bars between their ends.
     """
-    return _lines(*_marked(bars, key, ts), length_limited, max_span, key).drop("age")
+    peaks = keep(large_peaks(small_peaks(bars, key, ts), key), "peaks")
+    return _lines(bars.groupBy(key).agg(F.count("*").alias("n_bars")), peaks, length_limited, max_span, key)
+
+
+LINE = "start_idx long, end_idx long, start_price double, end_price double, length long, length_in_peaks long, line_rate double, length_limited int, rate double, touches long"
 
 
-def _respected(bars: DataFrame, settings: list[tuple[int, float]], max_span: int | None, key: str, ts: str, stretch: int = 64) -> DataFrame:
+def _respected(bars: DataFrame, settings: list[tuple[int, float]], max_span: int | None, key: str, ts: str) -> DataFrame:
     """The trend lines of every setting (length_limited, rate), with both as columns.
 
-    Seen from its end, a line is respected if no bar in between stands at a
-    steeper slope than the line; one running maximum of slopes per end answers
-    that for all starts at once.  Only the lines that pass meet their own bars,
-    in stretches of ``stretch`` bars, for the exact test and the touches.
+    A code's highs and its large peaks meet once.  Seen from a line's end, the
+    line is respected if no bar in between stands at a steeper slope: the running
+    maximum of slopes, back from an end, is the hull that its lines must clear,
+    and answers for all starts at once.
     """
-    marked, peaks = _marked(bars, key, ts)
-    chosen = bars.sparkSession.createDataFrame([(int(n), float(r)) for n, r in settings], "length_limited int, rate double")
-    lines = _lines(marked, peaks, max(n for n, _ in settings), max_span, key)
-    span = marked.groupBy(key).agg(F.first("span").alias("span"))
-    lines = lines.join(span, key).join(F.broadcast(chosen), F.col("age") <= F.col("length_limited"))  # the settings
-    lines = keep(lines.withColumn("tol", F.col("span") * F.col("rate") / 100).drop("age", "span"), "lines")
-    ends = lines.select(F.col(key).alias("k"), F.col("end_idx").alias("e"), F.col("end_price").alias("p"), F.col("tol").alias("t")).distinct()
-    seen = ends.join(marked, (F.col("k") == F.col(key)) & (F.col("idx") < F.col("e")))
-    slope = (F.col("high") - F.col("p") - F.col("t")) / (F.col("e") - F.col("idx"))
-    back = Window.partitionBy("k", "e", "t").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, -1)
-    steepest = seen.select("k", "e", "t", F.col("idx").alias("i"), slope.alias("slope")).withColumn("most", F.max("slope").over(back)).drop("slope")
-    at = (F.col(key) == F.col("k")) & (F.col("end_idx") == F.col("e")) & (F.col("tol") == F.col("t")) & (F.col("start_idx") == F.col("i"))
-    slack = 1e-6 * (1 + F.abs("line_rate"))  # rounding; the exact test follows
-    passed = lines.join(steepest, at).where(F.coalesce(F.col("most") < -F.col("line_rate") + slack, F.lit(True))).drop("k", "e", "t", "i", "most")
-    inner = marked.join(peaks.select(key, "idx", F.lit(True).alias("is_peak")), [key, "idx"], "left")
-    inner = inner.select(F.col(key).alias("k"), F.col("idx").alias("i"), "high", "is_peak", F.floor(F.col("idx") / stretch).alias("at"))
-    crossed = F.sequence(F.floor(F.col("start_idx") / stretch), F.floor(F.col("end_idx") / stretch))
-    inside = (F.col(key) == F.col("k")) & (F.col("stretch") == F.col("at")) & (F.col("i") > F.col("start_idx")) & (F.col("i") < F.col("end_idx"))
-    rows = passed.withColumn("stretch", F.explode(crossed)).join(inner, inside, "left")
-    above = F.col("high") - (F.col("start_price") + F.col("line_rate") * (F.col("i") - F.col("start_idx")))
-    touch = F.count_if(F.coalesce("is_peak", F.lit(False)) & (F.abs(above) < F.col("tol")))
-    names = [key, "start_idx", "end_idx", "start_price", "end_price", "length", "length_in_peaks", "line_rate", "length_limited", "rate"]
-    found = rows.groupBy(*names).agg(F.bool_and(F.coalesce(above < F.col("tol"), F.lit(True))).alias("respected"), touch.alias("touches"))
-    found = found.where("respected AND touches >= 1").drop("respected")
+    chosen = [(int(n), float(r)) for n, r in settings]
+    peaks = large_peaks(small_peaks(bars, key, ts), key)
+    kind = bars.schema[key].dataType.simpleString()
+
+    def lines_of(frame: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        frame, marks = frame.sort_values(ts), marks.sort_values("idx")
+        high, at, price = frame["high"].to_numpy(float), marks["idx"].to_numpy(), marks["price"].to_numpy(float)
+        span = int(high.max() - frame["low"].min()) if len(high) else 0
+        found = [line for limit, rate in chosen for line in respected_lines(high, at, price, len(high) - limit, span * rate / 100, max_span, (limit, rate))]
+        out = pd.DataFrame(found, columns=[c.split()[0] for c in LINE.split(", ")])
+        out.insert(0, key, frame[key].iloc[0] if len(frame) else None)
+        return out
+
+    both = bars.select(key, ts, "high", "low").groupBy(key).cogroup(peaks.select(key, "idx", "price").groupBy(key))
+    found = both.applyInPandas(lines_of, f"{key} {kind}, {LINE}")
     few = F.col("touches").isin(1, 2)
     found = found.withColumns({"rule1": few & (F.col("length") + 1 >= 10), "rule1_immediate": few, "rule2": F.col("touches") > 2})
     return found.where("rule1 OR rule1_immediate OR rule2")

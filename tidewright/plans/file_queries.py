@@ -99,9 +99,16 @@ def n3_shape(spark, d):
     return N.shape(_wide(spark, d))
 
 
+def p5_file(spark, d):
+    """Columns and values of each group in a tournament file, with the columns that the file itself names."""
+    path = shared_path(spark, "tournament-csv")
+    _wide(spark, d).write.csv(path, header=True)
+    return N.feature_group_cells(io.read_tournament_csv(spark, path))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (s1_bars_csv, s4_trades_csv, s5_tournament_csv, s6_stage, s17_selection_json, s21_predictions_csv, p1_value, p5_groups, f6_stack, n3_histogram, n3_shape)
+    for f in (s1_bars_csv, s4_trades_csv, s5_tournament_csv, s6_stage, s17_selection_json, s21_predictions_csv, p1_value, p5_groups, p5_file, f6_stack, n3_histogram, n3_shape)
 }
 
 _W = D.weights_ffd(0.4, 1e-2).tolist()
@@ -114,6 +121,8 @@ SQL = {
     "s21_predictions_csv": "SELECT vec_id AS id, label / 10 AS prediction FROM embeddings",
     "p1_value": f"WITH {BARS_SQL} SELECT code, ts, close FROM bars",
     "p5_groups": " UNION ALL ".join(f"SELECT '{g}' AS \"group\", CAST({sum(n.startswith(f'feature_{g}') for n in NAMES)} AS BIGINT) AS n" for g in N.GROUPS),
+    "p5_file": f"""WITH n AS (SELECT unnest(range(1, {COLUMNS + 1})) AS k, unnest({NAMES}) AS name), c AS (SELECT name, count(embedding[k]) AS cells FROM embeddings, n GROUP BY name)
+        SELECT CASE {" ".join(f"WHEN contains(name, '{g}') THEN '{g}'" for g in N.GROUPS)} END AS "group", count(*) AS n, CAST(sum(cells) AS BIGINT) AS cells FROM c WHERE cells > 0 GROUP BY 1""",
     "f6_stack": f"""WITH {BARS_SQL}, x AS (SELECT code, ts, list(close) OVER (PARTITION BY code ORDER BY ts ROWS BETWEEN {len(_W) - 1} PRECEDING AND CURRENT ROW) AS x FROM bars)
         SELECT code, ts, round(list_dot_product(x, CAST({_W[::-1]} AS DOUBLE[])), 6) + 0.0 AS fd_close FROM x WHERE len(x) = {len(_W)}""",
     "n3_histogram": f"""WITH m AS (SELECT k, avg(CAST(embedding[k] AS DOUBLE)) AS mean FROM embeddings, (SELECT unnest(range(1, {COLUMNS + 1})) AS k) GROUP BY k), e AS (SELECT min(mean) AS a, max(mean) AS b FROM m)

@@ -123,6 +123,13 @@ def w10_rows(spark, d):
     return W.bootstrap_rows(L.get_bins(events, rows), W.seq_bootstrap(rows, events, seed=7)).select("code", "t0", "bin")
 
 
+def w10_fixed(spark, d):
+    """Bins of the events that a fixed list of draws holds, which draws an event as often as its day says, from no time to four times."""
+    rows, events = _events(spark, d)
+    draws = events.select("code", "t0", F.explode(F.sequence(F.lit(0), F.dayofmonth("t0") % 5)).alias("draw")).where("draw > 0")
+    return W.bootstrap_rows(L.get_bins(events, rows), draws).select("code", "t0", "bin")
+
+
 def f1_weights(spark, d):
     """Weights of one degree per nation: k / 25 for its number."""
     table = D.weight_table(spark.read.parquet(f"{d}/nation.parquet").select((F.col("n_nationkey") / 25).alias("d")), 6)
@@ -179,7 +186,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         l1_asof, l2_ewm, l3_vertical, l6_first_touch, l7_events, l8_bins, l8_filled, l8_meta_bins, l9_drop, l10_label, w1_concurrency, w2_uniqueness,
-        w3_return_w, w4_norm, w5_decay, w6_ind, w7_avg_u, w8_bootstrap, w9_mc, w10_rows, f1_weights, f3_ffd, f4_frac, f5_sample, c1_purge,
+        w3_return_w, w4_norm, w5_decay, w6_ind, w7_avg_u, w8_bootstrap, w9_mc, w10_rows, w10_fixed, f1_weights, f3_ffd, f4_frac, f5_sample, c1_purge,
         c2_embargo, c3_kfold, c4_purged_kfold, c6_describe, c6_hist,
     )
 }
@@ -272,6 +279,7 @@ SQL = {
     "w6_ind": f"{_IND} SELECT code, t0, CAST(pos AS BIGINT) AS pos FROM ind",
     "w7_avg_u": f"""{_IND}, c AS (SELECT code, pos, count(*) AS c FROM ind GROUP BY ALL)
         SELECT code, t0, round(sum(1 / (c + 0.001)) / any_value(n), 6) + 0.0 AS u FROM ind JOIN c USING (code, pos) GROUP BY code, t0""",
+    "w10_fixed": f"{_BINS} SELECT code, t0, bin FROM bins WHERE day(t0) % 5 > 0",
     "f1_weights": """WITH RECURSIVE w AS (
           SELECT n_nationkey / 25 AS d, CAST(0 AS BIGINT) AS k, CAST(1 AS DOUBLE) AS w FROM nation
           UNION ALL SELECT d, k + 1, -w / (k + 1) * (d - (k + 1) + 1) FROM w WHERE k < 5

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import keep
 from ..operators import models as M
 from ..operators import validation as V
-from ..operators.indicators import cut_classes, flatten, pct_change, sequence_classifier, sequences
+from ..operators.indicators import cut_classes, flatten, pct_change, sequence_classifier, sequences, split_by_time
 from ..sources.adapters import bars, table
 from .common import rounded
 
@@ -17,7 +21,7 @@ TREES, DEPTH, FOLDS = 5, 3, 2
 def _observations(spark, d):
     """Vectors as observations in order of vec_id, each of three steps' length; the label: below the middle class or not.
 
-    Cached, so that Spark doesn't derive filters through 64 expressions of one array.
+    Written, so that Spark doesn't derive filters through 64 expressions of one array.
     """
     rows = table(spark, d, "embeddings").select(
         F.col("vec_id").alias("row"),
@@ -27,17 +31,22 @@ def _observations(spark, d):
         F.lit(1.0).alias("w"),
         *[F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate(NAMES)],
     )
-    return rows.cache()
+    return keep(rows, "observations")
 
 
 def _rows(spark, d):
-    return V.purged_kfold(_observations(spark, d), FOLDS, 0.01, ["t0"]).cache()
+    return keep(V.purged_kfold(_observations(spark, d), FOLDS, 0.01, ["t0"]), "folds")
 
 
 def _forest(**more):
     return M.forest(TREES, DEPTH, **more)
 
 
+def _held_out(spark, d, forest):
+    """Every vector classified by the forest of the other folds."""
+    return M.out_of_fold(lambda train: forest.fit(M.balanced(train)), M.assemble(_rows(spark, d), NAMES), FOLDS).select("row", "prediction")
+
+
 def _whole(spark, d):
     return M.balanced(M.assemble(_observations(spark, d), NAMES))
 
@@ -48,8 +57,7 @@ def c5_cv(spark, d):
 
 
 def e1_forest(spark, d):
-    rows = _whole(spark, d)
-    return _forest(weight="bw").fit(rows).transform(rows).select("row", "prediction")
+    return _held_out(spark, d, _forest(weight="bw"))
 
 
 def e3_mdi(spark, d):
@@ -67,21 +75,19 @@ def e5_sfi(spark, d):
 
 def e2_bagged_features(spark, d):
     """Bagged trees that see one feature at a split."""
-    rows = _whole(spark, d)
-    return _forest(weight="bw", features="1").fit(rows).transform(rows).select("row", "prediction")
+    return _held_out(spark, d, _forest(weight="bw", features="1"))
 
 
 def e2_bagged_trees(spark, d):
     """Bagged trees that see every feature, each on half of the rows."""
-    rows = _whole(spark, d)
-    return _forest(weight="bw", features="all", share=0.5).fit(rows).transform(rows).select("row", "prediction")
+    return _held_out(spark, d, _forest(weight="bw", features="all", share=0.5))
 
 
 def e6_driver(spark, d):
     """The three importances side by side, through the one entry point."""
     rows, folds = _observations(spark, d), _rows(spark, d)
-    parts = [M.feature_importance(m, _forest(), rows, folds, NAMES, FOLDS).withColumn("method", F.lit(m)) for m in ("MDI", "MDA")]
-    return parts[0].unionByName(parts[1]).select("method", "feature", "mean", "std", "oos")
+    parts = [M.feature_importance(m, _forest(), rows, folds, NAMES, FOLDS).withColumn("method", F.lit(m)) for m in ("MDI", "MDA", "SFI")]
+    return reduce(DataFrame.unionByName, parts).select("method", "feature", "mean", "std", "oos")
 
 
 def e8_random_search(spark, d):
@@ -98,16 +104,16 @@ def e7_search(spark, d):
 
 
 def n4_gbt(spark, d):
-    rows = _observations(spark, d)
-    model = M.boosted_regression(rows, NAMES, "label", rounds=5, depth=3, step=0.1, share="0.5")
-    return rounded(model.transform(M.assemble(rows, NAMES)).select("row", "prediction"), "prediction")
+    """Every vector's value from the trees boosted on the other folds."""
+    fit = lambda train: M.boosted_regression(train.drop("features"), NAMES, "label", rounds=5, depth=3, step=0.1, share="0.5")
+    return rounded(M.out_of_fold(fit, M.assemble(_rows(spark, d), NAMES), FOLDS).select("row", "prediction"), "prediction")
 
 
 def d9_sequence_clf(spark, d):
-    """A pooled classifier of ten-day windows."""
-    windows = sequences(cut_classes(pct_change(bars(spark, d))), ["rate"], 10)
-    model = sequence_classifier(windows, ["rate"], 10, iterations=5)
-    return model.transform(flatten(windows, ["rate"])).groupBy("prediction").agg(F.count("*").alias("n"))
+    """A pooled classifier of ten-day windows, fitted to the first 80 % of each code and asked about the rest."""
+    windows = keep(split_by_time(sequences(cut_classes(pct_change(bars(spark, d))), ["rate"], 10)), "windows")
+    model = sequence_classifier(windows.where("is_train"), ["rate"], 10, iterations=5)
+    return model.transform(flatten(windows.where("NOT is_train"), ["rate"])).groupBy("prediction").agg(F.count("*").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (c5_cv, e1_forest, e2_bagged_features, e2_bagged_trees, e3_mdi, e4_mda, e5_sfi, e6_driver, e7_search, e8_random_search, n4_gbt, d9_sequence_clf)}

@@ -107,20 +107,21 @@ def i6_clean(spark, d):
     return rows.groupBy("code").agg(F.count("*").alias("n"))
 
 
-def _points(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in range(4)])
+def _vectors(spark, d):
+    names = [f"x{k}" for k in range(64)]
+    return table(spark, d, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate(names)]), names
 
 
 def i7_knn(spark, d):
-    """Training rows: the first 400 of each run, as in the method; all others are classified."""
-    rows = _points(spark, d)
-    return I.knn_classify(rows.where("vec_id < 400"), rows.where("vec_id >= 400"), [f"x{k}" for k in range(4)], "label", "vec_id")
+    """Half of the vectors, drawn by the hash of their id, classify the other half."""
+    rows, names = _vectors(spark, d)
+    train = F.md5(F.col("vec_id").cast("string").cast("binary")) < "8"
+    return I.knn_classify(rows.where(train), rows.where(~train), names, "label", "vec_id")
 
 
 def i7_knn_search(spark, d):
     """Every 50th vector as a query against all other vectors, with all 64 columns."""
-    names = [f"x{k}" for k in range(64)]
-    rows = table(spark, d, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(k)).cast("double").alias(n) for k, n in enumerate(names)])
+    rows, names = _vectors(spark, d)
     return I.knn_classify(rows, rows.where("vec_id % 50 = 0"), names, "label", "vec_id", leave_own=True)
 
 
@@ -190,6 +191,14 @@ QUERIES = {
 }
 
 
+def _knn(pairs: str) -> str:
+    square = " + ".join(f"(a.x[{k}] - b.x[{k}]) * (a.x[{k}] - b.x[{k}])" for k in range(1, 65))
+    return f"""WITH p AS (SELECT vec_id, label, [{", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE)" for k in range(64))}] AS x FROM embeddings),
+        q AS (SELECT a.vec_id AS row, b.label AS y, row_number() OVER (PARTITION BY a.vec_id ORDER BY {square}, b.vec_id) AS rn FROM p a JOIN p b ON {pairs}),
+        v AS (SELECT row, y, count(*) AS n FROM q WHERE rn <= 7 GROUP BY row, y)
+        SELECT row, y AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY row ORDER BY n DESC, y) = 1"""
+
+
 def _ma(n: int) -> str:
     w = f"(PARTITION BY code ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
     return f"CASE WHEN count(*) OVER {w} = {n} THEN avg(close) OVER {w} END"
@@ -295,17 +304,8 @@ SQL = {
         CAST(isodow(ts) - 1 AS BIGINT) AS day_of_week, CAST(hour(ts) AS BIGINT) AS hour FROM events""",
     "i6_clean": f"""WITH {BARS_SQL}, r AS (SELECT code, lead(close, 48) OVER w AS a, lag(close, 2) OVER w AS b FROM bars WINDOW w AS (PARTITION BY code ORDER BY ts))
         SELECT code, count(*) AS n FROM r WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY code""",
-    "i7_knn": f"""WITH p AS (SELECT vec_id, label, {", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS x{k}" for k in range(4))} FROM embeddings),
-        q AS (SELECT a.vec_id AS row, b.label AS y, row_number() OVER (PARTITION BY a.vec_id ORDER BY
-          {" + ".join(f"(a.x{k} - b.x{k}) * (a.x{k} - b.x{k})" for k in range(4))}, b.vec_id) AS rn FROM p a JOIN p b ON a.vec_id >= 400 AND b.vec_id < 400),
-        v AS (SELECT row, y, count(*) AS n FROM q WHERE rn <= 7 GROUP BY row, y)
-        SELECT row, y AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY row ORDER BY n DESC, y) = 1""",
-    "i7_knn_search": f"""WITH p AS (SELECT vec_id, label, [{", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE)" for k in range(64))}] AS x FROM embeddings),
-        q AS (SELECT a.vec_id AS row, b.label AS y, row_number() OVER (PARTITION BY a.vec_id ORDER BY
-          {" + ".join(f"(a.x[{k}] - b.x[{k}]) * (a.x[{k}] - b.x[{k}])" for k in range(1, 65))}, b.vec_id) AS rn
-          FROM p a JOIN p b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id),
-        v AS (SELECT row, y, count(*) AS n FROM q WHERE rn <= 7 GROUP BY row, y)
-        SELECT row, y AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY row ORDER BY n DESC, y) = 1""",
+    "i7_knn": _knn("md5(CAST(a.vec_id AS VARCHAR)) >= '8' AND md5(CAST(b.vec_id AS VARCHAR)) < '8'"),
+    "i7_knn_search": _knn("a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id"),
     "i8_split": f"""WITH {BARS_SQL}, n AS (SELECT code, row_number() OVER (PARTITION BY code ORDER BY ts) <= CAST(floor(count(*) OVER (PARTITION BY code) * 0.8) AS BIGINT) AS is_train FROM bars)
         SELECT code, is_train, count(*) AS n FROM n GROUP BY ALL""",
     "d1_align": f"""WITH {BARS_SQL} SELECT b.code, ts, b.open, b.close, c1, c2, c3 FROM bars b

@@ -122,6 +122,16 @@ def t2_dollar_bars(spark, d):
     return rounded(B.dollar_bars(ticks(spark, d), 20_000.0), "dollars")
 
 
+def t1_trades(spark, d):
+    """Every trade beside its symbol's mean price."""
+    return rounded(B.with_vwap(ticks(spark, d)).select("symbol", "seq", "price", "vwap"), "vwap")
+
+
+def t2_daily(spark, d):
+    """Bars of each event type that begin anew every day."""
+    return rounded(B.dollar_bars(ticks(spark, d, "event_type"), 20_000.0, "daily"), "dollars")
+
+
 def t2_cumulative(spark, d):
     return rounded(B.dollar_bars(ticks(spark, d), 20_000.0, "cumulative"), "dollars")
 
@@ -166,8 +176,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         s2_holdout, s3_span, s7_listing, s8_universe, s9_html_codes, s10_hrefs, s11_html_table, s12_clean, s13_backfill, s14_unpivot,
-        s15_candles, s16_epoch, s18_flatten, s19_latest, s20_documents, s22_head, p2_trades, p3_candles, t1_vwap, t2_dollar_bars,
-        t2_cumulative, t3_roll_gaps, t4_rolled, t5_cusum, t5_cusum_long,
+        s15_candles, s16_epoch, s18_flatten, s19_latest, s20_documents, s22_head, p2_trades, p3_candles, t1_vwap, t1_trades, t2_dollar_bars,
+        t2_daily, t2_cumulative, t3_roll_gaps, t4_rolled, t5_cusum, t5_cusum_long,
     )
 }
 
@@ -198,6 +208,7 @@ SQL = {
     "p2_trades": "SELECT event_id, ts AS time FROM events WHERE event_type = 'click'",
     "p3_candles": "SELECT ts AS date_time, value AS price, CAST(json_extract_string(props, '$.k') AS BIGINT) AS volume FROM events WHERE event_type = 'click'",
     "t1_vwap": f"WITH {TICKS_SQL} SELECT symbol, round(sum(price * size) / nullif(sum(size), 0), 6) + 0.0 AS vwap FROM ticks GROUP BY symbol",
+    "t1_trades": f"WITH {TICKS_SQL} SELECT symbol, seq, price, round(sum(price * size) OVER w / nullif(sum(size) OVER w, 0), 6) + 0.0 AS vwap FROM ticks WINDOW w AS (PARTITION BY symbol)",
     "t2_dollar_bars": f"""WITH RECURSIVE {TICKS_SQL}, num AS MATERIALIZED (
           SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS rn FROM ticks
         ), walk AS (
@@ -207,6 +218,16 @@ SQL = {
             CASE WHEN total >= 20000 THEN 0 ELSE total END + n.price * n.size FROM walk w JOIN num n ON n.symbol = w.symbol AND n.rn = w.rn + 1
         ) SELECT symbol, bar_id, min_by(price, rn) AS open, max(price) AS high, min(price) AS low, max_by(price, rn) AS close,
           CAST(sum(size) AS BIGINT) AS volume, round(sum(price * size), 6) + 0.0 AS dollars FROM walk GROUP BY symbol, bar_id HAVING max(total) >= 20000""",
+    "t2_daily": """WITH RECURSIVE num AS MATERIALIZED (
+          SELECT event_type AS symbol, ts, event_id AS seq, value AS price, CAST(json_extract_string(props, '$.k') AS BIGINT) AS size, CAST(ts AS DATE) AS day,
+            row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts, event_id) AS rn FROM events
+        ), walk AS (
+          SELECT *, CAST(0 AS BIGINT) AS bar_id, price * size AS total FROM num WHERE rn = 1
+          UNION ALL
+          SELECT n.*, CASE WHEN total >= 20000 THEN bar_id + 1 ELSE bar_id END,
+            CASE WHEN total >= 20000 THEN 0 ELSE total END + n.price * n.size FROM walk w JOIN num n ON n.symbol = w.symbol AND n.day = w.day AND n.rn = w.rn + 1
+        ) SELECT symbol, day, bar_id, min_by(price, rn) AS open, max(price) AS high, min(price) AS low, max_by(price, rn) AS close,
+          CAST(sum(size) AS BIGINT) AS volume, round(sum(price * size), 6) + 0.0 AS dollars FROM walk GROUP BY symbol, day, bar_id HAVING max(total) >= 20000""",
     "t2_cumulative": f"""WITH {TICKS_SQL}, c AS (
           SELECT *, CAST(floor(coalesce(sum(price * size) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 20000) AS BIGINT) AS bar_id,
             row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS rn FROM ticks
