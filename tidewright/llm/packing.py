@@ -232,6 +232,19 @@ def best_fit(lengths: DataFrame, capacity: int) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
+def cut(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
+    """The pieces of ``docs(doc_id, text)``, written, with a ``key`` each."""
+    rows = pieces(docs, tokenizer_path, end_id, capacity).withColumn("key", F.monotonically_increasing_id())
+    return keep(rows, "pieces", compression="zstd")
+
+
+def placed(cut_pieces: DataFrame, capacity: int = 2048) -> DataFrame:
+    """``key, sequence_id, offset`` of every piece; full ones fill a sequence of their own."""
+    short = keep(cut_pieces.where(F.col("length") < capacity).select("key", "length"), "lengths")
+    full = cut_pieces.where(F.col("length") == capacity).select("key", F.col("key").alias("seq"), F.lit(0).cast("long").alias("offset"))
+    return best_fit(short, capacity).unionByName(full).withColumnRenamed("seq", "sequence_id")
+
+
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """``docs(doc_id, text)`` to ``doc_id, piece, start, length, ids, sequence_id, offset``, a row per piece.
 
@@ -240,11 +253,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int =
     pieces fill a sequence of their own.  An empty table gives no row.  Other
     columns of ``docs`` are not read.
     """
-    cut = keep(pieces(docs, tokenizer_path, end_id, capacity).withColumn("key", F.monotonically_increasing_id()), "pieces", compression="zstd")
-    short = keep(cut.where(F.col("length") < capacity).select("key", "length"), "lengths")
-    full = cut.where(F.col("length") == capacity).select("key", F.col("key").alias("seq"), F.lit(0).cast("long").alias("offset"))
-    places = best_fit(short, capacity).unionByName(full)
-    return cut.join(places.withColumnRenamed("seq", "sequence_id"), "key").drop("key")
+    rows = cut(docs, tokenizer_path, end_id, capacity)
+    return rows.join(placed(rows, capacity), "key").drop("key")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
