@@ -39,6 +39,7 @@ COORDS, MATCH, SIMILARITY = 64, 34, 75
 CELLS = 1 << 20  # of the count table: 4 MB on the driver and in a broadcast, whatever the input
 BITS = 1 << 22  # of the filter of wanted documents, in the same way
 RUN = 256  # members of a group whose lists one task merges with those of RUN others
+RUN_BYTES = 16 << 20  # of the sets of these members, as a mean; fewer members where sets are larger
 _WIDE = 1 << 21  # postings that are merged at once
 _CHUNK_ROWS = 128
 
@@ -115,7 +116,7 @@ def _count_table(reps: DataFrame, coords: int) -> np.ndarray:
 
 
 def postings(reps: DataFrame, coords: int, match: int) -> DataFrame:
-    """``rep, token`` for the rarest ``coords - match + 1`` coordinate-value pairs."""
+    """``rep, n, token`` for the rarest ``coords - match + 1`` coordinate-value pairs; ``n`` is the set's size."""
     table = reps.sparkSession.sparkContext.broadcast(_count_table(reps, coords).astype(np.uint32))
 
     def run(batches):
@@ -127,10 +128,10 @@ def postings(reps: DataFrame, coords: int, match: int) -> DataFrame:
             order = np.lexsort((tokens, often), axis=1)[:, : coords - match + 1]
             tokens, often = np.take_along_axis(tokens, order, 1), np.take_along_axis(often, order, 1)
             shared = often > 1  # a cell that is posted once holds a pair that nobody shares
-            rep = np.repeat(batch.column("rep").to_numpy(), shared.sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(tokens[shared].astype(np.int64))], ["rep", "token"])
+            rep, n = (np.repeat(batch.column(c).to_numpy(), shared.sum(axis=1)) for c in ("rep", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(n), pa.array(tokens[shared].astype(np.int64))], ["rep", "n", "token"])
 
-    return reps.select("rep", "signature").mapInArrow(run, "rep long, token long")
+    return reps.select("rep", "n", "signature").mapInArrow(run, "rep long, n long, token long")
 
 
 def _similar(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
@@ -177,7 +178,8 @@ def _alike_hubs(members: DataFrame, reps: DataFrame, coords: int, match: int) ->
                 yield batch.select(["hub", "rep"]).filter(near)
 
     of_hub = reps.select(F.col("rep").alias("hub"), F.col("signature").alias("hub_signature"))
-    both = members.join(reps.select("rep", "signature"), "rep").join(of_hub, "hub")
+    hubs = keep(members.groupBy("hub").agg(F.count("*").alias("members")).join(of_hub, "hub"), "hubs")
+    both = look_up(members.select("hub", "rep").join(reps.select("rep", "signature"), "rep"), hubs, "hub", "members", F.col("rep"))
     return both.mapInArrow(run, "hub long, rep long")
 
 
@@ -191,41 +193,42 @@ def _hub_links(members: DataFrame, sets: DataFrame, similarity: int) -> DataFram
     rows = salted.unionByName(hubs.select("hub", "block", F.col("hub").alias("rep"), F.lit(True).alias("is_hub")))
 
     def run(batches):
-        for group in _groups(batches, ["hub", "block"]):
-            is_hub = group.column("is_hub").to_numpy()
-            rep, bits = group.column("rep").to_numpy(), group.column("hashes").to_pylist()
-            h = int(np.flatnonzero(is_hub)[0])
-            hub = np.frombuffer(bits[h], np.uint64)
-            found = [
-                (rep[h], rep[i])
-                for i in np.flatnonzero(~is_hub)
-                if _similar(hub, np.frombuffer(bits[i], np.uint64), similarity)
-            ]
+        """The hub's row comes first in its block; then one member's set at a time is looked at, where it lies."""
+        at = hub = whole = None
+        for batch in batches:
+            found = []
+            keys = zip(*(batch.column(c).to_pylist() for c in ("hub", "block")))
+            for i, (key, rep) in enumerate(zip(keys, batch.column("rep").to_pylist())):
+                mine = np.frombuffer(batch.column("hashes")[i].as_buffer(), np.uint64)
+                if key != at:
+                    at, hub, whole = key, rep, mine.copy()
+                elif _similar(whole, mine, similarity):
+                    found.append((hub, rep))
             if found:
                 yield _links_table(found)
 
-    ready = rows.join(sets, "rep").repartition("hub", "block").sortWithinPartitions("hub", "block")
-    return ready.select("hub", "block", "rep", "is_hub", "hashes").mapInArrow(run, "a long, b long")
+    ready = rows.join(sets, "rep").repartition("hub", "block").sortWithinPartitions("hub", "block", F.desc("is_hub"))
+    return ready.select("hub", "block", "rep", "hashes").mapInArrow(run, "a long, b long")
 
 
 def _run_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """``hub, left, right, rep, component, own``: each group dealt over pairs of runs of members.
+    """``hub, left, right, rep, n, component, own``: each group dealt over pairs of runs of members.
 
     ``members`` has the hub itself as a member.  The hub's component is the main
     part of its group; pairs inside it are connected already and take no work.
     """
     known = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "hub", "rep", F.coalesce("component", "rep").alias("component")
-    )
-    hub_label = labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-    known = known.join(hub_label, "hub", "left").select(
-        "hub", "rep", "component", (F.col("component") == F.coalesce("hub_component", "hub")).alias("main")
+        "hub", "rep", "n", F.coalesce("component", "rep").alias("component")
     )
-    size = known.groupBy("hub").agg(
-        F.count("*").alias("members"),
-        F.ceil(F.count_if("main") / RUN).cast("long").alias("mains"),
-        F.ceil(F.count_if(~F.col("main")) / RUN).cast("long").alias("others"),
+    of_hub = members.groupBy("hub").agg(F.count("*").alias("members"))
+    of_hub = of_hub.join(labels.select(F.col("node").alias("hub"), F.col("component").alias("hub_component")), "hub", "left")
+    known = look_up(known, keep(of_hub, "hub-labels"), "hub", "members", F.col("rep")).select(
+        "hub", "rep", "n", "component", (F.col("component") == F.coalesce("hub_component", "hub")).alias("main")
     )
+    runs = lambda main: F.greatest(
+        F.ceil(F.count_if(main) / RUN), F.ceil(F.sum(F.when(main, F.col("n")).otherwise(0)) * 8 / RUN_BYTES)
+    ).cast("long")
+    size = known.groupBy("hub").agg(F.count("*").alias("members"), runs(F.col("main")).alias("mains"), runs(~F.col("main")).alias("others"))
     spread = look_up(known, size, "hub", "members", F.col("rep")).where("others > 0").select(
         "*", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).alias("own")
     )
@@ -242,9 +245,9 @@ def _run_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
         F.sequence(zero, F.col("others") - 1), lambda j: F.struct(j.alias("left"), (-1 - F.col("own")).alias("right"))
     )
     meets = F.when(F.col("main"), of_main).otherwise(F.concat(with_others, with_main))
-    rows = spread.select("hub", "rep", "component", "main", "own", F.explode(meets).alias("at"))
+    rows = spread.select("hub", "rep", "n", "component", "main", "own", F.explode(meets).alias("at"))
     side = F.when(F.col("main"), -1 - F.col("own")).otherwise(F.col("own"))
-    return rows.select("hub", "at.left", "at.right", "rep", "component", side.alias("own"))
+    return rows.select("hub", "at.left", "at.right", "rep", "n", "component", side.alias("own"))
 
 
 def merge_lists(left: np.ndarray, right: np.ndarray, match: int, apart=None) -> tuple[np.ndarray, np.ndarray]:
@@ -303,17 +306,17 @@ _RUN_KEYS = ["hub", "left", "right"]
 
 
 def _alike_runs(rows: DataFrame, reps: DataFrame, coords: int, match: int) -> DataFrame:
-    """The ``hub, rep`` that collide with a member of another component."""
+    """The ``hub, rep, n`` that collide with a member of another component."""
 
     def run(batches):
         for group in _groups(batches, _RUN_KEYS):
             found = np.unique(np.concatenate(_collisions(group, coords, match)))
             if len(found):
-                part = group.select(["hub", "rep"]).take(found)
+                part = group.select(["hub", "rep", "n"]).take(found)
                 yield from part.combine_chunks().to_batches()
 
     ready = rows.join(reps.select("rep", "signature"), "rep").repartition(*_RUN_KEYS).sortWithinPartitions(*_RUN_KEYS)
-    found = ready.select(*_RUN_KEYS, "rep", "component", "own", "signature").mapInArrow(run, "hub long, rep long")
+    found = ready.select(*_RUN_KEYS, "rep", "n", "component", "own", "signature").mapInArrow(run, "hub long, rep long, n long")
     return found.distinct()
 
 
@@ -323,12 +326,13 @@ def _run_links(rows: DataFrame, sets: DataFrame, coords: int, match: int, simila
     def run(batches):
         for group in _groups(batches, _RUN_KEYS):
             rep, label = group.column("rep").to_numpy(), group.column("component").to_numpy().copy()
-            bits = group.column("hashes").to_pylist()
+            bits = group.column("hashes")
+            of = lambda i: np.frombuffer(bits[int(i)].as_buffer(), np.uint64)
             found = []
             for i, j in zip(*_collisions(group, coords, match)):
                 if label[i] == label[j]:
                     continue
-                if _similar(np.frombuffer(bits[i], np.uint64), np.frombuffer(bits[j], np.uint64), similarity):
+                if _similar(of(i), of(j), similarity):
                     found.append((rep[i], rep[j]))
                     label[label == label[j]] = label[i]
             if found:
@@ -357,19 +361,22 @@ def near_duplicates(
     ids = keep(known.groupBy("doc_id").agg(F.min("digest").alias("digest")), "ids")
     classes = ids.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     # One set, one signature: both sides have a row per class, so that no class is a hot key.
-    signatures = known.groupBy("digest").agg(F.first("signature").alias("signature"))
+    signatures = known.groupBy("digest").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
     classes = keep(classes.join(signatures, "digest"), "classes")
-    reps = classes.select("rep", "digest", "signature")
+    reps = classes.select("rep", "n", "digest", "signature")
     posted = keep(postings(reps, coords, match), "postings")
-    lists = posted.groupBy("token").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last")
-    members = posted.join(lists.select("token", "hub"), "token").where("hub <> rep").select("hub", "rep").distinct()
+    lists = posted.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("h"), F.max("rep").alias("last"), F.count("*").alias("postings"))
+    lists = keep(lists.where("h.rep < last").select("token", "postings", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n")), "lists")
+    members = look_up(posted, lists, "token", "postings", F.col("rep")).where("hub IS NOT NULL AND hub <> rep")
+    members = members.select("hub", "hub_n", "rep", "n").distinct()
     members = keep(members, "members")
     near = keep(_alike_hubs(members, reps, coords, match), "near-hubs")
     links = keep(_hub_links(near, _sets_of(docs, near, reps, size, coords), similarity), "hub-links")
     labels = connected_components(links)
-    with_hubs = members.union(members.select("hub", F.col("hub").alias("rep")).distinct())
+    with_hubs = members.drop("hub_n").union(members.select("hub", F.col("hub").alias("rep"), F.col("hub_n").alias("n")).distinct())
     apart = keep(_alike_runs(_run_rows(with_hubs, labels), reps, coords, match), "near-runs")
-    apart = apart.union(apart.select("hub", F.col("hub").alias("rep"))).distinct()
+    own_n = members.select("hub", F.col("hub_n").alias("n")).distinct()
+    apart = apart.unionByName(apart.select("hub").distinct().join(own_n, "hub").withColumn("rep", F.col("hub"))).distinct()
     sets = _sets_of(docs, apart, reps, size, coords)
     more = keep(_run_links(_run_rows(apart, labels), sets, coords, match, similarity), "run-links")
     labels = connected_components(links.union(more))
