@@ -9,8 +9,10 @@ cyclically from its own start word, so step 0 is one of the item's words and the
 windows to look at are those with that word in that place.  Windows have the
 item's size.  A window that agrees with its item in all sampled steps of any
 repetition goes to the exact check: the smallest word edit distance between the
-item and any stretch near the window, at most EDITS of the item's words.  The
-number of repetitions follows from the recall that is asked for at that distance.
+item and any stretch near the window, at most EDITS of the item's words.  Steps
+are sampled in the first SPAN of a walk, where it is still aligned however long
+the item is; the number of repetitions follows, for each size of items, from the
+recall that is asked for at that distance.
 """
 
 from __future__ import annotations
@@ -23,11 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .line_dedup import row_key
-from .store import slices
+from .store import keep, slices
 from .words import text_buffers, word_hashes
 
 SAMPLED, EDITS, RECALL = 2, 0.2, 0.98
-MOST_REPEATS = 40
+MOST_REPEATS = 64
+SPAN = 40  # steps of a walk that are sampled
+#: Sizes whose repetitions are simulated, each at int(edits * size) edits; an item goes by the largest that it reaches.
+SIZES = (5, 10, 15, 20, 30, 40, 60)
 EARLY = 6  # the first sampled step lies before this one, so that few windows are walked on
 #: Items and words of items that are broadcast at once, some 100 MB; more take more passes over the documents.
 ITEMS_A_BLOCK, WORDS_A_BLOCK = 20_000, 4_000_000
@@ -63,8 +68,12 @@ def edited(words: np.ndarray, share: float, rng: np.random.Generator) -> np.ndar
 
 
 @lru_cache
-def repeats_for(recall: float, edits: float, sampled: int = SAMPLED, trials: int = 600, size: int = 40) -> int:
-    """Repetitions that find ``recall`` of simulated items at the largest distance, ``edits`` of their words."""
+def repeats_for(recall: float, edits: float, size: int = 40, sampled: int = SAMPLED, trials: int = 1000) -> int:
+    """Repetitions that find ``recall`` of simulated items of ``size`` words at the largest distance, ``edits`` of them.
+
+    Longer items are found at least as often: their walks are sampled in the same
+    SPAN.  A recall that MOST_REPEATS repetitions do not reach raises.
+    """
     rng = np.random.default_rng(12)
     items = [rng.integers(1, 1 << 63, size, dtype=np.uint64) for _ in range(trials)]
     index = Index(list(range(trials)), items, MOST_REPEATS, sampled)
@@ -77,14 +86,28 @@ def repeats_for(recall: float, edits: float, sampled: int = SAMPLED, trials: int
         hit = entry[index.walk(entry, spot, words, np.array([0, len(words)]))]
         first[k] = index.repeat[hit].min(initial=MOST_REPEATS)
     found = np.cumsum(np.bincount(first, minlength=MOST_REPEATS + 1))[:MOST_REPEATS] / trials
-    enough = np.flatnonzero(found >= recall)
-    return int(enough[0]) + 1 if len(enough) else MOST_REPEATS
+    enough = np.flatnonzero(found >= recall + (1 - recall) / 4)  # a margin for the simulation's own chance
+    if not len(enough):
+        raise ValueError(f"{MOST_REPEATS} repetitions find {found[-1]:.3f} of items of {size} words at {edits:.0%} edits, not {recall}")
+    return int(enough[0]) + 1
+
+
+def repeats_of(recall: float, edits: float):
+    """The repetitions of an item by its number of words; below the smallest size, an edit is no longer within ``edits``."""
+
+    def of(words: int) -> int:
+        sizes = [s for s in SIZES if s <= words and int(edits * s)]
+        return repeats_for(recall, edits, sizes[-1]) if sizes else 2
+
+    return of
 
 
 class Index:
     """Start words and sampled steps of all repetitions of a block of items."""
 
-    def __init__(self, names: list[int], items: list[np.ndarray], repeats: int, sampled: int = SAMPLED, seed: int = 3):
+    def __init__(self, names: list[int], items: list[np.ndarray], repeats, sampled: int = SAMPLED, seed: int = 3):
+        """``repeats``: the repetitions of every item, or a function of its number of words."""
+        of = repeats if callable(repeats) else lambda _: repeats
         rng = np.random.default_rng(seed)
         self.names = names
         self.items = items
@@ -96,8 +119,8 @@ class Index:
             # The half of the words that fewest items hold start the repetitions: more words than EDITS can change.
             order = np.lexsort((rng.random(m), held_by[np.searchsorted(known, words)]))
             starts = order[: max(min(m, 2), (m + 1) // 2)]
-            for r in range(min(repeats, 3 * m)):
-                steps = np.sort([rng.integers(1, max(2, min(EARLY, m))), *rng.integers(1, max(2, 2 * m - 2), sampled - 1)])
+            for r in range(of(m)):
+                steps = np.sort([rng.integers(1, max(2, min(EARLY, m))), *rng.integers(1, max(2, min(2 * m - 2, SPAN)), sampled - 1)])
                 entries.append((words[starts[r % len(starts)]], k, starts[r % len(starts)], r, steps))
         entries.sort(key=lambda e: int(e[0]))
         self.word = np.array([e[0] for e in entries], np.uint64)
@@ -197,7 +220,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS,
     null and wordless items are in nothing; of items that share an item_id each
     counts.  Rows that repeat are all reported.  No items or no rows give no rows.
     Other columns are not read.  The benchmark passes through the driver in
-    blocks of bounded size, each of which is broadcast to one scan.
+    blocks of bounded size, one after another: a block is broadcast to one scan,
+    whose rows are written, and given back.  A recall that cannot be reached raises.
     """
     spark = docs.sparkSession
     items = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text"))
@@ -217,7 +241,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS,
 
 def _in_block(texts: DataFrame, block: list, edits: float, recall: float, schema: str) -> DataFrame:
     block.sort(key=lambda b: (b[0] is None, b[0] or 0, b[1].tolist()))
-    index = Index([name for name, _ in block], [words for _, words in block], repeats_for(recall, edits))
+    index = Index([name for name, _ in block], [words for _, words in block], repeats_of(recall, edits))
     shared = texts.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
@@ -229,4 +253,6 @@ def _in_block(texts: DataFrame, block: list, edits: float, recall: float, schema
                 columns += [pa.array([f[c] for f in found], pa.int64()) for c in (1, 2, 3)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "item_id", "edits", "first_word"])
 
-    return texts.mapInArrow(run, schema)
+    found = keep(texts.mapInArrow(run, schema), "found-items")
+    shared.destroy()
+    return found
