@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidewright.functions.shared import Scratch, keep
-from tidewright.llm import code_vectors, importance, op11_vector_codes, packing
+from tidewright.llm import bpe, code_vectors, decontaminate, importance, near_dedup, op11_vector_codes, packing, token_files
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 VECTORS = "vec_id long, embedding array<float>, label int, code string, error long, of string"
@@ -219,3 +219,78 @@ def test_pack_round_trip(spark):
     assert packing.pack(docs.limit(0), VOCABULARY).collect() == []
 
 
+
+
+@pytest.mark.parametrize("size", [10, 60, 200, 400, 1000])
+def test_recall_of_edited_passages_at_every_size(size):
+    """Items that the simulation never saw, at exactly 20 % edits, inside other text."""
+    rng = np.random.default_rng(1000 + size)
+    new = lambda n: rng.integers(1, 1 << 63, n, dtype=np.uint64)
+    items = [new(size) for _ in range(200)]
+    index = decontaminate.Index(list(range(200)), items, decontaminate.repeats_of(0.98, 0.2))
+    found = 0
+    for k, item in enumerate(items):
+        words = np.concatenate([new(40), decontaminate.edited(item, 0.2, rng), new(40)])
+        found += k in {int(r[1]) for r in index.candidates(words, np.array([0, len(words)]))}
+    assert found >= 0.98 * 200
+
+
+def test_a_recall_out_of_reach_raises():
+    with pytest.raises(ValueError):
+        decontaminate.repeats_for(0.98, 0.95, 60)
+
+
+def test_found_items_leave_no_broadcast(spark):
+    docs = spark.createDataFrame([(k, f"lead {k} one two three four five six seven eight nine ten", 1, 1, 1, "s") for k in range(5)], DOCS)
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "never said at all in any text")], "item_id long, text string")
+    with Scratch(spark) as own:
+        assert {(r.doc_id, r.item_id) for r in decontaminate.contaminations(docs, bench).collect()} == {(k, 1) for k in range(5)}
+        assert own.paths
+
+
+def test_near_duplicates_of_very_long_texts(spark, monkeypatch):
+    """One group of texts whose sets do not fit a run together: runs follow their bytes."""
+    monkeypatch.setattr(near_dedup, "RUN_BYTES", 1 << 20)
+    r = random.Random(6)
+    words = [f"w{r.randint(0, 10**6)}" for _ in range(60_000)]
+    rows = []
+    for k in range(12):
+        mine = list(words)
+        for at in r.sample(range(60_000), 300 + 150 * k):
+            mine[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(mine), 1, 1, 1, "s"))
+    rows += [(100 + k, f"short text number {k} of its own kind here", 1, 1, 1, "s") for k in range(30)]
+    sets = {}
+    for d, t, *_ in rows:
+        mine = t.split()
+        sets[d] = set(zip(mine, mine[1:], mine[2:], mine[3:], mine[4:]))
+    label = {d: d for d in sets}
+    for a in range(12):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {d: low if x == high else x for d, x in label.items()}
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(4)).collect()}
+    assert {d: c for d, c in got.items() if d < 100} == {d: c for d, c in label.items() if d < 100}
+    assert near_dedup._run_rows(spark.createDataFrame([(0, k, 60_000) for k in range(12)], "hub long, rep long, n long"), spark.createDataFrame([], "node long, component long")).select("left", "right").distinct().count() > 3
+
+
+def test_a_change_of_the_splitter_is_another_version(monkeypatch):
+    bpe.version_digest.cache_clear()
+    before = bpe.version_digest(VOCABULARY)
+    for name in ("SPLITTER", "PATTERN", "PLAIN"):
+        with monkeypatch.context() as patch:
+            patch.setattr(bpe, name, getattr(bpe, name) + "x")
+            bpe.version_digest.cache_clear()
+            assert bpe.version_digest(VOCABULARY) != before
+    bpe.version_digest.cache_clear()
+    assert bpe.version_digest(VOCABULARY) == before
+
+
+def test_requests_are_searched_and_not_joined_by_range(spark, tmp_path):
+    docs = spark.createDataFrame([(k * 2, f"text {k}", 1, 1, 1, "s") for k in range(300)], DOCS)
+    manifest = keep(token_files.write_token_files(docs, str(tmp_path / "ids"), VOCABULARY, 2), "manifest")
+    found = token_files.read_documents(manifest, spark.createDataFrame([(x,) for x in (-5, 0, 3, 4, 598, 600, None, 4)], "doc_id long"))
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    assert sorted(r.doc_id for r in found.collect()) == [0, 4, 598]
+    assert token_files.read_documents(manifest.limit(0), spark.createDataFrame([(1,)], "doc_id long")).collect() == []

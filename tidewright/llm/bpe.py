@@ -31,6 +31,7 @@ PATTERN = (
 )
 #: Texts of these characters only are split here: the alphabets above, common dashes and quotation marks.
 PLAIN = r"[\t\n\r\x20-\x7e\xa1-\xac\xae-\u017f\u2013\u2014\u2018-\u201d\u2022\u2026]*"
+SPLITTER = "1"  # raise it with any change of how texts are split or pieces are encoded here
 REMEMBERED = 800_000  # pieces
 
 
@@ -113,6 +114,6 @@ def encoder(path: str) -> Encoder:
 
 @lru_cache(maxsize=4)
 def version_digest(path: str) -> str:
-    """Digest of the vocabulary file and of the library's version."""
+    """Digest of the vocabulary file, of the library's version and of this module's own splitting."""
     with open(path, "rb") as f:
-        return sha256(f.read() + b"\0tokenizers " + tokenizers.__version__.encode()).hexdigest()
+        return sha256("\0".join([f.read().hex(), "tokenizers", tokenizers.__version__, SPLITTER, PATTERN, PLAIN]).encode()).hexdigest()

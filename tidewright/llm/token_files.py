@@ -122,12 +122,24 @@ def read_documents(manifest: DataFrame, ids: DataFrame) -> DataFrame:
 
     ``ids(doc_id)`` may be of any size; repeats count once, and null or unknown
     ones give no row.  A doc_id that several documents have gives them all.
-    Files are ranges of doc_ids, a row each: requests meet the files by range and
-    then only their own file's frames.  ``frame_bytes`` is what was decompressed.
+    Files are ranges of doc_ids: a binary search names a request's file, and then
+    it meets only that file's frames.  ``frame_bytes`` is what was decompressed.
     """
     wanted = ids.select(F.col("doc_id").cast("long").alias("want")).where("want IS NOT NULL").distinct()
-    files = manifest.groupBy("path").agg(F.min("first_doc").alias("low"), F.max("last_doc").alias("high"))
-    of_file = wanted.join(F.broadcast(files), (F.col("want") >= F.col("low")) & (F.col("want") <= F.col("high")))  # a row per file
+    files = manifest.groupBy("path").agg(F.min("first_doc").alias("low"), F.max("last_doc").alias("high")).where("low IS NOT NULL")
+    files = sorted(files.collect(), key=lambda f: f["low"])  # a row for each task that wrote
+    low, high = (np.array([f[c] for f in files], np.int64) for c in ("low", "high"))
+    names = np.array([f["path"] for f in files] or [""], object)
+
+    def find(batches):
+        """The one file whose range holds a request: a binary search, as ranges of files are apart."""
+        for batch in batches:
+            want = batch.column("want").to_numpy()
+            at = np.searchsorted(low, want, "right") - 1
+            inside = np.flatnonzero((at >= 0) & (want <= high[np.maximum(at, 0)])) if len(low) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(want[inside], pa.int64()), pa.array(names[at[inside]], pa.string())], ["want", "path"])
+
+    of_file = wanted.mapInArrow(find, "want long, path string")
     frames = manifest.select(F.col("path").alias("p"), "frame", "first_doc", "last_doc")
     hit = of_file.join(frames, (F.col("path") == F.col("p")) & (F.col("want") >= F.col("first_doc")) & (F.col("want") <= F.col("last_doc")))
     asked = hit.select("path", "frame", "want").repartition("path", "frame").sortWithinPartitions("path", "frame")
