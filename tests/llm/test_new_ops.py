@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidewright.functions.shared import Scratch, keep
-from tidewright.llm import bpe, code_vectors, decontaminate, importance, near_dedup, op11_vector_codes, packing, token_files
+from tidewright.llm import bloom_lm, bpe, code_vectors, decontaminate, importance, near_dedup, op11_vector_codes, packing, token_files
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 VECTORS = "vec_id long, embedding array<float>, label int, code string, error long, of string"
@@ -294,3 +294,36 @@ def test_requests_are_searched_and_not_joined_by_range(spark, tmp_path):
     assert "NestedLoop" not in found._jdf.queryExecution().toString()
     assert sorted(r.doc_id for r in found.collect()) == [0, 4, 598]
     assert token_files.read_documents(manifest.limit(0), spark.createDataFrame([(1,)], "doc_id long")).collect() == []
+
+
+def test_a_contexts_probabilities_add_up_to_one():
+    """Over all words and the unknown one, from quantised counts and a filter with its false members."""
+    r = np.random.default_rng(5)
+    words = r.integers(1, 2**63, 20_000).astype(np.uint64)
+    text = words[np.minimum(r.zipf(1.3, 200_000) - 1, len(words) - 1)]
+    left, right = text[:-1], text[1:]
+    pairs, first, n = np.unique(bloom_lm._pair_keys(left, right), return_index=True, return_counts=True)
+    known, counts = np.unique(text, return_counts=True)
+    none = np.zeros(0, np.uint64)
+    model = bloom_lm.Model(bloom_lm.Words(known, counts), none, np.zeros(0), np.zeros(0, np.int64), len(text), len(known), 1)
+    made = bloom_lm.Shard.of(left[first], pairs, n, model.first)
+    shard = bloom_lm.Shard.unpack(made.pack(), model.first)
+    told = bloom_lm.probe(shard.table, shard.first, pairs) / n
+    assert told.min() > 0.7 and (told < 1.3).mean() > 0.95 and (told[n == 1] == 1).mean() > 0.9
+    alone = np.r_[model.alone(counts), model.alone(0)]
+    assert alone.sum() == pytest.approx(1)
+    every = np.r_[known, np.uint64(7)]  # a word that training has not seen closes the list
+    contexts = np.r_[r.permutation(np.unique(left))[:300], words[:20], np.uint64(9)]
+    sums = []
+    for h in contexts:
+        pair, back, seen = model.smoothed(shard, np.full(len(every), h), every)
+        sums.append(((pair + back * alone) / (seen + back)).sum())
+    assert (abs(np.array(sums) - 1) < 0.01).mean() > 0.95 and np.mean(sums) == pytest.approx(1, abs=0.01)
+
+
+def test_a_trained_model_scores_other_documents(spark):
+    rows = [(k, "the cat sat on the mat " * 5 if k % 2 else "a dog ran off " * 7) for k in range(60)]
+    trained = bloom_lm.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    other = spark.createDataFrame([(1, "the cat sat on the mat"), (2, "mat the on sat cat the"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in bloom_lm.score(other, trained).collect()}
+    assert set(got) == {1, 2, 3} and got[1] > got[2] + 1

@@ -3,17 +3,22 @@
 A count c is kept as its quantised logarithm q = 1 + floor(log_BASE(c)): the key
 is inserted with each of 1..q, and a reader probes 1, 2, ... until a miss.  Keys
 are made of 64-bit word hashes, so every training word and every training
-bigram is in the model.  A filter holds the bigram counts of its contexts, and of
-each context the sum and the number of its bigrams; p(w | h) spends what a
-context's bigrams leave on the word's own probability, the one of ``base_score``.
-
-Every token goes to the shard of its context, which builds the filter and probes
-it in one task and sends back a sum per document; a shard stands for SHARD_BYTES
-of text, so that bits per key and memory per task stay the same at every size.
-Contexts of more than HEAVY tokens are spread over all shards by bigram; their
-sums and numbers are exact.  Frequent words have a broadcast table (at most
-VOCABULARY entries), which only saves work: tokens of all other words join the
-full counts.
+bigram is in the model.  p(w | h) spends what a context's bigrams leave on the
+word's own probability, the one of ``base_score``.
+
+One job builds the filters from the training rows and writes them; another deals
+the tokens to be scored to the shard of their context and answers from its
+filter alone.  Beside the filter a shard keeps, for each of its contexts, the sum
+of what the filter tells of its bigrams and their number, so the probabilities of a
+context add up to one but for false members.  The first level takes more
+probes the larger the vocabulary is, which keeps the false members of a context
+under a hundredth of one over all words; the higher levels take PROBES.
+
+A shard stands for SHARD_BYTES of text, so that bits per key and memory per task
+stay the same at every size.  Contexts of more than HEAVY tokens are spread over
+all shards by bigram; what the shards add to their sums is broadcast.  Frequent
+words have a broadcast table (at most VOCABULARY entries), which only saves work:
+tokens of all other words join the full counts.
 """
 
 from __future__ import annotations
@@ -32,15 +37,17 @@ from .words import mix64, text_buffers, word_hashes
 
 BASE, PROBES, BITS_A_KEY = 1.4, 5, 8
 BLOCK_BITS = 15  # all bits of a key lie in one block of the filter
+SPARE = 7  # false members that a context may have over all words: 2 ** -SPARE
 VOCABULARY = 1 << 18
 SHARD_BYTES = 8 << 20  # of text
 CHUNK = 1 << 21  # tokens that a task sends to the shards at once
 HEAVY = 1 << 20  # tokens of a context that is spread over all shards
 END = np.uint64(0x656E64)  # the token that closes every text
 HELD_OUT = 1
+PIECE = 1 << 18  # tokens that a shard's filter answers at once
+MOST_TASKS = 10_000  # shards beyond this number share tasks, one after another
 _TASK_KEYS = 1 << 21  # keys that a task gathers before it hands them on
-_SUM, _TYPES = (np.uint64(t) << np.uint64(60) for t in (3, 4))
-_ROWS, _TOKENS = 0, 1  # what a chunk sends: its documents, a shard's tokens
+_FILTER, _ROWS, _TOKENS = 0, 1, 2  # what reaches a shard: its filter, a chunk's documents, a chunk's tokens
 _DOC_BITS, _CHUNK_BITS = 22, 20  # of a row number: document in the chunk, chunk in the task
 
 
@@ -137,40 +144,52 @@ def _pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix64(left * np.uint64(0x9E3779B97F4A7C15) + right)
 
 
-def _block(keys: np.ndarray, bits: int) -> np.ndarray:
-    return (mix64(keys) & np.uint64((1 << (bits - BLOCK_BITS)) - 1)).astype(np.int64)
+def _block(keys: np.ndarray, blocks: int) -> np.ndarray:
+    return ((mix64(keys) >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
 
 
-def _pair_of_hashes(keys: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
-    one = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + np.asarray(level).astype(np.uint64))
-    return one, mix64(one ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
-
-
-def _spot(one: np.ndarray, two: np.ndarray, probe_number: int) -> np.ndarray:
-    """Position inside the key's block."""
-    return ((one + np.uint64(probe_number) * two) >> np.uint64(20)) & np.uint64((1 << BLOCK_BITS) - 1)
+def _spots(keys: np.ndarray, level: int, number: int) -> np.ndarray:
+    """Four positions inside the key's block, for the probes 4 * number to 4 * number + 3 of a level."""
+    mixed = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + np.uint64((level << 8) + number + 1))
+    return np.stack([(mixed >> np.uint64(BLOCK_BITS * j)) & np.uint64((1 << BLOCK_BITS) - 1) for j in range(4)]).astype(np.int64)
 
 
 def _levels(n: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(n) / math.log(BASE) + 1e-9).astype(np.int64)
 
 
-def filter_of(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, int]:
-    """The filter over keys and their counts, n >= 1: BITS_A_KEY bits or more for every insertion."""
+def _value(level: int) -> float:
+    """The mean of the counts of a level, 0 for none."""
+    low, high = math.ceil(BASE ** (level - 1) - 1e-9), math.ceil(BASE**level - 1e-9) - 1
+    return 0.0 if level < 1 else (low + high) / 2 if low <= high else BASE ** (level - 0.5)
+
+
+_VALUES = np.array([_value(q) for q in range(202)])  # BASE ** 200 is past any count
+
+
+def filter_of(keys: np.ndarray, n: np.ndarray, first: int = PROBES) -> tuple[np.ndarray, int]:
+    """The filter over keys and their counts, n >= 1, half full; ``first`` probes for the first level."""
     levels = _levels(n)
-    bits = max(BLOCK_BITS, math.ceil(math.log2(max(int(levels.sum()), 1) * BITS_A_KEY)))
-    words = 1 << (BLOCK_BITS - 6)
-    table = np.zeros((1 << (bits - BLOCK_BITS)) * words, np.uint64)
-    block = _block(keys, bits) * words
-    step = 1 << 18
-    for k in range(0, len(keys), step):
-        times = levels[k : k + step]
-        each = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + 1
-        where = np.repeat(block[k : k + step], times)
-        one, two = _pair_of_hashes(np.repeat(keys[k : k + step], times), each)
-        for spot in (_spot(one, two, j) for j in range(PROBES)):
-            np.bitwise_or.at(table, where + (spot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (spot & np.uint64(63)))
-    return table.reshape(-1, words), bits
+    bits = len(keys) * math.ceil(first / math.log(2)) + (int(levels.sum()) - len(keys)) * BITS_A_KEY
+    blocks = max(1, math.ceil(bits / (1 << BLOCK_BITS)))
+    table = np.zeros((blocks, 1 << (BLOCK_BITS - 6)), np.uint64)
+    block = _block(keys, blocks)
+    order = np.argsort(block, kind="stable")
+    keys, levels, block = keys[order], levels[order], block[order]
+    for start in range(0, blocks, 256):  # a byte a bit, some blocks at a time
+        stop = min(start + 256, blocks)
+        i, j = np.searchsorted(block, [start, stop])
+        mine, high, at = keys[i:j], levels[i:j], (block[i:j] - start) << BLOCK_BITS
+        spread, level = np.zeros((stop - start) << BLOCK_BITS, np.uint8), 1
+        while len(mine):
+            probes = first if level == 1 else PROBES
+            for k in range(0, probes, 4):
+                for spot in _spots(mine, level, k // 4)[: probes - k]:
+                    spread[at + spot] = 1
+            more = high > level
+            mine, high, at, level = mine[more], high[more], at[more], level + 1
+        table[start:stop] = np.packbits(spread, bitorder="little").view(np.uint64).reshape(stop - start, -1)
+    return table, first
 
 
 def build_filter(stats: DataFrame) -> tuple[np.ndarray, int]:
@@ -179,21 +198,20 @@ def build_filter(stats: DataFrame) -> tuple[np.ndarray, int]:
     return filter_of(got.column("key").to_numpy().astype(np.uint64), got.column("n").to_numpy())
 
 
-def probe(table: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+def probe(table: np.ndarray, first: int, keys: np.ndarray) -> np.ndarray:
     """Quantised count of each key (0: absent), by probing level after level until a miss."""
-    level, open_, block = np.zeros(len(keys), np.int64), np.arange(len(keys)), _block(keys, bits)
+    level, open_, block = np.zeros(len(keys), np.int64), np.arange(len(keys)), _block(keys, len(table))
     k = 1
-    while len(open_):
-        one, two = _pair_of_hashes(keys[open_], k)
-        for j in range(PROBES):  # a miss ends a key's probes
-            spot = _spot(one, two, j)
-            hit = (table[block[open_], (spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
-            open_, one, two = open_[hit], one[hit], two[hit]
+    while len(open_) and k < len(_VALUES):
+        probes = first if k == 1 else PROBES
+        for j in range(0, probes, 4):  # a miss ends a key's probes
+            hit = np.ones(len(open_), bool)
+            for spot in _spots(keys[open_], k, j // 4)[: probes - j]:
+                hit &= (table[block[open_], spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) == 1
+            open_ = open_[hit]
         level[open_] = k
         k += 1
-        if k > 200:  # BASE ** 200 is past any count
-            break
-    return np.where(level > 0, BASE ** (level - 0.5), 0.0)
+    return _VALUES[level]
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -212,109 +230,217 @@ def _unpack(data: bytes, *types) -> list[np.ndarray]:
     return out
 
 
+@dataclass
+class Shard:
+    """What answers for a shard of contexts: the filter of their bigrams, and each context's sum and number of bigrams."""
+
+    table: np.ndarray
+    first: int
+    contexts: np.ndarray
+    sums: np.ndarray  # of what the filter tells of their bigrams
+    kinds: np.ndarray
+
+    @staticmethod
+    def of(left: np.ndarray, pairs: np.ndarray, n: np.ndarray, first: int) -> Shard:
+        """From distinct bigrams, their contexts and their counts."""
+        contexts, at = np.unique(left, return_inverse=True)
+        table, _ = filter_of(pairs, n, first)
+        sums = np.bincount(at, weights=probe(table, first, pairs), minlength=len(contexts))
+        return Shard(table, first, contexts, sums, np.bincount(at, minlength=len(contexts)).astype(np.int64))
+
+    def pack(self) -> bytes:
+        return _pack(self.table.ravel(), self.contexts, self.sums, self.kinds)
+
+    @staticmethod
+    def unpack(body: bytes, first: int) -> Shard:
+        table, *rest = _unpack(body, np.uint64, np.uint64, np.float64, np.int64)
+        return Shard(table.reshape(-1, 1 << (BLOCK_BITS - 6)), first, *rest)
+
+    def context(self, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum and kinds of each context; 0 for one without training bigrams."""
+        at = Words(self.contexts, self.kinds).ids(left)
+        return np.r_[0.0, self.sums][at], np.r_[0, self.kinds][at]
+
+
 @dataclass
 class Model:
     """What every task knows: the frequent words, the heavy contexts in order of hash, and the totals."""
 
     words: Words
     heavy: np.ndarray
-    heavy_n: np.ndarray  # their tokens
-    heavy_types: np.ndarray  # their distinct bigrams
+    heavy_sums: np.ndarray  # of what the filters tell of their bigrams
+    heavy_kinds: np.ndarray  # their distinct bigrams
     n: int  # training tokens
     v: int  # distinct training tokens
     shards: int
 
     def heavy_at(self, hashes: np.ndarray) -> np.ndarray:
         """1-based position among the heavy contexts; 0: none of these."""
-        return Words(self.heavy, self.heavy_n).ids(hashes)
+        return Words(self.heavy, self.heavy).ids(hashes)
+
+    @property
+    def first(self) -> int:
+        """Probes of the first level: false members of a context are 2 ** -SPARE or fewer over all words."""
+        return SPARE + math.ceil(math.log2(self.v + 2))
 
     def alone(self, n):
         """Probability of a word of n training tokens, by itself."""
         return (n + 0.5) / (self.n + 0.5 * (self.v + 1))
 
-    def requests(self, hashes: np.ndarray, at: np.ndarray, training: np.ndarray):
-        """``shard, body``: the tokens of a chunk, dealt by context."""
-        left = _before(hashes, at)
-        route = np.where(self.heavy_at(left) > 0, _pair_keys(left, hashes), mix64(left))
+    def deal(self, left: np.ndarray, right: np.ndarray, number: np.ndarray):
+        """``shard, body``: bigrams and a number of each, dealt by context."""
+        route = np.where(self.heavy_at(left) > 0, _pair_keys(left, right), mix64(left))
         shard = ((route >> np.uint64(32)) * np.uint64(self.shards)) >> np.uint64(32)
         order = np.argsort(shard.astype(np.uint16 if self.shards <= 1 << 16 else np.int64), kind="stable")
-        shard, left, right = shard[order], left[order], hashes[order]
-        doc = (np.repeat(2 * np.arange(len(at) - 1) + training, np.diff(at))[order]).astype(np.int32)
+        shard, left, right, number = shard[order], left[order], right[order], number[order].astype(np.int32)
         ids = [self.words.ids(x).astype(np.int32) for x in (left, right)]
         edges = np.r_[0, np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(shard)]
         for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
             others = [x[i:j][k[i:j] == 0] for x, k in zip((left, right), ids)]
-            yield int(shard[i]), _pack(doc[i:j], ids[0][i:j], ids[1][i:j], *others)
+            yield int(shard[i]), _pack(number[i:j], ids[0][i:j], ids[1][i:j], *others)
 
-    def answers(self, chunks: np.ndarray, bodies: list[bytes]):
-        """Builds the filter of a shard and scores its tokens: ``(chunk, body)`` of sums, and the columns of other words' tokens."""
+    def dealt(self, bodies: list[bytes]):
+        """The numbers, contexts, words and positions of words among the frequent ones, and each body's length."""
         parts = [_unpack(b, np.int32, np.int32, np.int32, np.uint64, np.uint64) for b in bodies]
-        doc, left_id, right_id, left_other, right_other = (np.concatenate(x) for x in zip(*parts))
-        sizes = np.array([len(p[0]) for p in parts])
-        del parts
+        number, left_id, right_id, left_other, right_other = (np.concatenate(x) for x in zip(*parts))
         hashes = np.r_[np.uint64(0), self.words.hashes]
         left, right = hashes[left_id], hashes[right_id]
         left[left_id == 0], right[right_id == 0] = left_other, right_other
+        return number, left, right, right_id, np.array([len(p[0]) for p in parts])
+
+    def build(self, bodies: list[bytes]):
+        """The shard of some counted bigrams, and what they add to heavy contexts: position, sum, kinds."""
+        count, left, right, _, _ = self.dealt(bodies)
         pairs, first, where = np.unique(_pair_keys(left, right), return_index=True, return_inverse=True)
-        n = np.bincount(where, weights=doc & 1, minlength=len(pairs)).astype(np.int64)
-        contexts, context = np.unique(left[first], return_inverse=True)
-        sums = np.bincount(context, weights=n, minlength=len(contexts)).astype(np.int64)
-        types = np.bincount(context[n > 0], minlength=len(contexts))
-        heavy = self.heavy_at(contexts)
-        own = (heavy == 0) & (sums > 0)
-        held = np.r_[pairs[n > 0], contexts[own] ^ _SUM, contexts[own] ^ _TYPES]
-        table, bits = filter_of(held, np.r_[n[n > 0], sums[own], types[own]])
-        got_sum = np.where(heavy > 0, np.r_[0, self.heavy_n][heavy], probe(table, bits, contexts ^ _SUM))
-        got_types = np.where(heavy > 0, np.r_[0, self.heavy_types][heavy], probe(table, bits, contexts ^ _TYPES))
-        seen, back = got_sum[context], got_types[context] + 1.0
-        c = np.minimum(probe(table, bits, pairs), seen)
+        n = np.bincount(where, weights=count, minlength=len(pairs)).astype(np.int64)
+        shard = Shard.of(left[first], pairs, n, self.first)
+        place = self.heavy_at(shard.contexts)
+        added = place[place > 0], shard.sums[place > 0], shard.kinds[place > 0]
+        shard.contexts, shard.sums, shard.kinds = (x[place == 0] for x in (shard.contexts, shard.sums, shard.kinds))
+        return shard, added
+
+    def smoothed(self, shard: Shard, left: np.ndarray, right: np.ndarray):
+        """``pair, back, seen`` of bigrams: p(w | h) = (pair + back * alone(w)) / (seen + back)."""
+        seen, kinds = shard.context(left)
+        place = self.heavy_at(left)
+        seen = np.where(place > 0, np.r_[0.0, self.heavy_sums][place], seen)
+        kinds = np.where(place > 0, np.r_[0, self.heavy_kinds][place], kinds)
+        return np.minimum(probe(shard.table, shard.first, _pair_keys(left, right)), seen), kinds + 1.0, seen
+
+    def answers(self, shard: Shard, chunks: np.ndarray, bodies: list[bytes]):
+        """Scores tokens from their shard's filter: ``(chunk, body)`` of sums, and the columns of other words' tokens."""
+        doc, left, right, right_id, sizes = self.dealt(bodies)
+        _, first, where = np.unique(_pair_keys(left, right), return_index=True, return_inverse=True)
+        c, back, seen = (x[where] for x in self.smoothed(shard, left[first], right[first]))
         known = right_id > 0
         alone = self.alone(np.r_[0, self.words.counts])[right_id]
-        term = np.where(known, np.log10((c[where] + back[where] * alone) / (seen[where] + back[where])), 0.0)
-        doc >>= 1
+        term = np.where(known, np.log10((c + back * alone) / (seen + back)), 0.0)
         starts = np.cumsum(sizes) - sizes
-        edges = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        edges = np.union1d(edges, starts)
+        edges = np.union1d(np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]), starts)
         total, rows, cut = np.add.reduceat(term, edges).astype(np.float32), doc[edges], np.searchsorted(edges, np.r_[starts, len(doc)])
         sent = [(k, _pack(rows[i:j], total[i:j])) for k, i, j in zip(chunks.tolist(), cut[:-1], cut[1:])]
-        other = np.flatnonzero(~known)
-        row = (np.repeat(chunks, sizes)[other] << _DOC_BITS) | doc[other]
-        at = where[other]
-        return sent, (row, right[other].astype(np.int64), c[at].astype(np.float32), back[at].astype(np.float32), seen[at].astype(np.float32))
+        at = np.flatnonzero(~known)
+        row = (np.repeat(chunks, sizes)[at] << _DOC_BITS) | doc[at]
+        return sent, (row, right[at].astype(np.int64), *(x[at].astype(np.float32) for x in (c, back, seen)))
+
+
+@dataclass
+class Trained:
+    """A model with its written tables: exact word counts ``key, n``, and a filter a shard (``shard, body``)."""
+
+    model: Model
+    counts: DataFrame
+    filters: DataFrame
+
+
+def _to_shards(sent: DataFrame, shards: int) -> DataFrame:
+    """Rows to the task of their shard, in order of shard and kind."""
+    tasks = min(shards, MOST_TASKS)
+    return sent.repartitionById(tasks, F.pmod(F.col("shard"), F.lit(tasks))).sortWithinPartitions("shard", "kind")
 
 
-def heavy_types(rows: DataFrame, heavy: np.ndarray) -> np.ndarray:
-    """Distinct bigrams of each heavy context."""
-    out = np.zeros(len(heavy), np.int64)
-    if len(heavy):
-        width = len(heavy).bit_length()
-        table = rows.sparkSession.sparkContext.broadcast(Words(heavy, heavy))
+def _bundles(batches, size: int):
+    """Token arrays of Arrow batches, joined to ``size`` tokens or more: ``rows, hashes, offsets``."""
+    held, total = [], 0
 
-        def keys_of(column):
-            hashes, at = tokens(column)
+    def joined():
+        at = np.r_[0, np.cumsum(np.concatenate([np.diff(a) for _, _, a in held]))]
+        return pa.Table.from_batches([b for b, _, _ in held]), np.concatenate([h for _, h, _ in held]), at
+
+    for batch in slices(batches):
+        if batch.num_rows:
+            hashes, at = tokens(batch.column("text"))
+            held.append((batch.drop_columns(["text"]), hashes, at))
+            total += len(hashes)
+        if total >= size:
+            yield joined()
+            held, total = [], 0
+    if held:
+        yield joined()
+
+
+def build_filters(rows: DataFrame, model: Model) -> DataFrame:
+    """``shard, body`` per shard with training text, and ``place, value, kinds``: what a shard adds to a heavy context."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    size = CHUNK
+
+    def count(batches):
+        for _, hashes, at in _bundles(batches, size):
             left = _before(hashes, at)
-            place = table.value.ids(left)
-            pair = _pair_keys(left, hashes)[place > 0] >> np.uint64(width)
-            return pair | (place[place > 0].astype(np.uint64) << np.uint64(64 - width))
+            _, first, n = np.unique(_pair_keys(left, hashes), return_index=True, return_counts=True)
+            order = np.argsort(left[first])
+            first, n = first[order], n[order]
+            sent = list(shared.value.deal(left[first], hashes[first], n))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s for s, _ in sent], pa.int32()), pa.array([_TOKENS] * len(sent), pa.int32()), pa.array([b for _, b in sent], pa.binary())],
+                ["shard", "kind", "body"],
+            )
 
-        place = F.shiftrightunsigned("key", 64 - width).alias("place")
-        for r in count_keys(rows, keys_of).groupBy(place).count().collect():
-            out[r["place"] - 1] = r["count"]
-    return out
+    def built(shard, bodies):
+        mine, (place, value, kinds) = shared.value.build(bodies)
+        n = len(place)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([shard] * (n + 1), pa.int32()),
+                pa.array([mine.pack()] + [None] * n, pa.binary()),
+                pa.array([None, *place.tolist()], pa.int64()),
+                pa.array([None, *value.tolist()], pa.float64()),
+                pa.array([None, *kinds.tolist()], pa.int64()),
+            ],
+            ["shard", "body", "place", "value", "kinds"],
+        )
+
+    def build(batches):
+        now, bodies = None, []
+        for batch in batches:
+            for shard, body in zip(batch.column("shard").to_pylist(), batch.column("body").to_pylist()):
+                if shard != now and bodies:
+                    yield built(now, bodies)
+                    bodies = []
+                now = shard
+                bodies.append(body)
+        if bodies:
+            yield built(now, bodies)
+
+    sent = rows.select("text").mapInArrow(count, "shard int, kind int, body binary")
+    return _to_shards(sent, model.shards).mapInArrow(build, "shard int, body binary, place long, value double, kinds long")
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The totals of all training rows of ``docs(doc_id, text)``, and their exact word counts ``key, n``."""
+def train(docs: DataFrame) -> Trained:
+    """The model of all training rows of ``docs(doc_id, text)``."""
     rows = docs.where(in_training(F.col("doc_id"))).select(F.col("text").cast("string").alias("text"))
-    counts = keep(count_keys(rows, lambda column: tokens(column)[0]), "word-counts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")) + 1)).first()[0] or 1
-    got = counts.where(F.col("n") > HEAVY).toArrow()
-    heavy, heavy_n = got.column("key").to_numpy().astype(np.uint64), got.column("n").to_numpy()
-    order = np.argsort(heavy)
-    heavy = heavy[order]
-    shards = math.ceil(size / SHARD_BYTES)
-    return Model(frequent_words(counts), heavy, heavy_n[order], heavy_types(rows, heavy), int(total["n"]), int(total["v"]), shards), counts
+    with arrow_rows(docs.sparkSession):
+        counts = keep(count_keys(rows, lambda column: tokens(column)[0]), "word-counts")
+        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")) + 1)).first()[0] or 1
+        heavy = np.sort(counts.where(F.col("n") > HEAVY).select("key").toArrow().column("key").to_numpy().astype(np.uint64))
+        none = np.zeros(len(heavy))
+        model = Model(frequent_words(counts), heavy, none, none.astype(np.int64), int(total["n"]), int(total["v"]), math.ceil(size / SHARD_BYTES))
+        filters = keep(build_filters(rows, model), "filters")
+    added = filters.where("place IS NOT NULL").groupBy("place").agg(F.sum("value").alias("value"), F.sum("kinds").alias("kinds"))
+    for r in added.collect() if len(heavy) else []:
+        model.heavy_sums[r["place"] - 1], model.heavy_kinds[r["place"] - 1] = r["value"], r["kinds"]
+    return Trained(model, counts, filters.where("body IS NOT NULL").select("shard", "body"))
 
 
 _SENT = "shard int, chunk long, kind int, body binary"
@@ -322,30 +448,34 @@ _SERVED = "chunk long, kind int, body binary, row long, key long, pair float, ba
 _ROW_TYPES = (np.int64, np.uint8, np.int32, np.int32, np.float64)  # doc_id, is it null, tokens, known ones, base
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, repeats: bool = False) -> DataFrame:
     """``docs(doc_id, text)`` to ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     One row per input row.  Null and empty texts are the end token alone.  A
     null doc_id is neither in training nor held out (null).  Without training
     rows every token is unknown.  ``base_score`` is exact: frequent words are
     looked up in the broadcast table, all others join the full counts.  Other
-    columns are not read.
+    columns are not read.  Rows are numbered by task, so an input is written first
+    unless it ``repeats``: gives the same partitions when a lost task reads it
+    again, as the scan of a table does.
     """
-    spark = docs.sparkSession
-    with arrow_rows(spark):
-        model, counts = train(docs)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs if repeats else keep(docs, "texts")
+    return score(docs, train(docs))
+
+
+def score(docs: DataFrame, trained: Trained) -> DataFrame:
+    """Scores of ``docs(doc_id long, text string)``, whose partitions repeat, by a trained model; columns as above."""
+    spark, model, counts = docs.sparkSession, trained.model, trained.counts
     shared = spark.sparkContext.broadcast(model)
+    size, piece = CHUNK, PIECE
 
     def send(batches):
-        m, task, number = shared.value, TaskContext.get().partitionId(), 0
+        m, task = shared.value, TaskContext.get().partitionId()
         base = np.log10(m.alone(np.r_[0, m.words.counts]))
-
-        def chunk(held):
-            hashes = np.concatenate([h for _, h, _ in held])
-            at = np.r_[0, np.cumsum(np.concatenate([np.diff(a) for _, _, a in held]))]
-            of = pa.Table.from_batches([b for b, _, _ in held])
+        for number, (of, hashes, at) in enumerate(_bundles(batches, size)):
             ids = m.words.ids(hashes)
-            add = lambda x, t: np.add.reduceat(x, at[:-1], dtype=t)  # noqa: E731  every row has its end token
+            add = lambda x, t: np.add.reduceat(x, at[:-1], dtype=t)  # noqa: B023, E731  every row has its end token
             doc_id = of.column("doc_id")
             body = _pack(
                 doc_id.fill_null(0).to_numpy(),
@@ -354,49 +484,50 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 add(ids > 0, np.int32),
                 add(np.where(ids > 0, base[ids], 0.0), np.float64),
             )
-            name = (task << _CHUNK_BITS) | number
             del ids
+            name, doc = (task << _CHUNK_BITS) | number, np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
             sent = [(name % m.shards, _ROWS, body)]
-            sent += [(s, _TOKENS, b) for s, b in m.requests(hashes, at, of.column("training").to_numpy().astype(np.int64))]
+            sent += [(s, _TOKENS, b) for s, b in m.deal(_before(hashes, at), hashes, doc)]
             columns = [
                 pa.array([s for s, _, _ in sent], pa.int32()),
                 pa.array([name] * len(sent), pa.int64()),
                 pa.array([k for _, k, _ in sent], pa.int32()),
                 pa.array([b for _, _, b in sent], pa.binary()),
             ]
-            return pa.RecordBatch.from_arrays(columns, ["shard", "chunk", "kind", "body"])
-
-        held, size = [], 0
-        for batch in slices(batches):
-            hashes, at = tokens(batch.column("text"))
-            held.append((batch.select(["doc_id", "training"]), hashes, at))
-            size += len(hashes)
-            if size >= CHUNK:
-                yield chunk(held)
-                held, size, number = [], 0, number + 1
-        if held:
-            yield chunk(held)
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "chunk", "kind", "body"])
 
     def serve(batches):
-        m, held = shared.value, {}
+        m = shared.value
         types = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.float32(), pa.float32(), pa.float32()]
         names = ["chunk", "kind", "body", "row", "key", "pair", "back", "seen"]
+        nothing = np.zeros(0, np.uint64)
 
         def out(n, *columns):
             arrays = [pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)]
             return pa.RecordBatch.from_arrays(arrays, names)
 
+        def scored(mine, held):
+            sent, other = m.answers(mine, np.array([k for k, _ in held], np.int64), [b for _, b in held])
+            yield out(len(sent), [k for k, _ in sent], [_TOKENS] * len(sent), [b for _, b in sent], *[None] * 5)
+            yield out(len(other[0]), None, None, None, *other)
+
+        now, mine, held, total = None, None, [], 0
         for batch in batches:
             for shard, chunk, kind, body in zip(*(batch.column(c).to_pylist() for c in ("shard", "chunk", "kind", "body"))):
-                if kind == _ROWS:
+                if held and (shard != now or total >= piece):
+                    yield from scored(mine, held)
+                    held, total = [], 0
+                if shard != now:
+                    now, mine = shard, Shard.of(nothing, nothing, np.zeros(0, np.int64), m.first)
+                if kind == _FILTER:
+                    mine = Shard.unpack(body, m.first)
+                elif kind == _ROWS:
                     yield out(1, [chunk], [kind], [body], *[None] * 5)
                 else:
-                    held.setdefault(shard, []).append((chunk, body))
-        for shard in list(held):
-            mine = held.pop(shard)
-            sent, other = m.answers(np.array([k for k, _ in mine], np.int64), [b for _, b in mine])
-            yield out(len(sent), [k for k, _ in sent], [_TOKENS] * len(sent), [b for _, b in sent], *[None] * 5)
-            yield out(len(other[0]), None, None, None, *other)
+                    held.append((chunk, body))
+                    total += int.from_bytes(body[:8], "little") // 12  # bytes of a token before compression
+        if held:
+            yield from scored(mine, held)
 
     def gather(batches):
         rows, scores = {}, {}
@@ -423,9 +554,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "known", "base", "first"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.withColumn("training", F.coalesce(in_training(F.col("doc_id")), F.lit(False)).cast("int"))
-    sent = texts.mapInArrow(send, _SENT).repartitionById(model.shards, F.col("shard"))
+    filters = trained.filters.select("shard", F.lit(0).cast("long").alias("chunk"), F.lit(_FILTER).alias("kind"), "body")
+    sent = _to_shards(docs.select("doc_id", "text").mapInArrow(send, _SENT).unionByName(filters), model.shards)
     with arrow_rows(spark):
         served = keep(sent.mapInArrow(serve, _SERVED), "served")
     rows = served.where("body IS NOT NULL").select("chunk", "kind", "body").repartition("chunk")

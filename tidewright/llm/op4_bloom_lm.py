@@ -11,4 +11,4 @@ SQL = None  # the filter has no SQL; base_score and counts are compared with pla
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), repeats=True)
