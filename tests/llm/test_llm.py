@@ -7,6 +7,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -633,3 +634,34 @@ def test_the_sessions_batch_size_stays(spark, docs):
     before = spark.conf.get(name)
     bloom_lm.score_documents(docs).count()
     assert spark.conf.get(name) == before
+
+
+def _peak(call):
+    """Bytes of the arrays that ``call`` has at once."""
+    tracemalloc.start()
+    try:
+        call()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_language_windows_are_added_up_in_small_pieces():
+    net, text = gru_lang.Network(["de", "en", "fr", "nl"]), np.full(gru_lang.CORE * 256, 97, np.uint8)
+    readings = 2 * 4 * 4 * 256 * (gru_lang.CORE + 2 * gru_lang.CONTEXT)  # both, float32, four languages
+    assert _peak(lambda: net.pooled(text, np.array([0, len(text)]))) < readings + (8 << 20)
+
+
+def test_one_list_for_all_members_is_merged_in_small_pieces():
+    sig = np.random.default_rng(3).integers(0, 2**32, (512, 64), dtype=np.uint32)
+    sig[:, :60] = 7  # every member is on 60 lists with all others
+    assert _peak(lambda: near_dedup.merge_lists(sig, sig, 34)) < 64 << 20
+
+
+def test_near_duplicates_run_with_small_batches(spark, docs, monkeypatch):
+    name, used = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before, keep = spark.conf.get(name), near_dedup.keep
+    monkeypatch.setattr(near_dedup, "keep", lambda df, table: (used.setdefault(table, spark.conf.get(name)), keep(df, table))[1])
+    near_dedup.near_duplicates(docs).count()
+    with_workers = ("sketch", "postings", "near-hubs", "hub-links", "near-runs", "run-links")
+    assert {used[t] for t in with_workers} == {"512"} and spark.conf.get(name) == before

@@ -30,6 +30,7 @@ DOCS_A_LANGUAGE, BYTES_A_LANGUAGE = 300, 4 << 20
 HIDDEN, STEPS, BATCH, SPAN, RATE = 12, 200, 160, 48, 0.02
 CORE, CONTEXT = 1024, 64
 WINDOWS = 512  # that are read at once
+MERGED = 32  # of these whose two readings are added at once
 HELD_OUT = 2
 UNDETERMINED = "und"
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -231,12 +232,18 @@ class Network:
         ahead = self.ways[0].read(data, begin, 1, active.tolist(), self.out[:size])
         behind = self.ways[1].read(data, end - 1, -1, active.tolist(), self.out[size:])
         # position i of window k is step i forward and step length - 1 - i backward; cores only
-        count = high - low
+        return np.concatenate(
+            [self._merged(ahead, behind, before, begin, length, low, high, k, k + MERGED) for k in range(0, len(begin), MERGED)]
+        )
+
+    def _merged(self, ahead, behind, before, begin, length, low, high, first: int, last: int) -> np.ndarray:
+        """Summed probabilities of windows first to last; memory follows their number."""
+        begin, length, low, count = begin[first:last], length[first:last], low[first:last], (high - low)[first:last]
         window = np.repeat(np.arange(len(begin)), count)
         edges = np.cumsum(count) - count
         i = np.arange(len(window)) - np.repeat(edges - (low - begin), count)
-        logits = ahead[before[i] + window]
-        logits += behind[before[length[window] - 1 - i] + window]
+        logits = ahead[before[i] + first + window]
+        logits += behind[before[length[window] - 1 - i] + first + window]
         logits += self.bias
         logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .store import keep, look_up, slices
+from .store import arrow_rows, keep, look_up, slices
 from .words import mix64, shingles, text_buffers, word_hashes
 
 COORDS, MATCH, SIMILARITY = 64, 34, 75
@@ -40,7 +40,7 @@ CELLS = 1 << 20  # of the count table: 4 MB on the driver and in a broadcast, wh
 BITS = 1 << 22  # of the filter of wanted documents, in the same way
 RUN = 256  # members of a group whose lists one task merges with those of RUN others
 RUN_BYTES = 16 << 20  # of the sets of these members, as a mean; fewer members where sets are larger
-_WIDE = 1 << 21  # postings that are merged at once
+_WIDE = 1 << 19  # postings that are merged at once
 _CHUNK_ROWS = 128
 
 SKETCH = "doc_id long, n_shingles long, digest binary, signature binary"
@@ -356,30 +356,31 @@ def near_duplicates(
     null, kept true.  An empty table gives an empty one.  Other columns of
     ``docs`` are not read.
     """
-    rows = keep(sketch(docs, size, coords), "sketch")
-    known = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    ids = keep(known.groupBy("doc_id").agg(F.min("digest").alias("digest")), "ids")
-    classes = ids.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    # One set, one signature: both sides have a row per class, so that no class is a hot key.
-    signatures = known.groupBy("digest").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
-    classes = keep(classes.join(signatures, "digest"), "classes")
-    reps = classes.select("rep", "n", "digest", "signature")
-    posted = keep(postings(reps, coords, match), "postings")
-    lists = posted.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("h"), F.max("rep").alias("last"), F.count("*").alias("postings"))
-    lists = keep(lists.where("h.rep < last").select("token", "postings", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n")), "lists")
-    members = look_up(posted, lists, "token", "postings", F.col("rep")).where("hub IS NOT NULL AND hub <> rep")
-    members = members.select("hub", "hub_n", "rep", "n").distinct()
-    members = keep(members, "members")
-    near = keep(_alike_hubs(members, reps, coords, match), "near-hubs")
-    links = keep(_hub_links(near, _sets_of(docs, near, reps, size, coords), similarity), "hub-links")
-    labels = connected_components(links)
-    with_hubs = members.drop("hub_n").union(members.select("hub", F.col("hub").alias("rep"), F.col("hub_n").alias("n")).distinct())
-    apart = keep(_alike_runs(_run_rows(with_hubs, labels), reps, coords, match), "near-runs")
-    own_n = members.select("hub", F.col("hub_n").alias("n")).distinct()
-    apart = apart.unionByName(apart.select("hub").distinct().join(own_n, "hub").withColumn("rep", F.col("hub"))).distinct()
-    sets = _sets_of(docs, apart, reps, size, coords)
-    more = keep(_run_links(_run_rows(apart, labels), sets, coords, match, similarity), "run-links")
-    labels = connected_components(links.union(more))
+    with arrow_rows(docs.sparkSession):  # batches of sets and texts lie in the executor and in its worker; all jobs with workers run in here
+        rows = keep(sketch(docs, size, coords), "sketch")
+        known = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        ids = keep(known.groupBy("doc_id").agg(F.min("digest").alias("digest")), "ids")
+        classes = ids.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+        # One set, one signature: both sides have a row per class, so that no class is a hot key.
+        signatures = known.groupBy("digest").agg(F.first("signature").alias("signature"), F.first("n_shingles").alias("n"))
+        classes = keep(classes.join(signatures, "digest"), "classes")
+        reps = classes.select("rep", "n", "digest", "signature")
+        posted = keep(postings(reps, coords, match), "postings")
+        lists = posted.groupBy("token").agg(F.min(F.struct("rep", "n")).alias("h"), F.max("rep").alias("last"), F.count("*").alias("postings"))
+        lists = keep(lists.where("h.rep < last").select("token", "postings", F.col("h.rep").alias("hub"), F.col("h.n").alias("hub_n")), "lists")
+        members = look_up(posted, lists, "token", "postings", F.col("rep")).where("hub IS NOT NULL AND hub <> rep")
+        members = members.select("hub", "hub_n", "rep", "n").distinct()
+        members = keep(members, "members")
+        near = keep(_alike_hubs(members, reps, coords, match), "near-hubs")
+        links = keep(_hub_links(near, _sets_of(docs, near, reps, size, coords), similarity), "hub-links")
+        labels = connected_components(links)
+        with_hubs = members.drop("hub_n").union(members.select("hub", F.col("hub").alias("rep"), F.col("hub_n").alias("n")).distinct())
+        apart = keep(_alike_runs(_run_rows(with_hubs, labels), reps, coords, match), "near-runs")
+        own_n = members.select("hub", F.col("hub_n").alias("n")).distinct()
+        apart = apart.unionByName(apart.select("hub").distinct().join(own_n, "hub").withColumn("rep", F.col("hub"))).distinct()
+        sets = _sets_of(docs, apart, reps, size, coords)
+        more = keep(_run_links(_run_rows(apart, labels), sets, coords, match, similarity), "run-links")
+        labels = connected_components(links.union(more))
     component = F.coalesce("component", "rep").alias("component_id")
     final = classes.select("rep", "digest", "copies").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "copies", component)
     of_doc = look_up(ids, keep(final, "final"), "digest", "copies", F.col("doc_id")).select("doc_id", "component_id")
