@@ -6,7 +6,6 @@ import math
 import os
 import random
 import re
-import time
 import tracemalloc
 import zlib
 
@@ -665,3 +664,16 @@ def test_near_duplicates_run_with_small_batches(spark, docs, monkeypatch):
     near_dedup.near_duplicates(docs).count()
     with_workers = ("sketch", "postings", "near-hubs", "hub-links", "near-runs", "run-links")
     assert {used[t] for t in with_workers} == {"512"} and spark.conf.get(name) == before
+
+
+def test_near_duplicates_have_small_plans(spark, docs, monkeypatch):
+    """The driver's memory follows the largest plan (368 operators before steps that are read twice were kept)."""
+    joins, keep = {}, near_dedup.keep
+
+    def counted(df, table):
+        joins[table] = df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+        return keep(df, table)
+
+    monkeypatch.setattr(near_dedup, "keep", counted)
+    near_dedup.near_duplicates(docs).count()
+    assert {"hub-links", "near-runs", "run-links"} <= set(joins) and max(joins.values()) <= 6, joins

@@ -20,6 +20,9 @@ for every candidate that can no longer reach ``match``.  A task has the lists of
 tasks; members of one component are not merged.  Only candidates above the
 threshold read their full sets to confirm; links alone leave a task, so no pair
 is lost and none is emitted unverified.
+
+Steps that are read more than once are kept, so that no job's plan has more than
+some 100 operators: the driver plans a job anew whenever one of its stages ends.
 """
 
 from __future__ import annotations
@@ -186,6 +189,7 @@ def _alike_hubs(members: DataFrame, reps: DataFrame, coords: int, match: int) ->
 def _hub_links(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Verified links between each hub and its members; a large group is salted over runs."""
     blocks = members.groupBy("hub").agg(F.count("*").alias("members"), F.ceil(F.count("*") / RUN).cast("long").alias("n"))
+    blocks = keep(blocks, "hub-blocks")
     salted = look_up(members, blocks, "hub", "members", F.col("rep")).select(
         "hub", F.pmod(F.xxhash64("rep"), F.col("n")).alias("block"), "rep", F.lit(False).alias("is_hub")
     )
@@ -225,11 +229,12 @@ def _run_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
     known = look_up(known, keep(of_hub, "hub-labels"), "hub", "members", F.col("rep")).select(
         "hub", "rep", "n", "component", (F.col("component") == F.coalesce("hub_component", "hub")).alias("main")
     )
+    known = keep(known, "run-members")
     runs = lambda main: F.greatest(
         F.ceil(F.count_if(main) / RUN), F.ceil(F.sum(F.when(main, F.col("n")).otherwise(0)) * 8 / RUN_BYTES)
     ).cast("long")
     size = known.groupBy("hub").agg(F.count("*").alias("members"), runs(F.col("main")).alias("mains"), runs(~F.col("main")).alias("others"))
-    spread = look_up(known, size, "hub", "members", F.col("rep")).where("others > 0").select(
+    spread = look_up(known, keep(size, "run-sizes"), "hub", "members", F.col("rep")).where("others > 0").select(
         "*", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("others"))).alias("own")
     )
     zero = F.lit(0).cast("long")
@@ -375,9 +380,11 @@ def near_duplicates(
         links = keep(_hub_links(near, _sets_of(docs, near, reps, size, coords), similarity), "hub-links")
         labels = connected_components(links)
         with_hubs = members.drop("hub_n").union(members.select("hub", F.col("hub").alias("rep"), F.col("hub_n").alias("n")).distinct())
+        with_hubs = keep(with_hubs, "with-hubs")
         apart = keep(_alike_runs(_run_rows(with_hubs, labels), reps, coords, match), "near-runs")
         own_n = members.select("hub", F.col("hub_n").alias("n")).distinct()
         apart = apart.unionByName(apart.select("hub").distinct().join(own_n, "hub").withColumn("rep", F.col("hub"))).distinct()
+        apart = keep(apart, "apart")
         sets = _sets_of(docs, apart, reps, size, coords)
         more = keep(_run_links(_run_rows(apart, labels), sets, coords, match, similarity), "run-links")
         labels = connected_components(links.union(more))
@@ -400,6 +407,7 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, reps: DataFrame, size: int, coor
     so that texts are not shuffled; the join with the digests is exact.
     """
     wanted = pairs.select(F.explode(F.array("hub", "rep")).alias("rep")).distinct().join(reps.select("rep", "digest"), "rep")
+    wanted = keep(wanted, "wanted")
 
     def positions(batches):
         for batch in batches:
