@@ -677,3 +677,21 @@ def test_near_duplicates_have_small_plans(spark, docs, monkeypatch):
     monkeypatch.setattr(near_dedup, "keep", counted)
     near_dedup.near_duplicates(docs).count()
     assert {"hub-links", "near-runs", "run-links"} <= set(joins) and max(joins.values()) <= 6, joins
+
+
+def test_closed_and_open_gates_are_read_as_they_are_trained():
+    """Sums far beyond what exp can hold give gates of 0 and 1, and no warning or NaN."""
+    net = gru_lang.Network(["x", "y"], seed=4)
+    for way in net.ways:
+        way.inputs *= 500
+    data, at = words.text_buffers(pa.array([prose(40, 1), "a"]))
+    want = [net.run([gru_lang._FOLD[data[i:j]].tobytes()])[0][:, 0].mean(axis=0) for i, j in zip(at, at[1:])]
+    with np.errstate(invalid="raise", divide="raise"):
+        assert net.pooled(data, at, core=1 << 20) == pytest.approx(np.array(want), abs=1e-4)
+
+
+def test_reading_takes_no_tanh(monkeypatch):
+    """numpy's tanh takes twice the time of its exp, and was two fifths of the reading."""
+    net = gru_lang.Network(["x", "y"], seed=4)
+    monkeypatch.setattr(np, "tanh", lambda *_, **__: pytest.fail("tanh"))
+    assert net.pooled(*words.text_buffers(pa.array(["abc"]))).sum() == pytest.approx(1)

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -81,27 +82,30 @@ class Gru:
         ``active[t]`` windows, the first ones, are longer than t.
         """
         size, b = self.candidate.shape[0], len(begin)
-        half = np.float32(0.5)  # sigmoid(x) = (tanh(x / 2) + 1) / 2
-        tables = [np.ascontiguousarray(self.inputs[:, k * size : (k + 1) * size]) * (1 if k == 2 else half) for k in range(3)]
-        update, reset = (np.ascontiguousarray(self.gates[:, k * size : (k + 1) * size]) * half for k in range(2))
+        # sigmoid(x) = 1 / (1 + exp(-x)), tanh(x) = 2 / (1 + exp(-2x)) - 1: numpy's exp takes half the time of its tanh
+        signs = [np.float32(k) for k in (-1, -1, -2)]
+        tables = [np.ascontiguousarray(self.inputs[:, k * size : (k + 1) * size]) * sign for k, sign in enumerate(signs)]
+        update, reset = (np.ascontiguousarray(self.gates[:, k * size : (k + 1) * size]) * signs[k] for k in range(2))
+        candidate = self.candidate * signs[2]
         h, zs, rs, cs, xs = np.zeros((5, b, size), np.float32)
         sums, done = np.empty((sum(active), out.shape[1]), np.float32), 0
         for t, n in enumerate(active):
-            code = data[begin[:n] + step * t]
+            code = data[begin[:n] + step * t].astype(np.intp)
             hn, z, r, c, x = h[:n], zs[:n], rs[:n], cs[:n], xs[:n]
             for gate, weights, table in ((z, update, tables[0]), (r, reset, tables[1])):
                 np.matmul(hn, weights, out=gate)
-                gate += np.take(table, code, axis=0, out=x, mode="clip")
-                np.tanh(gate, out=gate)
+                gate += table.take(code, axis=0, out=x, mode="clip")
+                np.exp(gate, out=gate)
                 gate += 1
-            r *= half
-            r *= hn
-            np.matmul(r, self.candidate, out=c)
-            c += np.take(tables[2], code, axis=0, out=x, mode="clip")
-            np.tanh(c, out=c)
+            np.divide(hn, r, out=r)
+            np.matmul(r, candidate, out=c)
+            c += tables[2].take(code, axis=0, out=x, mode="clip")
+            np.exp(c, out=c)
+            c += 1
+            np.divide(2, c, out=c)
+            c -= 1
             c -= hn
-            c *= z
-            c *= half
+            c /= z
             hn += c
             np.matmul(hn, out, out=sums[done : done + n])
             done += n
@@ -229,8 +233,9 @@ class Network:
         length, size = end - begin, HIDDEN
         active = np.searchsorted(-length, -np.arange(int(length[0])), "left")
         before = np.cumsum(active) - active  # where each step's rows begin
-        ahead = self.ways[0].read(data, begin, 1, active.tolist(), self.out[:size])
-        behind = self.ways[1].read(data, end - 1, -1, active.tolist(), self.out[size:])
+        with np.errstate(over="ignore"):  # a gate whose exp is infinite is closed
+            ahead = self.ways[0].read(data, begin, 1, active.tolist(), self.out[:size])
+            behind = self.ways[1].read(data, end - 1, -1, active.tolist(), self.out[size:])
         # position i of window k is step i forward and step length - 1 - i backward; cores only
         return np.concatenate(
             [self._merged(ahead, behind, before, begin, length, low, high, k, k + MERGED) for k in range(0, len(begin), MERGED)]
@@ -242,12 +247,12 @@ class Network:
         window = np.repeat(np.arange(len(begin)), count)
         edges = np.cumsum(count) - count
         i = np.arange(len(window)) - np.repeat(edges - (low - begin), count)
-        logits = ahead[before[i] + first + window]
-        logits += behind[before[length[window] - 1 - i] + first + window]
+        logits = ahead.take(before[i] + first + window, axis=0)
+        logits += behind.take(before[length[window] - 1 - i] + first + window, axis=0)
         logits += self.bias
-        logits -= logits.max(axis=1, keepdims=True)
+        logits -= reduce(np.maximum, logits.T)[:, None]  # column by column: numpy reduces short rows slowly
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
+        logits /= reduce(np.add, logits.T)[:, None]
         return np.add.reduceat(logits, edges, axis=0, dtype=np.float64)
 
 
