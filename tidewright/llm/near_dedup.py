@@ -22,7 +22,7 @@ threshold read their full sets to confirm; links alone leave a task, so no pair
 is lost and none is emitted unverified.
 
 Steps that are read more than once are kept, so that no job's plan has more than
-some 100 operators: the driver plans a job anew whenever one of its stages ends.
+about 120 operators: the driver plans a job anew whenever one of its stages ends.
 """
 
 from __future__ import annotations
