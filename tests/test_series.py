@@ -88,6 +88,50 @@ def test_daily_dollar_bars(spark):
     assert got == plain_bars(trades, 200.0, lambda k: k % 1440 == 0)
 
 
+def bars_in_doubles(trades, threshold):
+    """As the queries' SQL: a double that restarts at 0 after each bar."""
+    out, held, total = [], [], 0.0
+    for p, q in trades:
+        held.append(q)
+        total += p * q
+        if total >= threshold:
+            out.append((len(out), len(held), sum(held)))
+            held, total = [], 0.0
+    return out
+
+
+@pytest.mark.parametrize("limit, price", [(1.0, lambda r: 0.1), (1.0, lambda r: r.choice([0.0, 0.1, 0.2, 0.3])), (30.0, lambda r: r.choice([0.1, 0.7, 1.1])), (0.05, lambda r: 0.1)])
+@pytest.mark.parametrize("reset", ["exact", "daily"])
+def test_dollar_bars_add_up_one_by_one(spark, reset, limit, price):
+    """Ten times 0.1 is less than 1 in doubles, so a bar of 1 has eleven trades, also where it is cut."""
+    r = random.Random(2)
+    trades = [(price(r), r.randint(1, 2) if limit > 1 else 1) for _ in range(1300)]
+    rows = [(1, dt.datetime(2020, 1, 1) + dt.timedelta(seconds=k), k, p, q) for k, (p, q) in enumerate(trades)]
+    table = spark.createDataFrame(rows, "symbol long, ts timestamp, seq long, price double, size long")
+    got = B.dollar_bars(table, limit, reset, ranges=9).orderBy("bar_id").collect()
+    want = bars_in_doubles(trades, limit)
+    assert [(x.bar_id, x.volume) for x in got] == [(k, volume) for k, _, volume in want]
+
+
+def test_links_of_chunks_carry_doubles():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        amounts, limit = rng.integers(0, 5, rng.integers(1, 60)) * rng.choice([0.1, 0.01, 1.3]), rng.integers(1, 30) * 0.1
+        last, bars = numeric.bar_starts(amounts, limit)[1:]
+        head, made, left, tail = numeric.bar_links(amounts, limit)
+        for entering in [0.0, *(rng.random(6) * limit), limit - 0.1 if limit > 0.1 else 0.0]:
+            held, n, first = entering, 0, None
+            for k, a in enumerate(amounts):
+                held += a
+                if held >= limit:
+                    held, n, first = 0.0, n + 1, k if first is None else first
+            sums = np.cumsum(np.r_[entering, head])
+            k = int(np.searchsorted(sums, limit)) - 1
+            assert (n, held) == ((made[k], np.cumsum(np.r_[0.0, tail[len(tail) - left[k] :]])[-1]) if k < len(head) else (0, sums[-1]))
+            if first is not None:
+                assert 1 + bars[first + 1] == n and np.cumsum(np.r_[0.0, amounts[last[first + 1] :]])[-1] == held
+
+
 def test_bar_functions_say_what_a_chunk_does():
     rng = np.random.default_rng(5)
     for _ in range(60):

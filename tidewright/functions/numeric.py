@@ -8,16 +8,21 @@ import numpy as np
 SCALE = 1_000_000  # amounts and prices in whole millionths, so that sums are exact wherever a series is cut
 
 
-def bar_starts(amounts: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bar_starts(amounts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where bars end, for every place at which one could begin: ``sums, last, bars``.
 
     From a bar that begins at b, ``bars[b]`` bars are completed in these amounts
-    and ``last[b]`` is where the unfinished one begins.  The table of next
-    beginnings is composed with itself until nothing changes (pointer doubling).
+    and ``last[b]`` is where the unfinished one begins.  A bar is full when its
+    amounts, added up one by one, reach the threshold; where the prefix sums are
+    too near to it to tell, they are added up.  The table of next beginnings is
+    composed with itself until nothing changes (pointer doubling).
     """
-    sums, n = np.cumsum(amounts), len(amounts)
+    sums, n = np.cumsum(amounts, dtype=np.longdouble), len(amounts)
     before = np.r_[0, sums]
-    end = np.searchsorted(sums, before + threshold) + 1
+    slack = 2 * (n + 1) * (np.finfo(float).eps * threshold + np.finfo(np.longdouble).eps * (sums[-1] + threshold))  # more than both kinds of sums round
+    end, sure = (np.searchsorted(sums, before + (threshold + x)) + 1 for x in (-slack, slack))
+    for b in np.flatnonzero(end < sure):
+        end[b] = b + np.searchsorted(np.cumsum(amounts[b : sure[b]], dtype=float), threshold) + 1
     done = end <= n
     last, bars = np.where(done, end, np.arange(n + 1)), done.astype(np.int64)
     while (last[last] != last).any():
@@ -42,22 +47,49 @@ def bar_function(amounts: np.ndarray, threshold: int) -> tuple[np.ndarray, np.nd
     return need[ends], made[ends], left[ends], int(sums[-1])
 
 
-def bar_numbers(amounts: np.ndarray, threshold: int, entering: int = 0) -> np.ndarray:
-    """Number of the bar of each trade from 0, the unfinished last one too. An amount restarts at 0 after a bar."""
-    sums, ids, begin, k, due = np.cumsum(amounts), np.empty(len(amounts), np.int64), 0, 0, threshold - entering
+def bar_links(amounts: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a chunk is to an amount that enters it: ``head, bars, left, tail``.
+
+    The bar that enters is full with one of ``head`` or lasts beyond the chunk.
+    If ``head[i]`` fills it, ``bars[i]`` bars are completed and the unfinished one
+    has the last ``left[i]`` of ``tail``.  Both are as long as a bar at most, and
+    hold the amounts themselves, so that sums run on as if nothing were cut.
+    """
+    amounts = amounts[amounts != 0]
+    if not len(amounts):
+        return amounts, *np.zeros((2, 0), np.int64), amounts
+    _, last, bars = bar_starts(amounts, threshold)
+    after = np.arange(1, min(int(np.searchsorted(np.cumsum(amounts), threshold)) + 1, len(amounts)) + 1)
+    return amounts[: len(after)], 1 + bars[after], len(amounts) - last[after], amounts[last[after].min() :]
+
+
+def bar_numbers(amounts: np.ndarray, threshold: float, entering: float = 0.0) -> np.ndarray:
+    """Number of the bar of each trade from 0, the unfinished last one too. An amount restarts at 0 after a bar.
+
+    Amounts are added up one by one from a bar's beginning, over stretches that grow while it is not full.
+    """
+    ids, begin, k, held, look = np.empty(len(amounts), np.int64), 0, 0, entering, 64
     while begin < len(amounts):
-        end = int(np.searchsorted(sums, due)) + 1
-        ids[begin:end] = k
-        if end > len(amounts):
-            break
-        begin, k, due = end, k + 1, sums[end - 1] + threshold
+        sums = amounts[begin : begin + look].astype(float)
+        sums[0] += held
+        sums = np.cumsum(sums)
+        end = int(np.searchsorted(sums, threshold))
+        ids[begin : begin + end + 1] = k
+        if end < len(sums):
+            begin, k, held, look = begin + end + 1, k + 1, 0.0, max(64, 2 * (end + 1))
+        else:
+            begin, held, look = begin + end, sums[-1], 2 * look
     return ids
 
 
+def is_full(amounts: np.ndarray, threshold: float) -> bool:
+    return bool(np.cumsum(amounts)[-1] >= threshold)
+
+
 def bar_ids(amounts: np.ndarray, threshold: float) -> np.ndarray:
     """As ``bar_numbers``, but -1 in the unfinished last bar."""
     ids = bar_numbers(amounts, threshold)
-    return np.where((ids == ids[-1]) & (amounts[ids == ids[-1]].sum() < threshold), -1, ids) if len(ids) else ids
+    return np.where((ids == ids[-1]) & (not is_full(amounts[ids == ids[-1]], threshold)), -1, ids) if len(ids) else ids
 
 
 def cusum_hits(values: np.ndarray, h: float) -> np.ndarray:
