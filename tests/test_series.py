@@ -367,6 +367,45 @@ def test_neighbours_where_cells_are_small(spark):
     assert ask(table.limit(0), 2) == []
 
 
+@pytest.mark.parametrize("kind", ["normal", "grid", "far", "tiny", "outlier", "copies"])
+@pytest.mark.parametrize("leave_own", [True, False])
+def test_closest_is_exact_where_single_precision_is_not(kind, leave_own):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 5))
+    x = {"normal": x, "grid": np.round(x), "far": x + 1e7, "tiny": x * 1e-30, "outlier": np.r_[x[:-1], [[1e25] * 5]], "copies": np.repeat(x[:7], 100, 0)}[kind]
+    ids, pivot = rng.permutation(700), x[3]
+    dist = np.sqrt(((x - pivot) ** 2).sum(1))
+    by = np.argsort(dist)
+    x, ids, dist = x[by], ids[by], dist[by]
+    q = x[::3]
+    for reach in (np.inf, float(np.median(dist)) * (1 + 1e-9)):  # as much more as the index adds
+        i, j, d, _ = numeric.closest(q, dist[::3], np.full(len(q), reach), x, dist, ids, 6, ids[::3] if leave_own else None, 5000)
+        for a in range(len(q)):
+            away = np.cumsum((x - q[a]) ** 2, axis=1)[:, -1]
+            want = [b for b in np.lexsort((ids, away)) if away[b] <= reach * reach * (1 - 1e-9) and not (leave_own and ids[b] == ids[3 * a])][:6]
+            assert j[i == a][: len(want)].tolist() == want and d[i == a][: len(want)].tolist() == away[want].tolist()
+    kept = numeric.first_copies(x, ids, 2)
+    assert sorted(ids[kept]) == sorted(r for v in np.unique(x, axis=0) for r in sorted(ids[(x == v).all(1)])[:2])
+
+
+def test_neighbours_of_many_vectors_without_clusters(spark):
+    """All pairs of 12,000 vectors: a microsecond or more for each pair takes minutes."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12_000, 64))
+    x[500:520, 3] = np.nan
+    table = spark.createDataFrame(pd.DataFrame({"r": np.arange(12_000), "y": np.arange(12_000) % 3, "x": x.tolist()}), "r long, y long, x array<double>")
+    began = time.perf_counter()
+    near = I.neighbours(table, table.select(F.col("r").alias("row"), F.col("x").alias("q")), 7, leave_own=True)[0].groupBy("row").agg(F.sort_array(F.collect_list(F.struct("d", "r"))).alias("n"))
+    got = {n.row: [a.r for a in n.n] for n in near.collect()}
+    assert time.perf_counter() - began < 60
+    assert set(got) == {*range(500), *range(520, 12_000)}
+    for i in range(0, 12_000, 97):
+        if i in got:
+            d = np.cumsum((x - x[i]) ** 2, axis=1)[:, -1]
+            d[i] = np.inf
+            assert got[i] == np.lexsort((np.arange(12_000), d))[:7].tolist()
+
+
 NAMES = ["x0", "x1", "x2"]
 
 

@@ -232,6 +232,61 @@ def convolved(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(w, size), size)[:n]
 
 
+def closest(q: np.ndarray, at: np.ndarray, reach: np.ndarray, x: np.ndarray, dist: np.ndarray, ids: np.ndarray, k: int, leave: np.ndarray | None = None, pairs: int = 1 << 22) -> tuple:
+    """Of each row of ``q`` the ``k`` nearest rows of ``x`` within its ``reach``, ties by id: ``i, j, d`` (squared), and the distances taken.
+
+    ``at`` and ``dist`` (rising) are distances to one point, from which the
+    triangle inequality tells rows that are too far.  A matrix product gives the
+    other distances up to rounding (single precision, ``pairs`` at once), and what
+    can be among the nearest with more slack than that is summed in doubles,
+    component by component.  Row i does not count the id ``leave[i]``.
+    """
+    more, width = k + (leave is not None), x.shape[1]
+    middle = x.mean(0)
+    a, b = q - middle, x - middle
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    unit = max(aa.max(), bb.max(), np.finfo(float).tiny)  # so that nothing overflows
+    slack = 4 * (width + 10) * np.finfo(np.float32).eps * (np.sqrt(aa / unit) + np.sqrt(bb.max() / unit)) ** 2 + 1e-30
+    limit = np.minimum(reach * reach / unit + slack, 5.0).astype(np.float32)  # no distance is over 4 units
+    left = np.c_[a / np.sqrt(unit), aa / unit, np.ones(len(a))].astype(np.float32)
+    right = np.c_[b * (-2 / np.sqrt(unit)), np.ones(len(b)), bb / unit].astype(np.float32)
+    order, out, tested = np.argsort(at, kind="stable"), [], 0
+    step = max(1, min(1024, pairs // len(x)))
+    for s in range(0, len(order), step):
+        part = order[s : s + step]
+        low, high = np.searchsorted(dist, (at - reach)[part].min()), np.searchsorted(dist, (at + reach)[part].max(), "right")
+        if low == high:
+            continue
+        tested += len(part) * int(high - low)
+        near = left[part] @ right[low:high].T
+        close = near <= limit[part, None]
+        crowded = np.flatnonzero(np.bitwise_count(np.packbits(close, axis=1)).sum(1, dtype=np.int64) > 4 * more)
+        if len(crowded):
+            some = near[crowded]
+            kth = np.partition(some, more - 1, axis=1)[:, more - 1]
+            close[crowded] &= some <= (kth + 2 * slack[part[crowded]]).astype(np.float32)[:, None]
+        i, j = np.divmod(np.flatnonzero(close), high - low)
+        i, j = part[i], low + j
+        if leave is not None:
+            others = ids[j] != leave[i]
+            i, j = i[others], j[others]
+        d, some = np.empty(len(i)), max(1, (1 << 21) // width)
+        for t in range(0, len(i), some):
+            d[t : t + some] = np.cumsum((q[i[t : t + some]] - x[j[t : t + some]]) ** 2, axis=1)[:, -1]
+        nearest = np.lexsort((ids[j], d, i))
+        i, j, d = i[nearest], j[nearest], d[nearest]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((i[best], j[best], d[best]))
+    return *(np.concatenate(c) for c in zip((np.empty(0, int), np.empty(0, int), np.empty(0)), *out)), tested
+
+
+def first_copies(x: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """Of all equal rows of ``x`` the ``n`` with the smallest ids: their positions."""
+    same = np.unique(np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_inverse=True)[1]
+    order = np.lexsort((ids, same))
+    return order[np.arange(len(x)) - np.searchsorted(same[order], same[order]) < n]
+
+
 def _first_passed(running: np.ndarray, barriers: np.ndarray) -> np.ndarray:
     """For rising rows and sorted barriers: the column at which a row first exceeds each barrier, else its length."""
     rows, width = running.shape

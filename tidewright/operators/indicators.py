@@ -8,12 +8,14 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.numeric import closest, first_copies
 from ..functions.shared import keep
 from .strategy import mean_over
 
@@ -69,7 +71,8 @@ def clean_xy(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.dropna(subset=columns).where(~bad)
 
 
-PIVOTS, BLOCK = 32, 2048  # cells of the index; points, and queries, that a task holds at once
+PIVOTS = 32  # cells of the index
+BLOCK, WIDE = 1 << 14, 1 << 20  # points, and queries, that a task holds at once, and their components
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -80,14 +83,19 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def _matrix(column) -> np.ndarray:
+    """An Arrow column of equally long lists as rows."""
+    return np.asarray(pc.list_flatten(column), float).reshape(len(column), -1)
+
+
 def _by_cell(rows: DataFrame, vector: str, pivots: np.ndarray) -> DataFrame:
     """``rows`` with ``far``, the distances of their vector to the pivots, and ``cell``, the nearest pivot."""
 
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(k, BLOCK)
-                x = part.column(vector).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
+                x = _matrix(part.column(vector))
                 far = np.sqrt(_squares(x, pivots))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(pivots), pa.int32()), pa.array(far.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(far.argmin(1), pa.int32())], [*part.schema.names, "far", "cell"])
@@ -96,68 +104,73 @@ def _by_cell(rows: DataFrame, vector: str, pivots: np.ndarray) -> DataFrame:
 
 
 def _reachable(queries: DataFrame, cells: list, pivots: np.ndarray, k: int) -> DataFrame:
-    """Pairs ``row, q, cell, dist, reach`` of a query and a cell that can hold one of its k nearest points.
+    """Queries ``row, q, own, reach`` beside the ``cells`` that can hold one of their k nearest points, and the ``dists`` to those.
 
     ``reach`` bounds the k-th distance: from cells that are sure to hold k
     points, or the ``found`` one.  A cell is out of reach if its ball is, or the
     plane half-way between its pivot and the query's own one.
     """
-    number = np.array([c["cell"] for c in cells])
+    number = np.array([c["cell"] for c in cells], np.int32)
     radius, inner, size = (np.array([c[n] for c in cells], float) for n in ("radius", "inner", "n"))
     between = np.sqrt(_squares(pivots, pivots))
 
-    def run(frames):
-        for frame in frames:
-            out = []
-            for row, q, far, own, found in frame[["row", "q", "far", "cell", "found"]].itertuples(index=False):
-                far = np.asarray(far)
-                d = far[number]
-                order = np.argsort(d + radius)
-                enough = int(np.searchsorted(size[order].cumsum(), k))
-                reach = (d + radius)[order[enough]] if enough < len(order) else np.inf
-                reach = min(reach, found) * (1 + 1e-9) + 1e-12  # rounding
-                apart = between[number, own]
-                plane = np.where(apart > 0, (d * d - far[own] ** 2) / (2 * np.maximum(apart, 1e-300)), 0.0)
-                for i in np.flatnonzero((d - radius <= reach) & (inner - d <= reach) & (plane <= reach)):
-                    out.append((row, q, int(number[i]), float(d[i]), float(reach)))
-            yield pd.DataFrame(out, columns=["row", "q", "cell", "dist", "reach"])
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            far, own, found = _matrix(batch.column("far")), np.asarray(batch.column("cell")), np.asarray(batch.column("found"))
+            every = np.arange(len(far))
+            d, home = far[:, number], far[every, own][:, None]
+            order = np.argsort(d + radius, axis=1)
+            enough = (size[order].cumsum(1) < k).sum(1)  # cells that don't hold k points yet
+            sure = np.c_[np.take_along_axis(d + radius, order, 1), np.full(len(d), np.inf)][every, enough]
+            reach = (np.minimum(sure, found) * (1 + 1e-9) + 1e-12 * (1 + d.max(1)))[:, None]  # rounding
+            apart = between[:, number][own]
+            beyond = (apart > 0) & (d * d - home * home > 2 * np.where(apart > 0, apart, 1) * reach + 1e-12 * (d * d + home * home))
+            hit = np.isfinite(d) & (d - radius <= reach) & (inner - d <= reach) & ~beyond
+            ends = pa.array(np.r_[0, hit.sum(1).cumsum()].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (np.broadcast_to(number, hit.shape)[hit], d[hit])]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("q"), batch.column("cell"), pa.array(reach[:, 0]), *lists], ["row", "q", "own", "reach", "cells", "dists"])
 
     kind = queries.schema["row"].dataType.simpleString()
-    return queries.select("row", "q", "far", "cell", "found").mapInPandas(run, f"row {kind}, q array<double>, cell int, dist double, reach double")
+    return queries.select("row", "q", "far", "cell", "found").mapInArrow(run, f"row {kind}, q array<double>, own int, reach double, cells array<int>, dists array<double>")
+
+
+def _pairs(reached: DataFrame) -> DataFrame:
+    """``row, q, own, reach, cell, dist``: a row for each query and cell."""
+    each = reached.select("row", "q", "own", "reach", F.explode(F.arrays_zip("cells", "dists")).alias("at"))
+    return each.select("row", "q", "own", "reach", F.col("at.cells").alias("cell"), F.col("at.dists").alias("dist"))
 
 
-def _nearest(pairs: DataFrame, points: DataFrame, cells: list, k: int, leave_own: bool) -> DataFrame:
+def _nearest(pairs: DataFrame, points: DataFrame, cells: list, block: int, k: int, leave_own: bool) -> DataFrame:
     """``row, r, y, d, tested``: of each pair's block the k nearest points; a row without ``r`` says how many distances were taken.
 
     A cell's points and the queries that reach it are dealt in blocks of bounded
     size, and a block of each meet in a task.
     """
-    several = {r["cell"]: -(-r["n"] // BLOCK) for r in pairs.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a cell
-    table = [(c["cell"], -(-c["n"] // BLOCK), several[c["cell"]]) for c in cells if c["cell"] in several]
+    several = {r["cell"]: -(-r["n"] // block) for r in pairs.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a cell
+    table = [(c["cell"], -(-c["n"] // block), several[c["cell"]]) for c in cells if c["cell"] in several]
     blocks = pairs.sparkSession.createDataFrame(table, "cell int, nb long, nq long")
     spread = lambda c, n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(c)
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
     asked = pairs.join(F.broadcast(blocks), "cell").withColumn("qb", deal("row", "nq")).select("row", "q", "cell", "dist", "reach", "qb", spread("pb", "nb"))
     held = points.join(F.broadcast(blocks), "cell").withColumn("pb", deal("r", "nb")).select("r", "y", "x", "cell", F.get("far", F.col("cell")).alias("dist"), "pb", spread("qb", "nq"))
 
-    def run(queries: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        out, tested = [], 0
-        if len(queries) and len(near):
-            near = near.sort_values("dist")
-            x, dist, ids, labels = np.stack(near["x"]), near["dist"].to_numpy(), near["r"].to_numpy(), near["y"].to_numpy()
-            for row, q, at, reach in queries[["row", "q", "dist", "reach"]].itertuples(index=False):
-                ring = slice(np.searchsorted(dist, at - reach), np.searchsorted(dist, at + reach, "right"))  # by the triangle inequality
-                d = _squares(np.asarray(q)[None], x[ring])[0]
-                tested += len(d)
-                if leave_own:
-                    d = np.where(ids[ring] == row, np.inf, d)
-                best = np.lexsort((ids[ring], d))[:k]
-                out += [(row, ids[ring][i], labels[ring][i], d[i], 0) for i in best if np.isfinite(d[i])]
-        out.append((None, None, None, None, tested))
-        return pd.DataFrame(out, columns=["row", "r", "y", "d", "tested"]).astype({"row": "object", "r": "object", "y": "object"})
+    def run(queries: pa.Table, near: pa.Table) -> pa.Table:
+        i, j, d, tested = np.empty(0, int), np.empty(0, int), np.empty(0), 0
+        if queries.num_rows and near.num_rows:
+            rows, q, at, reach = queries["row"].to_numpy(), _matrix(queries["q"]), queries["dist"].to_numpy(), queries["reach"].to_numpy()
+            ids, x, dist = near["r"].to_numpy(), _matrix(near["x"]), near["dist"].to_numpy()
+            use = first_copies(x, ids, k + int(leave_own))  # more copies of a vector are nobody's k nearest
+            use = use[np.argsort(dist[use], kind="stable")]
+            i, j, d, tested = closest(q, at, reach, x[use], dist[use], ids[use], k, rows if leave_own else None)
+            j = use[j]
+        found = pa.table({"row": queries["row"].take(pa.array(i)), "r": near["r"].take(pa.array(j)), "y": near["y"].take(pa.array(j)), "d": d, "tested": np.zeros(len(d), np.int64)})
+        count = pa.table({n: pa.array([tested if n == "tested" else None], found.schema.field(n).type) for n in found.column_names})
+        return pa.concat_tables([found, count])
 
     kinds = [*(f"{n} {of.schema[n].dataType.simpleString()}" for n, of in (("row", pairs), ("r", points), ("y", points))), "d double, tested long"]
-    return asked.groupBy("cell", "pb", "qb").cogroup(held.groupBy("cell", "pb", "qb")).applyInPandas(run, ", ".join(kinds))
+    return asked.groupBy("cell", "pb", "qb").cogroup(held.groupBy("cell", "pb", "qb")).applyInArrow(run, ", ".join(kinds))
 
 
 def neighbours(points: DataFrame, queries: DataFrame, k: int, leave_own: bool = False, pivots: int = PIVOTS) -> tuple[DataFrame, DataFrame]:
@@ -167,9 +180,10 @@ def neighbours(points: DataFrame, queries: DataFrame, k: int, leave_own: bool =
     first meets the cell of its own pivot, which bounds its k-th distance, and
     then the other cells that the triangle inequality leaves; in a cell, only
     points whose distance to the pivot differs by no more than the bound.  Equal
-    distances go by ``r``.
+    distances go by ``r``.  Vectors that are not finite are nobody's neighbours.
     """
     more = k + int(leave_own)
+    points = points.where(F.forall("x", lambda v: F.abs(v) < float("inf")))
     drawn = points.select("x", F.xxhash64("r").alias("h"), "r").orderBy("h", "r").limit(pivots).collect()
     if not drawn:
         none = queries.join(points, F.lit(False)).select("row", "r", "y", F.lit(0.0).alias("d"))
@@ -179,12 +193,13 @@ def neighbours(points: DataFrame, queries: DataFrame, k: int, leave_own: bool =
     to_own = F.get("far", F.col("cell"))
     cells = indexed.groupBy("cell").agg(F.count("*").alias("n"), F.max(to_own).alias("radius"), F.min(to_own).alias("inner")).collect()  # a row a pivot
     asked = keep(_by_cell(queries, "q", base), "queries")
-    own = keep(_reachable(asked.withColumn("found", F.lit(float("inf"))), cells, base, more).join(asked.select("row", F.col("cell").alias("own")), "row"), "pairs")
-    first = keep(_nearest(own.where("cell = own"), indexed, cells, k, leave_own), "first")
-    bound = first.where("row IS NOT NULL").groupBy("row").agg(F.when(F.count("*") >= k, F.sqrt(F.max("d"))).alias("found"))
+    block = max(1, min(BLOCK, WIDE // base.shape[1]))
+    own = keep(_pairs(_reachable(asked.withColumn("found", F.lit(float("inf"))), cells, base, more)).where("cell = own"), "pairs")
+    first = keep(_nearest(own, indexed, cells, block, k, leave_own), "first")
+    bound = first.where("row IS NOT NULL").groupBy("row").agg(F.sqrt(F.get(F.sort_array(F.collect_list("d")), F.lit(k - 1))).alias("found"))
     asked = asked.join(bound, "row", "left").withColumn("found", F.coalesce("found", F.lit(float("inf"))))
-    others = _reachable(asked, cells, base, more).join(asked.select("row", F.col("cell").alias("own")), "row").where("cell != own")
-    tried = first.unionByName(keep(_nearest(keep(others, "pairs"), indexed, cells, k, leave_own), "others"))
+    others = _pairs(keep(_reachable(asked, cells, base, more), "reached")).where("cell != own")
+    tried = first.unionByName(keep(_nearest(others, indexed, cells, block, k, leave_own), "others"))
     place = F.row_number().over(Window.partitionBy("row").orderBy("d", "r"))
     return tried.where("row IS NOT NULL").select("row", "r", "y", "d", place.alias("place")).where(F.col("place") <= k).drop("place"), tried.where("row IS NULL")
 
